@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from authloom import schemas
 from authloom.functions import fixed
-from authloom.functions.text import lookup, non_empty
+from authloom.functions.text import lookup, non_empty, unicode_trim
 
 
 def first_filled(df: DataFrame, *names: str) -> Column:
@@ -40,7 +40,7 @@ def reply_body(text: Column) -> Column:
     """The json-fenced block of a reply, else its first fenced block, else all of it."""
     tagged = F.regexp_extract(text, r"(?s)```json(.*?)(?:```|$)", 1)
     fenced = F.regexp_extract(text, r"(?s)```(.*?)(?:```|$)", 1)
-    return F.trim(
+    return unicode_trim(
         F.when(text.contains("```json"), tagged).when(text.contains("```"), fenced).otherwise(text)
     )
 

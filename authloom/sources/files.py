@@ -69,9 +69,11 @@ def number_lines(lines: DataFrame) -> DataFrame:
 def read_alerts(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(alerts, unreadable lines). A half-written line is set aside instead of failing the scan."""
     raw = spark.read.schema(f"{schemas.ALERT}, {_CORRUPT} string").json(path)
+    # The reader cannot be asked for the corrupt column alone, so a data column takes part.
+    broken = F.col(_CORRUPT).isNotNull() & (F.length(F.coalesce("id", F.lit(""))) >= 0)
     return (
         raw.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT),
-        raw.where(F.col(_CORRUPT).isNotNull()).select(F.col(_CORRUPT).alias("line")),
+        raw.where(broken).select(F.col(_CORRUPT).alias("line")),
     )
 
 
@@ -83,7 +85,7 @@ def read_evidence(spark: SparkSession, path: str | list[str]) -> DataFrame:
 _READERS = {
     "syslog": lambda spark, path: spark.read.option("lineSep", "\n").text(path),
     "json": lambda spark, path: spark.read.json(path),
-    "parquet": lambda spark, path: spark.read.parquet(path),
+    "parquet": lambda spark, path: spark.read.parquet(*path),
     "csv": lambda spark, path: spark.read.option("header", True).csv(path),
     "orc": lambda spark, path: spark.read.orc(path),
 }

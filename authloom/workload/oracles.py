@@ -32,7 +32,7 @@ def h16(*cols: str) -> str:
 
 # --- log lines and their parsed form ---------------------------------------------------------
 BASE = """
-base AS (SELECT event_id, user_id, event_type, date_trunc('second', ts) AS at, ts,
+base AS (SELECT event_id, user_id, event_type, date_trunc('second', ts) AS sec, ts,
   event_id % 20 AS k, event_id % 97 AS d, 'node-' || user_id % 3 AS node_id,
   'host-' || user_id % 3 AS host, '10.0.' || user_id // 256 || '.' || user_id % 256 AS ip,
   1024 + event_id % 60000 AS port, 1000 + event_id % 50000 AS pid, 'user' || user_id AS usr,
@@ -53,7 +53,7 @@ cls AS (SELECT *,
    WHEN 'signup' THEN CASE k WHEN 0 THEN 'sudo_success' WHEN 1 THEN 'sudo_other' ELSE 'sudo_auth_failure' END
    ELSE CASE k WHEN 0 THEN 'su_success' WHEN 1 THEN 'su_other' WHEN 2 THEN 'login_other' ELSE 'su_failed' END
   END AS log_type FROM ln),
-pl AS (SELECT event_id, node_id, 'auth.log-' || ymd AS file, at, host AS hostname, proc AS process,
+pl AS (SELECT event_id, node_id, 'auth.log-' || ymd AS file, sec, host AS hostname, proc AS process,
   CAST(CASE WHEN d = 17 THEN 0 WHEN d = 13 THEN NULL ELSE pid END AS INTEGER) AS pid, message, raw_line,
   reject, log_type, ip, port, d,
   CASE log_type WHEN 'ssh_failed_password' THEN usr WHEN 'ssh_accepted' THEN usr
@@ -83,7 +83,7 @@ mt AS (SELECT ev.*, rl.rule_id, need, win, cd,
   FROM ev JOIN rl ON ev.process = rl.proc
   WHERE EXISTS (SELECT 1 FROM pat WHERE pat.rule_id = rl.rule_id AND ev.message LIKE pat.p))"""
 HITS = f"""{MATCH},
-inst AS (SELECT node_id, rule_id, group_key, need, win, cd, at AS t, count(*) AS n
+inst AS (SELECT node_id, rule_id, group_key, need, win, cd, sec AS t, count(*) AS n
   FROM mt GROUP BY ALL),
 sl AS (SELECT a.node_id, a.rule_id, a.group_key, a.need, a.cd, a.t, a.n, CAST(sum(b.n) AS BIGINT) AS window_count
   FROM inst a JOIN inst b ON a.node_id = b.node_id AND a.rule_id = b.rule_id AND a.group_key = b.group_key
@@ -119,13 +119,13 @@ req AS (SELECT 'qry-' || {h16('signal_id')} AS query_id, 'case-soc-001' AS case_
   CASE WHEN rule_id LIKE '%SSH%' THEN 'sshd' WHEN rule_id LIKE '%SUDO%' THEN 'sudo' ELSE 'su' END AS f_proc,
   20 AS lim FROM sig)"""
 RETRIEVED = f"""{REQUESTS},
-got AS (SELECT r.query_id, r.signal_id, e.*, row_number() OVER (PARTITION BY r.query_id ORDER BY e.at DESC, e.id DESC) AS rank
+got AS (SELECT r.query_id, r.signal_id, e.*, row_number() OVER (PARTITION BY r.query_id ORDER BY e.sec DESC, e.id DESC) AS rank
   FROM req r JOIN ev e ON r.node_id = e.node_id AND r.f_proc = e.process
    AND (r.f_ip IS NULL OR r.f_ip = e.src_ip) QUALIFY rank <= 20)"""
-_HASH = h16("strftime(at, '%Y-%m-%d %H:%M:%S')", "hostname", "process", "pid", "src_ip", "src_port",
+_HASH = h16("strftime(sec, '%Y-%m-%d %H:%M:%S')", "hostname", "process", "pid", "src_ip", "src_port",
             "dst_user", "log_type", "message", "raw_line")
 EVIDENCE = f"""{RETRIEVED},
-evd0 AS (SELECT *, strftime(at, '%Y-%m-%dT%H:%M:%S') AS tx, {_HASH} AS hash FROM got),
+evd0 AS (SELECT *, strftime(sec, '%Y-%m-%dT%H:%M:%S') AS tx, {_HASH} AS hash FROM got),
 evd AS (SELECT 'ev-' || {h16('query_id', 'node_id', 'id')} AS evidence_id, query_id, node_id, rank,
   'auth_log' AS source, node_id || '/auth_log#' || coalesce(src_ip, '') || '#' || tx AS raw_ref,
   query_id || ':' || hash AS lineage_id, hash, tx AS timestamp, hostname, process, pid,
@@ -238,23 +238,23 @@ add("evidence_search", CASES, """SELECT case_key, ord, evidence_id, description
 
 # --- parsing ---------------------------------------------------------------------------------
 add("parse_header", PARSED, """SELECT node_id, event_id AS line_no,
- CASE WHEN d = 7 THEN 'Mai' WHEN d = 11 THEN 'Feb' ELSE strftime(at, '%b') END AS month,
- CASE WHEN d = 7 THEN '12' WHEN d = 11 THEN '30' WHEN d = 23 THEN strftime(at, '%d') ELSE CAST(day(at) AS VARCHAR) END AS day,
+ CASE WHEN d = 7 THEN 'Mai' WHEN d = 11 THEN 'Feb' ELSE strftime(sec, '%b') END AS month,
+ CASE WHEN d = 7 THEN '12' WHEN d = 11 THEN '30' WHEN d = 23 THEN strftime(sec, '%d') ELSE CAST(day(sec) AS VARCHAR) END AS day,
  hostname, process, CASE WHEN d = 13 THEN '99999999999' ELSE CAST(pid AS VARCHAR) END AS pid_text, message
  FROM pl WHERE d <> 5""")
 add("syslog_timestamp", PARSED, f"""SELECT event_id AS line_no, CASE WHEN d IN (5, 7, 11) THEN NULL
- ELSE strftime(at, {SECOND}) END AS ts FROM pl""")
+ ELSE strftime(sec, {SECOND}) END AS ts FROM pl""")
 for _p in ("sshd", "sudo", "su"):
     add(f"classify_{_p}", PARSED, f"""SELECT event_id AS line_no, log_type, dst_user, src_ip, src_port
  FROM pl WHERE process = '{_p}'""")
 add("classify_other", PARSED, """SELECT event_id AS line_no, process, log_type, dst_user FROM pl
  WHERE process = 'login'""")
-add("classify_events", PARSED, f"""SELECT node_id, id, strftime(at, {SECOND}) AS ts, hostname, process, pid, message,
+add("classify_events", PARSED, f"""SELECT node_id, id, strftime(sec, {SECOND}) AS ts, hostname, process, pid, message,
  src_ip, src_port, dst_user, log_type, raw_line FROM ev""")
 add("parse_rejects", PARSED, "SELECT node_id, event_id AS line_no, reject AS reject_reason FROM pl WHERE reject IS NOT NULL")
 add("ingest_stats", PARSED, f"""SELECT node_id, count(*) AS lines_parsed, count(*) FILTER (reject IS NULL) AS lines_inserted,
  count(*) FILTER (reject IN ('timestamp', 'integer')) AS errors,
- count(*) FILTER (reject IS NULL AND at >= {NOW} - to_days(5)) AS events_held FROM pl GROUP BY 1""")
+ count(*) FILTER (reject IS NULL AND sec >= {NOW} - to_days(5)) AS events_held FROM pl GROUP BY 1""")
 add("event_ids", PARSED, """SELECT node_id, file, event_id AS line_no,
  row_number() OVER (PARTITION BY node_id ORDER BY file, event_id) AS id FROM ev""")
 add("normalized_stamps", "", f"""SELECT event_id, CASE event_id % 7 WHEN 0 THEN {NOW_TEXT} WHEN 1 THEN {NOW_TEXT}
@@ -267,7 +267,7 @@ add("extract_fields", "", """SELECT event_id,
   ELSE CASE WHEN event_id % 4 = 0 THEN 0 ELSE CAST(event_id % 9 AS INTEGER) END END AS severity,
  CASE WHEN event_id % 5 <> 0 THEN '10.1.1.1' WHEN event_id % 2 <> 0 THEN '10.2.2.2' ELSE '10.3.3.3' END AS src_ip,
  CASE WHEN event_id % 3 = 0 THEN 'h' WHEN event_id % 4 = 0 THEN 'a' END AS hostname FROM events""")
-add("json_roundtrip", PARSED, f"SELECT id, strftime(at, {SECOND}) AS ts, process, src_ip, src_port FROM ev")
+add("json_roundtrip", PARSED, f"SELECT id, strftime(sec, {SECOND}) AS ts, process, src_ip, src_port FROM ev")
 BUS = """
 bus AS (SELECT event_id AS seq, ts AS published_at, user_id, event_type,
  CASE user_id % 3 WHEN 0 THEN 'SIGNALS' WHEN 1 THEN 'QUERY_REQUESTS' ELSE 'QUERY_RESULTS' END AS stream,
@@ -288,8 +288,8 @@ vd AS (SELECT case_key, cno, cno % 5 <> 3 AS readable,
 add("verdict_json", REPLIES, "SELECT case_key, readable, priority, event_type, summary, actions FROM vd")
 
 # --- filters ---------------------------------------------------------------------------------
-add("query_events", PARSED, f"""SELECT id, strftime(at, {SECOND}) AS ts, src_ip, log_type FROM ev
- WHERE process = 'sshd' AND log_type = 'ssh_accepted' AND at >= TIMESTAMP '2024-01-05' ORDER BY at DESC, id DESC LIMIT 50""")
+add("query_events", PARSED, f"""SELECT id, strftime(sec, {SECOND}) AS ts, src_ip, log_type FROM ev
+ WHERE process = 'sshd' AND log_type = 'ssh_accepted' AND sec >= TIMESTAMP '2024-01-05' ORDER BY sec DESC, id DESC LIMIT 50""")
 add("query_alerts", ALERTS, """SELECT timestamp, rule_id, agent_name, agent_ip, full_log FROM al
  WHERE timestamp >= '2024-01-03T00:00:00' AND timestamp <= '2024-01-20T00:00:00' AND rule_id = '5710'
  ORDER BY timestamp, id LIMIT 20""")
@@ -297,10 +297,10 @@ add("fresh_signals", f"""{SIGNALS},
 odd AS (SELECT signal_id, t, CASE WHEN matched_count % 5 = 0 THEN 'not-a-time' WHEN matched_count % 7 = 0 THEN NULL ELSE event_time END AS event_time FROM sig)""",
     f"""SELECT signal_id, event_time FROM odd WHERE event_time IS NULL OR event_time = 'not-a-time'
  OR {NOW} - t <= INTERVAL 5 MINUTE""")
-add("retention_filter", PARSED, f"SELECT id, strftime(at, {SECOND}) AS ts FROM ev WHERE at >= {NOW} - to_days(7)")
+add("retention_filter", PARSED, f"SELECT id, strftime(sec, {SECOND}) AS ts FROM ev WHERE sec >= {NOW} - to_days(7)")
 add("registry_retention", f"{PARSED}, {REG.strip()}", """SELECT node_id, id FROM ev LEFT JOIN
  (SELECT node_id AS n, max(retention_days) AS days FROM reg WHERE source_name = 'auth_log' GROUP BY 1) r ON ev.node_id = r.n
- WHERE days IS NULL OR at >= TIMESTAMP '2024-01-31' - to_days(days)""")
+ WHERE days IS NULL OR sec >= TIMESTAMP '2024-01-31' - to_days(days)""")
 add("query_requests", REQUESTS, """SELECT query_id, case_id, node_id, signal_id, source, f_ip AS src_ip, f_proc AS process,
  CAST(NULL AS VARCHAR) AS rule_id, lim AS "limit" FROM req""")
 add("severity_level", "", """SELECT o_orderkey, lower(split_part(o_orderpriority, '-', 2)) AS word,
@@ -316,9 +316,9 @@ add("retrieve_everything", f"""{PARSED},
 ask AS (SELECT 'qry-' || s_suppkey AS query_id, 'node-' || s_suppkey % 3 AS node_id,
  CASE WHEN s_suppkey % 4 > 0 THEN '10.0.0.' || s_suppkey END AS f_ip, CASE WHEN s_suppkey % 2 = 0 THEN 'sshd' END AS f_proc,
  CASE WHEN s_suppkey % 4 = 0 THEN 'ssh_scan' END AS f_type FROM supplier)""",
-    """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY at DESC, id DESC) AS INTEGER) AS rank, id
+    """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sec DESC, id DESC) AS INTEGER) AS rank, id
  FROM ask JOIN ev ON ask.node_id = ev.node_id AND (f_ip IS NULL OR f_ip = src_ip) AND (f_proc IS NULL OR f_proc = process)
- AND (f_type IS NULL OR f_type = log_type) WHERE at >= TIMESTAMP '2024-01-10'""")
+ AND (f_type IS NULL OR f_type = log_type) WHERE sec >= TIMESTAMP '2024-01-10'""")
 REFS = f"""{CASES},
 rf AS (SELECT 'case-' || cno AS case_key, event_id AS ord, CASE WHEN event_id % 73 = 0 THEN 'ev-ghost-' || event_id
  WHEN event_id % 11 = 0 OR event_id % 47 = 0 THEN '' ELSE 'ev-' || event_id END AS evidence_id FROM cr),
@@ -334,7 +334,7 @@ add("lookup_enrich", CASES, f"""SELECT ord, {_KIND} AS event_type, {case_of('rul
 
 # --- detection -------------------------------------------------------------------------------
 SNAP = f"""{MATCH},
-sn AS (SELECT node_id, rule_id, group_key, count(*) AS matched_count FROM mt WHERE at >= {NOW} - to_seconds(win)
+sn AS (SELECT node_id, rule_id, group_key, count(*) AS matched_count FROM mt WHERE sec >= {NOW} - to_seconds(win)
  GROUP BY node_id, rule_id, group_key, need HAVING count(*) >= need)"""
 add("threshold_snapshot", SNAP, "SELECT * FROM sn WHERE group_key <> 'global'")
 add("threshold_global", SNAP, "SELECT * FROM sn WHERE group_key = 'global'")
@@ -344,9 +344,9 @@ add("stream_detect", FIRES, f"SELECT node_id, rule_id, group_key, strftime(t, {S
 add("detect_stats", FIRES, """SELECT h.rule_id, f.n AS signals_fired, h.n - f.n AS signals_suppressed
  FROM (SELECT rule_id, count(*) AS n FROM hit GROUP BY 1) h JOIN (SELECT rule_id, count(*) AS n FROM fire GROUP BY 1) f USING (rule_id)""")
 add("signal_group_stats", MATCH, f"""SELECT node_id, rule_id, group_key, count(*) AS matched_count,
- strftime(min(at), {SECOND}) AS first_time, strftime(max(at), {SECOND}) AS last_time FROM mt GROUP BY ALL""")
+ strftime(min(sec), {SECOND}) AS first_time, strftime(max(sec), {SECOND}) AS last_time FROM mt GROUP BY ALL""")
 add("stream_threshold", MATCH, f"""SELECT node_id, rule_id, group_key,
- strftime(make_timestamp(epoch_us(at) // 259200000000 * 259200000000), {SECOND}) AS window_start, count(*) AS matched_count
+ strftime(make_timestamp(epoch_us(sec) // 259200000000 * 259200000000), {SECOND}) AS window_start, count(*) AS matched_count
  FROM mt GROUP BY node_id, rule_id, group_key, need, window_start HAVING count(*) >= need""")
 
 # --- evidence --------------------------------------------------------------------------------
@@ -599,8 +599,8 @@ add("query_latency", "", """WITH l AS (SELECT 'qry-' || event_id AS query_id, 'n
 SELECT node_id, count(*) AS queries, count(*) FILTER (NOT ok) AS failed, CAST(sum(ms) // count(*) AS BIGINT) AS avg_ms,
  max(ms) AS max_ms, arg_max(query_id, {'t': ts, 'q': query_id}) AS last_query_id FROM l GROUP BY 1""")
 add("recent_cases", "", """SELECT 'case-' || o_orderkey AS case_key, 'node-1' AS node_id, 'scanning' AS event_type,
- CAST(o_orderdate AS VARCHAR) AS at FROM orders WHERE o_custkey % 3 = 1 AND o_orderkey % 3 = 1
- ORDER BY at DESC, case_key DESC LIMIT 10""")
+ CAST(o_orderdate AS VARCHAR) AS "at" FROM orders WHERE o_custkey % 3 = 1 AND o_orderkey % 3 = 1
+ ORDER BY "at" DESC, case_key DESC LIMIT 10""")
 
 # --- message tables and streams --------------------------------------------------------------
 add("dead_letter", BUS, """SELECT seq, stream, CASE WHEN attempts >= 3 THEN attempts ELSE attempts + 1 END AS attempts,

@@ -150,7 +150,7 @@ def _sink_rows(spark, sf):
     """Evidence with the stored time forms and some misfits."""
     return t.case_evidence(spark, sf).withColumns({
         "timestamp": F.expr(
-            "CASE WHEN ord % 5 = 0 THEN CAST(1704067200000 + ord AS STRING) ELSE timestamp END"),
+            "CASE WHEN ord % 5 = 0 THEN CAST(1704067200000 + ord AS STRING) ELSE replace(timestamp, '.250000Z', '.250Z') END"),
         "severity": F.expr("CASE WHEN ord % 83 = 0 THEN 'high' ELSE CAST(severity AS STRING) END"),
         "src_ip": F.expr("CASE WHEN ord % 79 = 0 THEN '10.0.0.999' WHEN ord % 77 = 0 THEN 'fe80::1' ELSE src_ip END"),
     })
