@@ -13,9 +13,16 @@ def non_empty(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
+# fixed values: the characters a Unicode-aware strip removes
+WHITE_SPACE = (
+    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def unicode_trim(col: Column) -> Column:
-    """Strip any Unicode white space on both ends (``trim`` alone strips blanks only)."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    """Strip any Unicode white space on both ends (plain ``trim`` strips blanks only)."""
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def short_hash(*cols: Column) -> Column:
@@ -24,17 +31,6 @@ def short_hash(*cols: Column) -> Column:
     return F.substring(F.sha2(joined, 256), 1, 16)
 
 
-def captures(message: Column, anchor: str, pattern: str, template: str) -> Column:
-    """``template`` filled from the first match of ``pattern``, else NULL.
-
-    ``anchor`` is a plain substring every match contains, so most lines never reach the regex.
-    The template must contain the separator, which no log line does: an unchanged text therefore
-    means "no match".
-    """
-    filled = F.regexp_replace(message, rf"(?dUs)^.*?{pattern}.*$", template)
-    return F.when(message.contains(anchor), F.nullif(filled, message))
-
-
 def lookup(key: Column, table: dict, default=None) -> Column:
     """Constant lookup as a CASE expression (tables here hold at most a few dozen entries)."""
     out = None

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from authloom.functions import fixed
 from authloom.functions.once import computed_once
-from authloom.functions.text import SEP, captures, non_empty, unicode_trim
+from authloom.functions.text import SEP, non_empty, unicode_trim
 from authloom.functions.times import syslog_timestamp
 
 EVENT_COLUMNS = [
@@ -48,64 +48,77 @@ def parse_header(lines: DataFrame) -> DataFrame:
     )
 
 
-def _sshd(message: Column) -> Column:
-    return F.coalesce(
-        captures(message, "Failed password for ", fixed.SSH_FAILED_PASSWORD,
-                 f"ssh_failed_password{SEP}$1{SEP}$2{SEP}$3"),
-        captures(message, "Accepted p", fixed.SSH_ACCEPTED,
-                 f"ssh_accepted{SEP}$1{SEP}$2{SEP}$3"),
-        captures(message, "Did not receive identification string", fixed.SSH_NO_IDENT,
-                 f"ssh_scan{SEP}{SEP}$1{SEP}$2"),
-        captures(message, "Connection closed by ", fixed.SSH_CLOSED,
-                 f"ssh_connection_closed{SEP}$1{SEP}$2{SEP}$3"),
-        F.when(message.contains("authentication failure")
-               | message.contains("Authentication failure"), F.lit("ssh_auth_failure")),
-        captures(message, "Received disconnect from ", fixed.SSH_PREAUTH,
-                 f"ssh_preauth_disconnect{SEP}{SEP}$1{SEP}$2"),
-        F.lit("ssh_other"),
-    )
-
-
-def _sudo(message: Column) -> Column:
-    failure = F.coalesce(
-        captures(message, "user=", fixed.SUDO_USER, f"sudo_auth_failure{SEP}$1"),
-        F.lit("sudo_auth_failure"),
-    )
-    return F.when(message.contains("authentication failure"), failure).otherwise(
-        F.coalesce(
-            captures(message, "TTY=", fixed.SUDO_COMMAND, f"sudo_success{SEP}$2"),
-            F.lit("sudo_other"),
-        )
-    )
+# (log type, plain text every match contains, pattern); within a process the first match wins
+_SSHD = [
+    ("ssh_failed_password", "Failed password for ", fixed.SSH_FAILED_PASSWORD),
+    ("ssh_accepted", "Accepted p", fixed.SSH_ACCEPTED),
+    ("ssh_scan", "Did not receive identification string", fixed.SSH_NO_IDENT),
+    ("ssh_connection_closed", "Connection closed by ", fixed.SSH_CLOSED),
+    ("ssh_auth_failure", "uthentication failure", "[Aa]uthentication failure"),
+    ("ssh_preauth_disconnect", "Received disconnect from ", fixed.SSH_PREAUTH),
+]
+_SUDO = [
+    ("sudo_auth_failure", "authentication failure", None),
+    ("sudo_success", "TTY=", fixed.SUDO_COMMAND),
+]
+_SU = [
+    ("su_failed", "FAILED SU ", fixed.SU_FAILED),
+    ("su_success", "(to ", fixed.SU_SUCCESS),
+]
+_FLAGS = "(?dU)"
 
 
-def _su(message: Column) -> Column:
-    return F.coalesce(
-        captures(message, "FAILED SU ", fixed.SU_FAILED, f"su_failed{SEP}$1"),
-        captures(message, "(to ", fixed.SU_SUCCESS, f"su_success{SEP}$1"),
-        F.lit("su_other"),
-    )
+def _first_match(message: Column, forms: list, other: str) -> Column:
+    """Log type of the first matching form. The plain-text test keeps most regexes from running."""
+    out = F
+    for log_type, anchor, pattern in forms:
+        cond = message.contains(anchor)
+        if pattern:
+            cond = cond & message.rlike(_FLAGS + pattern)
+        out = out.when(cond, F.lit(log_type))
+    return out.otherwise(F.lit(other))
 
 
 def classify(events: DataFrame) -> DataFrame:
-    """Add log_type, dst_user, src_ip and src_port_text; within a process the first match wins."""
-    process, message = F.col("process"), F.col("message")
-    marked = (
-        F.when(process == "sshd", _sshd(message))
-        .when(process == "sudo", _sudo(message))
-        .when(process == "su", _su(message))
-        .otherwise(F.concat(process, F.lit("_other")))
+    """Add log_type, dst_user, src_ip and src_port_text.
+
+    The matched text of an ssh form is a run of blank-separated words, so one extraction gives all
+    its fields by position, counted from the end where an optional part comes first.
+    """
+    process, message, kind = F.col("process"), F.col("message"), F.col("log_type")
+    typed = events.withColumn(
+        "log_type",
+        F.when(process == "sshd", _first_match(message, _SSHD, "ssh_other"))
+        .when(process == "sudo", _first_match(message, _SUDO, "sudo_other"))
+        .when(process == "su", _first_match(message, _SU, "su_other"))
+        .otherwise(F.concat(process, F.lit("_other"))),
     )
-    staged = events.withColumn("_m", F.split(marked, SEP))
+    text = F
+    for log_type, _, pattern in _SSHD:
+        if log_type != "ssh_auth_failure":
+            text = text.when(kind == log_type, F.regexp_extract(message, _FLAGS + pattern, 0))
+    staged = typed.withColumn("_w", F.split(text, " "))
 
-    def part(i: int) -> Column:
-        return non_empty(F.try_element_at("_m", F.lit(i)))
+    def word(i: int) -> Column:
+        return F.try_element_at("_w", F.lit(i))
+
+    def group(pattern: str, i: int) -> Column:
+        return non_empty(F.regexp_extract(message, _FLAGS + pattern, i))
 
     return staged.select(
         "*",
-        part(1).alias("log_type"), part(2).alias("dst_user"),
-        part(3).alias("src_ip"), part(4).alias("src_port_text"),
-    ).drop("_m")
+        F.when(kind.isin("ssh_failed_password", "ssh_accepted"), word(-5))
+        # "Connection closed by authenticating user U IP port P": nine words when a user is named
+        .when((kind == "ssh_connection_closed") & (F.size("_w") == 9), word(-4))
+        .when(kind == "sudo_auth_failure", group(fixed.SUDO_USER, 1))
+        .when(kind == "sudo_success", group(fixed.SUDO_COMMAND, 2))
+        .when(kind == "su_failed", group(fixed.SU_FAILED, 1))
+        .when(kind == "su_success", group(fixed.SU_SUCCESS, 1))
+        .alias("dst_user"),
+        F.when(kind == "ssh_preauth_disconnect", word(4)).otherwise(word(-3)).alias("src_ip"),
+        F.when(kind == "ssh_preauth_disconnect", F.substring_index(word(6), ":", 1))
+        .otherwise(word(-1)).alias("src_port_text"),
+    ).drop("_w")
 
 
 def parse_lines(lines: DataFrame, ref_year: int) -> DataFrame:

@@ -187,7 +187,9 @@ def windowed_thresholds(events: DataFrame, rules: list[dict], width: str, delay:
     return (
         timed.groupBy(span.alias("w"), "node_id", "rule_id", "group_key", "need")
         .agg(F.count("*").alias("matched_count"))
-        .where((F.col("matched_count") >= F.col("need")) & (F.col("rule_id") != "flush"))
+        # Flush rows can never reach their threshold. A filter on the rule name would be moved below
+        # the watermark and take away the very rows that advance it.
+        .where(F.col("matched_count") >= F.col("need"))
         .select("node_id", "rule_id", "group_key", F.col("w.start").alias("window_start"),
                 "matched_count")
     )

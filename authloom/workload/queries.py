@@ -236,7 +236,7 @@ def classify_other(spark, sf):
 
 @query
 def classify_events(spark, sf):
-    return t.auth_events(spark, sf).select(
+    return t.parse_events(spark, sf).select(
         "node_id", "id", second().alias("ts"), "hostname", "process", "pid", "message", "src_ip",
         "src_port", "dst_user", "log_type", "raw_line")
 
@@ -337,7 +337,7 @@ def query_alerts(spark, sf):
 
 
 def _signals(spark, sf):
-    return hunt.signals(t.auth_events(spark, sf), t.rules())
+    return t.signals(spark, sf)
 
 
 @query
@@ -375,7 +375,7 @@ def severity_level(spark, sf):
 
 @query
 def signals_build(spark, sf):
-    return _signals(spark, sf).withColumn("suggested_logs", joined("suggested_logs"))
+    return hunt.signals(t.auth_events(spark, sf), t.rules()).withColumn("suggested_logs", joined("suggested_logs"))
 
 
 @query
@@ -438,9 +438,7 @@ def dangling_refs(spark, sf):
 
 
 def _chain(spark, sf):
-    events = t.auth_events(spark, sf)
-    sig = hunt.signals(events, t.rules())
-    return hunt.evidence_for(sig, events)
+    return t.chain(spark, sf)
 
 
 @query
@@ -554,7 +552,8 @@ def state_cleanup(spark, sf):
 
 @query
 def evidence_auth(spark, sf):
-    return _chain(spark, sf)[2].drop("rank")
+    asked = requests.query_requests(_signals(spark, sf))
+    return evidence.auth_evidence(evidence.retrieve_evidence(asked, t.auth_events(spark, sf))).drop("rank")
 
 
 def _alert_requests(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from copy import deepcopy
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,11 @@ from pyspark.sql import functions as F
 
 from authloom.functions import fixed
 from authloom.operators import parsing
+from authloom.operators.evidence import auth_evidence, retrieve_evidence
+from authloom.operators.requests import query_requests
 from authloom.operators.rules import match_rules
+from authloom.plans import hunt
+from authloom.sources.scratch import shared_dir
 from authloom.workload import texts
 
 REF_YEAR = 2024
@@ -45,7 +50,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def base_events(spark: SparkSession, sf: str) -> DataFrame:
     """Events with the parts a log line is made of."""
-    return table(spark, sf, "events").selectExpr(
+    return spread(table(spark, sf, "events")).selectExpr(
         "event_id", "user_id", "event_type",
         "date_trunc('second', ts) AS at",
         "ts",
@@ -54,14 +59,41 @@ def base_events(spark: SparkSession, sf: str) -> DataFrame:
         "'10.0.' || user_id div 256 || '.' || user_id % 256 AS ip",
         "1024 + event_id % 60000 AS port", "1000 + event_id % 50000 AS pid",
         "'user' || user_id AS usr",
-        "date_format(ts, 'MMM') AS month", "date_format(ts, 'd') AS day1",
-        "date_format(ts, 'dd') AS day2", "date_format(ts, 'HH:mm:ss') AS clock",
-        "date_format(ts, 'yyyyMMdd') AS ymd",
-    )
+        "split(date_format(ts, 'MMM|d|dd|HH:mm:ss|yyyyMMdd'), '[|]') AS w",
+    ).selectExpr(
+        "* EXCEPT (w)", "w[0] AS month", "w[1] AS day1", "w[2] AS day2", "w[3] AS clock", "w[4] AS ymd")
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str,
+           build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A stage table, written on first use in this session and read back as parquet.
+
+    The stages (raw lines, events, signals, evidence) are stored tables in operation too; reading
+    them keeps every query from recomputing what lies before its own stage.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/{name}"
+        build(session(spark), sf).write.parquet(path)
+        _STORED[key] = path
+    return session(spark).read.parquet(_STORED[key])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table of a few small files more than one task; larger tables stay as they are."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if len(df.inputFiles()) < min(wanted, 4) else df
 
 
 def auth_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """node_id, file, line_no, value."""
+    """Stored raw lines: node_id, file, line_no, value."""
+    return stored(spark, sf, "lines", lambda s, d: _auth_lines(s, d))
+
+
+def _auth_lines(spark: SparkSession, sf: str) -> DataFrame:
     return (
         base_events(spark, sf)
         .selectExpr("*", f"{texts.MESSAGE} AS message", f"{texts.PROCESS} AS proc",
@@ -78,7 +110,12 @@ def parsed_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def auth_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Usable events; the line number serves as event id."""
+    """Stored usable events."""
+    return stored(spark, sf, "events", parse_events)
+
+
+def parse_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Usable events straight from the lines; the line number serves as event id."""
     events, _ = parsing.split_rejects(parsed_lines(spark, sf))
     return events.withColumn("id", F.col("line_no")).select(*parsing.EVENT_COLUMNS)
 
@@ -88,7 +125,11 @@ def matches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested alert rows plus node_id."""
+    """Stored nested alert rows plus node_id."""
+    return stored(spark, sf, "alerts", _alerts)
+
+
+def _alerts(spark: SparkSession, sf: str) -> DataFrame:
     lines = auth_lines(spark, sf).select(F.col("line_no").alias("event_id"),
                                          F.trim("value").alias("full_log"))
     return base_events(spark, sf).join(lines, "event_id").selectExpr(
@@ -109,15 +150,33 @@ def alerts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored signals."""
+    return stored(spark, sf, "signals", lambda s, d: hunt.signals(auth_events(s, d), rules()))
+
+
+def chain(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored (signals, requests, evidence)."""
+    sig = signals(spark, sf)
+    asked = stored(spark, sf, "requests", lambda s, d: query_requests(sig))
+    ev = stored(spark, sf, "evidence", lambda s, d: auth_evidence(
+        retrieve_evidence(asked, auth_events(s, d))))
+    return sig, asked, ev
+
+
 def _case_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").selectExpr(
+    return spread(table(spark, sf, "events")).selectExpr(
         "event_id", "user_id", "ts",
         "user_id * 1000 + dayofyear(ts) div (1 + user_id % 7) AS cno",
     )
 
 
 def case_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Common-schema evidence with case_key, ord and deliberate defects."""
+    """Stored common-schema evidence with case_key, ord and deliberate defects."""
+    return stored(spark, sf, "case_evidence", _case_evidence)
+
+
+def _case_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return (
         _case_rows(spark, sf)
         .selectExpr(
