@@ -27,17 +27,21 @@ def _good(name: str) -> Column:
     return ~F.coalesce(_filled(name), F.lit("")).isin("", "unknown")
 
 
-def field_counts(evidence: DataFrame) -> DataFrame:
-    """Per case: rows, missing required values, and well-filled slots (evidence_id counts twice)."""
+def field_aggregates() -> list[Column]:
+    """Rows, missing required values, well-filled slots (evidence_id counts twice), usable ids."""
     missing = sum((_missing(f).cast("int") for f in fixed.REQUIRED_FIELDS), F.lit(0))
     good = sum((_good(f).cast("int") for f in fixed.REQUIRED_FIELDS + fixed.RECOMMENDED_FIELDS),
                F.lit(0))
-    return evidence.groupBy("case_key").agg(
+    return [
         F.count("*").alias("n"),
         F.sum(missing).alias("missing"),
         F.sum(good).alias("good"),
         F.count_if(~_missing("evidence_id")).alias("valid_count"),
-    )
+    ]
+
+
+def field_counts(evidence: DataFrame) -> DataFrame:
+    return evidence.groupBy("case_key").agg(*field_aggregates())
 
 
 def time_order(evidence: DataFrame, run: int = 100_000) -> DataFrame:
@@ -71,11 +75,12 @@ def duplicate_ids(evidence: DataFrame) -> DataFrame:
     return ids.groupBy("case_key").agg((F.max("c") > 1).alias("duplicated"))
 
 
-def measures(evidence: DataFrame, cases: DataFrame | None = None) -> DataFrame:
-    """All raw figures, one row per case."""
-    base = field_counts(evidence)
+def measures(counts: DataFrame, evidence: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """``counts`` (any per-case frame with the field aggregates) completed by time order and
+    duplicates, one row per case."""
+    base = counts
     if cases is not None:
-        base = cases.select("case_key").join(base, "case_key", "left")
+        base = cases.select("case_key").join(counts, "case_key", "left")
     return (
         base.join(time_order(evidence), "case_key", "left")
         .join(duplicate_ids(evidence), "case_key", "left")
@@ -137,30 +142,36 @@ def level_columns(score: Column) -> tuple[Column, Column, Column]:
     return pick(1), pick(2), pick(3)
 
 
-def readiness(evidence: DataFrame, cases: DataFrame | None = None) -> DataFrame:
-    """Score, level, allowed and blocked actions, issues and per-check flags, one row per case."""
+def score(measured: DataFrame) -> DataFrame:
+    """Add score, level, actions, issues and check flags to the raw figures."""
     cov_lost, cov_issue = _coverage()
     int_lost, int_issue = _integrity()
     tmp_lost, few, back, short = _temporal()
     dup = F.col("duplicated")
     dup_issue = F.when(dup, F.lit("evidence_id 存在重复，影响溯源完整性"))
-    scored = measures(evidence, cases).select(
-        "case_key", "n", "valid_count",
-        F.greatest(F.lit(100) - cov_lost - int_lost - tmp_lost
-                   - F.when(dup, F.lit(10)).otherwise(F.lit(0)), F.lit(0)).cast("int").alias("score"),
-        compact(cov_issue, int_issue, few, back, short, dup_issue).alias("issues"),
-        F.struct(
+    scored = measured.withColumns({
+        "score": F.greatest(
+            F.lit(100) - cov_lost - int_lost - tmp_lost - F.when(dup, F.lit(10)).otherwise(F.lit(0)),
+            F.lit(0)).cast("int"),
+        "readiness_issues": compact(cov_issue, int_issue, few, back, short, dup_issue),
+        "readiness_checks": F.struct(
             # an empty case names no coverage issue, so its flag stays "passed"
             _flag((F.col("n") > 0) & (F.col("missing") > 0)).alias("field_coverage"),
             _flag(int_issue.isNotNull()).alias("field_integrity"),
             _flag(F.coalesce(few, back, short).isNotNull()).alias("temporal_consistency"),
             _flag(dup).alias("uniqueness"),
-        ).alias("checks"),
-    )
+        ),
+    })
     level, allowed, blocked = level_columns(F.col("score"))
-    return scored.select(
-        "case_key", "score", level.alias("level"), F.col("n").alias("evidence_count"), "valid_count",
-        "issues", allowed.alias("allowed_actions"), blocked.alias("blocked_actions"), "checks",
+    return scored.withColumns({"level": level, "allowed_actions": allowed, "blocked_actions": blocked})
+
+
+def readiness(evidence: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """Score, level, allowed and blocked actions, issues and per-check flags, one row per case."""
+    return score(measures(field_counts(evidence), evidence, cases)).select(
+        "case_key", "score", "level", F.col("n").alias("evidence_count"), "valid_count",
+        F.col("readiness_issues").alias("issues"), "allowed_actions", "blocked_actions",
+        F.col("readiness_checks").alias("checks"),
     )
 
 

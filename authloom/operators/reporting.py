@@ -56,47 +56,39 @@ def _python_list(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 
-def report_parts(scored: DataFrame, evidence: DataFrame, analysed: DataFrame, verified: DataFrame,
-                 report_time: Column, block: int = 1000, title: str = TITLE) -> DataFrame:
-    """(case_key, part, text) for every case of ``scored``; the last part number is the tail's."""
-    head = scored.select(
-        "case_key", F.lit(0).cast("bigint").alias("part"),
-        F.concat(
-            F.lit(f"\n{title}\n报告时间："), report_time,
-            F.lit("\n\n## 1. 数据就绪度评估\n- 就绪度评分："), _text(F.col("score")),
-            F.lit(" 分\n- 评估等级："), _text(F.col("level")),
-            F.lit("\n- 有效证据数："), _text(F.col("valid_count")),
-            F.lit("\n\n## 2. 安全证据（标准化）\n"),
-        ).alias("text"),
+def report_parts(reviewed: DataFrame, evidence: DataFrame, report_time: Column, block: int = 1000,
+                 title: str = TITLE) -> DataFrame:
+    """(case_key, part, text) for every reviewed case; the last part number is the tail's."""
+    steps = F.coalesce(F.col("actions"), F.array().cast("array<string>"))
+    head = F.concat(
+        F.lit(f"\n{title}\n报告时间："), report_time,
+        F.lit("\n\n## 1. 数据就绪度评估\n- 就绪度评分："), _text(F.col("score")),
+        F.lit(" 分\n- 评估等级："), _text(F.col("level")),
+        F.lit("\n- 有效证据数："), _text(F.col("valid_count")),
+        F.lit("\n\n## 2. 安全证据（标准化）\n"),
+    )
+    tail = F.concat(
+        F.lit("\n## 3. AI 研判结果\n- 研判结论："), _text(F.col("conclusion")),
+        F.lit("\n- 置信度："), _text(F.col("confidence")),
+        F.lit("\n\n## 4. 处置建议\n"),
+        F.array_join(F.transform(steps, lambda a: F.concat(F.lit("- "), a, F.lit("\n"))), ""),
+        F.lit("\n## 5. 复核结果（防AI幻觉）\n- 复核状态：**"),
+        F.when(F.coalesce("verified", F.lit(False)), F.lit("通过")).otherwise(F.lit("未通过")),
+        F.lit("**\n- 发现问题："),
+        _python_list(F.coalesce("issues", F.array().cast("array<string>"))),
+        F.lit("\n- 最终结论："), _text(F.col("final_conclusion")),
+        F.lit("\n- 最终置信度："), _text(F.col("final_confidence")),
+        F.lit(f"\n\n## 6. 总结\n{CLOSING}\n"),
     )
+    last = F.ceil(F.col("evidence_count") / F.lit(block)) + 1
+    frame = reviewed.select("case_key", F.explode(F.array(
+        F.struct(F.lit(0).cast("bigint").alias("part"), head.alias("text")),
+        F.struct(last.alias("part"), tail.alias("text")),
+    )).alias("p")).select("case_key", "p.part", "p.text")
     blocks = numbered_evidence(evidence).withColumn(
         "part", F.floor((F.col("position") - 1) / F.lit(block)) + 1)
     entries = F.array_sort(F.collect_list(F.struct(
         "position", evidence_block(F.col("position")).alias("entry"))))
     body = blocks.groupBy("case_key", "part").agg(
         F.array_join(F.transform(entries, lambda e: e["entry"]), "").alias("text"))
-    steps = F.coalesce(F.col("actions"), F.array().cast("array<string>"))
-    tail = (
-        scored.select("case_key", "evidence_count")
-        .join(analysed.select("case_key", "conclusion", "confidence", "actions"), "case_key", "left")
-        .join(verified.select("case_key", "verified", "issues", "final_conclusion",
-                              "final_confidence"), "case_key", "left")
-        .select(
-            "case_key",
-            (F.ceil(F.col("evidence_count") / F.lit(block)) + 1).alias("part"),
-            F.concat(
-                F.lit("\n## 3. AI 研判结果\n- 研判结论："), _text(F.col("conclusion")),
-                F.lit("\n- 置信度："), _text(F.col("confidence")),
-                F.lit("\n\n## 4. 处置建议\n"),
-                F.array_join(F.transform(steps, lambda a: F.concat(F.lit("- "), a, F.lit("\n"))), ""),
-                F.lit("\n## 5. 复核结果（防AI幻觉）\n- 复核状态：**"),
-                F.when(F.coalesce("verified", F.lit(False)), F.lit("通过")).otherwise(F.lit("未通过")),
-                F.lit("**\n- 发现问题："),
-                _python_list(F.coalesce("issues", F.array().cast("array<string>"))),
-                F.lit("\n- 最终结论："), _text(F.col("final_conclusion")),
-                F.lit("\n- 最终置信度："), _text(F.col("final_confidence")),
-                F.lit(f"\n\n## 6. 总结\n{CLOSING}\n"),
-            ).alias("text"),
-        )
-    )
-    return head.unionByName(body).unionByName(tail)
+    return frame.unionByName(body)

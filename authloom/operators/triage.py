@@ -17,21 +17,23 @@ def rule_histogram(evidence: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("cnt"), F.min("ord").alias("first_ord"))
 
 
-def best_rule(histogram: DataFrame) -> DataFrame:
-    """Per case: total rows and the known rule with highest priority, then count, then earliest.
-
-    The top-1 is a max over an ordered struct, so it combines before the shuffle.
-    """
+def rule_rank() -> Column:
+    """Order of the rules of a histogram: priority, then count, then earliest; NULL if unknown."""
     priority = lookup(F.col("rule_id"), fixed.TRIAGE_PRIORITY)
-    rank = F.when(priority.isNotNull(), F.struct(
+    return F.when(priority.isNotNull(), F.struct(
         lookup(priority, fixed.PRIORITY_RANK).alias("rank"),
         "cnt",
         (-F.col("first_ord")).alias("early"),
         "rule_id",
     ))
+
+
+def best_rule(histogram: DataFrame) -> DataFrame:
+    """Per case: total rows and its top rule, as a max over an ordered struct (which combines
+    before the shuffle)."""
     return (
         histogram.groupBy("case_key")
-        .agg(F.sum("cnt").alias("total"), F.max(rank).alias("top"))
+        .agg(F.sum("cnt").alias("total"), F.max(rule_rank()).alias("top"))
         .select("case_key", "total", F.col("top.rule_id").alias("best_rule"))
     )
 
@@ -40,26 +42,31 @@ def _count_confidence(total: Column) -> Column:
     return F.when(total >= 5, F.lit("high")).when(total >= 3, F.lit("medium")).otherwise(F.lit("low"))
 
 
+def judge(best: DataFrame) -> DataFrame:
+    """Add event type, priority, confidence and summary to rows with total and best_rule."""
+    known = F.col("best_rule").isNotNull()
+    total = F.col("total")
+    n = total.cast("string")
+    typed = best.withColumn("event_type", F.coalesce(
+        lookup(F.col("best_rule"), fixed.TRIAGE_EVENT_TYPE), F.lit("unknown")))
+    return typed.withColumns({
+        "priority": F.when(known, lookup(F.col("best_rule"), fixed.TRIAGE_PRIORITY))
+        .when(total >= 5, F.lit("medium")).otherwise(F.lit("low")),
+        "confidence": F.when(known, _count_confidence(total)).otherwise(F.lit("low")),
+        "summary": F.when(known, F.concat(
+            F.lit("检测到 "), n, F.lit(" 条告警，主要类型: "), F.col("event_type"),
+            F.lit("（规则ID: "), F.col("best_rule"), F.lit("）")))
+        .when(total > 0, F.concat(F.lit("检测到 "), n, F.lit(" 条未分类告警")))
+        .otherwise(F.lit("无证据，无法分诊")),
+    })
+
+
 def triage(evidence: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """Event type, priority, confidence and summary per case."""
     best = best_rule(rule_histogram(evidence))
     if cases is not None:
         best = cases.select("case_key").join(best, "case_key", "left").na.fill(0, ["total"])
-    known = F.col("best_rule").isNotNull()
-    total = F.col("total")
-    event_type = F.coalesce(lookup(F.col("best_rule"), fixed.TRIAGE_EVENT_TYPE), F.lit("unknown"))
-    n = total.cast("string")
-    return best.select(
-        "case_key", "total", "best_rule",
-        event_type.alias("event_type"),
-        F.when(known, lookup(F.col("best_rule"), fixed.TRIAGE_PRIORITY))
-        .when(total >= 5, F.lit("medium")).otherwise(F.lit("low")).alias("priority"),
-        F.when(known, _count_confidence(total)).otherwise(F.lit("low")).alias("confidence"),
-        F.when(known, F.concat(F.lit("检测到 "), n, F.lit(" 条告警，主要类型: "), event_type,
-                               F.lit("（规则ID: "), F.col("best_rule"), F.lit("）")))
-        .when(total > 0, F.concat(F.lit("检测到 "), n, F.lit(" 条未分类告警")))
-        .otherwise(F.lit("无证据，无法分诊")).alias("summary"),
-    )
+    return judge(best)
 
 
 def phase_of(severity: Column, rule_id: Column) -> Column:
@@ -92,12 +99,16 @@ def kill_chain(evidence: DataFrame) -> DataFrame:
     )
 
 
+def progress_text(phases: Column) -> Column:
+    """Progress text from an array of (first_ord, kill_chain_phase) structs."""
+    names = F.transform(F.array_sort(phases), lambda p: p["kill_chain_phase"])
+    return F.concat(F.lit("攻击链进展: "), F.array_join(names, ", "))
+
+
 def chain_progress(chain: DataFrame) -> DataFrame:
     """One progress text per case; a case has at most as many phases as there are bands."""
-    phases = F.transform(F.array_sort(F.collect_list(F.struct("first_ord", "kill_chain_phase"))),
-                         lambda p: p["kill_chain_phase"])
-    return chain.groupBy("case_key").agg(
-        F.concat(F.lit("攻击链进展: "), F.array_join(phases, ", ")).alias("progress"))
+    return chain.groupBy("case_key").agg(progress_text(
+        F.collect_list(F.struct("first_ord", "kill_chain_phase"))).alias("progress"))
 
 
 def actions_for(event_type: Column) -> Column:
@@ -144,24 +155,25 @@ def merge_replies(triaged: DataFrame, replies: DataFrame | None) -> DataFrame:
     ).drop("_v")
 
 
+def conclude(merged: DataFrame) -> DataFrame:
+    """Add the conclusion to rows with summary, progress and reply_progress."""
+    status = F.coalesce("reply_progress", "progress", F.lit("无证据，无法分析攻击链"))
+    return merged.withColumns({
+        "conclusion": F.concat("summary", F.lit("攻击链状态: "), status),
+        "ref_count": F.coalesce("ref_count", F.lit(0)),
+    })
+
+
 def analysis(evidence: DataFrame, cases: DataFrame | None = None,
              replies: DataFrame | None = None) -> DataFrame:
     """One analysis row per case. Cited ids stay in :func:`evidence_refs`, their number is here."""
     judged = merge_replies(triage(evidence, cases), replies)
     progress = chain_progress(kill_chain(evidence))
     refs = evidence_refs(evidence).groupBy("case_key").agg(F.count("*").alias("ref_count"))
-    status = F.coalesce(
-        "reply_progress", "progress", F.lit("无证据，无法分析攻击链"))
-    return (
-        judged.join(progress, "case_key", "left")
-        .join(refs, "case_key", "left")
-        .select(
-            "case_key", "event_type", "priority", "confidence", "summary",
-            F.concat("summary", F.lit("攻击链状态: "), status).alias("conclusion"),
-            "actions",
-            F.coalesce("ref_count", F.lit(0)).alias("ref_count"),
-        )
-    )
+    return conclude(
+        judged.join(progress, "case_key", "left").join(refs, "case_key", "left")
+    ).select("case_key", "event_type", "priority", "confidence", "summary", "conclusion", "actions",
+             "ref_count")
 
 
 FAILED_ANALYSIS = {

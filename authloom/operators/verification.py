@@ -19,14 +19,15 @@ def _blank(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) == ""
 
 
-def _listing(df: DataFrame, value: str, order: str) -> DataFrame:
-    """case_key -> count and python-style list text of the first LISTED values."""
+def _listing(df: DataFrame, value: str, order: str, at_least: int = 1) -> DataFrame:
+    """case_key -> python-style list text of the first LISTED values, for enough values."""
     w = Window.partitionBy("case_key").orderBy(order, value)
     head = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= LISTED)
     items = F.array_sort(F.collect_list(F.struct("_rn", value)))
-    return head.groupBy("case_key").agg(F.concat(
-        F.lit("'"), F.array_join(F.transform(items, lambda x: x[value]), "', '"), F.lit("'"),
-    ).alias("listed"))
+    return head.groupBy("case_key").agg(items.alias("_i")).where(F.size("_i") >= at_least).select(
+        "case_key", F.concat(
+            F.lit("'"), F.array_join(F.transform("_i", lambda x: x[value]), "', '"), F.lit("'"),
+        ).alias("listed"))
 
 
 def dangling_refs(refs: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -44,25 +45,29 @@ def check_refs(refs: DataFrame, evidence: DataFrame) -> DataFrame:
         F.concat(F.lit("研判引用了不存在的 evidence_id: ["), "listed", F.lit("]")).alias("ref_issue"))
 
 
+def _named() -> Column:
+    return F.concat(F.lit("证据 "), F.coalesce("evidence_id", F.lit("None")))
+
+
+def raw_ref_aggregate() -> Column:
+    """min of (ord, issue) over rows whose raw reference is missing or untraceable."""
+    issue = F.when(_blank("raw_ref"), F.concat(_named(), F.lit(" 缺少 raw_ref"))).when(
+        ~F.col("raw_ref").contains("#") & ~F.col("raw_ref").contains("/"),
+        F.concat(_named(), F.lit(" 的 raw_ref 格式无效: "), F.col("raw_ref")))
+    return F.min(F.when(issue.isNotNull(), F.struct("ord", issue.alias("issue"))))
+
+
 def check_raw_ref(evidence: DataFrame) -> DataFrame:
     """Issue of the first row per case whose raw reference is missing or untraceable."""
-    missing = _blank("raw_ref")
-    shapeless = ~F.col("raw_ref").contains("#") & ~F.col("raw_ref").contains("/")
-    issue = F.when(missing, F.concat(F.lit("证据 "), F.coalesce("evidence_id", F.lit("None")),
-                                     F.lit(" 缺少 raw_ref"))).when(
-        shapeless, F.concat(F.lit("证据 "), F.coalesce("evidence_id", F.lit("None")),
-                            F.lit(" 的 raw_ref 格式无效: "), F.col("raw_ref")))
-    return evidence.where(missing | shapeless).groupBy("case_key").agg(
-        F.min_by(issue, "ord").alias("raw_issue"))
+    return evidence.groupBy("case_key").agg(raw_ref_aggregate().alias("_b")).where(
+        "_b IS NOT NULL").select("case_key", F.col("_b.issue").alias("raw_issue"))
 
 
 def check_query_id(evidence: DataFrame) -> DataFrame:
     """Issue per case whose evidence stems from more than one query."""
     ids = evidence.where(~_blank("query_id")).select("case_key", "query_id").distinct()
-    many = ids.groupBy("case_key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    listed = _listing(ids.join(many, "case_key", "left_semi"), "query_id", "query_id")
-    return listed.select("case_key", F.concat(F.lit("证据来自多个查询: {"), "listed", F.lit("}"))
-                         .alias("query_issue"))
+    return _listing(ids, "query_id", "query_id", at_least=2).select(
+        "case_key", F.concat(F.lit("证据来自多个查询: {"), "listed", F.lit("}")).alias("query_issue"))
 
 
 def _lineage_status() -> Column:
@@ -70,27 +75,26 @@ def _lineage_status() -> Column:
         ~F.col("lineage_id").contains(":"), F.lit("invalid_format")).otherwise(F.lit("valid"))
 
 
+def lineage_aggregate() -> Column:
+    """min of (ord, issue) over rows without a well-formed lineage id."""
+    status = _lineage_status()
+    issue = F.when(status == "missing", F.concat(_named(), F.lit(" 缺少 lineage_id"))).otherwise(
+        F.concat(_named(), F.lit(" 的 lineage_id 格式无效: "), F.col("lineage_id")))
+    return F.min(F.when(status != "valid", F.struct("ord", issue.alias("issue"))))
+
+
 def _first_bad(evidence: DataFrame) -> DataFrame:
-    return evidence.withColumn("_s", _lineage_status()).where(F.col("_s") != "valid").groupBy(
-        "case_key").agg(
-        F.min("ord").alias("bad_ord"),
-        F.min_by(F.struct(F.coalesce("evidence_id", F.lit("None")).alias("id"), "lineage_id",
-                          F.col("_s").alias("status")), "ord").alias("bad"))
+    return evidence.groupBy("case_key").agg(lineage_aggregate().alias("bad")).where("bad IS NOT NULL")
 
 
 def check_lineage(evidence: DataFrame) -> DataFrame:
     """Issue of the first row per case without a well-formed lineage id."""
-    return _first_bad(evidence).select(
-        "case_key",
-        F.when(F.col("bad.status") == "missing",
-               F.concat(F.lit("证据 "), F.col("bad.id"), F.lit(" 缺少 lineage_id")))
-        .otherwise(F.concat(F.lit("证据 "), F.col("bad.id"), F.lit(" 的 lineage_id 格式无效: "),
-                            F.col("bad.lineage_id"))).alias("lineage_issue"))
+    return _first_bad(evidence).select("case_key", F.col("bad.issue").alias("lineage_issue"))
 
 
 def lineage_status(evidence: DataFrame) -> DataFrame:
     """Status per evidence id, up to and including the first bad row (checking stops there)."""
-    stop = _first_bad(evidence).select("case_key", "bad_ord")
+    stop = _first_bad(evidence).select("case_key", F.col("bad.ord").alias("bad_ord"))
     seen = evidence.join(stop, "case_key", "left").where(
         F.col("bad_ord").isNull() | (F.col("ord") <= F.col("bad_ord")))
     return seen.groupBy("case_key", F.coalesce("evidence_id", F.lit("None")).alias("evidence_id")).agg(
@@ -114,48 +118,49 @@ def conclusion_issues(conclusion: Column, evidence_count: Column, score: Column)
     return compact(*wording, thin, gated)
 
 
+def verdict(rows: DataFrame) -> DataFrame:
+    """Add issues, check flags, overall verdict, final confidence and final conclusion.
+
+    ``rows`` carries conclusion, evidence_count, score and the four issue texts (NULL = passed).
+    """
+    found = ["ref_issue", "raw_issue", "query_issue", "lineage_issue"]
+
+    def flag(failed: Column) -> Column:
+        return F.when(failed, F.lit("failed")).otherwise(F.lit("passed"))
+
+    staged = rows.withColumn(
+        "_c", conclusion_issues(F.col("conclusion"), F.col("evidence_count"), F.col("score")),
+    ).withColumn("issues", F.concat(compact(*[F.col(c) for c in found]), F.col("_c")))
+    ok = F.size("issues") == 0
+    names = ["evidence_ref", "raw_ref", "query_id", "lineage_id"]
+    return staged.withColumns({
+        "verified": ok,
+        "checks": F.struct(
+            *[flag(F.col(c).isNotNull()).alias(n) for c, n in zip(found, names)],
+            flag(F.size("_c") > 0).alias("conclusion"),
+        ),
+        "final_confidence": F.when(ok & (F.col("evidence_count") >= 5), F.lit("高"))
+        .when(ok, F.lit("中")).otherwise(F.lit("低")),
+        "final_conclusion": F.when(ok, F.coalesce("conclusion", F.lit("")))
+        .otherwise(F.lit(fixed.UNVERIFIED_CONCLUSION)),
+    }).drop("_c")
+
+
 def verify(analysed: DataFrame, scored: DataFrame, evidence: DataFrame,
            refs: DataFrame) -> DataFrame:
-    """All five checks, overall verdict, final confidence and conclusion, one row per case.
+    """All five checks and the overall verdict from separately stored results.
 
     ``refs`` lists every evidence id the analysis cites (its references and its timeline).
     """
     joined = (
         analysed.select("case_key", "conclusion")
         .join(scored.select("case_key", "score", "evidence_count"), "case_key", "left")
+        .na.fill(0, ["score", "evidence_count"])
         .join(check_refs(refs, evidence), "case_key", "left")
         .join(check_raw_ref(evidence), "case_key", "left")
         .join(check_query_id(evidence), "case_key", "left")
         .join(check_lineage(evidence), "case_key", "left")
     )
-    n = F.coalesce("evidence_count", F.lit(0))
-    score = F.coalesce("score", F.lit(0))
-
-    def flag(failed: Column) -> Column:
-        return F.when(failed, F.lit("failed")).otherwise(F.lit("passed"))
-
-    staged = joined.select(
-        "case_key", "conclusion", n.alias("evidence_count"), score.alias("readiness_score"),
-        "ref_issue", "raw_issue", "query_issue", "lineage_issue",
-        conclusion_issues(F.col("conclusion"), n, score).alias("_c"),
-    ).withColumn("issues", F.concat(
-        compact(F.col("ref_issue"), F.col("raw_issue"), F.col("query_issue"), F.col("lineage_issue")),
-        F.col("_c")))
-    ok = F.size("issues") == 0
-    return staged.select(
-        "case_key",
-        ok.alias("verified"),
-        "issues",
-        F.struct(
-            flag(F.col("ref_issue").isNotNull()).alias("evidence_ref"),
-            flag(F.col("raw_issue").isNotNull()).alias("raw_ref"),
-            flag(F.col("query_issue").isNotNull()).alias("query_id"),
-            flag(F.col("lineage_issue").isNotNull()).alias("lineage_id"),
-            flag(F.size("_c") > 0).alias("conclusion"),
-        ).alias("checks"),
-        "evidence_count", "readiness_score",
-        F.when(ok & (F.col("evidence_count") >= 5), F.lit("高")).when(ok, F.lit("中"))
-        .otherwise(F.lit("低")).alias("final_confidence"),
-        F.when(ok, F.coalesce("conclusion", F.lit("")))
-        .otherwise(F.lit(fixed.UNVERIFIED_CONCLUSION)).alias("final_conclusion"),
-    )
+    return verdict(joined).select(
+        "case_key", "verified", "issues", "checks", "evidence_count",
+        F.col("score").alias("readiness_score"), "final_confidence", "final_conclusion")

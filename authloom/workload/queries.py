@@ -764,9 +764,8 @@ def verify_lineage_issue(spark, sf):
 
 @query
 def verify_conclusion(spark, sf):
-    analysed = triage.analysis(t.case_evidence(spark, sf), t.cases(spark, sf), t.replies(spark, sf))
-    scored = _ready(spark, sf)
-    return analysed.join(scored, "case_key").select("case_key", joined(verification.conclusion_issues(
+    reviewed = _review(spark, sf)
+    return reviewed.select("case_key", joined(verification.conclusion_issues(
         F.col("conclusion"), F.col("evidence_count"), F.col("score"))).alias("issues"))
 
 
@@ -777,8 +776,10 @@ def _review(spark, sf):
 
 @query
 def verify_overall(spark, sf):
-    r = _review(spark, sf)
-    return r.verified.select(
+    ev, known = t.case_evidence(spark, sf), t.cases(spark, sf)
+    analysed = triage.analysis(ev, known, t.replies(spark, sf))
+    verified = verification.verify(analysed, _ready(spark, sf), ev, t.cited_refs(spark, sf))
+    return verified.select(
         "case_key", "verified", joined("issues").alias("issues"),
         F.concat_ws(",", "checks.evidence_ref", "checks.raw_ref", "checks.query_id", "checks.lineage_id",
                     "checks.conclusion").alias("checks"),
@@ -787,8 +788,7 @@ def verify_overall(spark, sf):
 
 @query
 def case_report(spark, sf):
-    r = _review(spark, sf)
-    return reporting.report_parts(r.scored, t.case_evidence(spark, sf), r.analysed, r.verified,
+    return reporting.report_parts(_review(spark, sf), t.case_evidence(spark, sf),
                                   F.lit("20240201_000000"), block=1000)
 
 
@@ -801,7 +801,7 @@ def case_report_sections(spark, sf):
 
 @query
 def case_review(spark, sf):
-    return case_plan.case_rows(_review(spark, sf)).withColumns({
+    return _review(spark, sf).drop("readiness_checks", "allowed_actions", "checks").withColumns({
         "actions": joined("actions"), "issues": joined("issues"),
         "readiness_issues": joined("readiness_issues")})
 
@@ -812,8 +812,7 @@ def signal_case_review(spark, sf):
     sig, asked, ev = _chain(spark, sf)
     out = shared_dir(spark)
     ev = materialize(hunt.case_rows_of(ev, _now_text()), f"{out}/evidence")
-    r = case_plan.review(ev, ev.select("case_key").distinct())
-    return case_plan.case_rows(r).select(
+    return case_plan.review(ev, ev.select("case_key").distinct()).select(
         "case_key", "score", "event_type", "priority", "verified", "final_confidence", "evidence_count")
 
 
