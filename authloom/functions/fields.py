@@ -45,8 +45,14 @@ def reply_body(text: Column) -> Column:
     )
 
 
-def parse_reply(text: Column, schema: str = schemas.REPLY) -> Column:
-    """Struct parsed from a reply, NULL when the body is not a JSON object."""
-    body = reply_body(text)
-    is_object = F.try_parse_json(body).isNotNull() & body.startswith("{")
+def parse_body(body: Column, schema: str = schemas.REPLY) -> Column:
+    """Struct of a reply body, NULL when it is not a JSON object."""
+    is_object = body.startswith("{") & F.try_parse_json(body).isNotNull()
     return F.when(is_object, F.from_json(body, schema))
+
+
+def parse_replies(replies: DataFrame, column: str = "reply", schema: str = schemas.REPLY) -> DataFrame:
+    """``column`` replaced by the struct ``verdict``; the body is cut out once, then parsed."""
+    keys = [c for c in replies.columns if c != column]
+    return replies.select(*keys, reply_body(F.col(column)).alias("_body")).select(
+        *keys, parse_body(F.col("_body"), schema).alias("verdict"))

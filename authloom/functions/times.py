@@ -52,5 +52,6 @@ def parse_any_ts(col: Column) -> Column:
     shaped = F.when(col.rlike(r"^\d{4}-\d{2}-\d{2}"), col)
     return F.coalesce(
         shaped.try_cast("timestamp"),
-        F.try_to_timestamp(col, F.lit("yyyy/MM/dd HH:mm:ss")),
+        # only texts of this shape reach the parser: a failing parse costs an exception
+        F.when(col.rlike(r"^\d{4}/"), F.try_to_timestamp(col, F.lit("yyyy/MM/dd HH:mm:ss"))),
     )

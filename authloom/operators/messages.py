@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from authloom.functions import fixed
+from authloom.functions.once import computed_once
 
 
 def to_message(df: DataFrame) -> DataFrame:
@@ -19,7 +20,8 @@ def decode(messages: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     A payload counts as broken when it is no JSON object; extra or missing fields do not matter.
     """
     ok = F.try_parse_json("payload").isNotNull() & F.ltrim("payload").startswith("{")
-    tried = messages.withColumn("body", F.when(ok, F.from_json("payload", schema)))
+    tried = computed_once(
+        messages.withColumn("body", F.when(ok, F.from_json("payload", schema))), messages.columns)
     good = tried.where(F.col("body").isNotNull()).select(
         *[c for c in messages.columns if c != "payload"], "body.*")
     return good, tried.where(F.col("body").isNull()).drop("body")

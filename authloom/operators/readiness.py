@@ -53,10 +53,13 @@ def time_order(evidence: DataFrame, run: int = 100_000) -> DataFrame:
     timed = evidence.select(
         "case_key", "ord", micros(parse_any_ts(non_empty(F.col("timestamp")))).alias("us"),
         F.floor(F.col("ord") / F.lit(run)).alias("_run"),
-    ).where(F.col("us").isNotNull())
-    before = F.lag("us").over(Window.partitionBy("case_key", "_run").orderBy("ord"))
+    )
+    # unreadable times are skipped by the aggregates, a filter would parse every time twice
+    before = F.last("us", ignorenulls=True).over(
+        Window.partitionBy("case_key", "_run").orderBy("ord").rowsBetween(
+            Window.unboundedPreceding, -1))
     runs = timed.withColumn("_back", F.col("us") < before).groupBy("case_key", "_run").agg(
-        F.count("*").alias("n_ts"), F.min("us").alias("lo"), F.max("us").alias("hi"),
+        F.count("us").alias("n_ts"), F.min("us").alias("lo"), F.max("us").alias("hi"),
         F.coalesce(F.bool_or("_back"), F.lit(False)).alias("back"),
     )
     seen = F.max("hi").over(

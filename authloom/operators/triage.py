@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from authloom.functions import fixed
-from authloom.functions.fields import parse_reply
+from authloom.functions.fields import parse_replies
 from authloom.functions.text import lookup, non_empty
 
 
@@ -135,7 +135,7 @@ def merge_replies(triaged: DataFrame, replies: DataFrame | None) -> DataFrame:
         })
     v = F.col("_v")
     has = v.isNotNull() & (F.col("total") > 0)
-    parsed = replies.select("case_key", parse_reply(F.col("reply")).alias("_v"))
+    parsed = parse_replies(replies.select("case_key", "reply")).withColumnRenamed("verdict", "_v")
     none = F.array().cast("array<string>")
 
     def choose(name: str, default: str) -> Column:

@@ -49,18 +49,40 @@ def _named() -> Column:
     return F.concat(F.lit("证据 "), F.coalesce("evidence_id", F.lit("None")))
 
 
-def raw_ref_aggregate() -> Column:
-    """min of (ord, issue) over rows whose raw reference is missing or untraceable."""
-    issue = F.when(_blank("raw_ref"), F.concat(_named(), F.lit(" 缺少 raw_ref"))).when(
+def _raw_issue() -> Column:
+    return F.when(_blank("raw_ref"), F.concat(_named(), F.lit(" 缺少 raw_ref"))).when(
         ~F.col("raw_ref").contains("#") & ~F.col("raw_ref").contains("/"),
         F.concat(_named(), F.lit(" 的 raw_ref 格式无效: "), F.col("raw_ref")))
-    return F.min(F.when(issue.isNotNull(), F.struct("ord", issue.alias("issue"))))
+
+
+def _lineage_issue() -> Column:
+    return F.when(_blank("lineage_id"), F.concat(_named(), F.lit(" 缺少 lineage_id"))).when(
+        ~F.col("lineage_id").contains(":"),
+        F.concat(_named(), F.lit(" 的 lineage_id 格式无效: "), F.col("lineage_id")))
+
+
+def trace_issues(evidence: DataFrame) -> DataFrame:
+    """Per case with a defect: the issue of the first row whose raw reference is missing or
+    untraceable, and of the first row without a well-formed lineage id.
+
+    Only defective rows are aggregated, and both checks share one scan.
+    """
+    bad = evidence.select("case_key", "ord", _raw_issue().alias("raw_issue"),
+                          _lineage_issue().alias("lineage_issue")).where(
+        "raw_issue IS NOT NULL OR lineage_issue IS NOT NULL")
+
+    def first(name: str) -> Column:
+        return F.min(F.when(F.col(name).isNotNull(), F.struct("ord", name)))[name].alias(name)
+
+    return bad.groupBy("case_key").agg(first("raw_issue"), first("lineage_issue"))
 
 
 def check_raw_ref(evidence: DataFrame) -> DataFrame:
-    """Issue of the first row per case whose raw reference is missing or untraceable."""
-    return evidence.groupBy("case_key").agg(raw_ref_aggregate().alias("_b")).where(
-        "_b IS NOT NULL").select("case_key", F.col("_b.issue").alias("raw_issue"))
+    return trace_issues(evidence).where("raw_issue IS NOT NULL").select("case_key", "raw_issue")
+
+
+def check_lineage(evidence: DataFrame) -> DataFrame:
+    return trace_issues(evidence).where("lineage_issue IS NOT NULL").select("case_key", "lineage_issue")
 
 
 def check_query_id(evidence: DataFrame) -> DataFrame:
@@ -75,26 +97,10 @@ def _lineage_status() -> Column:
         ~F.col("lineage_id").contains(":"), F.lit("invalid_format")).otherwise(F.lit("valid"))
 
 
-def lineage_aggregate() -> Column:
-    """min of (ord, issue) over rows without a well-formed lineage id."""
-    status = _lineage_status()
-    issue = F.when(status == "missing", F.concat(_named(), F.lit(" 缺少 lineage_id"))).otherwise(
-        F.concat(_named(), F.lit(" 的 lineage_id 格式无效: "), F.col("lineage_id")))
-    return F.min(F.when(status != "valid", F.struct("ord", issue.alias("issue"))))
-
-
-def _first_bad(evidence: DataFrame) -> DataFrame:
-    return evidence.groupBy("case_key").agg(lineage_aggregate().alias("bad")).where("bad IS NOT NULL")
-
-
-def check_lineage(evidence: DataFrame) -> DataFrame:
-    """Issue of the first row per case without a well-formed lineage id."""
-    return _first_bad(evidence).select("case_key", F.col("bad.issue").alias("lineage_issue"))
-
-
 def lineage_status(evidence: DataFrame) -> DataFrame:
     """Status per evidence id, up to and including the first bad row (checking stops there)."""
-    stop = _first_bad(evidence).select("case_key", F.col("bad.ord").alias("bad_ord"))
+    stop = evidence.where(_lineage_status() != "valid").groupBy("case_key").agg(
+        F.min("ord").alias("bad_ord"))
     seen = evidence.join(stop, "case_key", "left").where(
         F.col("bad_ord").isNull() | (F.col("ord") <= F.col("bad_ord")))
     return seen.groupBy("case_key", F.coalesce("evidence_id", F.lit("None")).alias("evidence_id")).agg(
@@ -157,9 +163,8 @@ def verify(analysed: DataFrame, scored: DataFrame, evidence: DataFrame,
         .join(scored.select("case_key", "score", "evidence_count"), "case_key", "left")
         .na.fill(0, ["score", "evidence_count"])
         .join(check_refs(refs, evidence), "case_key", "left")
-        .join(check_raw_ref(evidence), "case_key", "left")
+        .join(trace_issues(evidence), "case_key", "left")
         .join(check_query_id(evidence), "case_key", "left")
-        .join(check_lineage(evidence), "case_key", "left")
     )
     return verdict(joined).select(
         "case_key", "verified", "issues", "checks", "evidence_count",

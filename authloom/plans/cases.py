@@ -13,22 +13,21 @@ _PHASES = list(dict.fromkeys(phase for _, phase in fixed.PHASE_BANDS))
 
 
 def profile(evidence: DataFrame) -> DataFrame:
-    """Everything about a case that merges: field counts, first issues, phases and top rule.
+    """Everything about a case that merges: field counts, phases and top rule.
 
     Two aggregation levels, first per case and rule, then per case, give all of it from one scan
-    and combine on the map side, however large a single case is.
+    and combine on the map side, however large a single case is. The first level keeps numbers
+    only, so it stays a hash aggregate.
     """
     severity = F.coalesce(F.col("severity").try_cast("int"), F.lit(0))
     staged = evidence.withColumn("_phase", triage.phase_of(severity, F.col("rule_id")))
     sums = ["n", "missing", "good", "valid_count"]
-    mins = ["raw", "lineage"] + [f"phase_{i}" for i in range(len(_PHASES))]
+    mins = [f"phase_{i}" for i in range(len(_PHASES))]
     by_rule = staged.groupBy(
         "case_key", F.coalesce(non_empty(F.col("rule_id")), F.lit("unknown")).alias("rule"),
     ).agg(
         *readiness.field_aggregates(),
         F.min("ord").alias("first_ord"),
-        verification.raw_ref_aggregate().alias("raw"),
-        verification.lineage_aggregate().alias("lineage"),
         *[F.min(F.when(F.col("_phase") == p, F.col("ord"))).alias(f"phase_{i}")
           for i, p in enumerate(_PHASES)],
     ).withColumnsRenamed({"rule": "rule_id"}).withColumn("cnt", F.col("n"))
@@ -47,8 +46,6 @@ def profile(evidence: DataFrame) -> DataFrame:
         F.col("n").alias("total"),
         F.col("valid_count").alias("ref_count"),
         F.col("top.rule_id").alias("best_rule"),
-        F.col("raw.issue").alias("raw_issue"),
-        F.col("lineage.issue").alias("lineage_issue"),
         triage.progress_text(found).alias("progress"),
     )
 
@@ -69,7 +66,8 @@ def review(evidence: DataFrame, cases: DataFrame, replies: DataFrame | None = No
         rows = rows.withColumn("ref_issue", F.lit(None).cast("string"))
     else:
         rows = rows.join(verification.check_refs(refs, evidence), "case_key", "left")
-    rows = rows.join(verification.check_query_id(evidence), "case_key", "left")
+    rows = rows.join(verification.trace_issues(evidence), "case_key", "left").join(
+        verification.check_query_id(evidence), "case_key", "left")
     return verification.verdict(rows).select(
         "case_key", "evidence_count", "valid_count", "score", "level", "readiness_issues",
         "readiness_checks", "allowed_actions", "event_type", "priority", "confidence", "summary",

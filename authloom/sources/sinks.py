@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+from authloom.functions.once import computed_once
+
 # --- fixed values: stored time formats and the address shape ---------------------------------
-TIME_FORMATS = ["yyyy-MM-dd'T'HH:mm:ssZ", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSSZ"]
+TIME_FORMATS = {
+    r"^[^.]{19}[+-]\d{4}$": "yyyy-MM-dd'T'HH:mm:ssZ",
+    r"^[^.]{19}$": "yyyy-MM-dd'T'HH:mm:ss",
+    r"^.{19}\.\d{3}[+-]\d{4}$": "yyyy-MM-dd'T'HH:mm:ss.SSSZ",
+}
 IPV4 = r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$"
 IPV6 = r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*$"
 
@@ -20,8 +26,11 @@ def stored_time(col: Column) -> Column:
     A trailing Z counts as the offset +0000.
     """
     text = F.regexp_replace(col, "Z$", "+0000")
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS]
-    return F.coalesce(*tries, F.timestamp_millis(F.when(col.rlike(r"^-?\d+$"), col).try_cast("bigint")))
+    out = F.when(col.rlike(r"^-?\d+$"), F.timestamp_millis(col.try_cast("bigint")))
+    for shape, fmt in TIME_FORMATS.items():
+        # only texts of the right shape reach a parser: a failing parse costs an exception
+        out = out.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)))
+    return out
 
 
 def conform_evidence(evidence: DataFrame) -> DataFrame:
@@ -31,12 +40,13 @@ def conform_evidence(evidence: DataFrame) -> DataFrame:
         "event_time": stored_time(F.col("timestamp")),
         "severity_value": F.col("severity").try_cast("int"),
     })
-    return typed.withColumn(
+    judged = typed.withColumn(
         "problem",
         F.when(F.col("timestamp").isNotNull() & F.col("event_time").isNull(), F.lit("timestamp"))
         .when(F.col("severity").isNotNull() & F.col("severity_value").isNull(), F.lit("severity"))
         .when(ip.isNotNull() & ~(ip.rlike(IPV4) | ip.rlike(IPV6)), F.lit("src_ip")),
     )
+    return computed_once(judged, evidence.columns)
 
 
 def split_valid(conformed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -314,10 +314,9 @@ def decode_messages(spark, sf):
 
 @query
 def verdict_json(spark, sf):
-    v = fields.parse_reply(F.col("reply"))
-    return t.replies(spark, sf).select("case_key", v.alias("v")).select(
-        "case_key", F.col("v").isNotNull().alias("readable"), "v.priority", "v.event_type", "v.summary",
-        joined("v.suggested_actions").alias("actions"))
+    return fields.parse_replies(t.replies(spark, sf)).select(
+        "case_key", F.col("verdict").isNotNull().alias("readable"), "verdict.priority",
+        "verdict.event_type", "verdict.summary", joined("verdict.suggested_actions").alias("actions"))
 
 
 # --- filters and projections -----------------------------------------------------------------
