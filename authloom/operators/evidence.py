@@ -15,10 +15,10 @@ _OPTIONAL = ["src_ip", "process", "log_type"]
 
 
 def _top(df: DataFrame, keys: list[str], n: int, order: list[Column]) -> DataFrame:
-    """First n rows per key. With a constant n Spark also limits on the map side, so a hot key
-    sends at most n rows per task through the shuffle."""
+    """First n rows per key with their ``rank``. With a constant n Spark also limits on the map
+    side, so a hot key sends at most n rows per task through the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def newest_per_shape(events: DataFrame, n: int) -> DataFrame:
@@ -26,10 +26,11 @@ def newest_per_shape(events: DataFrame, n: int) -> DataFrame:
 
     First the newest n per full combination, which any coarser combination can only draw from;
     then every surviving row stands in for its eight shapes and each shape keeps its newest n.
-    A lower time bound can be applied afterwards, because it only cuts the old end.
+    A lower time bound can be applied afterwards: it only cuts the old end, so even the ``rank``
+    inside a shape is the rank inside any request for that shape.
     """
     newest = [F.desc("timestamp"), F.desc("id")]
-    fine = _top(events, ["node_id", *_OPTIONAL], n, newest)
+    fine = _top(events, ["node_id", *_OPTIONAL], n, newest).drop("rank")
     shapes = F.array(*[
         F.struct(*[
             (F.col(c) if mask >> i & 1 else F.lit(None).cast("string")).alias(f"f_{c}")
@@ -59,23 +60,22 @@ def retrieve_evidence(requests: DataFrame, events: DataFrame, nodes: DataFrame |
         "query_id", "node_id", F.col("limit").alias("_limit"), F.col("filters.since").alias("_since"),
         *[F.col(f"filters.{c}").alias(f"r_{c}") for c in _OPTIONAL],
     )
-    mine = Window.partitionBy("query_id", "node_id").orderBy(F.desc("timestamp"), F.desc("id"))
-    unlimited = F.col("_limit").isNull() | (F.col("_limit") <= 0)
     if limit is None:
+        mine = Window.partitionBy("query_id", "node_id").orderBy(F.desc("timestamp"), F.desc("id"))
+        unlimited = F.col("_limit").isNull() | (F.col("_limit") <= 0)
         ranked = _pairs_by_shape(wanted, events).withColumn("rank", F.row_number().over(mine)).where(
             unlimited | (F.col("rank") <= F.col("_limit")))
     else:
-        ranked_events = newest_per_shape(events, limit)
+        lookup = newest_per_shape(events, limit)
         checked = wanted.withColumn("_limit", F.when(
             F.col("_limit").between(1, limit), F.col("_limit")).otherwise(
             F.raise_error(F.lit("request limit outside 1..limit")).cast("int")))
-        cond = wanted["node_id"] == ranked_events["node_id"]
+        cond = wanted["node_id"] == lookup["node_id"]
         for c in _OPTIONAL:
             cond = cond & F.col(f"r_{c}").eqNullSafe(F.col(f"f_{c}"))
-        pairs = checked.join(ranked_events, cond).drop(wanted["node_id"])
-        kept = pairs.where(F.col("_since").isNull() | (F.col("timestamp") >= F.col("_since")))
-        ranked = kept.withColumn("rank", F.row_number().over(mine)).where(
-            F.col("rank") <= F.col("_limit"))
+        ranked = checked.join(lookup, cond).drop(wanted["node_id"]).where(
+            (F.col("rank") <= F.col("_limit"))
+            & (F.col("_since").isNull() | (F.col("timestamp") >= F.col("_since"))))
     return ranked.select("query_id", "rank", *events.columns)
 
 
@@ -136,7 +136,7 @@ def retrieve_alerts(requests: DataFrame, alerts: DataFrame,
         "query_id", "node_id", F.col("filters.rule_id").alias("_rule"))
     top = _top(alerts.withColumn("_rule", F.col("rule.id")), ["node_id", "_rule"], limit,
                [F.asc("timestamp"), F.asc("id")])
-    return wanted.join(top, ["node_id", "_rule"]).drop("_rule")
+    return wanted.join(top, ["node_id", "_rule"]).drop("_rule", "rank")
 
 
 def _alert_hash() -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from authloom.functions import fixed
 from authloom.functions.once import computed_once
+from authloom.functions.sizes import small_side
 from authloom.functions.text import SEP, non_empty, unicode_trim
 from authloom.functions.times import syslog_timestamp
 
@@ -200,4 +201,4 @@ def retain_by_registry(events: DataFrame, registry: DataFrame, now: Column,
         F.max("retention_days").alias("retention_days"))
     keep = F.col("retention_days").isNull() | (
         F.col("timestamp") >= now - F.make_dt_interval(days=F.col("retention_days")))
-    return events.join(days, "node_id", "left").where(keep).drop("retention_days")
+    return events.join(small_side(days), "node_id", "left").where(keep).drop("retention_days")

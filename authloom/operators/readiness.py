@@ -68,7 +68,7 @@ def time_order(evidence: DataFrame, run: int = 100_000) -> DataFrame:
         F.sum("n_ts").alias("n_ts"),
         (F.bool_or("back") | F.coalesce(F.bool_or("_across"), F.lit(False))).alias("unordered"),
         ((F.max("hi") - F.min("lo")) / F.lit(1e6)).alias("span"),
-    )
+    ).where(F.col("n_ts") > 0)
 
 
 def duplicate_ids(evidence: DataFrame) -> DataFrame:

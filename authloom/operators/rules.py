@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from authloom import schemas
 from authloom.functions import fixed
+from authloom.functions.sizes import BROADCAST_BYTES
 from authloom.functions.text import like_any, non_empty
 
 # Up to this many rules become plain predicates in one projection; more become a join.
 INLINE_RULES = 64
-# A side is only hinted for broadcast when its measured size is below this.
-BROADCAST_BYTES = 8 * 1024 * 1024
 
 _DEFAULTS = {
     "severity": "medium",

@@ -33,7 +33,8 @@ def _listing(df: DataFrame, value: str, order: str, at_least: int = 1) -> DataFr
 def dangling_refs(refs: DataFrame, evidence: DataFrame) -> DataFrame:
     """Cited evidence ids that the case does not contain (``refs``: case_key, ord, evidence_id)."""
     cited = refs.where(~_blank("evidence_id"))
-    have = evidence.select("case_key", "evidence_id").where(~_blank("evidence_id"))
+    # copies of one id collapse before the shuffle; the join then reuses their partitioning
+    have = evidence.select("case_key", "evidence_id").where(~_blank("evidence_id")).distinct()
     return cited.join(have, ["case_key", "evidence_id"], "left_anti").select(
         "case_key", "ord", "evidence_id")
 

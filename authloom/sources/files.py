@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authloom import schemas
+from authloom.functions.sizes import literal_rows
 from authloom.functions.text import unicode_trim
 
 _CORRUPT = "_corrupt_record"
@@ -21,31 +22,51 @@ def _plain(path: str | Column) -> Column:
     return F.regexp_replace(col, r"^[a-z0-9]+:/+", "/")
 
 
-def node_of(path: Column, nodes: dict[str, str]) -> Column:
-    """Node whose registered path (file or folder) prefixes the file; longest prefix first."""
-    out = None
-    for root, node in sorted(nodes.items(), key=lambda kv: -len(kv[0])):
-        base = "/" + root.split(":", 1)[-1].strip("/") if "://" in root or ":/" in root else root.rstrip("/")
-        cond = (path == F.lit(base)) | path.startswith(base + "/")
-        out = F.when(cond, F.lit(node)) if out is None else out.when(cond, F.lit(node))
-    return out
+# Up to this many nodes their paths become one CASE expression, more become hash lookups.
+INLINE_NODES = 32
+
+
+def _root(path: str) -> str:
+    return "/" + path.split(":", 1)[-1].strip("/")
+
+
+def tag_node(df: DataFrame, path: Column, nodes: dict[str, str]) -> DataFrame:
+    """Add ``node_id``: the node whose registered file or folder holds the row's file; the deepest
+    one where several do. ``nodes`` maps path to node id."""
+    roots = {_root(p): n for p, n in nodes.items()}
+    if len(roots) <= INLINE_NODES:
+        out = None
+        for root, node in sorted(roots.items(), key=lambda kv: -len(kv[0])):
+            cond = (path == root) | path.startswith(root.rstrip("/") + "/")
+            out = F.when(cond, F.lit(node)) if out is None else out.when(cond, F.lit(node))
+        return df.withColumn("node_id", out)
+    # one lookup per distinct depth of the registered paths, of which there are few
+    depths = sorted({r.count("/") for r in roots}, reverse=True)
+    df = df.withColumn("_path", path)
+    for d in depths:
+        at_depth = literal_rows(
+            df.sparkSession, [{"_key": r, f"_n{d}": n} for r, n in roots.items() if r.count("/") == d],
+            f"_key string, _n{d} string")
+        df = df.withColumn("_key", F.substring_index("_path", "/", d + 1)).join(
+            at_depth, "_key", "left").drop("_key")
+    return df.withColumn("node_id", F.coalesce(*[F.col(f"_n{d}") for d in depths])).drop(
+        "_path", *[f"_n{d}" for d in depths])
 
 
 def read_auth_lines(spark: SparkSession, nodes: dict[str, str]) -> DataFrame:
     """Non-blank lines of the auth logs of many nodes (``nodes``: path -> node id).
 
-    Lines end at ``\\n`` only. ``line_no`` grows along each file: it is ordered by the split's
-    offset, then by read order inside the split.
+    Lines end at ``\\n`` only. Inside a file, ``block_start`` and ``read_order`` give the line order:
+    the offset of the split, then the order in which the split is read.
     """
-    lines = spark.read.option("lineSep", "\n").text(list(nodes))
-    path = _plain(_file_path())
-    return lines.select(
-        node_of(path, nodes).alias("node_id"),
-        path.alias("file"),
+    lines = spark.read.option("lineSep", "\n").text(list(nodes)).select(
+        _plain(_file_path()).alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("read_order"),
         "value",
-    ).where(unicode_trim(F.col("value")) != "")
+    )
+    tagged = tag_node(lines, F.col("file"), nodes)
+    return tagged.where(unicode_trim(F.col("value")) != "")
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
@@ -111,6 +132,7 @@ def scan_source(spark: SparkSession, entries: list[dict], source: str,
             df = reader.json(list(paths)) if fmt == "json" else reader.option("header", True).csv(list(paths))
         else:
             df = _READERS[fmt](spark, list(paths))
-        part = df.select("*", node_of(_plain(_file_path()), paths).alias("node_id"))
+        part = tag_node(df.select("*", _plain(_file_path()).alias("_file")), F.col("_file"), paths).drop(
+            "_file")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out

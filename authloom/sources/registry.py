@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authloom import schemas
+from authloom.functions.sizes import small_side
 
 _FIELDS = ["source_name", "source_type", "local_path", "format", "query_engine", "query_endpoint",
            "retention_days"]
@@ -49,7 +50,8 @@ def registry_lookup(requests: DataFrame, registry: DataFrame) -> DataFrame:
         F.when(F.col("_hit").isNull(), F.lit("source not found"))
         .when(F.coalesce("local_path", F.lit("")) == "", F.lit("source has no path"))
     )
-    return requests.join(hit.withColumn("_hit", F.lit(True)), ["node_id", "source"], "left").withColumn(
+    known = small_side(hit.withColumn("_hit", F.lit(True)))
+    return requests.join(known, ["node_id", "source"], "left").withColumn(
         "error", error).drop("_hit")
 
 

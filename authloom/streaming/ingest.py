@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from authloom.functions.text import unicode_trim
 from authloom.operators import messages, requests
-from authloom.sources.files import _file_path, _plain, node_of
+from authloom.sources.files import _file_path, _plain, tag_node
 
 
 def stream_auth_lines(spark: SparkSession, nodes: dict[str, str], start: str = "earliest",
@@ -24,17 +24,21 @@ def stream_auth_lines(spark: SparkSession, nodes: dict[str, str], start: str = "
     """
     if start == "latest" and not since:
         raise ValueError("start='latest' needs the time to start from")
-    streams = None
-    for root in nodes:
+    out = None
+    for folder in _folders(nodes):
         reader = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", max_files)
         if start == "latest":
             reader = reader.option("modifiedAfter", since)
-        one = reader.text(root)
-        path = _plain(_file_path())
-        part = one.select(node_of(path, nodes).alias("node_id"), path.alias("file"), "value").where(
-            unicode_trim(F.col("value")) != "")
-        streams = part if streams is None else streams.union(part)
-    return streams
+        one = reader.text(folder).select(_plain(_file_path()).alias("file"), "value")
+        out = one if out is None else out.union(one)
+    return tag_node(out, F.col("file"), nodes).where(
+        F.col("node_id").isNotNull() & (unicode_trim(F.col("value")) != ""))
+
+
+def _folders(nodes: dict[str, str]) -> list[str]:
+    """One pattern for all landing folders of a common parent, so that many nodes stay one source."""
+    parents = {p.rstrip("/").rsplit("/", 1)[0] for p in nodes}
+    return [f"{p}/*" if len(nodes) > 1 else next(iter(nodes)) for p in sorted(parents)]
 
 
 def to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

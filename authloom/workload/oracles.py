@@ -257,11 +257,11 @@ add("ingest_stats", PARSED, f"""SELECT node_id, count(*) AS lines_parsed, count(
  count(*) FILTER (reject IS NULL AND sec >= {NOW} - to_days(5)) AS events_held FROM pl GROUP BY 1""")
 add("event_ids", PARSED, """SELECT node_id, file, event_id AS line_no,
  row_number() OVER (PARTITION BY node_id ORDER BY file, event_id) AS id FROM ev""")
-add("normalized_stamps", "", f"""SELECT event_id, CASE event_id % 7 WHEN 0 THEN {NOW_TEXT} WHEN 1 THEN {NOW_TEXT}
+add("normalize_ts", "", f"""SELECT event_id, CASE event_id % 7 WHEN 0 THEN {NOW_TEXT} WHEN 1 THEN {NOW_TEXT}
  WHEN 2 THEN iso || 'Z' WHEN 3 THEN iso || '+0800' WHEN 4 THEN iso || '-0330' WHEN 5 THEN iso || '+0000'
  ELSE strftime(ts, {SECOND}) || '+0000' END AS stamp
  FROM (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events)""")
-add("parse_any_stamp", CASES, "SELECT ord, us FROM ce")
+add("parse_any_ts", CASES, "SELECT ord, us FROM ce")
 add("extract_fields", "", """SELECT event_id,
  CASE WHEN event_id % 3 = 1 THEN 0 WHEN event_id % 3 = 2 THEN CAST(event_id % 15 AS INTEGER)
   ELSE CASE WHEN event_id % 4 = 0 THEN 0 ELSE CAST(event_id % 9 AS INTEGER) END END AS severity,

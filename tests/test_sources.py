@@ -57,6 +57,17 @@ def test_federated_scan_prunes_nodes(spark, tmp_path):
         files.scan_source(spark, entries, "nothing")
 
 
+def test_many_nodes_use_lookups(spark, tmp_path):
+    nodes = {}
+    for i in range(files.INLINE_NODES + 5):
+        d = tmp_path / ("deep/er" if i % 2 else "flat") / f"n{i}"
+        d.mkdir(parents=True)
+        (d / "auth.log").write_text(f"line {i}\n")
+        nodes[str(d / "auth.log") if i % 3 else str(d)] = f"node-{i}"
+    got = {(r.node_id, r.value) for r in files.read_auth_lines(spark, nodes).collect()}
+    assert got == {(f"node-{i}", f"line {i}") for i in range(len(nodes))}
+
+
 def test_conform(spark):
     rows = [("2026-05-14T12:00:00+0800", "5", "10.0.0.1", None), ("2026-05-14T12:00:00", "5", "::1", None),
             ("2026-05-14T12:00:00.123+0000", None, None, None), ("1700000000000", "5", "1.1.1.1", None), (None, "1", "1.1.1.1", None),
