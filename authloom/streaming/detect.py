@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,30 +37,27 @@ class ThresholdProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        # instant -> matches, for instants judged within one window back and those still waiting
-        self.counts = handle.getMapState(
-            "counts", StructType([StructField("us", LongType())]),
-            StructType([StructField("n", LongType()), StructField("judged", BooleanType())]))
+        # (instant, matches, judged): judged ones stay for one window, others wait for the watermark
+        self.counts = handle.getListState("counts", StructType([
+            StructField("us", LongType()), StructField("n", LongType()),
+            StructField("judged", BooleanType())]))
         self.rule = handle.getValueState("rule", StructType([
             StructField("need", IntegerType()), StructField("window", LongType()),
             StructField("cooldown", LongType()), StructField("last", LongType()),
             StructField("timer", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rule = self.rule.get() if self.rule.exists() else None
-        earliest = None
+        """Append the new instants; each call costs a handful of state operations, whatever its size."""
+        rule, fresh = self.rule.get(), []
         for pdf in rows:
             if rule is None:
-                first = pdf.iloc[0]
-                rule = (int(first["need"]), int(first["window_seconds"]) * _SECOND,
-                        int(first["cooldown_seconds"]) * _SECOND, None, None)
-            for us, n in pdf.groupby("us").size().items():
-                us = int(us)
-                old = self.counts.getValue((us,)) if self.counts.containsKey((us,)) else (0, False)
-                self.counts.updateValue((us,), (old[0] + int(n), old[1]))
-                earliest = us if earliest is None else min(earliest, us)
-        if earliest is not None:
-            self.rule.update(self._arm(rule, earliest))
+                rule = (int(pdf["need"].iat[0]), int(pdf["window_seconds"].iat[0]) * _SECOND,
+                        int(pdf["cooldown_seconds"].iat[0]) * _SECOND, None, None)
+            instants, n = np.unique(pdf["us"].to_numpy(), return_counts=True)
+            fresh += [(int(u), int(c), False) for u, c in zip(instants, n)]
+        if fresh:
+            self.counts.appendList(fresh)
+            self.rule.update(self._arm(rule, min(f[0] for f in fresh)))
         return iter([])
 
     def _arm(self, rule: tuple, us: int) -> tuple:
@@ -76,9 +74,12 @@ class ThresholdProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         need, window, cooldown, last, _ = self.rule.get()
-        state = sorted((k[0], v[0], v[1]) for k, v in self.counts.iterator())
-        out, low, total, newest = [], 0, 0, None
-        waiting = None
+        merged: dict[int, tuple[int, bool]] = {}
+        for us, n, judged in self.counts.get():
+            old = merged.get(us, (0, False))
+            merged[us] = (old[0] + n, old[1] or judged)
+        state = [(us, *merged[us]) for us in sorted(merged)]
+        out, low, total, waiting = [], 0, 0, None
         for us, n, judged in state:
             if us >= mark:
                 waiting = us
@@ -87,31 +88,28 @@ class ThresholdProcessor(StatefulProcessor):
             while state[low][0] < us - window:
                 total -= state[low][1]
                 low += 1
-            newest = us
-            if judged:
-                continue
-            self.counts.updateValue((us,), (n, True))
-            if total >= need and (last is None or us >= last + cooldown):
+            if not judged and total >= need and (last is None or us >= last + cooldown):
                 last = us
                 out.append((*key[:3], us, total, False))
-        # an instant more than one window behind the mark can count for nothing to come
-        for us, _, _ in state:
-            if us < min(mark, waiting if waiting is not None else mark) - window:
-                self.counts.removeKey((us,))
-        rule = (need, window, cooldown, last, None)
+        # an instant more than one window behind all that is to come counts for nothing any more
+        keep = (mark if waiting is None else min(mark, waiting)) - window
+        left = [(us, n, us < mark) for us, n, _ in state if us >= keep]
         if waiting is not None:
-            rule = self._arm(rule, waiting)
-            self.rule.update(rule)
-        elif newest is not None and newest < mark - max(window, cooldown):
+            self.counts.put(left)
+            self.rule.update(self._arm((need, window, cooldown, last, None), waiting))
+        elif not left and (last is None or last + cooldown < mark):
             # nothing can count or be suppressed any more: forget the key
             self.counts.clear()
             self.rule.clear()
         else:
             # wake once more when the key has gone quiet for good
-            end = ((newest or mark) + max(window, cooldown)) // 1000 + 2
+            end = max([us + window for us, _, _ in left] + [(last or 0) + cooldown]) // 1000 + 2
+            end = max(end, mark // 1000 + 1)
+            self.counts.put(left) if left else self.counts.clear()
             self.handle.registerTimer(end)
             self.rule.update((need, window, cooldown, last, end))
-        yield pd.DataFrame(out, columns=[f.name for f in _OUT])
+        if out:
+            yield pd.DataFrame(out, columns=[f.name for f in _OUT])
 
     def close(self) -> None:
         pass
