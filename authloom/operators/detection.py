@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from authloom.functions import fixed
 from authloom.functions.fields import severity_level
+from authloom.functions.numbers import block_of
 from authloom.functions.text import lookup, short_hash
 from authloom.functions.times import iso_z, micros
 from authloom.operators.rules import match_rules, usable, window_seconds
@@ -58,8 +59,7 @@ def sliding_counts(matched: DataFrame, windows: list[int]) -> DataFrame:
     and a hot group spreads over many tasks. Rules with different windows share the shuffle: each
     distinct length adds one frame to the same sorted partition.
     """
-    w_us = F.col("window_seconds").cast("bigint") * F.lit(_SECOND)
-    bucket = F.floor(F.col("us") / w_us)
+    bucket = block_of("us", f"(CAST(window_seconds AS BIGINT) * {_SECOND})")
     visits = instant_counts(matched).withColumn("_own", bucket).select(
         "*", F.explode(F.array(F.col("_own"), F.col("_own") + 1)).alias("_bucket"))
     base = Window.partitionBy(*KEY, "window_seconds", "_bucket").orderBy("us")
@@ -268,7 +268,8 @@ def replay_detect(events: DataFrame, rules: list[dict], start: Column, step_seco
     counted = (
         match_rules(events, rules)
         .withColumn("us", since)
-        .withColumn("tick", F.greatest(F.ceil(F.col("us") / F.lit(step_us)), F.lit(0)))
+        .withColumn("_padded", F.greatest(F.col("us"), F.lit(0)) + (step_us - 1))
+        .withColumn("tick", block_of("_padded", step_us))
         .where(F.col("tick") <= last_tick)
         .groupBy("node_id", "rule_id", "tick", "us", "group_key", "need", "window_seconds",
                  "cooldown_seconds")

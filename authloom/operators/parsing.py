@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from authloom.functions import fixed
+from authloom.functions.numbers import block_of
 from authloom.functions.once import computed_once
 from authloom.functions.sizes import small_side
 from authloom.functions.text import SEP, non_empty, unicode_trim
@@ -170,10 +171,11 @@ def assign_ids(events: DataFrame, block: int = 1_000_000) -> DataFrame:
     """Dense ``id`` 1..n per node in (file, line_no) order.
 
     A node may hold most of the data, so rows are numbered inside fixed line blocks and shifted by
-    the running total of the preceding blocks: no task ever sorts a whole node.
+    the running total of the preceding blocks: no task ever sorts a whole node. ``events`` is read
+    twice and should be a stored table.
     """
     key = ["node_id", "file", "_block"]
-    blocked = events.withColumn("_block", F.floor(F.col("line_no") / F.lit(block)))
+    blocked = events.withColumn("_block", block_of("line_no", block))
     sizes = blocked.groupBy(*key).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("node_id").orderBy("file", "_block").rowsBetween(
         Window.unboundedPreceding, -1)

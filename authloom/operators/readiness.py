@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from authloom.functions import fixed
+from authloom.functions.numbers import block_of
 from authloom.functions.text import compact, non_empty, percent
 from authloom.functions.times import micros, parse_any_ts
 
@@ -52,7 +53,7 @@ def time_order(evidence: DataFrame, run: int = 100_000) -> DataFrame:
     """
     timed = evidence.select(
         "case_key", "ord", micros(parse_any_ts(non_empty(F.col("timestamp")))).alias("us"),
-        F.floor(F.col("ord") / F.lit(run)).alias("_run"),
+        block_of("ord", run).alias("_run"),
     )
     # unreadable times are skipped by the aggregates, a filter would parse every time twice
     before = F.last("us", ignorenulls=True).over(

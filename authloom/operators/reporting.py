@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from authloom.functions.numbers import block_of
+
 # --- fixed values: report wording ------------------------------------------------------------
 TITLE = "# 安全研判报告"
 UNKNOWN = "未知"
@@ -26,7 +28,7 @@ def _text(col: Column, absent: str = ABSENT) -> Column:
 
 def numbered_evidence(evidence: DataFrame, run: int = 100_000) -> DataFrame:
     """Evidence with its position in the case, numbered inside arrival runs plus an offset."""
-    runs = evidence.withColumn("_run", F.floor(F.col("ord") / F.lit(run)))
+    runs = evidence.withColumn("_run", block_of("ord", run))
     sizes = runs.groupBy("case_key", "_run").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("case_key").orderBy("_run").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -80,13 +82,13 @@ def report_parts(reviewed: DataFrame, evidence: DataFrame, report_time: Column,
         F.lit("\n- 最终置信度："), _text(F.col("final_confidence")),
         F.lit(f"\n\n## 6. 总结\n{CLOSING}\n"),
     )
-    last = F.ceil(F.col("evidence_count") / F.lit(block)) + 1
-    frame = reviewed.select("case_key", F.explode(F.array(
+    last = block_of("_padded", block) + 1
+    frame = reviewed.withColumn("_padded", F.col("evidence_count") + (block - 1)).select("case_key", F.explode(F.array(
         F.struct(F.lit(0).cast("bigint").alias("part"), head.alias("text")),
         F.struct(last.alias("part"), tail.alias("text")),
     )).alias("p")).select("case_key", "p.part", "p.text")
-    blocks = numbered_evidence(evidence).withColumn(
-        "part", F.floor((F.col("position") - 1) / F.lit(block)) + 1)
+    blocks = numbered_evidence(evidence).withColumn("_before", F.col("position") - 1).withColumn(
+        "part", block_of("_before", block) + 1)
     entries = F.array_sort(F.collect_list(F.struct(
         "position", evidence_block(F.col("position")).alias("entry"))))
     body = blocks.groupBy("case_key", "part").agg(

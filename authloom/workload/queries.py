@@ -263,7 +263,7 @@ def ingest_stats(spark, sf):
 
 @query
 def event_ids(spark, sf):
-    events, _ = parsing.split_rejects(t.parsed_lines(spark, sf))
+    events, _ = parsing.split_rejects(t.stored(spark, sf, "parsed", t.parsed_lines))
     return parsing.assign_ids(events, block=500).select("node_id", "file", "line_no", "id")
 
 
