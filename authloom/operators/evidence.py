@@ -126,17 +126,29 @@ def auth_evidence(retrieved: DataFrame, minimize: bool = False) -> DataFrame:
     return out.drop("message", "raw_line") if minimize else out
 
 
-def retrieve_alerts(requests: DataFrame, alerts: DataFrame,
+def retrieve_alerts(requests: DataFrame, alerts: DataFrame, nodes: DataFrame | None = None,
                     limit: int = fixed.REQUEST_LIMIT) -> DataFrame:
-    """First alerts by time for each alert request, by rule id; ``alerts`` carries node_id.
+    """First alerts by time for each alert request, by rule id if it names one.
 
-    Alerts are first cut to the ``limit`` earliest per (node, rule), which every request draws from.
+    ``alerts`` carries node_id and is first cut to the ``limit`` earliest per node and rule, and per
+    node, which every request draws from. A request's own smaller limit applies to its rank there.
     """
-    wanted = requests.where(F.col("source") != "auth_log").select(
-        "query_id", "node_id", F.col("filters.rule_id").alias("_rule"))
-    top = _top(alerts.withColumn("_rule", F.col("rule.id")), ["node_id", "_rule"], limit,
-               [F.asc("timestamp"), F.asc("id")])
-    return wanted.join(top, ["node_id", "_rule"]).drop("_rule", "rank")
+    wanted = requests.where(F.col("source") != "auth_log")
+    if nodes is not None:
+        wanted = node_targeting(wanted, nodes)
+    own = F.col("limit") if "limit" in requests.columns else F.lit(limit)
+    wanted = wanted.select(
+        "query_id", F.col("node_id").alias("_node"), F.col("filters.rule_id").alias("_rule"),
+        F.when(own.between(1, limit), own).otherwise(
+            F.raise_error(F.lit("request limit outside 1..limit")).cast("int")).alias("_limit"))
+    order = [F.asc("timestamp"), F.asc("id")]
+    fine = _top(alerts.withColumn("_id", F.col("rule.id")), ["node_id", "_id"], limit, order).drop("rank")
+    keyed = fine.withColumn("_key", F.explode(F.array_distinct(F.array(
+        F.col("_id"), F.lit(None).cast("string")))))
+    top = _top(keyed, ["node_id", "_key"], limit, order)
+    on = (wanted["_node"] == top["node_id"]) & wanted["_rule"].eqNullSafe(top["_key"])
+    return wanted.join(top, on).where(F.col("rank") <= F.col("_limit")).select(
+        "query_id", *alerts.columns)
 
 
 def _alert_hash() -> Column:

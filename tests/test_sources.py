@@ -29,6 +29,41 @@ def test_alerts_quarantine_and_search(spark, tmp_path):
     assert [r.line for r in bad.collect()] == ['{"timestamp":"t","rule":{"id"']
 
 
+def test_gateway_answers_from_the_registry(spark, tmp_path):
+    from authloom.plans import gateway
+
+    def alert(i, rule):
+        return json.dumps({"timestamp": f"2024-05-0{i}T00:00:00Z", "id": str(i), "full_log": f"l{i}",
+                           "rule": {"id": rule, "level": 5, "description": "d"}, "agent": {"name": "h", "ip": "" if i == 2 else "1.1.1.1"}})
+
+    p = tmp_path / "alerts.json"
+    p.write_text("\n".join(alert(i, "5710" if i % 2 else "5503") for i in range(1, 7)))
+    entries = [{"node_id": "n1", "source_name": "wazuh_alerts", "local_path": str(p), "format": "json"},
+               {"node_id": "n2", "source_name": "wazuh_alerts", "local_path": ""}]
+    got = gateway.answer(spark, entries, "q1", "n1", "wazuh-alerts", "2024-05-02T00:00:00Z/2024-05-06T00:00:00Z", {"rule.id": "5503"}, 2)
+    rows = got.collect()
+    assert [(r.raw_log, r.src_ip, r.severity, r.rule_id) for r in rows] == [("l2", "0.0.0.0", 5, "5503"), ("l4", "1.1.1.1", 5, "5503")]
+    assert rows[0].raw_ref == "n1/wazuh_alerts#2024-05-02T00:00:00Z" and rows[0].lineage_id == f"q1:{rows[0].hash}"
+    for node in ("n2", "n3"):
+        with pytest.raises(ValueError):
+            gateway.answer(spark, entries, "q", node)
+
+
+def test_alert_requests_with_and_without_rule(spark):
+    from authloom.operators import evidence
+
+    rows = [(f"n{i % 2}", str(i), f"t{i:03d}", ("5710" if i % 3 else "5503",)) for i in range(40)]
+    alerts = spark.createDataFrame(rows, "node_id string, id string, timestamp string, rule struct<id:string>")
+    asked = spark.createDataFrame([("q1", "n1", "wazuh_alerts", ("5503",), 3), ("q2", None, "wazuh_alerts", (None,), 5)],
+                                  "query_id string, node_id string, source string, filters struct<rule_id:string>, limit int")
+    nodes = spark.createDataFrame([("n0",), ("n1",)], "node_id string")
+    got = {(r.query_id, r.node_id, r.id) for r in evidence.retrieve_alerts(asked, alerts, nodes).collect()}
+    want = {("q1", "n1", r[1]) for r in [x for x in rows if x[0] == "n1" and x[3][0] == "5503"][:3]}
+    for n in ("n0", "n1"):
+        want |= {("q2", n, r[1]) for r in [x for x in rows if x[0] == n][:5]}
+    assert got == want
+
+
 def test_registry_shapes(spark, tmp_path):
     flat = {"node_id": "n1", "source_name": "auth_log", "local_path": "/a", "format": "syslog", "retention_days": 7}
     nested = {"node_id": "n2", "sources": [{"source_name": "auth_log", "local_path": "/b"}, {"source_name": "w", "local_path": ""}]}
