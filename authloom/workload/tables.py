@@ -210,6 +210,10 @@ def _case_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 def cases(spark: SparkSession, sf: str) -> DataFrame:
     """All case keys; every customer adds one case that never got evidence."""
+    return stored(spark, sf, "cases", _cases)
+
+
+def _cases(spark: SparkSession, sf: str) -> DataFrame:
     filled = _case_rows(spark, sf).selectExpr("'case-' || cno AS case_key").distinct()
     empty = table(spark, sf, "customer").selectExpr("'case-empty-' || c_custkey AS case_key")
     return filled.unionByName(empty)
@@ -217,6 +221,10 @@ def cases(spark: SparkSession, sf: str) -> DataFrame:
 
 def replies(spark: SparkSession, sf: str) -> DataFrame:
     """External verdict texts for four of five cases, one of them unreadable."""
+    return stored(spark, sf, "replies", _replies)
+
+
+def _replies(spark: SparkSession, sf: str) -> DataFrame:
     return (
         _case_rows(spark, sf).select("cno").distinct()
         .selectExpr("cno", f"{texts.REPLY_BODY} AS body", "chr(10) AS nl")
@@ -227,6 +235,10 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
 
 def cited_refs(spark: SparkSession, sf: str) -> DataFrame:
     """Evidence ids cited by analyses; some cite an id their case does not hold."""
+    return stored(spark, sf, "cited_refs", _cited_refs)
+
+
+def _cited_refs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").selectExpr(
         "event_id", "user_id * 1000 + dayofyear(ts) div (1 + user_id % 7) AS cno",
     ).selectExpr(
