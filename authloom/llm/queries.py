@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from authloom.llm import bpe, chat, exact_dedup, mixing, token_counts
+from authloom.llm import bpe, chat, exact_dedup, minhash, mixing, token_counts
 
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf, "documents"), percent=85)
+
+
 def op3_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf, "conversations"))
 
@@ -63,6 +67,7 @@ def op10_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_token_counts": op6_token_counts,
