@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from authloom.llm import bpe, chat, exact_dedup, minhash, mixing, token_counts
+from authloom.llm import bpe, chat, exact_dedup, minhash, mixing, quality, token_counts
 
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,6 +56,11 @@ def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return roll.totals()
 
 
+def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf, "labels")))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op10_source_mixing": op10_source_mixing,
 }
