@@ -126,38 +126,30 @@ class PairIndex:
         return out, symbol[alive].astype(np.int32)
 
 
-class WordBpe:
-    """A vocabulary with word ends: lower-cased pieces without white space."""
+class PieceCoder:
+    """Encodes texts piece by piece, remembering the ids of pieces; special tokens are cut out first."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        self.index = PairIndex(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.tokens = np.full(max([*model["vocab"].values(), *self.special.values()]) + 1, "", dtype=object)
-        for token, k in [*model["vocab"].items(), *self.special.items()]:
-            self.tokens[k] = token
+    def __init__(self, special: dict[str, int]) -> None:
+        self.special = special
+        self.parts = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.table = pieces.PieceTable()
 
-    @staticmethod
-    def normal(text: str) -> str:
-        """Composed and lower-cased, character by character."""
-        if not text.isascii():
-            # a final sigma is no special case for a lower-casing that sees single characters
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+    def normal(self, text: str) -> str:
+        return text
+
+    def split(self, cp: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and all ids one after the other."""
+        raise NotImplementedError
 
     def segments(self, texts: list[str]) -> tuple[list[str], list[tuple[int, int | None]]]:
         """Texts cut at special tokens: ordinary segments, and (text number, special id or None) of each."""
         out, owner = [], []
         for k, text in enumerate(texts):
-            if self.parts is None or "<|" not in text:
-                out.append(self.normal(text))
-                owner.append((k, None))
-                continue
-            for part in self.parts.split(text):
+            cut = [text] if self.parts is None else self.parts.split(text)
+            for part in cut:
                 out.append("" if part in self.special else self.normal(part))
                 owner.append((k, self.special.get(part)))
         return out, owner
@@ -177,7 +169,7 @@ class WordBpe:
             rows = np.concatenate(([0], np.cumsum([len(s) for s in segs[lo:hi]]))).astype(np.int64)
             joined = "".join(segs[lo:hi])
             cp = pieces.code_points(joined)
-            starts, ends = pieces.split_plain(cp, rows)
+            starts, ends = self.split(cp, rows)
             value, where, inverse = np.unique(
                 pieces.piece_hashes(cp, starts, ends), return_index=True, return_inverse=True)
             known = np.zeros(len(value), dtype=np.int64)
@@ -187,15 +179,14 @@ class WordBpe:
                     at = numbers.get(h)
                     if at is None:
                         at = numbers[h] = len(self.table.index) + len(fresh)
-                        s = where[k]
-                        fresh.append(joined[starts[s]:ends[s]].encode("utf-8", "surrogatepass"))
+                        fresh.append(joined[starts[where[k]]:ends[where[k]]])
                 known[k] = at
             words.append(known[inverse].astype(np.int32))
             counts.append(np.diff(np.searchsorted(starts, rows)))
             lo = hi
         # 2. merge the new ones together
         if fresh:
-            self.table.add(list(numbers), *self.index.encode(fresh))
+            self.table.add(list(numbers), *self.merge(fresh))
         # 3. look all up
         out: list[list[np.ndarray]] = [[] for _ in texts]
         seg = 0
@@ -205,13 +196,37 @@ class WordBpe:
             cut = word_end[np.concatenate(([0], np.cumsum(count)))]
             for k in range(len(count)):
                 text, special = owner[seg]
-                if special is not None:
-                    out[text].append(np.array([special], dtype=np.int32))
-                else:
-                    out[text].append(flat[cut[k]:cut[k + 1]])
+                out[text].append(np.array([special], dtype=np.int32) if special is not None else flat[cut[k]:cut[k + 1]])
                 seg += 1
         return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
+
+class WordBpe(PieceCoder):
+    """A vocabulary with word ends: lower-cased pieces without white space, merged by a pair index."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        super().__init__({t["content"]: t["id"] for t in spec["added_tokens"]})
+        model = spec["model"]
+        self.index = PairIndex(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
+        self.tokens = np.full(max([*model["vocab"].values(), *self.special.values()]) + 1, "", dtype=object)
+        for token, k in [*model["vocab"].items(), *self.special.items()]:
+            self.tokens[k] = token
+
+    def normal(self, text: str) -> str:
+        """Composed and lower-cased, character by character."""
+        if not text.isascii():
+            # a final sigma is no special case for a lower-casing that sees single characters
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return text.lower()
+
+    def split(self, cp, rows):
+        return pieces.split_plain(cp, rows)
+
+    def merge(self, words):
+        return self.index.encode([w.encode("utf-8", "surrogatepass") for w in words])
+
     def decode(self, ids: np.ndarray) -> str:
         """The tokens' own texts, joined by blanks: this vocabulary file names no decoder."""
         return " ".join(self.tokens[ids].tolist())

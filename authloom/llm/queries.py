@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from authloom.llm import bpe, chat, exact_dedup, minhash, mixing, quality, token_counts
+from authloom.llm import bpe, chat, exact_dedup, minhash, mixing, quality, token_counts, token_files
 
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,6 +65,10 @@ def op8_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
 
+def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+
+
 def op10_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Shares proportional to the square root of each source's characters."""
     mixed = mixing.mix(_table(spark, sf, "documents"), alpha=0.5, seed=SEED)
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_token_files": op9_token_files,
     "op10_source_mixing": op10_source_mixing,
 }
 
