@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from authloom.llm import bpe, chat, exact_dedup, minhash, mixing, quality, token_counts, token_files
+from authloom.llm import bpe, chat, exact_dedup, grid_join, minhash, mixing, quality, token_counts, token_files
 
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +30,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf, "documents"), percent=85)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return grid_join.near_embeddings(_table(spark, sf, "embeddings"), cosine=0.95)
+
+
 def op3_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf, "conversations"))
 
@@ -77,6 +81,7 @@ def op10_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_token_counts": op6_token_counts,
