@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from authloom.llm import bpe, chat, exact_dedup, grid_join, minhash, mixing, quality, token_counts, token_files
+from authloom.llm import bpe, chat, exact_dedup, grid_join, minhash, mixing, pii, quality, token_counts, token_files
 
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +42,10 @@ def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """All documents come in, are counted anew on cleaner texts, toxic ones go; the last batch arrives twice."""
     docs = _table(spark, sf, "documents")
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_personal_data": op5_personal_data,
     "op6_token_counts": op6_token_counts,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_bpe_round_trip": op8_bpe_round_trip,
