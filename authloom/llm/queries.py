@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authloom.llm import bpe, chat, exact_dedup, grid_join, minhash, mixing, pii, quality, token_counts, token_files
+from authloom.llm.store import Store
 
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,15 +53,16 @@ def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     versions = {"word-1": WORD, "wordpunct-1": WORD_OR_SIGN}
     raw, clean = F.col("text"), F.regexp_replace("text", NOISE, "")
     toxic = _table(spark, sf, "labels").where("toxic = 1").select("doc_id")
-    no_old = F.lit(None).cast("long").alias("old_tokens")
-    roll = token_counts.Rollup(spark)
-    roll.commit(1, token_counts.counted(docs, versions, {"tokens": raw}).select(
-        F.lit("insert").alias("op"), "*", no_old))
-    roll.commit(2, token_counts.counted(docs, versions, {"tokens": clean, "old_tokens": raw}).where(
-        "tokens <> old_tokens").select(F.lit("revise").alias("op"), "*"))
-    gone = token_counts.counted(docs.join(toxic, "doc_id", "left_semi"), versions, {"tokens": clean})
+    # what each text came and comes to, counted in one pass and kept as small rows
+    store = Store(spark, "rollup")
+    counts = store.save(token_counts.counted(docs, versions, {"tokens": clean, "old_tokens": raw}), "counts")
+    roll = token_counts.Rollup(spark, store)
+    first = counts.withColumn("tokens", F.col("old_tokens")).withColumn("old_tokens", F.lit(None).cast("long"))
+    roll.commit(1, first.select(F.lit("insert").alias("op"), "*"))
+    roll.commit(2, counts.where("tokens <> old_tokens").select(F.lit("revise").alias("op"), "*"))
+    gone = counts.join(toxic, "doc_id", "left_semi").select(F.lit("delete").alias("op"), "*")
     for _ in range(2):
-        roll.commit(3, gone.select(F.lit("delete").alias("op"), "*", no_old))
+        roll.commit(3, gone)
     return roll.totals()
 
 
