@@ -218,7 +218,7 @@ class WordBpe(PieceCoder):
         """Composed and lower-cased, character by character."""
         if not text.isascii():
             # a final sigma is no special case for a lower-casing that sees single characters
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(pieces.NEW_LOWER)
         return text.lower()
 
     def split(self, cp, rows):

@@ -94,14 +94,14 @@ def _cells(axes, eps: float):
     return run
 
 
-def _pack(axes):
+def _pack(axes, most: int):
     """Consecutive vectors of a sorted partition as blocks of one row."""
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
         held: list[tuple] = []  # (ids, weights, vectors) of one dimension
 
-        def block(dim):
+        def full(dim):
             nonlocal number, held
             ids, w, x = (np.concatenate([h[k] for h in held]) for k in range(3))
             lead = _unit(x) @ axes.value[dim][:, :AXES]
@@ -118,21 +118,21 @@ def _pack(axes):
         for batch in batches:
             for dim, rows, x in _by_dim(batch, 2):
                 if now is not None and dim != now and held:
-                    yield block(now)
+                    yield full(now)
                     size = 0
                 now = dim
                 ids, w = np.asarray(batch.column(0))[rows], np.asarray(batch.column(1))[rows]
                 lo = 0
                 while lo < len(rows):
-                    hi = min(len(rows), lo + BLOCK - size)
+                    hi = min(len(rows), lo + most - size)
                     held.append((ids[lo:hi], w[lo:hi], x[lo:hi]))
                     size += hi - lo
                     lo = hi
-                    if size == BLOCK:
-                        yield block(dim)
+                    if size == most:
+                        yield full(dim)
                         size = 0
         if held:
-            yield block(now)
+            yield full(now)
 
     return run
 
@@ -140,15 +140,15 @@ def _pack(axes):
 class _Sequence:
     """A block: vectors, unit vectors' boxes per leaf, and sums."""
 
-    def __init__(self, ids: bytes, weights: bytes, vectors: bytes, axes: np.ndarray) -> None:
-        dim = len(axes)
+    def __init__(self, ids: bytes, weights: bytes, vectors: bytes, axes: np.ndarray, leaf: int) -> None:
+        dim, self.leaf = len(axes), leaf
         self.ids, self.weights = np.frombuffer(ids, dtype=np.int64), np.frombuffer(weights, dtype=np.int64)
         self.x = np.frombuffer(vectors, dtype=np.float64).reshape(-1, dim)
         # powers of two change no digit of a cosine and keep products finite
         self.x = np.ldexp(self.x, -np.frexp(np.abs(self.x).max(axis=1, keepdims=True))[1])
         self.norm = np.sqrt((self.x * self.x).sum(axis=1))
         y = (self.x / self.norm[:, None]) @ axes
-        starts = np.arange(0, len(y), LEAF)
+        starts = np.arange(0, len(y), leaf)
         self.low, self.high = np.minimum.reduceat(y, starts), np.maximum.reduceat(y, starts)
         self.degree = np.zeros(len(y), dtype=np.int64)
 
@@ -190,7 +190,7 @@ def join_intervals(p: _Sequence, q: _Sequence, same: bool, cosine: float, eps: f
                 m = (b0 + b1) // 2
                 stack += [(a0, a1, b0, m), (a0, a1, m, b1)]
             continue
-        i, j = slice(a0 * LEAF, (a0 + 1) * LEAF), slice(b0 * LEAF, (b0 + 1) * LEAF)
+        i, j = slice(a0 * p.leaf, (a0 + 1) * p.leaf), slice(b0 * q.leaf, (b0 + 1) * q.leaf)
         near = (p.x[i] @ q.x[j].T) / (p.norm[i][:, None] * q.norm[j][None, :]) >= cosine
         if same and a0 == b0:
             near = np.triu(near, 1)
@@ -217,7 +217,7 @@ def join_intervals(p: _Sequence, q: _Sequence, same: bool, cosine: float, eps: f
     return ids[node], ids[label[node]]
 
 
-def _join(axes, cosine: float, eps: float):
+def _join(axes, cosine: float, eps: float, leaf: int):
     """Groups of a block (role 0, first) and its partners (role 1): sums (b null) and links."""
 
     def run(batches):
@@ -225,7 +225,7 @@ def _join(axes, cosine: float, eps: float):
         for batch in batches:
             for k in range(batch.num_rows):
                 role, dim, ids, w, x = (batch.column(c)[k].as_py() for c in range(2, 7))
-                other = _Sequence(ids, w, x, axes.value[dim])
+                other = _Sequence(ids, w, x, axes.value[dim], leaf)
                 if role == 0:
                     own = other
                     continue
@@ -245,8 +245,8 @@ def _join(axes, cosine: float, eps: float):
     return run
 
 
-def near_embeddings(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id",
-                    vector_col: str = "embedding") -> DataFrame:
+def near_embeddings(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding",
+                    block: int = BLOCK, leaf: int = LEAF, partners: int = PARTNERS) -> DataFrame:
     """One row per row of ``vectors``: its id, ``n_links, component_id, kept``.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, and rows without id
@@ -269,7 +269,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     celled = classes.mapInArrow(_cells(axes, eps), "id long, w long, x array<double>, "
                                 + ", ".join(f"{c} int" for c in grid))
     blocks = store.save(celled.repartitionByRange(*grid, "id").sortWithinPartitions(*grid, "id")
-                        .mapInArrow(_pack(axes), BLOCKS), "blocks")
+                        .mapInArrow(_pack(axes, block), BLOCKS), "blocks")
 
     # blocks whose boxes are within epsilon of each other; cells of the first axis are the join key
     boxes = blocks.select("block", "dim", "low", "high").withColumns({
@@ -287,7 +287,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     swap = F.pmod(F.xxhash64("block", "other"), F.lit(2)) == 1
     pairs = pairs.select(F.when(swap, F.col("other")).otherwise(F.col("block")).alias("block"),
                          F.when(swap, F.col("block")).otherwise(F.col("other")).alias("other"))
-    groups = F.ceil(F.col("n") / PARTNERS)
+    groups = F.ceil(F.col("n") / partners)
     pairs = store.save(
         pairs.join(pairs.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block")
         .withColumn("part", F.pmod(F.xxhash64("other"), groups)).select("block", "part", "other"), "pairs")
@@ -298,7 +298,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     bounded_batches(spark, 8)  # a row is a whole block
     joined = store.save(
         own.unionByName(partner).repartition("block", "part").sortWithinPartitions("block", "part", "role")
-        .mapInArrow(_join(axes, cosine, eps), "a long, b long, n long"), "joined")
+        .mapInArrow(_join(axes, cosine, eps, leaf), "a long, b long, n long"), "joined")
 
     degree = joined.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     parts = components(joined.where("b IS NOT NULL").select("a", "b"), store, "parts")

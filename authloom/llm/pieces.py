@@ -8,15 +8,27 @@ texts is split at once; ``tests/llm`` holds the rules against the regular expres
 from __future__ import annotations
 
 import sys
+import unicodedata
 from functools import cache
 
 import numpy as np
-import regex
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 # Characters with the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+# Letters and numbers that Unicode 16 added, which the tokenizers know and this Python may not.
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
+    (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)]
+NEW_NUMBERS = [
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9),
+    (0x1E5F1, 0x1E5FA)]
+# Lower-case forms that Unicode 16 and 17 added.
+NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB,
+             0xA7DC: 0x19B, **{0x10D50 + k: 0x10D70 + k for k in range(22)}, **{0x16EA0 + k: 0x16EBB + k for k in range(25)}}
 # Endings that are pieces of their own after an apostrophe.
 SHORT_ENDINGS, LONG_ENDINGS = "stmd", ("re", "ve", "ll")
 
@@ -27,11 +39,11 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 @cache
 def classes() -> np.ndarray:
     """The class of every code point."""
-    out = np.full(sys.maxunicode + 1, OTHER, dtype=np.uint8)
-    every = "".join(map(chr, range(sys.maxunicode + 1)))
-    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
-        for run in regex.finditer(pattern, every):
-            out[run.start():run.end()] = kind
+    kinds = {"L": LETTER, "N": NUMBER}
+    out = np.array([kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)], dtype=np.uint8)
+    for ranges, kind in ((NEW_LETTERS, LETTER), (NEW_NUMBERS, NUMBER)):
+        for lo, hi in ranges:
+            out[lo:hi + 1] = kind
     out[WHITE_SPACE] = SPACE
     return out
 

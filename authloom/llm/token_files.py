@@ -61,8 +61,8 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def sequence_schema(dtype: pa.DataType) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(dtype, LENGTH)), ("mask", pa.list_(pa.bool_(), LENGTH))])
+def sequence_schema(dtype: pa.DataType, length: int) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(dtype, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 PLACES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -77,8 +77,8 @@ def _open_out(base: str):
 class Writer:
     """One range of documents: its sequences and the places of its documents."""
 
-    def __init__(self, base: str, name: str, dtype: pa.DataType) -> None:
-        self.dtype, self.schema = dtype, sequence_schema(dtype)
+    def __init__(self, base: str, name: str, dtype: pa.DataType, length: int, sequences: int) -> None:
+        self.dtype, self.schema, self.length, self.full = dtype, sequence_schema(dtype, length), length, length * sequences
         system, folder = _open_out(base)
         self.out = [system.open_output_stream(f"{folder}/{name}.{kind}.arrows") for kind in ("ids", "docs")]
         self.sequences = pa.ipc.new_stream(self.out[0], self.schema)
@@ -91,8 +91,8 @@ class Writer:
         mask = np.zeros(len(ids), dtype=bool)
         mask[:real] = True
         self.sequences.write_batch(pa.RecordBatch.from_arrays([
-            pa.FixedSizeListArray.from_arrays(pa.array(ids.astype(self.dtype.to_pandas_dtype()), self.dtype), LENGTH),
-            pa.FixedSizeListArray.from_arrays(pa.array(mask), LENGTH)], schema=self.schema))
+            pa.FixedSizeListArray.from_arrays(pa.array(ids.astype(self.dtype.to_pandas_dtype()), self.dtype), self.length),
+            pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=self.schema))
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.rows.append((doc_id, self.total, len(ids)))
@@ -100,7 +100,7 @@ class Writer:
         self.documents += 1
         self.held.append(ids)
         self.size += len(ids)
-        full = LENGTH * SEQUENCES
+        full = self.full
         if self.size >= full:
             flat = np.concatenate(self.held)
             whole = len(flat) // full * full
@@ -119,7 +119,7 @@ class Writer:
     def close(self) -> None:
         if self.size:
             flat = np.concatenate(self.held)
-            padded = np.zeros(-(-len(flat) // LENGTH) * LENGTH, dtype=flat.dtype)
+            padded = np.zeros(-(-len(flat) // self.length) * self.length, dtype=flat.dtype)
             padded[:len(flat)] = flat
             self._batch(padded, len(flat))
         self._flush_places()
@@ -140,20 +140,19 @@ class SequenceFile:
         self.source = _open_in(base, f"{name}.ids.arrows")
         self.schema = pa.ipc.read_schema(self.source)
         self.header = self.source.tell()
-        first = pa.ipc.read_message(self.source)
-        self.stride = self.source.tell() - self.header
-        del first
+        first = pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+        self.stride, self.rows = self.source.tell() - self.header, first.num_rows
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of sequence ``k``; the ids are a view of the file where it is mapped."""
-        self.source.seek(self.header + k // SEQUENCES * self.stride)
+        self.source.seek(self.header + k // self.rows * self.stride)
         batch = pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
-        row = k % SEQUENCES
+        row = k % self.rows
         return (batch.column(0)[row].values.to_numpy(), batch.column(1)[row].values.to_numpy(zero_copy_only=False))
 
 
 def write_files(docs: DataFrame, path: str, base: str, end_id: int = 0, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
+                text_col: str = "text", length: int = LENGTH, sequences: int = SEQUENCES) -> DataFrame:
     """Encode and write all texts below ``base``; returns ``part, name, documents, tokens`` per file.
 
     Rows without id come first; rows that repeat an id follow each other in the order of their texts.
@@ -169,7 +168,8 @@ def write_files(docs: DataFrame, path: str, base: str, end_id: int = 0, id_col:
             ids = coder.encode([t or "" for b in group for t in b.column(1).to_pylist()])
             for doc, own in zip((x for b in group for x in b.column(0).to_pylist()), ids, strict=True):
                 if writer is None:
-                    writer = Writer(base, name, pa.uint16() if max(coder.size, end_id + 1) <= 1 << 16 else pa.uint32())
+                    kind = pa.uint16() if max(coder.size, end_id + 1) <= 1 << 16 else pa.uint32()
+                    writer = Writer(base, name, kind, length, sequences)
                 writer.add(doc, np.append(own, np.int32(end_id)))
         if writer is not None:
             writer.close()
