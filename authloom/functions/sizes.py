@@ -8,17 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 8 * 1024 * 1024
-BROADCAST_ROWS = 50_000
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` hinted for broadcast when it has at most ``max_rows`` rows, unchanged otherwise.
-
-    For registry-like tables joined to event-sized ones: without the hint the large side would be
-    shuffled before adaptive execution learns that the other side is tiny. The check reads at most
-    ``max_rows`` + 1 rows.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def literal_rows(spark, rows: list, schema: str) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Threshold detection over matched events: snapshot, sliding event time, cool-down, replay."""
+"""Threshold detection over matched events: snapshot, sliding event time, cool-down."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from authloom.functions.fields import severity_level
 from authloom.functions.numbers import block_of
 from authloom.functions.text import lookup, short_hash
 from authloom.functions.times import iso_z, micros
-from authloom.operators.rules import match_rules, usable, window_seconds
+from authloom.operators.rules import match_rules, normalise
 
 KEY = ["node_id", "rule_id", "group_key"]
 _SECOND = 1_000_000
@@ -59,7 +60,7 @@ def sliding_counts(matched: DataFrame, windows: list[int]) -> DataFrame:
     and a hot group spreads over many tasks. Rules with different windows share the shuffle: each
     distinct length adds one frame to the same sorted partition.
     """
-    bucket = block_of("us", f"(CAST(window_seconds AS BIGINT) * {_SECOND})")
+    bucket = block_of("us", f"(greatest(CAST(window_seconds AS BIGINT), 1L) * {_SECOND})")
     visits = instant_counts(matched).withColumn("_own", bucket).select(
         "*", F.explode(F.array(F.col("_own"), F.col("_own") + 1)).alias("_bucket"))
     base = Window.partitionBy(*KEY, "window_seconds", "_bucket").orderBy("us")
@@ -77,7 +78,7 @@ def sliding_counts(matched: DataFrame, windows: list[int]) -> DataFrame:
 
 def threshold_hits(events: DataFrame, rules: list[dict]) -> DataFrame:
     """Instants at which a group reaches its threshold, over the whole history."""
-    windows = sorted({window_seconds(r) for r in usable(rules)}) or [1]
+    windows = sorted({r.window_seconds for r in normalise(rules)[0]}) or [1]
     return sliding_counts(match_rules(events, rules), windows).where(
         F.col("window_count") >= F.col("need"))
 
@@ -87,23 +88,38 @@ _FIRE_SCHEMA = (
 )
 
 
+def _accepted(us: np.ndarray, cooldown: int, last: int | None) -> tuple[np.ndarray, int]:
+    """Which of one key's ordered hits fire, and the last that did, in as many steps as there are fires."""
+    fired = np.full(len(us), cooldown <= 0)
+    if cooldown <= 0:
+        return fired, int(us[-1])
+    k = 0 if last is None else int(np.searchsorted(us, last + cooldown))
+    while k < len(us):
+        fired[k], last = True, int(us[k])
+        k += 1 + int(np.searchsorted(us[k + 1:], last + cooldown))
+    return fired, last
+
+
 def _fold_cooldown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Walk time-ordered hits; the only state carried is the last accepted instant of one key."""
     current, last = None, None
     for pdf in batches:
-        fired = []
-        for node, rule, group, us, cd in zip(
-            pdf["node_id"], pdf["rule_id"], pdf["group_key"], pdf["us"], pdf["cooldown_seconds"]
-        ):
-            key = (node, rule, group)
+        if not len(pdf):
+            continue
+        change = np.zeros(len(pdf), dtype=bool)
+        for c in KEY:
+            v = pdf[c].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        us, cooldown = pdf["us"].to_numpy(), pdf["cooldown_seconds"].to_numpy().astype(np.int64) * _SECOND
+        bounds, fired = [0, *np.flatnonzero(change).tolist(), len(pdf)], []
+        for lo, hi in zip(bounds, bounds[1:]):
+            key = tuple(pdf[c].iat[lo] for c in KEY)
             if key != current:
                 current, last = key, None
-            take = last is None or us >= last + cd * _SECOND
-            if take:
-                last = us
-            fired.append(take)
-        pdf["fired"] = fired
-        yield pdf[["node_id", "rule_id", "group_key", "us", "window_count", "fired"]]
+            mine, last = _accepted(us[lo:hi], int(cooldown[lo]), last)
+            fired.append(mine)
+        pdf["fired"] = np.concatenate(fired)
+        yield pdf[[*KEY, "us", "window_count", "fired"]]
 
 
 def judge_hits(hits: DataFrame) -> DataFrame:
@@ -111,8 +127,7 @@ def judge_hits(hits: DataFrame) -> DataFrame:
 
     The cool-down is an ordered fold, which no window function expresses. Hits are sorted within
     partitions and streamed through in Arrow batches with constant state, so a group of any length
-    never has to fit in memory. Rules without cool-down skip the fold's dependence and could be
-    taken as they are; they pass through the same stream to keep one scan.
+    never has to fit in memory; inside a batch the steps are as many as the fires.
     """
     cols = ["node_id", "rule_id", "group_key", "us", "window_count", "cooldown_seconds"]
     # With no cool-down every hit stands alone, so its instant may take part in the distribution.
@@ -142,20 +157,18 @@ def detect_stats(events: DataFrame, rules: list[dict]) -> DataFrame:
 
 def build_signals(fired: DataFrame, rules: list[dict]) -> DataFrame:
     """Signal rows. Ids are a hash of what identifies the detection, so re-runs agree."""
-    by_id = {r["id"]: r for r in usable(rules)}
+    by_id = {r.rule_id: r for r in normalise(rules)[0]}
     rule = F.col("rule_id")
 
-    def of(get, default):
-        return lookup(rule, {k: get(r) for k, r in by_id.items()}, default)
+    def of(field):
+        return lookup(rule, {k: getattr(r, field) for k, r in by_id.items()}, "")
 
-    severity = of(lambda r: r.get("severity", "medium"), "medium")
-    by_ip = rule.isin([k for k, r in by_id.items()
-                       if r.get("threshold", {}).get("group_by") == "src_ip"])
+    severity = of("severity")
+    by_ip = rule.isin([k for k, r in by_id.items() if r.group_by == "src_ip"])
     at = iso_z(F.col("timestamp"))
-    logs = {k: r.get("signal", {}).get("suggested_logs", ["auth_log"]) for k, r in by_id.items()}
     suggested = F.coalesce(*[
-        F.when(rule == k, F.array(*map(F.lit, v)) if v else F.array().cast("array<string>"))
-        for k, v in logs.items()
+        F.when(rule == k, F.array(*map(F.lit, r.suggested_logs)) if r.suggested_logs else F.array().cast("array<string>"))
+        for k, r in by_id.items()
     ])
     return fired.select(
         F.concat(F.lit("sig-"), short_hash(F.col("node_id"), rule, F.col("group_key"), at))
@@ -164,11 +177,11 @@ def build_signals(fired: DataFrame, rules: list[dict]) -> DataFrame:
         rule.alias("detection_rule_id"),
         rule,
         severity_level(severity).alias("rule_level"),
-        F.concat(of(lambda r: r.get("name", r["id"]), ""), F.lit(": "),
+        F.concat(of("name"), F.lit(": "),
                  F.col("window_count").cast("string"), F.lit(" matches from "), F.col("group_key"))
         .alias("rule_desc"),
         severity.alias("severity"),
-        of(lambda r: r.get("category", "unknown"), "unknown").alias("category"),
+        of("category").alias("category"),
         F.when(by_ip & (F.col("group_key") != fixed.GLOBAL_GROUP), F.col("group_key"))
         .otherwise(F.lit(fixed.NO_IP)).alias("src_ip"),
         at.alias("event_time"),
@@ -176,111 +189,3 @@ def build_signals(fired: DataFrame, rules: list[dict]) -> DataFrame:
         F.concat("node_id", F.lit("/auth_log#"), "group_key", F.lit("#"), at).alias("raw_ref"),
         F.col("window_count").alias("matched_count"),
     )
-
-
-# --- tick replay: the polling behaviour, rule-wide high-water mark included -------------------
-
-_REPLAY_SCHEMA = (
-    "node_id string, rule_id string, group_key string, tick bigint, matched_count bigint, fired boolean"
-)
-
-
-def _make_replay(step_us: int, retention_us: int, advance: bool, reloads: frozenset[int],
-                 last_tick: int):
-    def judge(state, key, tick):
-        """Evaluate one rule at one tick; yields (group, count, fired)."""
-        now = tick * step_us
-        rows = [r for r in state["rows"] if r[1] >= now - state["window"]]
-        if tick % fixed.CLEANUP_EVERY_TICKS == fixed.CLEANUP_EVERY_TICKS - 1:
-            # the clean-up runs after the evaluation of its tick
-            state["rows"] = [r for r in rows if r[1] >= now - retention_us]
-        else:
-            state["rows"] = rows
-        counts: dict[str, int] = {}
-        for seen, _, group, n in rows:
-            if seen > state["mark"]:
-                counts[group] = counts.get(group, 0) + n
-        fired_any = False
-        for group in sorted(counts, key=lambda g: (-counts[g], g)):
-            if counts[group] < state["need"]:
-                continue
-            fire = now >= state["until"].get(group, now)
-            if fire:
-                fired_any = True
-                if state["cooldown"] > 0:
-                    state["until"][group] = now + state["cooldown"]
-            yield (*key, group, tick, counts[group], fire)
-        if fired_any and advance:
-            state["mark"] = tick
-        if tick in reloads:
-            state["until"].clear()
-            state["mark"] = -1
-
-    def drain(state, key, until_tick):
-        """Evaluate all ticks before ``until_tick``, stopping early once nothing is pending."""
-        while state["tick"] < until_tick:
-            if not state["rows"]:
-                break
-            yield from judge(state, key, state["tick"])
-            state["tick"] += 1
-        skipped = [t for t in reloads if state["tick"] <= t < until_tick]
-        if skipped:
-            state["until"].clear()
-            state["mark"] = -1
-        state["tick"] = max(state["tick"], until_tick)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        names = ["node_id", "rule_id", "group_key", "tick", "matched_count", "fired"]
-        for pdf in batches:
-            out = []
-            for node, rule, tick, us, group, n, need, window, cooldown in pdf.itertuples(index=False):
-                if (node, rule) != key:
-                    if state is not None:
-                        out.extend(drain(state, key, last_tick + 1))
-                    key = (node, rule)
-                    state = {
-                        "rows": [], "until": {}, "mark": -1, "tick": 0, "need": need,
-                        "window": window * _SECOND, "cooldown": cooldown * _SECOND,
-                    }
-                if tick > state["tick"]:
-                    out.extend(drain(state, key, tick))
-                state["rows"].append((tick, us, group, n))
-            yield pd.DataFrame(out, columns=names)
-        if state is not None:
-            yield pd.DataFrame(list(drain(state, key, last_tick + 1)), columns=names)
-
-    return fold
-
-
-def replay_detect(events: DataFrame, rules: list[dict], start: Column, step_seconds: int,
-                  last_tick: int, retention_seconds: int = fixed.RETENTION_SECONDS,
-                  advance: bool = True, reload_ticks: tuple[int, ...] = ()) -> DataFrame:
-    """Detections of a poller that looks at tick 0, 1, ... ``last_tick`` after ``start``.
-
-    An event is visible from the first tick at or after its own time. After a rule fires, rows seen
-    up to that tick stop counting for the whole rule, in all groups (``advance=False`` models a
-    poller that cannot publish). A rule reload forgets cool-downs and marks. Rows arrive reduced to
-    one per (tick, group, instant) and sorted; the fold keeps only one window of them per rule.
-    """
-    step_us = step_seconds * _SECOND
-    since = micros(F.col("timestamp")) - micros(start)
-    counted = (
-        match_rules(events, rules)
-        .withColumn("us", since)
-        .withColumn("_padded", F.greatest(F.col("us"), F.lit(0)) + (step_us - 1))
-        .withColumn("tick", block_of("_padded", step_us))
-        .where(F.col("tick") <= last_tick)
-        .groupBy("node_id", "rule_id", "tick", "us", "group_key", "need", "window_seconds",
-                 "cooldown_seconds")
-        .agg(F.count("*").alias("n"))
-        .select("node_id", "rule_id", "tick", "us", "group_key", "n", "need", "window_seconds",
-                "cooldown_seconds")
-    )
-    fold = _make_replay(step_us, retention_seconds * _SECOND, advance, frozenset(reload_ticks),
-                        last_tick)
-    return (
-        counted.repartition("node_id", "rule_id")
-        .sortWithinPartitions("node_id", "rule_id", "tick", "us", "group_key")
-        .mapInPandas(fold, _REPLAY_SCHEMA)
-    )

@@ -6,93 +6,87 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from authloom.functions import fixed
-from authloom.functions.text import short_hash
+from authloom.functions.text import non_empty, short_hash
 from authloom.operators.requests import node_targeting
 
 CONTENT = ["timestamp", "hostname", "process", "pid", "src_ip", "src_port", "dst_user",
            "log_type", "message", "raw_line"]
-_OPTIONAL = ["src_ip", "process", "log_type"]
+# filters of a request that ask for equality; one that is absent or empty asks for nothing
+_OPTIONAL = ["src_ip", "process", "log_type", "dst_user"]
+_SALTS = 64
 
 
-def _top(df: DataFrame, keys: list[str], n: int, order: list[Column]) -> DataFrame:
-    """First n rows per key with their ``rank``. With a constant n Spark also limits on the map
-    side, so a hot key sends at most n rows per task through the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+def _wanted(requests: DataFrame, nodes: DataFrame | None, equal: list[str]) -> DataFrame:
+    """query_id, _limit (NULL: all), _since, and the key that a request asks for.
 
-
-def newest_per_shape(events: DataFrame, n: int) -> DataFrame:
-    """The n newest events for every combination of node with set or unset optional filters.
-
-    First the newest n per full combination, which any coarser combination can only draw from;
-    then every surviving row stands in for its eight shapes and each shape keeps its newest n.
-    A lower time bound can be applied afterwards: it only cuts the old end, so even the ``rank``
-    inside a shape is the rank inside any request for that shape.
+    The key is its node, which filters are set (``shape``, one bit each) and their values.
     """
-    newest = [F.desc("timestamp"), F.desc("id")]
-    fine = _top(events, ["node_id", *_OPTIONAL], n, newest).drop("rank")
-    shapes = F.array(*[
-        F.struct(*[
-            (F.col(c) if mask >> i & 1 else F.lit(None).cast("string")).alias(f"f_{c}")
-            for i, c in enumerate(_OPTIONAL)
-        ], F.lit(mask).alias("f_mask"))
-        for mask in range(8)
-    ])
-    keyed = fine.withColumn("_s", F.explode(shapes)).select("*", "_s.*").drop("_s")
-    # a shape that asks for a value the row lacks can match no request
-    for i, c in enumerate(_OPTIONAL):
-        keyed = keyed.where((F.col("f_mask").bitwiseAND(1 << i) == 0) | F.col(f"f_{c}").isNotNull())
-    return _top(keyed, ["node_id", *[f"f_{c}" for c in _OPTIONAL]], n, newest).drop("f_mask")
-
-
-def retrieve_evidence(requests: DataFrame, events: DataFrame, nodes: DataFrame | None = None,
-                      limit: int | None = fixed.REQUEST_LIMIT) -> DataFrame:
-    """Newest events for each auth_log request, up to the request's own limit.
-
-    ``limit`` is the largest per-request limit in use (an assertion guards it); None lifts it for
-    requests without limit. Requests that ask for the same thing share one ranked lookup, so the
-    events are scanned once and the request join only sees the ranked rows.
-    """
-    wanted = requests.where(F.col("source") == "auth_log")
     if nodes is not None:
-        wanted = node_targeting(wanted, nodes)
-    wanted = wanted.select(
-        "query_id", "node_id", F.col("limit").alias("_limit"), F.col("filters.since").alias("_since"),
-        *[F.col(f"filters.{c}").alias(f"r_{c}") for c in _OPTIONAL],
-    )
-    if limit is None:
-        mine = Window.partitionBy("query_id", "node_id").orderBy(F.desc("timestamp"), F.desc("id"))
-        unlimited = F.col("_limit").isNull() | (F.col("_limit") <= 0)
-        ranked = _pairs_by_shape(wanted, events).withColumn("rank", F.row_number().over(mine)).where(
-            unlimited | (F.col("rank") <= F.col("_limit")))
-    else:
-        lookup = newest_per_shape(events, limit)
-        checked = wanted.withColumn("_limit", F.when(
-            F.col("_limit").between(1, limit), F.col("_limit")).otherwise(
-            F.raise_error(F.lit("request limit outside 1..limit")).cast("int")))
-        cond = wanted["node_id"] == lookup["node_id"]
-        for c in _OPTIONAL:
-            cond = cond & F.col(f"r_{c}").eqNullSafe(F.col(f"f_{c}"))
-        ranked = checked.join(lookup, cond).drop(wanted["node_id"]).where(
-            (F.col("rank") <= F.col("_limit"))
-            & (F.col("_since").isNull() | (F.col("timestamp") >= F.col("_since"))))
-    return ranked.select("query_id", "rank", *events.columns)
-
-
-def _pairs_by_shape(wanted: DataFrame, events: DataFrame) -> DataFrame:
-    """All (request, matching event) rows, one pure equi join per combination of set filters."""
-    out = None
-    for mask in range(8):
-        on, reqs = events["node_id"] == wanted["node_id"], wanted
-        for i, c in enumerate(_OPTIONAL):
+        requests = node_targeting(requests, nodes)
+    have = requests.schema["filters"].dataType.fieldNames()
+    own = F.coalesce(F.col("limit").cast("long") if "limit" in requests.columns else F.lit(None),
+                     F.lit(fixed.REQUEST_LIMIT))
+    since = F.col("filters.since") if "since" in have else F.lit(None).cast("timestamp_ntz")
+    values = [non_empty(F.col(f"filters.{c}")) if c in have else F.lit(None).cast("string") for c in equal]
+    shape = sum((F.when(v.isNotNull(), 1 << i).otherwise(0) for i, v in enumerate(values)), F.lit(0))
+    return requests.select(
+        "query_id", F.when(own > 0, own).alias("_limit"), since.alias("_since"),
+        F.struct(F.col("node_id"), shape.alias("shape"), *[v.alias(f"f{i}") for i, v in enumerate(values)])
+        .alias("_key"))
+
+
+def _answers(wanted: DataFrame, rows: DataFrame, equal: list[Column], order: list[Column]) -> DataFrame:
+    """(query_id, rank, columns of ``rows``): the first rows of each request by ``order``.
+
+    The rows are scanned once. A row stands under the shapes that requests have (one explode), and
+    goes on only under keys that some request asks for. Requests for one key share its rows: the
+    first ones are ranked once, as many as the largest limit asked of the key, in two levels, so that
+    a busy key is cut in many tasks before its remainder meets in one. Keys asked for without a limit
+    keep all rows, unranked and spread over the same tasks.
+    """
+    questions = wanted.groupBy("_key").agg(
+        F.max("_limit").alias("_most"), F.bool_or(F.col("_limit").isNull()).alias("_all"))
+    shapes = wanted.select(F.collect_set("_key.shape").alias("s")).scalar()  # at most 2 ** filters numbers
+
+    def key(mask: int) -> Column:
+        return F.struct(F.col("node_id"), F.lit(mask).alias("shape"), *[
+            (c if mask >> i & 1 else F.lit(None).cast("string")).alias(f"f{i}") for i, c in enumerate(equal)])
+
+    def fits(mask: int) -> Column:
+        # a shape that asks for a value the row lacks can match no request
+        out = F.array_contains(F.col("_shapes"), mask)
+        for i, c in enumerate(equal):
             if mask >> i & 1:
-                reqs, on = reqs.where(F.col(f"r_{c}").isNotNull()), on & (wanted[f"r_{c}"] == events[c])
-            else:
-                reqs = reqs.where(F.col(f"r_{c}").isNull())
-        part = reqs.join(events, on).drop(wanted["node_id"]).where(
-            F.col("_since").isNull() | (F.col("timestamp") >= F.col("_since")))
-        out = part if out is None else out.unionByName(part)
-    return out
+                out = out & c.isNotNull()
+        return out
+
+    keys = F.array_compact(F.array(*[F.when(fits(m), key(m)) for m in range(1 << len(equal))]))
+    visits = rows.withColumn("_shapes", shapes).withColumn("_key", F.explode(keys)).drop("_shapes").join(questions, "_key")
+    # a key may be asked for both ways
+    ways = F.array_compact(F.array(F.when(F.col("_most").isNotNull(), F.lit("first")), F.when(F.col("_all"), F.lit("all"))))
+    visits = visits.withColumn("_way", F.explode(ways)).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)))
+    ranked = F.col("_way") == "first"
+
+    def cut(df: DataFrame, *keys: Column | str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn("rank", F.when(ranked, rank)).where(~ranked | (F.col("rank") <= F.col("_most")))
+
+    found = cut(cut(visits, "_key", "_way", "_salt"), "_key", "_way", F.when(~ranked, F.col("_salt")))
+    mine = wanted.withColumn("_way", F.when(F.col("_limit").isNull(), F.lit("all")).otherwise(F.lit("first")))
+    # a lower time bound only cuts the old end of newest-first rows, so ranks stay what they are
+    late = F.col("_since").isNull() | (F.col("timestamp") >= F.col("_since"))
+    return mine.join(found.drop("_most", "_all", "_salt"), ["_key", "_way"]).where(
+        (F.col("_limit").isNull() | (F.col("rank") <= F.col("_limit"))) & late).select("query_id", "rank", *rows.columns)
+
+
+def retrieve_evidence(requests: DataFrame, events: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Newest events for each auth_log request: query_id, rank and the event's columns.
+
+    Every request has its own limit: absent means 20, zero or less means all (their rank is NULL).
+    Filters that are absent or empty are ignored.
+    """
+    wanted = _wanted(requests.where(F.col("source") == "auth_log"), nodes, _OPTIONAL)
+    return _answers(wanted, events, [F.col(c) for c in _OPTIONAL], [F.desc("timestamp"), F.desc("id")])
 
 
 def content_hash() -> Column:
@@ -126,28 +120,14 @@ def auth_evidence(retrieved: DataFrame, minimize: bool = False) -> DataFrame:
     return out.drop("message", "raw_line") if minimize else out
 
 
-def retrieve_alerts(requests: DataFrame, alerts: DataFrame, nodes: DataFrame | None = None,
-                    limit: int = fixed.REQUEST_LIMIT) -> DataFrame:
-    """First alerts by time for each alert request, by rule id if it names one.
+def retrieve_alerts(requests: DataFrame, alerts: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """First alerts by time for each alert request, by rule id if it names one; limits as above.
 
-    ``alerts`` carries node_id and is first cut to the ``limit`` earliest per node and rule, and per
-    node, which every request draws from. A request's own smaller limit applies to its rank there.
+    ``alerts`` carries node_id.
     """
-    wanted = requests.where(F.col("source") != "auth_log")
-    if nodes is not None:
-        wanted = node_targeting(wanted, nodes)
-    own = F.col("limit") if "limit" in requests.columns else F.lit(limit)
-    wanted = wanted.select(
-        "query_id", F.col("node_id").alias("_node"), F.col("filters.rule_id").alias("_rule"),
-        F.when(own.between(1, limit), own).otherwise(
-            F.raise_error(F.lit("request limit outside 1..limit")).cast("int")).alias("_limit"))
-    order = [F.asc("timestamp"), F.asc("id")]
-    fine = _top(alerts.withColumn("_id", F.col("rule.id")), ["node_id", "_id"], limit, order).drop("rank")
-    keyed = fine.withColumn("_key", F.explode(F.array_distinct(F.array(
-        F.col("_id"), F.lit(None).cast("string")))))
-    top = _top(keyed, ["node_id", "_key"], limit, order)
-    on = (wanted["_node"] == top["node_id"]) & wanted["_rule"].eqNullSafe(top["_key"])
-    return wanted.join(top, on).where(F.col("rank") <= F.col("_limit")).select(
+    wanted = _wanted(requests.where(F.col("source") != "auth_log"), nodes, ["rule_id"]).withColumn(
+        "_since", F.lit(None).cast("string"))
+    return _answers(wanted, alerts, [F.col("rule.id")], [F.asc("timestamp"), F.asc("id")]).select(
         "query_id", *alerts.columns)
 
 

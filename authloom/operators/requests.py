@@ -10,7 +10,7 @@ from authloom.functions.text import non_empty, short_hash
 
 FILTERS = (
     "struct<src_ip:string,process:string,log_type:string,since:timestamp_ntz,"
-    "rule_id:string,source:string>"
+    "rule_id:string,source:string,dst_user:string>"
 )
 
 
@@ -26,7 +26,7 @@ def fresh_signals(signals: DataFrame, now: Column,
     return signals.where(at.isNull() | (now - F.make_dt_interval(secs=F.lit(max_age_seconds)) <= at))
 
 
-def query_requests(signals: DataFrame, case_id: str = "case-soc-001",
+def query_requests(signals: DataFrame, case_id: str,
                    limit: int = fixed.REQUEST_LIMIT) -> DataFrame:
     """One evidence request per signal."""
     rule = F.coalesce("detection_rule_id", F.lit(""))
@@ -51,6 +51,7 @@ def query_requests(signals: DataFrame, case_id: str = "case-soc-001",
             nothing.cast("timestamp_ntz").alias("since"),
             F.when(~is_auth, F.col("rule_id")).alias("rule_id"),
             nothing.cast("string").alias("source"),
+            nothing.cast("string").alias("dst_user"),
         ).alias("filters"),
         F.lit(limit).alias("limit"),
     )
@@ -83,7 +84,7 @@ def query_events(events: DataFrame, filters: dict | None = None,
     """Events matching the given filters, newest first; a limit of None or <= 0 returns all."""
     filters = filters or {}
     out = events
-    for name in ("src_ip", "process", "log_type"):
+    for name in ("src_ip", "process", "log_type", "dst_user"):
         if filters.get(name):
             out = out.where(F.col(name) == filters[name])
     if filters.get("since"):
@@ -107,6 +108,8 @@ def filter_alerts(alerts: DataFrame, time_window: str | None = None,
     if rule_id:
         out = out.where(F.col("rule.id") == rule_id)
     if filters.get("source"):
+        if "source" not in alerts.columns:
+            raise ValueError("a filter on the source needs alerts with a source column")
         out = out.where(F.col("source") == filters["source"])
     return out
 

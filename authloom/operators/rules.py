@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import json
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from authloom import schemas
 from authloom.functions import fixed
-from authloom.functions.sizes import BROADCAST_BYTES
 from authloom.functions.text import like_any, non_empty
 
-# Up to this many rules become plain predicates in one projection; more become a join.
-INLINE_RULES = 64
-
 _DEFAULTS = {
     "severity": "medium",
     "category": "unknown",
@@ -25,6 +22,50 @@ _DEFAULTS = {
 }
 
 
+class Rule(NamedTuple):
+    """A usable rule with every default filled in."""
+
+    rule_id: str
+    name: str
+    severity: str
+    category: str
+    process: str
+    patterns: list[str]
+    count: int
+    window_seconds: int
+    group_by: str | None
+    cooldown_seconds: int
+    suggested_logs: list[str]
+
+
+def normalise(rules: list[dict]) -> tuple[list[Rule], list[str]]:
+    """Usable rules, and for every other one why it is none.
+
+    A value that is absent and one that is null both mean the default.
+    """
+    usable, problems = [], []
+    for k, raw in enumerate(rules):
+        try:
+            match, threshold, signal = ((raw.get(part) or {}) for part in ("match", "threshold", "signal"))
+
+            def value(source: dict, name: str):
+                found = source.get(name)
+                return _DEFAULTS.get(name) if found is None else found  # noqa: B023
+
+            if not raw.get("id"):
+                raise ValueError("has no id")
+            if not match.get("process") or not match.get("patterns"):
+                raise ValueError("has no process or no patterns")
+            usable.append(Rule(
+                str(raw["id"]), str(raw.get("name") or raw["id"]), str(value(raw, "severity")), str(value(raw, "category")),
+                str(match["process"]), [str(p) for p in match["patterns"]], int(value(threshold, "count")),
+                int(value(threshold, "window_seconds")), threshold.get("group_by") or None,
+                int(value(raw, "cooldown_seconds")), list(value(signal, "suggested_logs"))))
+        except (AttributeError, TypeError, ValueError) as e:
+            problems.append(f"rule {k}: {e}")
+    return usable, problems
+
+
 def load_rules(path: str) -> list[dict]:
     """Rules of a YAML or JSON catalog file (a small driver-side configuration)."""
     with open(path, encoding="utf-8") as fh:
@@ -41,12 +82,12 @@ def load_rules(path: str) -> list[dict]:
 def parse_catalog(docs: DataFrame, column: str = "doc") -> DataFrame:
     """One row per usable rule from JSON rule documents, defaults filled in.
 
-    A rule without a process or without patterns is skipped.
+    A rule without id, without a process or without patterns is skipped.
     """
     r = F.from_json(F.col(column), schemas.RULE)
     rules = docs.select(r.alias("r")).where("r IS NOT NULL").select(
-        F.col("r.id").alias("rule_id"),
-        F.col("r.name").alias("name"),
+        non_empty(F.col("r.id")).alias("rule_id"),
+        F.coalesce(non_empty(F.col("r.name")), "r.id").alias("name"),
         F.coalesce("r.severity", F.lit(_DEFAULTS["severity"])).alias("severity"),
         F.coalesce("r.category", F.lit(_DEFAULTS["category"])).alias("category"),
         non_empty(F.col("r.match.process")).alias("process"),
@@ -54,48 +95,25 @@ def parse_catalog(docs: DataFrame, column: str = "doc") -> DataFrame:
         F.coalesce("r.threshold.count", F.lit(_DEFAULTS["count"])).alias("count"),
         F.coalesce("r.threshold.window_seconds", F.lit(_DEFAULTS["window_seconds"]))
         .alias("window_seconds"),
-        F.col("r.threshold.group_by").alias("group_by"),
+        non_empty(F.col("r.threshold.group_by")).alias("group_by"),
         F.coalesce("r.cooldown_seconds", F.lit(_DEFAULTS["cooldown_seconds"]))
         .alias("cooldown_seconds"),
         F.coalesce("r.signal.suggested_logs", F.array(*map(F.lit, _DEFAULTS["suggested_logs"])))
         .alias("suggested_logs"),
     )
-    return rules.where(F.col("process").isNotNull() & (F.size("patterns") > 0))
-
-
-def rule_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:
-    """The catalog as a DataFrame, hinted for broadcast only when measurably small."""
-    text = json.dumps(rules, ensure_ascii=False)
-    docs = spark.range(1).select(
-        F.explode(F.from_json(F.lit(text), "array<string>")).alias("doc"))
-    frame = parse_catalog(docs)
-    return F.broadcast(frame) if len(text.encode()) <= BROADCAST_BYTES else frame
-
+    return rules.where(F.col("rule_id").isNotNull() & F.col("process").isNotNull() & (F.size("patterns") > 0))
 
-def usable(rules: list[dict]) -> list[dict]:
-    return [r for r in rules if r.get("match", {}).get("process") and r["match"].get("patterns")]
 
-
-def window_seconds(rule: dict) -> int:
-    return rule.get("threshold", {}).get("window_seconds", _DEFAULTS["window_seconds"])
-
-
-def _group_key(group_by: Column) -> Column:
-    value = F.when(group_by == "src_ip", F.col("src_ip")).when(
-        group_by == "dst_user", F.col("dst_user"))
-    return F.coalesce(value, F.lit(fixed.GLOBAL_GROUP))
-
-
-def _rule_struct(rule: dict) -> Column:
-    th = rule.get("threshold", {})
-    group_by = th.get("group_by")
+def _rule_struct(rule: Rule, columns: list[str]) -> Column:
+    if rule.group_by and rule.group_by not in columns:
+        raise ValueError(f"rule {rule.rule_id!r} groups by {rule.group_by!r}, which events do not have")
+    value = F.col(rule.group_by).cast("string") if rule.group_by else F.lit(None).cast("string")
     return F.struct(
-        F.lit(rule["id"]).alias("rule_id"),
-        F.lit(th.get("count", _DEFAULTS["count"])).cast("int").alias("need"),
-        F.lit(window_seconds(rule)).cast("int").alias("window_seconds"),
-        F.lit(rule.get("cooldown_seconds", _DEFAULTS["cooldown_seconds"])).cast("int")
-        .alias("cooldown_seconds"),
-        _group_key(F.lit(group_by).cast("string")).alias("group_key"),
+        F.lit(rule.rule_id).alias("rule_id"),
+        F.lit(rule.count).cast("int").alias("need"),
+        F.lit(rule.window_seconds).cast("int").alias("window_seconds"),
+        F.lit(rule.cooldown_seconds).cast("int").alias("cooldown_seconds"),
+        F.coalesce(value, F.lit(fixed.GLOBAL_GROUP)).alias("group_key"),
     )
 
 
@@ -103,25 +121,23 @@ def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
     """Event rows x matching rules, adding rule_id, need, window_seconds, cooldown_seconds and
     group_key, in one pass over the events for all rules.
 
-    Few rules: one constant predicate each, all inside one code-generated projection, with the
-    process list pushed to the scan. Many rules: an equi join on process with the LIKE as residual.
+    Rules become constant predicates below a CASE over their process, so an event is held against
+    the patterns of its own process only, and the process list reaches the scan. A rule may group by
+    any column of the events; unusable rules match nothing (``normalise`` names them).
     """
-    rules = usable(rules)
-    if not rules:
-        return match_rules(events, [_NEVER])
-    if len(rules) > INLINE_RULES:
-        return _match_by_join(events, rules)
-    processes = sorted({r["match"]["process"] for r in rules})
-    hits = F.array_compact(F.array(*[
-        F.when(
-            (F.col("process") == r["match"]["process"])
-            & like_any(F.col("message"), r["match"]["patterns"]),
-            _rule_struct(r),
-        )
-        for r in rules
-    ]))
+    by_process: dict[str, list[Rule]] = {}
+    for rule in normalise(rules)[0]:
+        by_process.setdefault(rule.process, []).append(rule)
+    if not by_process:
+        return match_rules(events.where("false"), [_NEVER])
+    hits = None
+    for process, own in sorted(by_process.items()):
+        found = F.array_compact(F.array(*[
+            F.when(like_any(F.col("message"), r.patterns), _rule_struct(r, events.columns)) for r in own]))
+        here = F.col("process") == process
+        hits = F.when(here, found) if hits is None else hits.when(here, found)
     return (
-        events.where(F.col("process").isin(processes))
+        events.where(F.col("process").isin(sorted(by_process)))
         .withColumn("_r", F.explode_outer(hits))
         .where(F.col("_r").isNotNull())
         .select("*", "_r.*")
@@ -129,20 +145,4 @@ def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
     )
 
 
-_NEVER = {"id": "-", "match": {"process": "\n", "patterns": ["\n"]}}
-
-
-def _match_by_join(events: DataFrame, rules: list[dict]) -> DataFrame:
-    spark = events.sparkSession
-    frame = rule_frame(spark, rules).select(
-        "rule_id", F.col("process").alias("_proc"), "patterns", F.col("count").alias("need"),
-        "window_seconds", "cooldown_seconds", "group_by",
-    )
-    joined = events.join(frame, F.col("process") == F.col("_proc"))
-    matched = F.exists(
-        "patterns",
-        lambda p: F.like(F.col("message"), F.concat(
-            F.lit("%"), F.replace(p, F.lit("\\"), F.lit("\\\\")), F.lit("%"))),
-    )
-    return joined.where(matched).withColumn("group_key", _group_key(F.col("group_by"))).drop(
-        "_proc", "patterns", "group_by")
+_NEVER = {"id": "-", "match": {"process": "-", "patterns": ["-"]}}

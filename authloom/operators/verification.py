@@ -1,32 +1,30 @@
 """Checks of an analysis against its evidence, per case.
 
-Lists that could grow with a case are kept as rows (dangling references, lineage status). Issue
-texts name at most ``LISTED`` values; the row tables hold all of them.
+Lists that could grow with a case are kept as rows (dangling references, lineage status). An issue
+text names every value it is about.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from authloom.functions import fixed
 from authloom.functions.text import compact, non_empty
 
-LISTED = 1000
-
-
 def _blank(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) == ""
 
 
 def _listing(df: DataFrame, value: str, order: str, at_least: int = 1) -> DataFrame:
-    """case_key -> python-style list text of the first LISTED values, for enough values."""
-    w = Window.partitionBy("case_key").orderBy(order, value)
-    head = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= LISTED)
-    items = F.array_sort(F.collect_list(F.struct("_rn", value)))
-    return head.groupBy("case_key").agg(items.alias("_i")).where(F.size("_i") >= at_least).select(
+    """case_key -> python-style list text of all its values in order, for enough values.
+
+    ``array_join`` over the sorted values of a case: the text itself is as long as that.
+    """
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(value).alias("_v"))))
+    return df.groupBy("case_key").agg(items.alias("_i")).where(F.size("_i") >= at_least).select(
         "case_key", F.concat(
-            F.lit("'"), F.array_join(F.transform("_i", lambda x: x[value]), "', '"), F.lit("'"),
+            F.lit("'"), F.array_join(F.transform("_i", lambda x: x["_v"]), "', '"), F.lit("'"),
         ).alias("listed"))
 
 

@@ -13,7 +13,7 @@ def signals(events: DataFrame, rules: list[dict]) -> DataFrame:
 
 
 def evidence_for(sig: DataFrame, events: DataFrame,
-                 case_id: str = "case-soc-001") -> tuple[DataFrame, DataFrame, DataFrame]:
+                 case_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signals, requests, auth evidence rows)."""
     asked = requests.query_requests(sig, case_id)
     return sig, asked, evidence.auth_evidence(evidence.retrieve_evidence(asked, events))

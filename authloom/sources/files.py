@@ -16,31 +16,37 @@ def _file_path() -> Column:
     return F.col("_metadata.file_path")
 
 
-def _plain(path: str | Column) -> Column:
-    """Path without scheme, so that registry paths and file metadata compare."""
-    col = F.lit(path) if isinstance(path, str) else path
-    return F.regexp_replace(col, r"^[a-z0-9]+:/+", "/")
+def _plain(path: Column) -> Column:
+    """A file's path as it is registered: without scheme, and with blanks and signs for their codes.
+
+    File metadata are encoded as an address is, but ``+`` stands for itself there.
+    """
+    bare = F.regexp_replace(path, r"^[a-z0-9]+:/+", "/")
+    return F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)
 
 
-# Up to this many nodes their paths become one CASE expression, more become hash lookups.
-INLINE_NODES = 32
+def resolve(path: str, base: str | None = None) -> str:
+    """A registered path; a relative one stands below ``base`` (of the registry file, as a rule)."""
+    if path.startswith("/") or ":/" in path:
+        return path
+    if base is None:
+        raise ValueError(f"relative path {path!r} needs a base folder")
+    return f"{base.rstrip('/')}/{path.removeprefix('./')}"
 
 
 def _root(path: str) -> str:
-    return "/" + path.split(":", 1)[-1].strip("/")
+    """Path without scheme and closing slash; the root folder is the empty text."""
+    return ("/" + path.split(":", 1)[-1].strip("/")).rstrip("/")
 
 
 def tag_node(df: DataFrame, path: Column, nodes: dict[str, str]) -> DataFrame:
     """Add ``node_id``: the node whose registered file or folder holds the row's file; the deepest
-    one where several do. ``nodes`` maps path to node id."""
+    one where several do. ``nodes`` maps path to node id.
+
+    One equi join per distinct depth of the registered paths, of which there are few, with the
+    file's ancestor at that depth.
+    """
     roots = {_root(p): n for p, n in nodes.items()}
-    if len(roots) <= INLINE_NODES:
-        out = None
-        for root, node in sorted(roots.items(), key=lambda kv: -len(kv[0])):
-            cond = (path == root) | path.startswith(root.rstrip("/") + "/")
-            out = F.when(cond, F.lit(node)) if out is None else out.when(cond, F.lit(node))
-        return df.withColumn("node_id", out)
-    # one lookup per distinct depth of the registered paths, of which there are few
     depths = sorted({r.count("/") for r in roots}, reverse=True)
     df = df.withColumn("_path", path)
     for d in depths:
@@ -53,19 +59,25 @@ def tag_node(df: DataFrame, path: Column, nodes: dict[str, str]) -> DataFrame:
         "_path", *[f"_n{d}" for d in depths])
 
 
-def read_auth_lines(spark: SparkSession, nodes: dict[str, str]) -> DataFrame:
-    """Non-blank lines of the auth logs of many nodes (``nodes``: path -> node id).
+def _known_node(path: str) -> Column:
+    """The row's node; a file outside all registered paths ends the scan instead of passing as NULL."""
+    return F.coalesce("node_id", F.raise_error(F.concat(F.lit("no node is registered for "), F.col(path))).cast("string"))
+
+
+def read_auth_lines(spark: SparkSession, nodes: dict[str, str], base: str | None = None) -> DataFrame:
+    """Non-blank lines of the auth logs of many nodes (``nodes``: path -> node id, relative to ``base``).
 
     Lines end at ``\\n`` only. Inside a file, ``block_start`` and ``read_order`` give the line order:
     the offset of the split, then the order in which the split is read.
     """
+    nodes = {resolve(p, base): n for p, n in nodes.items()}
     lines = spark.read.option("lineSep", "\n").text(list(nodes)).select(
         _plain(_file_path()).alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("read_order"),
         "value",
     )
-    tagged = tag_node(lines, F.col("file"), nodes)
+    tagged = tag_node(lines, F.col("file"), nodes).withColumn("node_id", _known_node("file"))
     return tagged.where(unicode_trim(F.col("value")) != "")
 
 
@@ -113,16 +125,18 @@ _READERS = {
 
 
 def scan_source(spark: SparkSession, entries: list[dict], source: str,
-                nodes: list[str] | None = None, schema: str | None = None) -> DataFrame:
+                nodes: list[str] | None = None, schema: str | None = None,
+                base: str | None = None) -> DataFrame:
     """One logical source over all or some nodes, each read in its registered format.
 
     ``entries`` are registry rows (driver-side configuration, one per node and source). Pass
     ``schema`` for JSON and CSV sources to avoid inference. Entries of one format share one reader.
+    Relative paths stand below ``base``.
     """
     by_format: dict[str, dict[str, str]] = {}
     for e in entries:
         if e["source_name"] == source and (nodes is None or e["node_id"] in nodes):
-            by_format.setdefault(e.get("format") or "json", {})[e["local_path"]] = e["node_id"]
+            by_format.setdefault(e.get("format") or "json", {})[resolve(e["local_path"], base)] = e["node_id"]
     if not by_format:
         raise ValueError(f"source {source!r} is not registered for these nodes")
     out = None
@@ -132,7 +146,7 @@ def scan_source(spark: SparkSession, entries: list[dict], source: str,
             df = reader.json(list(paths)) if fmt == "json" else reader.option("header", True).csv(list(paths))
         else:
             df = _READERS[fmt](spark, list(paths))
-        part = tag_node(df.select("*", _plain(_file_path()).alias("_file")), F.col("_file"), paths).drop(
-            "_file")
+        part = tag_node(df.select("*", _plain(_file_path()).alias("_file")), F.col("_file"), paths).withColumn(
+            "node_id", _known_node("_file")).drop("_file")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out

@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authloom import schemas
-from authloom.functions.sizes import small_side
 
 _FIELDS = ["source_name", "source_type", "local_path", "format", "query_engine", "query_endpoint",
            "retention_days"]
 
 
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Registry file (one object or a list, flat or with nested ``sources``), one row per source."""
-    return flatten_registry(spark.read.schema(schemas.REGISTRY).option("multiLine", True).json(path))
+    """Registry file (one object or a list, flat or with nested ``sources``), one row per source.
+
+    ``entry_no`` is an entry's place in the file.
+    """
+    entries = spark.read.text(path, wholetext=True).select(
+        F.posexplode(F.from_json("value", f"array<struct<{schemas.REGISTRY}>>")).alias("entry_no", "r"))
+    return flatten_registry(entries.select("entry_no", "r.*"))
 
 
 def parse_registry(docs: DataFrame, column: str = "doc") -> DataFrame:
@@ -50,7 +54,7 @@ def registry_lookup(requests: DataFrame, registry: DataFrame) -> DataFrame:
         F.when(F.col("_hit").isNull(), F.lit("source not found"))
         .when(F.coalesce("local_path", F.lit("")) == "", F.lit("source has no path"))
     )
-    known = small_side(hit.withColumn("_hit", F.lit(True)))
+    known = hit.withColumn("_hit", F.lit(True))
     return requests.join(known, ["node_id", "source"], "left").withColumn(
         "error", error).drop("_hit")
 

@@ -13,27 +13,29 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import (
     BooleanType, IntegerType, LongType, StringType, StructField, StructType,
 )
 
+from authloom.operators.detection import _accepted
 from authloom.operators.rules import match_rules
 from authloom.streaming.ingest import to_table
 
 _SECOND = 1_000_000
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _OUT = StructType([
     StructField("node_id", StringType()), StructField("rule_id", StringType()),
     StructField("group_key", StringType()), StructField("us", LongType()),
-    StructField("window_count", LongType()), StructField("flush", BooleanType()),
+    StructField("window_count", LongType()),
 ])
 
 
 class ThresholdProcessor(StatefulProcessor):
-    """Sliding threshold with cool-down for one (node, rule, group, rules version)."""
+    """Sliding threshold with cool-down for one (node, rule, group, rules version, flush flag).
+
+    Rows with the flag only move the watermark; they leave no state.
+    """
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -48,6 +50,8 @@ class ThresholdProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         """Append the new instants; each call costs a handful of state operations, whatever its size."""
+        if key[4]:
+            return iter([])
         rule, fresh = self.rule.get(), []
         for pdf in rows:
             if rule is None:
@@ -74,26 +78,24 @@ class ThresholdProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         need, window, cooldown, last, _ = self.rule.get()
-        merged: dict[int, tuple[int, bool]] = {}
-        for us, n, judged in self.counts.get():
-            old = merged.get(us, (0, False))
-            merged[us] = (old[0] + n, old[1] or judged)
-        state = [(us, *merged[us]) for us in sorted(merged)]
-        out, low, total, waiting = [], 0, 0, None
-        for us, n, judged in state:
-            if us >= mark:
-                waiting = us
-                break
-            total += n
-            while state[low][0] < us - window:
-                total -= state[low][1]
-                low += 1
-            if not judged and total >= need and (last is None or us >= last + cooldown):
-                last = us
-                out.append((*key[:3], us, total, False))
+        stored = list(self.counts.get())
+        every = np.array([r[0] for r in stored], dtype=np.int64)
+        us, at = np.unique(every, return_inverse=True)
+        n, judged = np.zeros(len(us), dtype=np.int64), np.zeros(len(us), dtype=bool)
+        np.add.at(n, at, [r[1] for r in stored])
+        np.logical_or.at(judged, at, [r[2] for r in stored])
+        due = int(np.searchsorted(us, mark))  # instants before the watermark are complete
+        waiting = int(us[due]) if due < len(us) else None
+        total = np.concatenate(([0], np.cumsum(n)))
+        count = total[1:] - total[np.searchsorted(us, us - window)]
+        hits = np.flatnonzero(~judged[:due] & (count[:due] >= need))
+        out = []
+        if len(hits):
+            fired, last = _accepted(us[hits], cooldown, last)
+            out = [(*key[:3], int(us[h]), int(count[h])) for h in hits[fired]]
         # an instant more than one window behind all that is to come counts for nothing any more
         keep = (mark if waiting is None else min(mark, waiting)) - window
-        left = [(us, n, us < mark) for us, n, _ in state if us >= keep]
+        left = [(int(u), int(c), bool(u < mark)) for u, c in zip(us, n) if u >= keep]
         if waiting is not None:
             self.counts.put(left)
             self.rule.update(self._arm((need, window, cooldown, last, None), waiting))
@@ -120,55 +122,65 @@ def detect_stream(events: DataFrame, rules: list[dict], delay: str,
     """Fires of an event stream. A new ``rules_version`` starts from empty cool-downs and counts,
     as a rule reload does."""
     matched = (
-        match_rules(events.where("NOT flush"), rules)
-        .unionByName(match_rules_flush(events), allowMissingColumns=True)
+        _with_flush(events, rules)
         .withColumn("timestamp", F.col("timestamp").cast("timestamp"))
         .withWatermark("timestamp", delay)
-        .select("node_id", "rule_id", "group_key", F.lit(rules_version).alias("rules_version"),
+        .select("node_id", "rule_id", "group_key", F.lit(rules_version).alias("rules_version"), "flush",
                 F.unix_micros("timestamp").alias("us"), "need", "window_seconds",
                 "cooldown_seconds", "timestamp")
     )
-    found = matched.groupBy("node_id", "rule_id", "group_key", "rules_version").transformWithStateInPandas(
+    found = matched.groupBy(
+        "node_id", "rule_id", "group_key", "rules_version", "flush").transformWithStateInPandas(
         statefulProcessor=ThresholdProcessor(), outputStructType=_OUT, outputMode="Append",
         timeMode="EventTime")
-    return found.where(F.col("rule_id") != "flush").select(
+    return found.select(
         "node_id", "rule_id", "group_key", F.timestamp_micros("us").alias("timestamp"), "window_count")
 
 
-def match_rules_flush(events: DataFrame) -> DataFrame:
-    """Flush rows as a match of their own, so that they move the watermark and nothing else."""
-    return events.where("flush").select(
-        "*", F.lit("flush").alias("rule_id"), F.lit(2**31 - 1).alias("need"),
-        F.lit(1).alias("window_seconds"), F.lit(0).alias("cooldown_seconds"),
-        F.lit("flush").alias("group_key"))
+def _with_flush(events: DataFrame, rules: list[dict]) -> DataFrame:
+    """Matches, and rows with the ``flush`` flag as they are, so that they move the watermark."""
+    flush = events.where("flush").select(
+        "*", F.lit("").alias("rule_id"), F.lit(2**31 - 1).alias("need"),
+        F.lit(1).alias("window_seconds"), F.lit(0).alias("cooldown_seconds"), F.lit("").alias("group_key"))
+    return match_rules(events.where("NOT flush"), rules).unionByName(flush, allowMissingColumns=True)
+
+
+LANDED = ["node_id", "id", "timestamp", "process", "message", "src_ip", "dst_user", "hostname", "log_type"]
 
 
 def land_events(events: DataFrame, path: str) -> None:
-    """Land a finished history as closed files, then one far-future row that ends event time.
+    """Append closed events to a landing folder, as many tasks as the events have."""
+    cols = [c for c in LANDED if c in events.columns]
+    events.select(*cols, F.lit(False).alias("flush")).write.mode("append").parquet(path)
 
-    An append-mode stream only emits what the watermark has passed; the last row lets it pass all.
-    """
-    cols = ["node_id", "id", "timestamp", "process", "message", "src_ip", "dst_user"]
-    history = events.select(*cols, F.lit(False).alias("flush"))
-    history.repartitionByRange(4, "timestamp").write.mode("append").parquet(path)
-    end = events.sparkSession.range(1).select(
-        F.lit("-").alias("node_id"), F.lit(-1).cast("bigint").alias("id"),
-        F.lit("2100-01-01 00:00:00").cast("timestamp_ntz").alias("timestamp"),
-        F.lit("-").alias("process"), F.lit("-").alias("message"),
-        F.lit(None).cast("string").alias("src_ip"), F.lit(None).cast("string").alias("dst_user"),
-        F.lit(True).alias("flush"))
-    end.write.mode("append").parquet(path)
-
-
-def _landed(spark: SparkSession, path: str) -> DataFrame:
+
+def land_end(spark: SparkSession, path: str) -> None:
+    """One far-future row that ends event time: an append-mode stream only emits what the watermark
+    has passed, and this lets it pass everything that was landed before."""
+    schema = spark.read.parquet(path).schema
+    fixed_values = {"node_id": F.lit("-"), "id": F.lit(-1).cast("bigint"), "process": F.lit("-"), "message": F.lit("-"),
+                    "timestamp": F.lit("2100-01-01 00:00:00").cast("timestamp_ntz"), "flush": F.lit(True)}
+    spark.range(1).select(*[
+        fixed_values.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in schema
+    ]).write.mode("append").parquet(path)
+
+
+def _landed(spark: SparkSession, path: str, max_files: int) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option(
-        "maxFilesPerTrigger", 100).parquet(path)
+        "maxFilesPerTrigger", max_files).parquet(path)
 
 
 def run_detection(spark: SparkSession, source: str, rules: list[dict], path: str, checkpoint: str,
-                  delay: str = "40 days") -> None:
-    spark.conf.set(PROVIDER, ROCKSDB)
-    to_table(detect_stream(_landed(spark, source), rules, delay), path, checkpoint).awaitTermination()
+                  delay: str = "1 minute", rules_version: int = 0, max_files: int = 1000) -> StreamingQuery:
+    """Work off what has landed since the checkpoint; returns the finished query.
+
+    ``delay`` is how late an event may arrive; a fire is reported that long after its event. The
+    session needs the RocksDB state store (``authloom.session``).
+    """
+    found = detect_stream(_landed(spark, source, max_files), rules, delay, rules_version)
+    query = to_table(found, path, checkpoint)
+    query.awaitTermination()
+    return query
 
 
 def windowed_thresholds(events: DataFrame, rules: list[dict], width: str, delay: str,
@@ -177,8 +189,7 @@ def windowed_thresholds(events: DataFrame, rules: list[dict], width: str, delay:
 
     Built-in aggregation only: cheaper than exact sliding detection, coarser at window edges.
     """
-    matched = match_rules(events.where("NOT flush"), rules).unionByName(
-        match_rules_flush(events), allowMissingColumns=True)
+    matched = _with_flush(events, rules)
     timed = matched.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark(
         "timestamp", delay)
     span = F.window("timestamp", width, slide) if slide else F.window("timestamp", width)
@@ -194,6 +205,7 @@ def windowed_thresholds(events: DataFrame, rules: list[dict], width: str, delay:
 
 
 def run_windows(spark: SparkSession, source: str, rules: list[dict], path: str, checkpoint: str,
-                width: str, delay: str = "40 days") -> None:
-    to_table(windowed_thresholds(_landed(spark, source), rules, width, delay), path,
-             checkpoint).awaitTermination()
+                width: str, delay: str = "1 minute", max_files: int = 1000) -> StreamingQuery:
+    query = to_table(windowed_thresholds(_landed(spark, source, max_files), rules, width, delay), path, checkpoint)
+    query.awaitTermination()
+    return query

@@ -114,7 +114,7 @@ sig AS (SELECT 'sig-' || {h16('node_id', 'rule_id', 'group_key', 'event_time')}
   node_id || '/auth_log#' || group_key || '#' || event_time AS raw_ref, window_count AS matched_count, t
   FROM sig0)"""
 REQUESTS = f"""{SIGNALS},
-req AS (SELECT 'qry-' || {h16('signal_id')} AS query_id, 'case-soc-001' AS case_id, node_id, signal_id,
+req AS (SELECT 'qry-' || {h16('signal_id')} AS query_id, 'case-1' AS case_id, node_id, signal_id,
   'auth_log' AS source, CASE WHEN src_ip <> '0.0.0.0' THEN src_ip END AS f_ip,
   CASE WHEN rule_id LIKE '%SSH%' THEN 'sshd' WHEN rule_id LIKE '%SUDO%' THEN 'sudo' ELSE 'su' END AS f_proc,
   20 AS lim FROM sig)"""
@@ -173,6 +173,7 @@ ask AS (SELECT 'qry-' || o_orderkey AS query_id, 'node-' || o_orderkey % 40 AS n
     """SELECT query_id, local_path, format, CASE WHEN fst.node_id IS NULL THEN 'source not found'
  WHEN local_path = '' THEN 'source has no path' END AS error
  FROM ask LEFT JOIN fst ON ask.node_id = fst.node_id AND ask.source = fst.source_name""")
+ORACLES["registry_file_lookup"] = ORACLES["registry_lookup"]
 add("registry_checks", f"""{REG},
 cl AS (SELECT 'client-' || (c_custkey // 2 * 2 % 1000) AS client_id, 'node-' || c_custkey % 997 AS node_id FROM customer)""",
     """SELECT 'node_without_auth_log' AS problem, client_id AS subject FROM cl
@@ -310,15 +311,29 @@ add("signals_build", SIGNALS, "SELECT * EXCLUDE (t) FROM sig")
 
 # --- joins -----------------------------------------------------------------------------------
 add("rule_matches", MATCH, "SELECT node_id, id, rule_id, group_key FROM mt")
-add("rule_matches_by_join", MATCH, "SELECT node_id, id, rule_id, group_key FROM mt")
+add("rule_matches_large_catalog", MATCH, "SELECT node_id, id, rule_id, group_key FROM mt")
 add("retrieve_evidence", RETRIEVED, "SELECT query_id, node_id, CAST(rank AS INTEGER) AS rank, id FROM got")
+add("rule_group_columns", MATCH, """SELECT node_id, rule_id, coalesce(CASE rule_id WHEN 'LOCAL_SSH_BRUTE_FORCE' THEN hostname
+ WHEN 'LOCAL_SSH_SCAN' THEN log_type WHEN 'LOCAL_SU_FAILURES' THEN CAST(pid AS VARCHAR) WHEN 'LOCAL_SSH_ACCEPTED' THEN hostname END,
+ 'global') AS group_key, count(*) AS matched_count FROM mt GROUP BY ALL""")
 add("retrieve_everything", f"""{PARSED},
 ask AS (SELECT 'qry-' || s_suppkey AS query_id, 'node-' || s_suppkey % 3 AS node_id,
- CASE WHEN s_suppkey % 4 > 0 THEN '10.0.0.' || s_suppkey END AS f_ip, CASE WHEN s_suppkey % 2 = 0 THEN 'sshd' END AS f_proc,
+ CASE WHEN s_suppkey % 4 > 0 THEN '10.0.' || s_suppkey // 256 || '.' || s_suppkey % 256 END AS f_ip,
+ CASE WHEN s_suppkey % 2 = 0 THEN 'sshd' END AS f_proc,
  CASE WHEN s_suppkey % 4 = 0 THEN 'ssh_scan' END AS f_type FROM supplier)""",
-    """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sec DESC, id DESC) AS INTEGER) AS rank, id
+    """SELECT query_id, id
  FROM ask JOIN ev ON ask.node_id = ev.node_id AND (f_ip IS NULL OR f_ip = src_ip) AND (f_proc IS NULL OR f_proc = process)
  AND (f_type IS NULL OR f_type = log_type) WHERE sec >= TIMESTAMP '2024-01-10'""")
+add("retrieve_mixed", f"""{PARSED},
+ask AS (SELECT 'qry-' || s_suppkey AS query_id, 'node-' || s_suppkey % 3 AS node_id,
+ CASE WHEN s_suppkey % 3 = 1 THEN '10.0.0.' || s_suppkey % 256 END AS f_ip, CASE WHEN s_suppkey % 2 = 0 THEN 'su' END AS f_proc,
+ CASE WHEN s_suppkey % 5 < 4 THEN 'user' || s_suppkey % 100 END AS f_user,
+ CASE s_suppkey % 4 WHEN 0 THEN 20 WHEN 1 THEN 3 WHEN 2 THEN 500 END AS most FROM supplier)""",
+    """SELECT query_id, id, CASE WHEN most IS NOT NULL THEN
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY sec DESC, id DESC) AS INTEGER) END AS rank
+ FROM ask JOIN ev ON ask.node_id = ev.node_id AND (f_ip IS NULL OR f_ip = src_ip) AND (f_proc IS NULL OR f_proc = process)
+ AND (f_user IS NULL OR f_user = dst_user)
+ QUALIFY most IS NULL OR row_number() OVER (PARTITION BY query_id ORDER BY sec DESC, id DESC) <= most""")
 REFS = f"""{CASES},
 rf AS (SELECT 'case-' || cno AS case_key, event_id AS ord, CASE WHEN event_id % 73 = 0 THEN 'ev-ghost-' || event_id
  WHEN event_id % 11 = 0 OR event_id % 47 = 0 THEN '' ELSE 'ev-' || event_id END AS evidence_id FROM cr),
@@ -341,6 +356,12 @@ add("threshold_global", SNAP, "SELECT * FROM sn WHERE group_key = 'global'")
 add("threshold_sliding", HITS, f"SELECT node_id, rule_id, group_key, n, window_count, strftime(t, {SECOND}) AS t FROM hit")
 add("cooldown_fires", FIRES, f"SELECT node_id, rule_id, group_key, strftime(t, {SECOND}) AS t, window_count FROM fire")
 add("stream_detect", FIRES, f"SELECT node_id, rule_id, group_key, strftime(t, {SECOND}) AS t, window_count FROM fire")
+# a reload parts every rule's history in two
+RELOADED = FIRES.replace("SELECT ev.*, rl.rule_id, need",
+                         "SELECT ev.*, rl.rule_id || CASE WHEN sec < TIMESTAMP '2024-01-16' THEN '@0' ELSE '@1' END AS rule_id, need")
+add("rule_reload", RELOADED, f"""SELECT node_id, split_part(rule_id, '@', 1) AS rule_id, group_key,
+ strftime(t, {SECOND}) AS t, window_count FROM fire""")
+add("state_cleanup", FIRES, "SELECT rule_id, count(*) AS fires, CAST(0 AS BIGINT) AS state_rows FROM fire GROUP BY rule_id")
 add("detect_stats", FIRES, """SELECT h.rule_id, f.n AS signals_fired, h.n - f.n AS signals_suppressed
  FROM (SELECT rule_id, count(*) AS n FROM hit GROUP BY 1) h JOIN (SELECT rule_id, count(*) AS n FROM fire GROUP BY 1) f USING (rule_id)""")
 add("signal_group_stats", MATCH, f"""SELECT node_id, rule_id, group_key, count(*) AS matched_count,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -142,17 +143,17 @@ def registry_flat(spark, sf):
 
 @query
 def federated_scan(spark, sf):
-    """The auth_log source of two nodes, one stored as text and one as parquet."""
+    """The auth_log source of three nodes in three formats, one path with blanks and one relative."""
     out = shared_dir(spark)
     lines = t.auth_lines(spark, sf)
     entries = []
     for i, fmt in enumerate(["syslog", "parquet", "json"]):
         part = lines.where(F.col("node_id") == f"node-{i}").select("value")
-        path = f"{out}/node-{i}"
-        {"syslog": part.write.text, "parquet": part.write.parquet, "json": part.write.json}[fmt](path)
-        entries.append({"node_id": f"node-{i}", "source_name": "auth_log", "local_path": path,
-                        "format": fmt})
-    return files.scan_source(spark, entries, "auth_log", schema="value string").select("node_id", "value")
+        name = ["logs of node+0 100%", "node-1", "node-2"][i]
+        {"syslog": part.write.text, "parquet": part.write.parquet, "json": part.write.json}[fmt](f"{out}/{name}")
+        entries.append({"node_id": f"node-{i}", "source_name": "auth_log", "format": fmt,
+                        "local_path": f"./{name}" if i == 1 else f"{out}/{name}"})
+    return files.scan_source(spark, entries, "auth_log", schema="value string", base=out).select("node_id", "value")
 
 
 def _sink_rows(spark, sf):
@@ -369,7 +370,7 @@ def registry_retention(spark, sf):
 
 @query
 def query_requests(spark, sf):
-    return requests.query_requests(_signals(spark, sf)).select(
+    return requests.query_requests(_signals(spark, sf), t.CASE_ID).select(
         "query_id", "case_id", "node_id", "signal_id", "source",
         F.col("filters.src_ip").alias("src_ip"), F.col("filters.process").alias("process"),
         F.col("filters.rule_id").alias("rule_id"), "limit")
@@ -403,16 +404,29 @@ def rule_matches(spark, sf):
 
 
 @query
-def rule_matches_by_join(spark, sf):
-    """The join form used for large catalogs gives the same matches."""
-    return rules._match_by_join(t.auth_events(spark, sf), t.rules()).select(
+def rule_matches_large_catalog(spark, sf):
+    """The same rules within a catalog of a hundred, half of them with nulls for defaults."""
+    more = [{"id": f"R{i}", "match": {"process": "sshd" if i % 2 else f"daemon{i}", "patterns": [f"no such text {i}"]},
+             "threshold": {"count": None, "window_seconds": None, "group_by": None} if i % 2 else None,
+             "cooldown_seconds": None} for i in range(100 - len(t.rules()))]
+    return rules.match_rules(t.auth_events(spark, sf), more[:40] + t.rules() + more[40:]).select(
         "node_id", "id", "rule_id", "group_key")
 
 
+@query
+def rule_group_columns(spark, sf):
+    """Rules that group by columns other than address and user."""
+    own = t.rules()
+    for rule, column in zip(own, ["hostname", "log_type", None, "pid", "hostname"]):
+        rule["threshold"]["group_by"] = column
+    return detection.group_stats(t.auth_events(spark, sf), own).select(
+        "node_id", "rule_id", "group_key", "matched_count")
+
+
 @query
 def retrieve_evidence(spark, sf):
     events = t.auth_events(spark, sf)
-    asked = requests.query_requests(_signals(spark, sf))
+    asked = requests.query_requests(_signals(spark, sf), t.CASE_ID)
     return evidence.retrieve_evidence(asked, events).select("query_id", "node_id", "rank", "id")
 
 
@@ -422,23 +436,51 @@ def retrieve_everything(spark, sf):
     events = t.auth_events(spark, sf)
     asked = t.table(spark, sf, "supplier").selectExpr(
         "'qry-' || s_suppkey AS query_id", "'node-' || s_suppkey % 3 AS node_id", "'auth_log' AS source",
-        """named_struct('src_ip', CASE WHEN s_suppkey % 4 > 0 THEN '10.0.0.' || s_suppkey END,
+        """named_struct('src_ip', CASE WHEN s_suppkey % 4 > 0 THEN '10.0.' || s_suppkey div 256 || '.' || s_suppkey % 256 END,
             'process', CASE WHEN s_suppkey % 2 = 0 THEN 'sshd' END,
             'log_type', CASE WHEN s_suppkey % 4 = 0 THEN 'ssh_scan' END,
             'since', TIMESTAMP_NTZ'2024-01-10 00:00:00') AS filters""",
-        "CAST(NULL AS INT) AS limit")
-    return evidence.retrieve_evidence(asked, events, limit=None).select("query_id", "rank", "id")
+        "0 AS limit")
+    return evidence.retrieve_evidence(asked, events).select("query_id", "id")
 
 
 @query
-def registry_lookup(spark, sf):
-    asked = t.table(spark, sf, "orders").selectExpr(
+def retrieve_mixed(spark, sf):
+    """One batch of requests with absent, small, large and no limits, empty filters and users."""
+    asked = t.table(spark, sf, "supplier").selectExpr(
+        "'qry-' || s_suppkey AS query_id", "'node-' || s_suppkey % 3 AS node_id", "'auth_log' AS source",
+        """named_struct('src_ip', CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN '10.0.0.' || s_suppkey % 256 END,
+            'process', CASE WHEN s_suppkey % 2 = 0 THEN 'su' END,
+            'dst_user', CASE WHEN s_suppkey % 5 < 4 THEN 'user' || s_suppkey % 100 END) AS filters""",
+        "CASE s_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 3 WHEN 2 THEN 500 ELSE -(s_suppkey % 2) END AS limit")
+    return evidence.retrieve_evidence(asked, t.auth_events(spark, sf)).select("query_id", "rank", "id")
+
+
+def _source_requests(spark, sf):
+    return t.table(spark, sf, "orders").selectExpr(
         "'qry-' || o_orderkey AS query_id", "'node-' || o_orderkey % 40 AS node_id",
         "CASE o_orderkey % 3 WHEN 0 THEN 'auth_log' WHEN 1 THEN 'wazuh_alerts' ELSE 'nginx_access' END AS source")
+
+
+@query
+def registry_lookup(spark, sf):
+    asked = _source_requests(spark, sf)
     reg = registry.parse_registry(t.registry_docs(spark, sf))
     return registry.registry_lookup(asked, reg).select("query_id", "local_path", "format", "error")
 
 
+@query
+def registry_file_lookup(spark, sf):
+    """The same lookup against registry files, one per node, each a list of entries."""
+    path = shared_dir(spark) + "/registry"
+    docs = t.registry_docs(spark, sf).withColumn("node", F.get_json_object("doc", "$.node_id"))
+    docs.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("entry_no", "doc"))).alias("d")).select(
+        "node", F.concat(F.lit("["), F.array_join(F.transform("d", lambda x: x["doc"]), ",\n"), F.lit("]")).alias("value"),
+    ).write.partitionBy("node").text(path)
+    return registry.registry_lookup(_source_requests(spark, sf), registry.load_registry(spark, path)).select(
+        "query_id", "local_path", "format", "error")
+
+
 @query
 def dangling_refs(spark, sf):
     return verification.dangling_refs(t.cited_refs(spark, sf), t.case_evidence(spark, sf)).select(
@@ -521,46 +563,11 @@ def signal_group_stats(spark, sf):
         "first_time": second("first_time"), "last_time": second("last_time")})
 
 
-_REPLAY = {"step_seconds": t.DAY // 4, "last_tick": 130, "retention_seconds": 20 * t.DAY}
-
-
-@query
-def replay_detect(spark, sf):
-    return detection.replay_detect(t.auth_events(spark, sf), t.rules(), at("2024-01-01 00:00:00"), **_REPLAY)
-
-
-@query
-def high_water(spark, sf):
-    """Fires of the poller with and without the high-water mark, per rule."""
-    events, start = t.auth_events(spark, sf), at("2024-01-01 00:00:00")
-    out = None
-    for name, advance in (("on", True), ("off", False)):
-        r = detection.replay_detect(events, t.rules(), start, advance=advance, **_REPLAY)
-        part = r.groupBy(F.lit(name).alias("mark"), "rule_id").agg(F.count_if("fired").alias("fires"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@query
-def rule_reload(spark, sf):
-    """Fires per tick when the catalog is reloaded at two ticks."""
-    r = detection.replay_detect(t.auth_events(spark, sf), t.rules(), at("2024-01-01 00:00:00"),
-                                reload_ticks=(40, 80), **_REPLAY)
-    return r.where("fired").groupBy("rule_id", "tick").agg(F.count("*").alias("fires"))
-
-
-@query
-def state_cleanup(spark, sf):
-    """A retention shorter than the rule windows: the periodic clean-up costs matches."""
-    return detection.replay_detect(t.auth_events(spark, sf), t.rules(), at("2024-01-01 00:00:00"),
-                                   **{**_REPLAY, "retention_seconds": t.DAY // 2})
-
-
 # --- evidence and normalisation --------------------------------------------------------------
 
 @query
 def evidence_auth(spark, sf):
-    asked = requests.query_requests(_signals(spark, sf))
+    asked = requests.query_requests(_signals(spark, sf), t.CASE_ID)
     return evidence.auth_evidence(evidence.retrieve_evidence(asked, t.auth_events(spark, sf))).drop("rank")
 
 
@@ -904,14 +911,66 @@ def stream_inventory(spark, sf):
     return messages.stream_inventory(t.bus_messages(spark, sf), t.consumers(spark, sf))
 
 
+_HALF = "2024-01-16 00:00:00"
+_LATE = "5 days"
+
+
+def _land_in_pieces(spark, sf, path, since=None, until=None, days=3):
+    """Land events a few days at a time, as a log arrives."""
+    events = t.auth_events(spark, sf)
+    first = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 00:00:00' AS x").first().x
+    for k in range(0, 31, days):
+        lo, hi = (str(first + datetime.timedelta(days=d)) for d in (k, k + days))
+        if (since is None or hi > since) and (until is None or lo < until):
+            detect.land_events(events.where((F.col("timestamp") >= t.naive(max(lo, since or lo)))
+                                            & (F.col("timestamp") < t.naive(min(hi, until or hi)))), path)
+
+
+def _fires_of(spark, out):
+    return spark.read.parquet(f"{out}/fires").select(
+        "node_id", "rule_id", "group_key", second().alias("t"), "window_count")
+
+
 @query
 def stream_detect(spark, sf):
-    """Continuous detection over landed files, replayed to the end."""
+    """Continuous detection in several triggers with a restart; what arrives too late is left out."""
+    out = shared_dir(spark)
+    run = lambda: detect.run_detection(
+        spark, f"{out}/events", t.rules(), f"{out}/fires", f"{out}/ck", delay=_LATE, max_files=8)
+    _land_in_pieces(spark, sf, f"{out}/events", until=_HALF)
+    run()
+    _land_in_pieces(spark, sf, f"{out}/events", since=_HALF)
+    run()
+    # once more the first day, weeks behind the watermark
+    detect.land_events(t.auth_events(spark, sf).where(F.col("timestamp") < t.naive("2024-01-02 00:00:00")), f"{out}/events")
+    run()
+    detect.land_end(spark, f"{out}/events")
+    run()
+    return _fires_of(spark, out)
+
+
+@query
+def rule_reload(spark, sf):
+    """A reload between two runs of one stream: counts and cool-downs begin anew."""
+    out = shared_dir(spark)
+    for version, (since, until) in enumerate([(None, _HALF), (_HALF, None)]):
+        _land_in_pieces(spark, sf, f"{out}/events", since, until, days=31)
+        if version:
+            detect.land_end(spark, f"{out}/events")
+        detect.run_detection(spark, f"{out}/events", t.rules(), f"{out}/fires", f"{out}/ck", delay=_LATE, rules_version=version)
+    return _fires_of(spark, out)
+
+
+@query
+def state_cleanup(spark, sf):
+    """Fires per rule, with the state that is left once all keys have gone quiet."""
     out = shared_dir(spark)
     detect.land_events(t.auth_events(spark, sf), f"{out}/events")
-    detect.run_detection(spark, f"{out}/events", t.rules(), f"{out}/fires", f"{out}/ck")
-    return spark.read.parquet(f"{out}/fires").select(
-        "node_id", "rule_id", "group_key", second().alias("t"), "window_count")
+    detect.land_end(spark, f"{out}/events")
+    done = detect.run_detection(spark, f"{out}/events", t.rules(), f"{out}/fires", f"{out}/ck", delay=_LATE)
+    left = sum(int(o["numRowsTotal"]) for o in done.lastProgress["stateOperators"])
+    return spark.read.parquet(f"{out}/fires").groupBy("rule_id").agg(
+        F.count("*").alias("fires"), F.lit(left).cast("long").alias("state_rows"))
 
 
 @query
@@ -919,7 +978,8 @@ def stream_threshold(spark, sf):
     """Tumbling-window thresholds with a watermark."""
     out = shared_dir(spark)
     detect.land_events(t.auth_events(spark, sf), f"{out}/events")
-    detect.run_windows(spark, f"{out}/events", t.rules(), f"{out}/win", f"{out}/ck", "3 days")
+    detect.land_end(spark, f"{out}/events")
+    detect.run_windows(spark, f"{out}/events", t.rules(), f"{out}/win", f"{out}/ck", "3 days", _LATE)
     return spark.read.parquet(f"{out}/win").select(
         "node_id", "rule_id", "group_key", second("window_start").alias("window_start"), "matched_count")
 

@@ -18,6 +18,7 @@ from authloom.sources.scratch import shared_dir
 from authloom.workload import texts
 
 REF_YEAR = 2024
+CASE_ID = "case-1"
 DAY = 86_400
 
 # The test users are sparse, so the shipped rules get longer windows here.
@@ -50,7 +51,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def base_events(spark: SparkSession, sf: str) -> DataFrame:
     """Events with the parts a log line is made of."""
-    return spread(table(spark, sf, "events")).selectExpr(
+    return table(spark, sf, "events").selectExpr(
         "event_id", "user_id", "event_type",
         "date_trunc('second', ts) AS at",
         "ts",
@@ -82,12 +83,6 @@ def stored(spark: SparkSession, sf: str, name: str,
     return session(spark).read.parquet(_STORED[key])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table of a few small files more than one task; larger tables stay as they are."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if len(df.inputFiles()) < min(wanted, 4) else df
-
-
 def auth_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Stored raw lines: node_id, file, line_no, value."""
     return stored(spark, sf, "lines", lambda s, d: _auth_lines(s, d))
@@ -158,14 +153,14 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
 def chain(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored (signals, requests, evidence)."""
     sig = signals(spark, sf)
-    asked = stored(spark, sf, "requests", lambda s, d: query_requests(sig))
+    asked = stored(spark, sf, "requests", lambda s, d: query_requests(sig, CASE_ID))
     ev = stored(spark, sf, "evidence", lambda s, d: auth_evidence(
         retrieve_evidence(asked, auth_events(s, d))))
     return sig, asked, ev
 
 
 def _case_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "events")).selectExpr(
+    return table(spark, sf, "events").selectExpr(
         "event_id", "user_id", "ts",
         "user_id * 1000 + dayofyear(ts) div (1 + user_id % 7) AS cno",
     )

@@ -4,12 +4,13 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from authloom.workload.oracles import ORACLES
+from authloom.workload.queries import QUERIES
 from tools.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
-ROWS_ONLY = {"replay_detect", "high_water", "rule_reload", "state_cleanup"}
 
 
 @pytest.fixture(scope="module")
@@ -17,14 +18,14 @@ def con():
     return connect(SF)
 
 
-def test_only_the_replay_has_no_sql():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY and set(oracle_sql()) <= set(queries())
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    ok, got, want, diff, _, _ = compare(spark, con, queries()[name], oracle_sql().get(name), SF)
-    assert ok is not False, diff
+    ok, got, want, diff, _, _ = compare(spark, con, QUERIES[name], ORACLES[name], SF)
+    assert ok is True, diff
     assert got > 0
 
 

@@ -28,7 +28,7 @@ def test_request_goldens(spark):
         dict(signal_id="4", rule_id="5710", suggested_logs=[]),
         dict(signal_id="5", rule_id="5710", suggested_logs=["wazuh-alerts", "auth_log"])])
     got = {r.signal_id: (r.source, r.filters.src_ip, r.filters.process, r.filters.rule_id, r.limit)
-           for r in requests.query_requests(df).collect()}
+           for r in requests.query_requests(df, "c").collect()}
     assert got == {
         "1": ("auth_log", "10.0.0.5", "sshd", None, 20), "2": ("auth_log", None, "sudo", None, 20),
         "3": ("auth_log", None, "su", None, 20), "4": ("wazuh_alerts", None, None, "5710", 20),
@@ -50,65 +50,60 @@ def make_events(spark, n=400, seed=3):
     return rows, spark.createDataFrame(rows, EVENT)
 
 
-def make_requests(spark, limit):
+def make_requests(spark, limits):
     since = T0 + timedelta(seconds=30)
     rows = []
-    for i, (ip, proc, kind, s) in enumerate([
-            ("hot", "sshd", None, None), (None, "sudo", None, since), ("b", None, "x", None),
-            (None, None, None, None), ("zz", None, None, None), ("hot", "sshd", None, since)]):
-        rows.append((f"q{i}", "n1" if i != 3 else None, "auth_log", (ip, proc, kind, s, None, None), limit))
-    rows.append(("other", "n1", "wazuh_alerts", (None,) * 6, limit))
+    for i, (ip, proc, kind, s, user) in enumerate([
+            ("hot", "sshd", None, None, None), (None, "sudo", None, since, None), ("b", "", "x", None, ""),
+            (None, None, None, None, None), ("zz", None, None, None, None), ("hot", "sshd", None, since, None),
+            ("hot", "sshd", None, None, ""), (None, None, None, None, "u1")]):
+        rows.append((f"q{i}", "n1" if i != 3 else None, "auth_log", (ip, proc, kind, s, None, None, user), limits[i % len(limits)]))
+    rows.append(("other", "n1", "wazuh_alerts", (None,) * 7, 1))
     return rows, spark.createDataFrame(
         rows, f"query_id string, node_id string, source string, filters {requests.FILTERS}, limit int")
 
 
-def brute(events, reqs, limit):
+def brute(events, reqs):
     out = set()
-    for q, node, source, (ip, proc, kind, since, *_), _ in reqs:
+    for q, node, source, (ip, proc, kind, since, _, _, user), limit in reqs:
         if source != "auth_log":
             continue
+        limit = 20 if limit is None else limit
         for n in [node] if node else ["n1", "n2"]:
             hits = [e for e in events if e[0] == n and (not ip or e[7] == ip) and (not proc or e[4] == proc)
-                    and (not kind or e[10] == kind) and (since is None or e[2] >= since)]
+                    and (not kind or e[10] == kind) and (since is None or e[2] >= since) and (not user or e[9] == user)]
             hits.sort(key=lambda e: (e[2], e[1]), reverse=True)
-            out |= {(q, n, k + 1, e[1]) for k, e in enumerate(hits[:limit] if limit else hits)}
+            out |= {(q, n, k + 1 if limit > 0 else None, e[1]) for k, e in enumerate(hits[:limit] if limit > 0 else hits)}
     return out
 
 
-@pytest.mark.parametrize("limit", [7, None])
-def test_retrieval_equals_brute_force(spark, limit):
+@pytest.mark.parametrize("limits", [[7], [0], [None, 3, 0, 500], [-1, None]])
+def test_retrieval_equals_brute_force(spark, limits):
     erows, ev = make_events(spark)
-    rrows, reqs = make_requests(spark, limit)
+    rrows, reqs = make_requests(spark, limits)
     nodes = spark.createDataFrame([("n1",), ("n2",)], "node_id string")
-    got = evidence.retrieve_evidence(reqs, ev, nodes, limit=limit).collect()
-    assert {(r.query_id, r.node_id, r.rank, r.id) for r in got} == brute(erows, rrows, limit)
+    got = evidence.retrieve_evidence(reqs, ev, nodes).collect()
+    assert {(r.query_id, r.node_id, r.rank, r.id) for r in got} == brute(erows, rrows)
 
 
-def test_a_larger_request_limit_fails_instead_of_cutting(spark):
+def test_retrieval_scans_events_once(spark, tmp_path):
     _, ev = make_events(spark, 50)
-    _, reqs = make_requests(spark, 30)
-    with pytest.raises(Exception, match="request limit"):
-        evidence.retrieve_evidence(reqs, ev, limit=20).collect()
-
-
-def test_retrieval_limits_before_the_shuffle(spark):
-    _, ev = make_events(spark, 50)
-    _, reqs = make_requests(spark, 5)
-    plan = evidence.retrieve_evidence(reqs, ev, limit=5)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    ev.write.parquet(str(tmp_path / "ev"))
+    _, reqs = make_requests(spark, [None, 3, 0])
+    plan = evidence.retrieve_evidence(reqs, spark.read.parquet(str(tmp_path / "ev")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Cartesian" not in plan
 
 
 def test_evidence_rows_and_tamper(spark):
     _, ev = make_events(spark, 30)
-    _, reqs = make_requests(spark, 5)
-    rows = evidence.auth_evidence(evidence.retrieve_evidence(reqs, ev, limit=5)).cache()
+    _, reqs = make_requests(spark, [5])
+    rows = evidence.auth_evidence(evidence.retrieve_evidence(reqs, ev)).cache()
     assert evidence.tampered(rows).count() == 0
     bad = rows.withColumn("pid", F.lit(99))
     assert evidence.tampered(bad).count() == rows.count()
     r = rows.where("src_ip = 'hot'").first()
     assert r.raw_ref == f"{r.node_id}/auth_log#hot#{r.timestamp}" and r.lineage_id == f"{r.query_id}:{r.hash}"
-    assert "message" not in evidence.auth_evidence(evidence.retrieve_evidence(reqs, ev, limit=5), minimize=True).columns
+    assert "message" not in evidence.auth_evidence(evidence.retrieve_evidence(reqs, ev), minimize=True).columns
     summary = {x.query_id: x.evidence_count for x in evidence.query_summary(reqs, rows).collect()}
     assert summary["q4"] == 0 and summary["q0"] == 5
     rows.unpersist()

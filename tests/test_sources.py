@@ -71,7 +71,7 @@ def test_registry_shapes(spark, tmp_path):
     one.write_text(json.dumps(flat))
     many.write_text(json.dumps([flat, nested], indent=2))
     assert registry.load_registry(spark, str(one)).count() == 1
-    reg = registry.load_registry(spark, str(many)).withColumn("entry_no", F.lit(0)).cache()
+    reg = registry.load_registry(spark, str(many)).cache()
     assert {(r.node_id, r.source_name) for r in reg.collect()} == {("n1", "auth_log"), ("n2", "auth_log"), ("n2", "w")}
     asked = spark.createDataFrame([("q1", "n1", "auth_log"), ("q2", "n2", "w"), ("q3", "n3", "w")], "query_id string, node_id string, source string")
     got = {r.query_id: r.error for r in registry.registry_lookup(asked, reg).collect()}
@@ -92,9 +92,9 @@ def test_federated_scan_prunes_nodes(spark, tmp_path):
         files.scan_source(spark, entries, "nothing")
 
 
-def test_many_nodes_use_lookups(spark, tmp_path):
+def test_many_nodes(spark, tmp_path):
     nodes = {}
-    for i in range(files.INLINE_NODES + 5):
+    for i in range(40):
         d = tmp_path / ("deep/er" if i % 2 else "flat") / f"n{i}"
         d.mkdir(parents=True)
         (d / "auth.log").write_text(f"line {i}\n")
@@ -103,6 +103,20 @@ def test_many_nodes_use_lookups(spark, tmp_path):
     assert got == {(f"node-{i}", f"line {i}") for i in range(len(nodes))}
 
 
+def test_paths_that_need_care(spark, tmp_path):
+    names = {"with blank": "n1", "a+b%20c": "n2", "rel/x": "n3", "ümläut": "n4"}
+    for name, n in names.items():
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "auth.log").write_text(f"{n}\n")
+    nodes = {(f"./{k}" if k == "rel/x" else str(tmp_path / k)): n for k, n in names.items()}
+    got = files.read_auth_lines(spark, nodes, base=str(tmp_path)).collect()
+    assert {(r.node_id, r.value) for r in got} == {(n, n) for n in names.values()}
+    with pytest.raises(ValueError, match="base folder"):
+        files.read_auth_lines(spark, {"rel/x": "n3"})
+    df = spark.createDataFrame([("/a/b/f",), ("/c",)], "p string")
+    assert [r.node_id for r in files.tag_node(df, F.col("p"), {"/": "root", "/a": "a"}).orderBy("p").collect()] == ["a", "root"]
+
+
 def test_conform(spark):
     rows = [("2026-05-14T12:00:00+0800", "5", "10.0.0.1", None), ("2026-05-14T12:00:00", "5", "::1", None),
             ("2026-05-14T12:00:00.123+0000", None, None, None), ("1700000000000", "5", "1.1.1.1", None), (None, "1", "1.1.1.1", None),

@@ -1,4 +1,5 @@
 import random
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -12,8 +13,17 @@ def test_stream_detection_equals_batch(spark, tmp_path):
     rnd = random.Random(5)
     items = [(rnd.randrange(3000), rnd.choice(list(MESSAGES)), rnd.choice("aaab"), rnd.choice("uv")) for _ in range(400)]
     ev = events(spark, items)
-    detect.land_events(ev, str(tmp_path / "in"))
-    detect.run_detection(spark, str(tmp_path / "in"), fixed.DEFAULT_RULES, str(tmp_path / "out"), str(tmp_path / "ck"))
+    source, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    run = lambda: detect.run_detection(spark, source, fixed.DEFAULT_RULES, out, ck, delay="10 minutes")
+    for lo in range(0, 3000, 1000):  # a restart after each piece
+        a, b = (F.lit(T0 + timedelta(seconds=s)).cast("timestamp_ntz") for s in (lo, lo + 1000))
+        detect.land_events(ev.where((F.col("timestamp") >= a) & (F.col("timestamp") < b)), source)
+        run()
+    # an hour late: left out
+    detect.land_events(ev.where(F.col("timestamp") < F.lit(T0 + timedelta(seconds=100)).cast("timestamp_ntz")), source)
+    run()
+    detect.land_end(spark, source)
+    run()
     got = {(r.rule_id, r.group_key, int((r.timestamp - T0).total_seconds()), r.window_count)
            for r in spark.read.parquet(str(tmp_path / "out")).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).collect()}
     assert got == brute_fires(items, fixed.DEFAULT_RULES)
