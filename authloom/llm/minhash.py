@@ -12,9 +12,9 @@
    in the order (longest common prefix) and the block's hub: the member next to the block's most
    frequent values. In a region of several blocks every member is also compared with the hubs of all
    blocks, which finds the centre of a large group of near copies.
-4. Candidates are confirmed on the full shingle sets, in two rounds: first the best candidate of each
-   document; then, among what is still unconnected, all remaining candidates and all pairs of
-   one block. Pairs inside one component need no look, which keeps the work of large groups linear.
+4. Candidates are confirmed on the full shingle sets, in three rounds: the best candidate of each
+   document; other candidates between what is still apart; and pairs of one block between what is
+   apart even then. Pairs inside one component need no look, which keeps the work of large groups linear.
 """
 
 from __future__ import annotations
@@ -122,7 +122,7 @@ def _cuts(rows: np.ndarray, most: int) -> list[int]:
     return [*out, n]
 
 
-def _runs(batches):
+def _runs(batches, most: int):
     """Consecutive rows of one region, whole or at most several blocks of it at a time.
 
     Yields key, ids, further long columns and sketches. Rows arrive sorted by key and sketch.
@@ -137,7 +137,7 @@ def _runs(batches):
         key = table[0]
         cut = np.flatnonzero(key[1:] != key[:-1]) + 1
         last = int(cut[-1]) if len(cut) else 0
-        if len(key) - last >= 8 * BLOCK:  # a region far longer than a block goes on in pieces
+        if len(key) - last >= 8 * most:  # a region far longer than a block goes on in pieces
             last = len(key)
         bounds = [0, *[int(c) for c in cut if c < last], last]
         for lo, hi in zip(bounds, bounds[1:], strict=False):
@@ -179,15 +179,15 @@ class _Edges:
         return out
 
 
-def _neighbours(least: int):
+def _neighbours(least: int, most: int):
     """Candidates of sorted regions (kind 0), and the hubs of blocks of larger ones (kind 1)."""
 
     def run(batches):
         out = _Edges()
-        for key, ids, n, rows in _runs(batches):
-            wide = bool(n[0] > BLOCK)
+        for key, ids, n, rows in _runs(batches, most):
+            wide = bool(n[0] > most)
             lo = 0
-            for hi in _cuts(rows, BLOCK):
+            for hi in _cuts(rows, most):
                 block, own = rows[lo:hi], ids[lo:hi]
                 for gap in (1, 2):
                     if len(own) > gap:
@@ -236,24 +236,30 @@ def _with_hubs(least: int):
     return run
 
 
-def _across(least: int):
-    """Pairs of one block that belong to different components."""
+def _across(least: int, strong: int, most: int):
+    """Pairs of one block that belong to different components.
+
+    Of a document all pairs that agree as much as the threshold expects, and the best of the others:
+    what two documents of a dense block have in common with everything there is no sign of a link.
+    """
 
     def run(batches):
         out = _Edges()
-        for key, ids, _, comp, rows in _runs(batches):
+        for key, ids, _, comp, rows in _runs(batches, most):
             lo = 0
-            for hi in _cuts(rows, BLOCK):
+            for hi in _cuts(rows, most):
                 block, own, part = rows[lo:hi], ids[lo:hi], comp[lo:hi]
                 lo = hi
                 if len(own) < 4 or (part == part[0]).all():
                     continue
-                for k in range(len(own) - 1):
-                    other = np.flatnonzero(part[k + 1:] != part[k]) + k + 1
-                    if len(other):
-                        same = (block[other] == block[k]).sum(axis=1)
-                        hit = same >= least
-                        out.add(0, int(key[0]), own[other[hit]], np.full(int(hit.sum()), own[k]), same[hit])
+                for k in range(len(own)):
+                    other = np.flatnonzero(part != part[k])
+                    if not len(other):
+                        continue
+                    same = (block[other] == block[k]).sum(axis=1)
+                    hit = same >= strong
+                    hit[same.argmax()] |= same.max() >= least
+                    out.add(0, int(key[0]), own[other[hit]], np.full(int(hit.sum()), own[k]), same[hit])
             if out.size >= 20_000:
                 yield out.batch()
         yield out.batch()
@@ -312,7 +318,8 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
+                    block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_shingles, component_id, kept``.
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their shingle sets.
@@ -323,7 +330,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     bounded_batches(spark, 256)
     store = Store(spark, "minhash")
-    least = least_matches(percent / 100)
+    least, strong = least_matches(percent / 100), int(np.ceil(VALUES * percent / 100))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = store.save(texts.mapInArrow(_sign, "id long, n_shingles long, digest binary, signature binary"), "signed")
 
@@ -337,16 +344,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     forest = store.save(rows.mapInArrow(_sketch, "key long, id long, n long, sketch binary"), "forest")
 
     # a small region stays whole; a larger one is dealt out along its order
-    wide = F.when(F.col("n") > BLOCK, F.col("sketch"))
+    wide = F.when(F.col("n") > block, F.col("sketch"))
 
     def ordered(df):
         return df.withColumn("along", wide).repartitionByRange("key", "along").sortWithinPartitions("key", "sketch", "id").drop("along")
 
-    found = store.save(ordered(forest).mapInArrow(_neighbours(least), EDGES), "found")
+    found = store.save(ordered(forest).mapInArrow(_neighbours(least, block), EDGES), "found")
     hubs = (found.where("kind = 1").select("key", "a", "sketch").distinct().groupBy("key")
             .agg(F.sort_array(F.collect_list(F.struct("a", "sketch"))).alias("h"))
             .select("key", F.col("h.a").alias("hub_ids"), F.col("h.sketch").alias("hub_rows")))
-    best_hub = (forest.where(F.col("n") > BLOCK).join(hubs, "key").select("key", "id", "sketch", "hub_ids", "hub_rows")
+    best_hub = (forest.where(F.col("n") > block).join(hubs, "key").select("key", "id", "sketch", "hub_ids", "hub_rows")
                 .mapInArrow(_with_hubs(least), "a long, b long, matches int"))
     pair = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "matches")
     candidates = store.save(
@@ -371,20 +378,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("e.a", "e.b").distinct())
     best = store.save(best, "best")
     links = confirmed(best, "one")
-    parts = components(links, store, "first")
+    parts = store.save(components(links, store, "first"), "parts-1")
 
-    # what the first round left apart
-    parts = store.save(parts, "parts")
+    # other candidates between what the first round left apart
+    ends = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"{c}c"))
+    apart = store.save(
+        candidates.select("a", "b").join(best, ["a", "b"], "left_anti")
+        .join(ends("a"), "a", "left").join(ends("b"), "b", "left")
+        .where("coalesce(ac, a) <> coalesce(bc, b)").select("a", "b"), "apart")
+    links = store.save(links.unionByName(confirmed(apart, "two")), "links")
+    parts = store.save(components(links, store, "second"), "parts-2")
+
+    # all pairs of a block between what is still apart
     spread = forest.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"), "sketch")
     mixed = spread.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"),
                                       F.count(F.lit(1)).alias("m")).where("x <> y AND m > 3").select("key")
-    across = pair(ordered(spread.join(mixed, "key")).mapInArrow(_across(least), EDGES)).select("a", "b")
-    ends = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"{c}c"))
-    apart = (candidates.select("a", "b").join(ends("a"), "a", "left").join(ends("b"), "b", "left")
-             .where("coalesce(ac, a) <> coalesce(bc, b)").select("a", "b"))
-    rest = store.save(across.unionByName(apart).distinct().join(best, ["a", "b"], "left_anti"), "rest")
-    more = confirmed(rest, "two")
-    final = store.save(components(links.unionByName(more), store, "second"), "final")
+    across = pair(ordered(spread.join(mixed, "key")).mapInArrow(_across(least, strong, block), EDGES)).select("a", "b").distinct()
+    rest = store.save(across.join(best.unionByName(apart), ["a", "b"], "left_anti"), "rest")
+    final = store.save(components(links.unionByName(confirmed(rest, "three")), store, "third"), "final")
     store.drop("forest", "found", "candidates", "reps")
 
     nodes = some.select("digest", "id").join(first.select("digest", F.col("id").alias("node")), "digest")
