@@ -25,7 +25,7 @@ from authloom.llm import pieces
 from authloom.llm.store import bounded_batches
 
 BLOCK_BYTES = 12 << 20
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 21
 
 
 def byte_symbols() -> list[str]:

@@ -159,7 +159,7 @@ def piece_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 class PieceTable:
     """Ids of the pieces seen so far, by hash; reset beyond ``most`` pieces, so its memory is bounded."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 800_000) -> None:
         self.most = most
         self.clear()
 

@@ -30,6 +30,7 @@ from authloom.llm.store import Store, bounded_batches
 
 LENGTH = 1024    # ids of a sequence
 SEQUENCES = 256  # sequences of a batch
+PIECES = 20_000  # pieces that the library gets at a time
 
 
 class ByteBpe(bpe.PieceCoder):
@@ -50,9 +51,13 @@ class ByteBpe(bpe.PieceCoder):
         return pieces.split_spaced(cp, rows)
 
     def merge(self, words):
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return (np.array([len(x) for x in ids], dtype=np.int64),
-                np.fromiter((i for x in ids for i in x), dtype=np.int32))
+        # pieces as words of one text: one object for many, with the word of every id
+        n, flat = np.zeros(len(words), dtype=np.int64), []
+        for lo in range(0, len(words), PIECES):
+            made = self.tokenizer.encode(words[lo:lo + PIECES], is_pretokenized=True, add_special_tokens=False)
+            n[lo:lo + PIECES] = np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(words[lo:lo + PIECES]))
+            flat.append(np.array(made.ids, dtype=np.int32))
+        return n, np.concatenate(flat)
 
 
 @cache
