@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from authloom.llm.store import Store
+
+FEW = 500_000  # numbers of all sources' distributions that are broadcast
 OUTPUTS = ("copy", "shuffle_key")
 
 
@@ -35,24 +38,32 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     else:
         named = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]) if weights else None
         weighed = volume.withColumn("weight", F.coalesce(named[F.col("src")], F.lit(0.0)) if weights else F.lit(0.0))
-    whole = weighed.agg(F.sum("volume").alias("all_volume"), F.sum("weight").alias("all_weight"))
-    # one row of totals
-    return weighed.crossJoin(F.broadcast(whole)).select(
-        "src", "volume",
-        F.expr(f"CASE WHEN volume = 0 OR all_weight = 0 THEN 1D "
-               f"ELSE weight / all_weight * all_volume * {size!r}D / volume END").alias("rate"))
+    weighed = Store(docs.sparkSession, "mixing").save(weighed, "sources")
+    characters, weights_sum = weighed.agg(F.sum("volume"), F.sum("weight")).first()
+    target = (characters or 0.0) * size
+    return weighed.select("src", "volume", F.when(
+        (F.col("volume") == 0) | F.lit(not weights_sum), F.lit(1.0)
+    ).otherwise(F.col("weight") / F.lit(float(weights_sum or 1)) * F.lit(target) / F.col("volume")).alias("rate"))
 
 
 def _steps(rate: DataFrame) -> DataFrame:
-    """``src, rate, steps``: the cumulated probabilities of 0, 1, 2, ... copies, up to where they are 1."""
+    """``src, least, steps``: cumulated probabilities of ``least``, ``least`` + 1, ... copies, up to where they are 1.
+
+    The counts are those within some twelve standard deviations of the rate, so even a large rate has
+    few; below them lies less probability than a double can show.
+    """
     by_k = Window.partitionBy("src").orderBy("k")
+    # ln k! by its sum, or by Stirling's series where the counts begin beyond that
+    factorial = F.when(F.col("least") == 0, F.sum(F.log(F.greatest("k", F.lit(1)).cast("double"))).over(by_k)).otherwise(
+        F.expr("(k + 0.5D) * ln(k) - k + 0.5D * ln(2 * pi()) + 1 / (12D * k) - 1 / (360D * k * k * k)"))
     return (
-        rate.withColumn("k", F.explode(F.expr("sequence(0, cast(ceil(rate + 12 * sqrt(rate) + 40) as int))")))
-        .withColumn("log_factorial", F.sum(F.log(F.greatest("k", F.lit(1)).cast("double"))).over(by_k))
+        rate.withColumn("least", F.expr("cast(greatest(0, floor(rate - 12 * sqrt(rate) - 40)) as bigint)"))
+        .withColumn("k", F.explode(F.expr("sequence(least, cast(ceil(rate + 12 * sqrt(rate) + 40) as bigint))")))
+        .withColumn("log_factorial", factorial)
         .withColumn("p", F.expr("CASE WHEN rate > 0 THEN exp(k * ln(rate) - rate - log_factorial) "
                                 "WHEN k = 0 THEN 1D ELSE 0D END"))
         .withColumn("step", F.sum("p").over(by_k))
-        .groupBy("src", "rate").agg(F.array_sort(F.collect_list("step")).alias("steps"))
+        .groupBy("src", "least").agg(F.array_sort(F.collect_list("step")).alias("steps"))
     )
 
 
@@ -68,11 +79,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
         F.struct("*").alias("row"), F.col(source_col).alias("own_src"), _key(id_col, text_col).alias("key")
     ).withColumn("u", F.conv(F.substring(F.md5(F.concat_ws(":", "key", F.lit(str(seed)))), 1, 13), 16, 10)
                  .cast("double") / float(1 << 52))
-    steps = _steps(rates(docs, weights, alpha, size, source_col, text_col))
+    steps = Store(docs.sparkSession, "mixing").save(
+        _steps(rates(docs, weights, alpha, size, source_col, text_col)), "steps")
+    if (steps.agg(F.sum(F.size("steps"))).first()[0] or 0) <= FEW:  # beyond, a shuffle joins them
+        steps = F.broadcast(steps)
     copies = (drawn.join(steps, F.col("own_src").eqNullSafe(F.col("src")))
-              .withColumn("copies", F.size(F.filter("steps", lambda s: s <= F.col("u"))))
+              .withColumn("copies", F.col("least") + F.size(F.filter("steps", lambda s: s <= F.col("u"))))
               .where("copies > 0")
-              .select("row", "key", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+              .select("row", "key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
               .withColumn("shuffle_key", F.md5(F.concat_ws(":", "key", "copy", F.lit(str(seed))))))
     return (copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
-            .select("row.*", F.col("copy").cast("long").alias("copy"), "shuffle_key"))
+            .select("row.*", "copy", "shuffle_key"))

@@ -91,3 +91,18 @@ def test_mix_by_volume(spark):
     for k in range(50):
         assert blank.count(k) == poisson(int(hashlib.md5(f"{k}:17".encode()).hexdigest()[:13], 16) / 2**52, 1.0)
     assert mixing.mix(documents(spark, texts).limit(0)).count() == 0
+
+
+def test_large_rates(spark):
+    docs = documents(spark, [(1, "x")] + [(k, "y" * 100) for k in range(2, 52)], sources=["rare"] + ["rest"] * 50)
+    out = mixing.mix(docs, weights={"rare": 1, "rest": 1})
+    n = Counter(r["doc_id"] for r in out.select("doc_id").collect())
+    rate = 2500.5  # half of the characters from a text of one
+    assert abs(n[1] - rate) < 5 * math.sqrt(rate)
+    u = int(hashlib.md5(b"1:17").hexdigest()[:13], 16) / 2**52
+    total, k = 0.0, 0
+    while total <= u:
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        k += 1
+    assert n[1] == k - 1
+    assert mixing.mix(docs, weights={"rare": 1, "rest": 1}).agg(F.max("copy")).first()[0] == n[1]
