@@ -13,6 +13,7 @@ MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 
 SSH_FAILED_PASSWORD = r"Failed password for (?:invalid user )?(\S+) from (\S+) port (\d+)"
 SSH_ACCEPTED = r"Accepted (?:password|publickey) for (\S+) from (\S+) port (\d+)"
+SSH_AUTH_FAILURE = r"(?:error: PAM: )?[Aa]uthentication failure"
 SSH_NO_IDENT = r"Did not receive identification string from (\S+) port (\d+)"
 SSH_CLOSED = r"Connection closed by (?:authenticating user (\S+) )?(\S+) port (\d+)"
 SSH_PREAUTH = r"Received disconnect from (\S+) port (\d+):.*\[preauth\]"
@@ -50,34 +51,23 @@ LOG_TYPE_SEVERITY = {
 LOG_TYPE_SEVERITY_DEFAULT = 3
 
 # --- fixed values: triage --------------------------------------------------------------------
-TRIAGE_EVENT_TYPE = {
-    "LOCAL_SSH_BRUTE_FORCE": "brute_force",
-    "LOCAL_SSH_SCAN": "reconnaissance",
-    "LOCAL_SUDO_FAILURES": "privilege_escalation",
-    "LOCAL_SU_FAILURES": "privilege_escalation",
-    "LOCAL_SSH_ACCEPTED": "unknown",
-    "5503": "brute_force",
-    "5710": "scanning",
-    "5501": "malware_detected",
-    "5712": "reconnaissance",
-    "5763": "privilege_escalation",
-    "5715": "lateral_movement",
-    "5502": "data_exfiltration",
-}
-TRIAGE_PRIORITY = {
-    "LOCAL_SSH_BRUTE_FORCE": "high",
-    "LOCAL_SSH_SCAN": "medium",
-    "LOCAL_SUDO_FAILURES": "high",
-    "LOCAL_SU_FAILURES": "medium",
-    "LOCAL_SSH_ACCEPTED": "low",
-    "5503": "high",
-    "5710": "medium",
-    "5501": "critical",
-    "5712": "medium",
-    "5763": "critical",
-    "5715": "high",
-    "5502": "critical",
+# rule -> (event type, priority)
+TRIAGE = {
+    "LOCAL_SSH_BRUTE_FORCE": ("brute_force", "high"),
+    "LOCAL_SSH_SCAN": ("reconnaissance", "medium"),
+    "LOCAL_SUDO_FAILURES": ("privilege_escalation", "high"),
+    "LOCAL_SU_FAILURES": ("privilege_escalation", "medium"),
+    "LOCAL_SSH_ACCEPTED": ("unknown", "low"),
+    "5503": ("brute_force", "high"),
+    "5710": ("scanning", "medium"),
+    "5501": ("malware_detected", "critical"),
+    "5712": ("reconnaissance", "medium"),
+    "5763": ("privilege_escalation", "critical"),
+    "5715": ("lateral_movement", "high"),
+    "5502": ("data_exfiltration", "critical"),
 }
+TRIAGE_EVENT_TYPE = {rule: event for rule, (event, _) in TRIAGE.items()}
+TRIAGE_PRIORITY = {rule: priority for rule, (_, priority) in TRIAGE.items()}
 PRIORITY_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 
 PHASE_RECON = "侦查(Reconnaissance)"
@@ -144,16 +134,6 @@ UNVERIFIED_CONCLUSION = "证据有限或校验未通过，结论谨慎使用"
 
 # --- fixed values: monitoring ----------------------------------------------------------------
 CLIENT_COMPONENTS = ["SignalWatcher", "DuckDBSidecar", "DetectionEngine"]
-MONITOR_TYPES = [
-    "signal.sent",
-    "signal.received",
-    "query.sent",
-    "query.received",
-    "query.executed",
-    "result.sent",
-    "result.received",
-    "evidence.saved",
-]
 
 # --- fixed values: the shipped rule catalog --------------------------------------------------
 DEFAULT_RULES = [

@@ -42,8 +42,8 @@ def retain_stream(messages: DataFrame, now: Column, max_age: int = fixed.STREAM_
                   max_bytes: int = fixed.STREAM_MAX_BYTES) -> DataFrame:
     """Messages young enough and inside the newest ``max_bytes`` of their stream.
 
-    A stream may hold most of the data, so the running size comes in two steps: inside one hour,
-    and over the hours of a stream.
+    The size runs over whole hours first. Only the hour in which the limit falls, one per stream, is
+    sorted; hours before and after it are kept and dropped as they are.
     """
     young = messages.where(
         F.col("published_at") >= now - F.make_dt_interval(secs=F.lit(max_age))
@@ -54,16 +54,17 @@ def retain_stream(messages: DataFrame, now: Column, max_age: int = fixed.STREAM_
     hours = young.groupBy("stream", "_hour").agg(F.sum("_size").alias("_bytes"))
     newer = Window.partitionBy("stream").orderBy(F.desc("_hour")).rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = hours.select("stream", "_hour",
-                           F.coalesce(F.sum("_bytes").over(newer), F.lit(0)).alias("_newer"))
+    # message sizes may be null, and count as nothing then
+    offsets = hours.select("stream", "_hour", F.coalesce("_bytes", F.lit(0)).alias("_bytes"),
+                           F.coalesce(F.sum("_bytes").over(newer), F.lit(0)).alias("_newer")).where(
+        F.col("_newer") <= max_bytes)
+    near = young.join(offsets, ["stream", "_hour"])
+    fits = F.col("_newer") + F.col("_bytes") <= max_bytes
     inside = Window.partitionBy("stream", "_hour").orderBy(
         F.desc("published_at"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        young.withColumn("_run", F.sum("_size").over(inside))
-        .join(offsets, ["stream", "_hour"])
-        .where(F.col("_newer") + F.col("_run") <= max_bytes)
-        .drop("_size", "_hour", "_run", "_newer")
-    )
+    cut = near.where(~fits).withColumn("_run", F.sum("_size").over(inside)).where(
+        F.col("_newer") + F.coalesce("_run", F.lit(0)) <= max_bytes).drop("_run")
+    return near.where(fits).unionByName(cut).drop("_size", "_hour", "_bytes", "_newer").select(*messages.columns)
 
 
 def stream_inventory(messages: DataFrame, consumers: DataFrame) -> DataFrame:

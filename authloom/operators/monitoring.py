@@ -51,13 +51,14 @@ def _emit(df: DataFrame, types: list[str], subject: str, payload: list[str]) ->
 
 def monitor_events(signals: DataFrame, summary: DataFrame) -> DataFrame:
     """All eight event types. ``signals`` needs ``at``; ``summary`` (one row per query) needs
-    signal_id, evidence_count, duration_ms and ``at``."""
+    signal_id, evidence_count, ``at`` and, where it was measured, duration_ms."""
+    timed = ["duration_ms"] if "duration_ms" in summary.columns else []
     return (
         _emit(signals, ["signal.sent", "signal.received"], "signal_id", ["signal_id", "rule_id"])
         .unionByName(_emit(summary, ["query.sent", "query.received"], "query_id",
                            ["query_id", "signal_id"]))
         .unionByName(_emit(summary, ["query.executed", "result.sent"], "query_id",
-                           ["query_id", "duration_ms", "evidence_count"]))
+                           ["query_id", *timed, "evidence_count"]))
         .unionByName(_emit(summary, ["result.received", "evidence.saved"], "query_id",
                            ["query_id", "evidence_count"]))
     )
@@ -75,8 +76,10 @@ def node_counts(events: DataFrame) -> DataFrame:
 
 
 def monitor_latest(events: DataFrame, n: int = LATEST, buffer: int = BUFFER) -> DataFrame:
-    """The latest n events; the view never reaches past the bounded buffer."""
-    return events.orderBy(F.desc("at"), F.desc("event_id")).limit(min(n, buffer))
+    """The latest n events. The view holds ``buffer`` of them; asking for more is an error."""
+    if n > buffer:
+        raise ValueError(f"the view holds {buffer} events, {n} are asked for")
+    return events.orderBy(F.desc("at"), F.desc("event_id")).limit(n)
 
 
 def funnel(signals: DataFrame, summary: DataFrame, verified: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ _SSHD = [
     ("ssh_accepted", "Accepted p", fixed.SSH_ACCEPTED),
     ("ssh_scan", "Did not receive identification string", fixed.SSH_NO_IDENT),
     ("ssh_connection_closed", "Connection closed by ", fixed.SSH_CLOSED),
-    ("ssh_auth_failure", "uthentication failure", "[Aa]uthentication failure"),
+    ("ssh_auth_failure", "uthentication failure", fixed.SSH_AUTH_FAILURE),
     ("ssh_preauth_disconnect", "Received disconnect from ", fixed.SSH_PREAUTH),
 ]
 _SUDO = [

@@ -72,11 +72,20 @@ def time_order(evidence: DataFrame, run: int = 100_000) -> DataFrame:
     ).where(F.col("n_ts") > 0)
 
 
+def evidence_ids(evidence: DataFrame) -> DataFrame:
+    """Every non-empty evidence id of a case and how often it stands there.
+
+    Whoever needs a case's ids takes them from here, so that one shuffle serves all.
+    """
+    # the null checks are those that a join on both keys would add, and so would tell two plans apart
+    return evidence.where(
+        ~_missing("evidence_id") & F.col("evidence_id").isNotNull() & F.col("case_key").isNotNull(),
+    ).groupBy("case_key", "evidence_id").agg(F.count("*").alias("c"))
+
+
 def duplicate_ids(evidence: DataFrame) -> DataFrame:
     """Per case: whether a non-empty evidence id repeats."""
-    ids = evidence.where(~_missing("evidence_id")).groupBy("case_key", "evidence_id").agg(
-        F.count("*").alias("c"))
-    return ids.groupBy("case_key").agg((F.max("c") > 1).alias("duplicated"))
+    return evidence_ids(evidence).groupBy("case_key").agg((F.max("c") > 1).alias("duplicated"))
 
 
 def measures(counts: DataFrame, evidence: DataFrame, cases: DataFrame | None = None) -> DataFrame:

@@ -11,18 +11,19 @@ from pyspark.sql import functions as F
 
 from authloom.functions import fixed
 from authloom.functions.text import compact, non_empty
+from authloom.operators.readiness import evidence_ids
 
 def _blank(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) == ""
 
 
-def _listing(df: DataFrame, value: str, order: str, at_least: int = 1) -> DataFrame:
-    """case_key -> python-style list text of all its values in order, for enough values.
+def _listing(df: DataFrame, value: str, order: str) -> DataFrame:
+    """case_key -> python-style list text of all its values in order.
 
     ``array_join`` over the sorted values of a case: the text itself is as long as that.
     """
     items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(value).alias("_v"))))
-    return df.groupBy("case_key").agg(items.alias("_i")).where(F.size("_i") >= at_least).select(
+    return df.groupBy("case_key").agg(items.alias("_i")).select(
         "case_key", F.concat(
             F.lit("'"), F.array_join(F.transform("_i", lambda x: x["_v"]), "', '"), F.lit("'"),
         ).alias("listed"))
@@ -31,8 +32,8 @@ def _listing(df: DataFrame, value: str, order: str, at_least: int = 1) -> DataFr
 def dangling_refs(refs: DataFrame, evidence: DataFrame) -> DataFrame:
     """Cited evidence ids that the case does not contain (``refs``: case_key, ord, evidence_id)."""
     cited = refs.where(~_blank("evidence_id"))
-    # copies of one id collapse before the shuffle; the join then reuses their partitioning
-    have = evidence.select("case_key", "evidence_id").where(~_blank("evidence_id")).distinct()
+    # the count stays in the plan, so that the shuffle is the one that finds repeated ids
+    have = evidence_ids(evidence).where("c > 0").select("case_key", "evidence_id")
     return cited.join(have, ["case_key", "evidence_id"], "left_anti").select(
         "case_key", "ord", "evidence_id")
 
@@ -60,35 +61,38 @@ def _lineage_issue() -> Column:
         F.concat(_named(), F.lit(" 的 lineage_id 格式无效: "), F.col("lineage_id")))
 
 
-def trace_issues(evidence: DataFrame) -> DataFrame:
-    """Per case with a defect: the issue of the first row whose raw reference is missing or
-    untraceable, and of the first row without a well-formed lineage id.
+def trace_checks(evidence: DataFrame) -> DataFrame:
+    """Per case with a defect: ``raw_issue`` and ``lineage_issue`` of the first row whose raw
+    reference or lineage id is missing or malformed, and ``query_issue`` if its evidence stems from
+    more than one query.
 
-    Only defective rows are aggregated, and both checks share one scan.
+    One scan: rows are first combined per case and query, of which a case has few.
     """
-    bad = evidence.select("case_key", "ord", _raw_issue().alias("raw_issue"),
-                          _lineage_issue().alias("lineage_issue")).where(
-        "raw_issue IS NOT NULL OR lineage_issue IS NOT NULL")
+    raw, lineage = _raw_issue(), _lineage_issue()
 
-    def first(name: str) -> Column:
-        return F.min(F.when(F.col(name).isNotNull(), F.struct("ord", name)))[name].alias(name)
+    def first(issue: Column) -> Column:
+        return F.min(F.when(issue.isNotNull(), F.struct("ord", issue.alias("issue"))))
 
-    return bad.groupBy("case_key").agg(first("raw_issue"), first("lineage_issue"))
+    per_query = evidence.groupBy("case_key", non_empty(F.col("query_id")).alias("query_id")).agg(
+        first(raw).alias("raw"), first(lineage).alias("lineage"))
+    ids = F.array_sort(F.collect_list("query_id"))
+    named = F.concat(F.lit("证据来自多个查询: {'"), F.array_join(F.col("ids"), "', '"), F.lit("'}"))
+    return per_query.groupBy("case_key").agg(
+        F.min("raw")["issue"].alias("raw_issue"), F.min("lineage")["issue"].alias("lineage_issue"), ids.alias("ids"),
+    ).select("case_key", "raw_issue", "lineage_issue", F.when(F.size("ids") > 1, named).alias("query_issue")).where(
+        "raw_issue IS NOT NULL OR lineage_issue IS NOT NULL OR query_issue IS NOT NULL")
 
 
 def check_raw_ref(evidence: DataFrame) -> DataFrame:
-    return trace_issues(evidence).where("raw_issue IS NOT NULL").select("case_key", "raw_issue")
+    return trace_checks(evidence).where("raw_issue IS NOT NULL").select("case_key", "raw_issue")
 
 
 def check_lineage(evidence: DataFrame) -> DataFrame:
-    return trace_issues(evidence).where("lineage_issue IS NOT NULL").select("case_key", "lineage_issue")
+    return trace_checks(evidence).where("lineage_issue IS NOT NULL").select("case_key", "lineage_issue")
 
 
 def check_query_id(evidence: DataFrame) -> DataFrame:
-    """Issue per case whose evidence stems from more than one query."""
-    ids = evidence.where(~_blank("query_id")).select("case_key", "query_id").distinct()
-    return _listing(ids, "query_id", "query_id", at_least=2).select(
-        "case_key", F.concat(F.lit("证据来自多个查询: {"), "listed", F.lit("}")).alias("query_issue"))
+    return trace_checks(evidence).where("query_issue IS NOT NULL").select("case_key", "query_issue")
 
 
 def _lineage_status() -> Column:
@@ -162,8 +166,7 @@ def verify(analysed: DataFrame, scored: DataFrame, evidence: DataFrame,
         .join(scored.select("case_key", "score", "evidence_count"), "case_key", "left")
         .na.fill(0, ["score", "evidence_count"])
         .join(check_refs(refs, evidence), "case_key", "left")
-        .join(trace_issues(evidence), "case_key", "left")
-        .join(check_query_id(evidence), "case_key", "left")
+        .join(trace_checks(evidence), "case_key", "left")
     )
     return verdict(joined).select(
         "case_key", "verified", "issues", "checks", "evidence_count",

@@ -66,8 +66,7 @@ def review(evidence: DataFrame, cases: DataFrame, replies: DataFrame | None = No
         rows = rows.withColumn("ref_issue", F.lit(None).cast("string"))
     else:
         rows = rows.join(verification.check_refs(refs, evidence), "case_key", "left")
-    rows = rows.join(verification.trace_issues(evidence), "case_key", "left").join(
-        verification.check_query_id(evidence), "case_key", "left")
+    rows = rows.join(verification.trace_checks(evidence), "case_key", "left")
     return verification.verdict(rows).select(
         "case_key", "evidence_count", "valid_count", "score", "level", "readiness_issues",
         "readiness_checks", "allowed_actions", "event_type", "priority", "confidence", "summary",

@@ -7,12 +7,6 @@ RULE = (
     "signal struct<priority:int,event_type:string,suggested_logs:array<string>>"
 )
 
-SIGNAL = (
-    "signal_id string, node_id string, detection_rule_id string, rule_id string, rule_level int, "
-    "rule_desc string, severity string, category string, src_ip string, event_time string, "
-    "suggested_logs array<string>, raw_ref string, matched_count bigint"
-)
-
 ALERT = (
     "timestamp string, "
     "rule struct<level:int,description:string,id:string,firedtimes:int,mail:boolean,groups:array<string>>, "

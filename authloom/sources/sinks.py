@@ -79,9 +79,12 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
-    """Rows of the most recent run (largest ``run_id``)."""
-    newest = runs.agg(F.max("run_id").alias("run_id")).where(F.col("run_id").isNotNull())
-    return runs.join(F.broadcast(newest), "run_id", "left_semi")  # exactly one row
+    """Rows of the most recent run (largest ``run_id``).
+
+    The newest id is a scalar subquery, so a table partitioned by run is pruned to one partition.
+    """
+    newest = runs.select(F.max("run_id")).scalar()
+    return runs.where(F.col("run_id") == newest)
 
 
 def search(df: DataFrame, term: dict | None = None, text: tuple[str, str] | None = None,

@@ -593,7 +593,7 @@ UNION ALL SELECT case_key, CAST(ceil(evidence_count / 1000.0) + 1 AS BIGINT), '
 
 # --- monitoring ------------------------------------------------------------------------------
 MONITOR = f"""{SUMMARY},
-mq AS (SELECT qs.*, sig.t, evidence_count * 3 + 1 AS duration_ms FROM qs JOIN sig USING (signal_id)),
+mq AS (SELECT qs.*, sig.t FROM qs JOIN sig USING (signal_id)),
 kinds(event_type, component, side) AS (VALUES ('signal.sent', 'DetectionEngine', 'client'), ('signal.received', 'SignalListener', 'server'),
  ('query.sent', 'SignalListener', 'server'), ('query.received', 'DuckDBSidecar', 'client'), ('query.executed', 'DuckDBSidecar', 'client'),
  ('result.sent', 'DuckDBSidecar', 'client'), ('result.received', 'QueryResultListener', 'server'), ('evidence.saved', 'QueryResultListener', 'server')),
@@ -601,7 +601,7 @@ mo AS (SELECT event_type, component, side, s.node_id, s.t, s.signal_id AS subjec
   '{{"signal_id":"' || s.signal_id || '","rule_id":"' || s.rule_id || '"}}' AS payload FROM kinds, sig s WHERE event_type LIKE 'signal%'
  UNION ALL SELECT event_type, component, side, node_id, t, query_id, CASE WHEN event_type IN ('query.sent', 'query.received')
    THEN '{{"query_id":"' || query_id || '","signal_id":"' || signal_id || '"}}'
-  WHEN event_type IN ('query.executed', 'result.sent') THEN '{{"query_id":"' || query_id || '","duration_ms":' || duration_ms || ',"evidence_count":' || evidence_count || '}}'
+  WHEN event_type IN ('query.executed', 'result.sent') THEN '{{"query_id":"' || query_id || '","evidence_count":' || evidence_count || '}}'
   ELSE '{{"query_id":"' || query_id || '","evidence_count":' || evidence_count || '}}' END FROM kinds, mq WHERE event_type NOT LIKE 'signal%'),
 me AS (SELECT 'evt-' || {h16('event_type', 'subject')} AS event_id, event_type, side AS source, component,
  CASE WHEN side = 'client' THEN node_id ELSE '' END AS node_id, node_id AS subject_node, strftime(t, '%H:%M:%S') AS timestamp, payload, t FROM mo)"""
@@ -614,7 +614,7 @@ add("monitor_funnel", MONITOR, """SELECT s.node_id, s.signals, q.queries, q.answ
  q.queries - q.answered AS unanswered, q.answered - q.verdicts AS unverified
  FROM (SELECT node_id, count(*) AS signals FROM sig GROUP BY 1) s JOIN (SELECT node_id, count(*) AS queries,
  count(*) FILTER (evidence_count > 0) AS answered, CAST(sum(evidence_count) AS BIGINT) AS evidence_rows,
- count(*) FILTER (evidence_count >= 5) AS verdicts FROM qs GROUP BY 1) q USING (node_id)""")
+ count(*) FILTER (evidence_count >= 3) AS verdicts FROM qs GROUP BY 1) q USING (node_id)""")
 add("query_latency", "", """WITH l AS (SELECT 'qry-' || event_id AS query_id, 'node-' || user_id % 3 AS node_id, ts,
  CAST(floor(value * 10) AS BIGINT) AS ms, event_id % 12 <> 0 AS ok FROM events)
 SELECT node_id, count(*) AS queries, count(*) FILTER (NOT ok) AS failed, CAST(sum(ms) // count(*) AS BIGINT) AS avg_ms,
@@ -642,3 +642,31 @@ sc AS (SELECT *, 100 - CASE WHEN n < 2 THEN 10 ELSE 0 END - CASE WHEN n >= 2 AND
  - CASE WHEN n >= 2 AND span < 30 THEN 10 ELSE 0 END AS score FROM cs)"""
 add("signal_case_review", _SCR, """SELECT case_key, score, 'unknown' AS event_type, CASE WHEN n >= 5 THEN 'medium' ELSE 'low' END AS priority,
  n >= 3 AS verified, CASE WHEN n >= 5 THEN '高' WHEN n >= 3 THEN '中' ELSE '低' END AS final_confidence, n AS evidence_count FROM sc""")
+
+# hunt_report: the head and the evidence entries; the tail repeats the review
+add("hunt_report", f"{_SCR},{NORM}," + """
+nb AS (SELECT na.*, evd.rank AS position, query_id AS case_key FROM na JOIN evd USING (evidence_id, query_id))""",
+    f"""SELECT case_key, 0::BIGINT AS part, '
+# 安全研判报告
+报告时间：20240201_000000
+
+## 1. 数据就绪度评估
+- 就绪度评分：' || score || ' 分
+- 评估等级：' || CASE WHEN score >= 80 THEN '完整可用' WHEN score >= 60 THEN '基本可用' ELSE '数据不足' END || '
+- 有效证据数：' || n || '
+
+## 2. 安全证据（标准化）
+' AS text FROM sc
+UNION ALL SELECT case_key, (position - 1) // 7 + 1, string_agg({_ENTRY}, '' ORDER BY position) FROM nb GROUP BY ALL
+UNION ALL SELECT case_key, (n + 6) // 7 + 1, NULL FROM sc""")
+add("result_tables", f"{_SCR},{NORM}," + """
+ct AS (SELECT query_id AS case_key, max(substr(timestamp, 1, 10)) AS dt FROM na GROUP BY 1),
+tb(name, per_case) AS (VALUES ('readiness', 1), ('analysis', 1), ('verification', 1), ('reports', 3))""",
+    """SELECT 'signals' AS name, substr(event_time, 1, 10) AS dt, count(*) AS n, count(DISTINCT signal_id) AS keys FROM sig GROUP BY ALL
+UNION ALL SELECT 'evidence', substr(timestamp, 1, 10), count(*), count(DISTINCT evidence_id) FROM na GROUP BY ALL
+UNION ALL SELECT name, dt, CAST(sum(per_case) AS BIGINT), count(*) FROM ct CROSS JOIN tb GROUP BY ALL""")
+_WINDOW = "timestamp BETWEEN '2024-01-05T00:00:00.000000+00:00' AND '2024-01-20T00:00:00.000000+00:00'"
+add("gateway_query", ALERTS, f"""(SELECT 'qry-1' AS query_id, timestamp, agent_name, full_log FROM al
+ WHERE node_id = 'node-1' AND rule_id = '5710' AND {_WINDOW} ORDER BY timestamp, id LIMIT 30)
+UNION ALL (SELECT 'qry-2', timestamp, agent_name, full_log FROM al
+ WHERE node_id = 'node-2' AND rule_id = '5503' AND {_WINDOW} ORDER BY timestamp, id LIMIT 25)""")

@@ -17,7 +17,7 @@ from authloom.operators import (
     rules, triage, verification,
 )
 from authloom.plans import cases as case_plan
-from authloom.plans import hunt
+from authloom.plans import gateway, hunt
 from authloom.sources import files, registry, sinks
 from authloom.sources.scratch import materialize, shared_dir
 from authloom.streaming import detect, ingest
@@ -821,16 +821,74 @@ def case_review(spark, sf):
         "readiness_issues": joined("readiness_issues")})
 
 
+def _signal_cases(spark, sf):
+    """Stored rows of the cases that answered signals make, and their reviews."""
+    rows = t.stored(spark, sf, "signal_case_rows", lambda s, d: hunt.case_rows_of(t.chain(s, d)[2], _now_text()))
+    return rows, t.stored(spark, sf, "signal_reviews", lambda s, d: case_plan.review(
+        rows, rows.select("case_key").distinct()))
+
+
 @query
 def signal_case_review(spark, sf):
-    """From raw lines to one reviewed case per answered signal."""
-    sig, asked, ev = _chain(spark, sf)
-    out = shared_dir(spark)
-    ev = materialize(hunt.case_rows_of(ev, _now_text()), f"{out}/evidence")
-    return case_plan.review(ev, ev.select("case_key").distinct()).select(
+    """One reviewed case per answered signal."""
+    return _signal_cases(spark, sf)[1].select(
         "case_key", "score", "event_type", "priority", "verified", "final_confidence", "evidence_count")
 
 
+@query
+def hunt_report(spark, sf):
+    """From raw lines to report parts in one run, with nothing stored but evidence and reviews."""
+    out = shared_dir(spark)
+    events, _ = parsing.split_rejects(t.parsed_lines(spark, sf))
+    events = events.withColumn("id", F.col("line_no")).select(*parsing.EVENT_COLUMNS)
+    _, _, found = hunt.evidence_for(hunt.signals(events, t.rules()), events, t.CASE_ID)
+    rows = materialize(hunt.case_rows_of(found, _now_text()), f"{out}/rows")
+    reviewed = materialize(case_plan.review(rows, rows.select("case_key").distinct()), f"{out}/reviews")
+    parts = reporting.report_parts(reviewed, rows, F.lit("20240201_000000"), block=7)
+    last = parts.groupBy("case_key").agg(F.max("part").alias("last"))
+    return parts.join(last, "case_key").select(
+        "case_key", "part", F.when(F.col("part") < F.col("last"), F.col("text")).alias("text"))
+
+
+@query
+def result_tables(spark, sf):
+    """All six result tables appended, read back and compared by rows and content per day."""
+    base, (rows, reviewed) = shared_dir(spark), _signal_cases(spark, sf)
+    at_of = rows.groupBy("case_key").agg(F.max(F.col("timestamp").cast("timestamp")).alias("at"))
+    reviewed = reviewed.join(at_of, "case_key")
+    sinks.write_tables({
+        "signals": _signals(spark, sf).withColumn("at", F.col("event_time").cast("timestamp")),
+        "evidence": rows.withColumn("at", F.col("timestamp").cast("timestamp")),
+        "readiness": reviewed.select("case_key", "at", "score", "level"),
+        "analysis": reviewed.select("case_key", "at", "event_type", "priority", "conclusion"),
+        "verification": reviewed.select("case_key", "at", "verified", "final_confidence"),
+        "reports": reporting.report_parts(reviewed, rows, F.lit("20240201_000000")).join(at_of, "case_key"),
+    }, base)
+    out = None
+    for name in sinks.TABLES:
+        key = {"signals": "signal_id", "evidence": "evidence_id"}.get(name, "case_key")
+        part = sinks.read_table(spark, base, name).groupBy(F.lit(name).alias("name"), F.col("dt").cast("string").alias("dt")).agg(
+            F.count("*").alias("n"), F.count_distinct(key).alias("keys"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def gateway_query(spark, sf):
+    """Ad-hoc alert queries against written registry sources, whole items and chosen fields."""
+    out = shared_dir(spark)
+    alerts = t.alerts(spark, sf)
+    entries = [{"node_id": f"node-{i}", "source_name": "wazuh_alerts", "format": "json", "local_path": f"alerts/{i}"} for i in range(3)]
+    for i, e in enumerate(entries):
+        alerts.where(F.col("node_id") == e["node_id"]).drop("node_id").write.json(f"{out}/{e['local_path']}")
+    window = "2024-01-05T00:00:00.000000+00:00/2024-01-20T00:00:00.000000+00:00"
+    items = gateway.answer(spark, entries, "qry-1", "node-1", "wazuh-alerts", window, {"rule.id": "5710"}, 30, base=out)
+    fields = gateway.answer(spark, entries, "qry-2", "node-2", time_window=window, filters={"rule_id": "5503"}, limit=25,
+                            fields=["timestamp", "agent.name", "full_log"], base=out)
+    return items.select("query_id", "timestamp", F.col("hostname").alias("agent_name"), F.col("raw_log").alias("full_log")).unionByName(
+        fields.select(F.lit("qry-2").alias("query_id"), "timestamp", "agent_name", "full_log"))
+
+
 # --- monitoring ------------------------------------------------------------------------------
 
 def _monitor(spark, sf):
@@ -839,8 +897,7 @@ def _monitor(spark, sf):
     sig_at = sig.withColumn("at", when)
     counts = evidence.query_summary(asked, ev)
     summary = counts.join(asked.select("query_id", "signal_id"), "query_id").join(
-        sig_at.select("signal_id", "at"), "signal_id").withColumn(
-        "duration_ms", F.col("evidence_count") * 3 + 1)
+        sig_at.select("signal_id", "at"), "signal_id")
     return sig_at, summary
 
 
@@ -868,9 +925,7 @@ def monitor_latest(spark, sf):
 @query
 def monitor_funnel(spark, sf):
     sig, summary = _monitor(spark, sf)
-    verdicts = summary.where(F.col("evidence_count") > 0).select(
-        F.col("query_id").alias("case_key"), (F.col("evidence_count") >= 5).alias("verified"))
-    return monitoring.funnel(sig, summary, verdicts)
+    return monitoring.funnel(sig, summary, _signal_cases(spark, sf)[1].select("case_key", "verified"))
 
 
 @query

@@ -55,11 +55,9 @@ CASE event_type WHEN 'error' THEN '5503' WHEN 'click' THEN '5716' WHEN 'view' TH
  WHEN 'signup' THEN '5403' ELSE '5710' END"""
 ALERT_LEVEL = "CASE event_type WHEN 'view' THEN 3 WHEN 'purchase' THEN 10 ELSE 5 END"
 ALERT_TEXT = """
-CASE event_type WHEN 'error' THEN 'PAM: User login failed.'
- WHEN 'click' THEN 'sshd: authentication failure (connection closed).'
- WHEN 'view' THEN 'sudo: Successful sudo to ROOT executed.'
- WHEN 'signup' THEN 'sudo: Unsuccessful sudo attempt.'
- ELSE 'sshd: Attempt to login using a non-existent user.' END"""
+CASE event_type WHEN 'error' THEN 'login rejected for ' || usr WHEN 'click' THEN 'remote side hung up early'
+ WHEN 'view' THEN 'administrator session opened' WHEN 'signup' THEN 'administrator session refused'
+ ELSE 'name is not known on ' || host END"""
 
 # case evidence: rows with deliberate defects
 CASE_TIME = """

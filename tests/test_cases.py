@@ -172,3 +172,32 @@ def test_review_has_no_unbounded_lists_or_cross_joins(spark):
     ev = frame(spark, [row(i) for i in range(3)])
     text = plan.review(ev, ev.select("case_key").distinct())._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_evidence_is_scanned_few_times(spark, tmp_path):
+    import re
+
+    from authloom.plans import cases as case_plan
+
+    columns = "case_key string, ord bigint, " + ", ".join(f"{c} string" for c in (
+        "timestamp", "severity", "rule_id", "description", "src_ip", "hostname", "evidence_id", "source", "raw_log", "raw_ref",
+        "lineage_id", "query_id"))
+    rows = [(f"c{i % 3}", i, "2024-01-01T00:00:00", "5", "5503", "d", "1.1.1.1", "h", f"e{i % 7}", "s", "r", "n/a#1", "q:1", f"q{i % 2}")
+            for i in range(40)]
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "ev"))
+    ev = spark.read.parquet(str(tmp_path / "ev"))
+    refs = ev.select("case_key", "ord", "evidence_id")
+    out = case_plan.review(ev, spark.createDataFrame([("c0",), ("c9",)], "case_key string"), refs=spark.createDataFrame(
+        refs.collect(), refs.schema))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"Scan parquet", plan)) <= 4
+
+
+def test_an_issue_names_every_value(spark):
+    from authloom.operators import verification
+
+    refs = spark.createDataFrame([("c", i, f"ghost-{i:05d}") for i in range(1500)], "case_key string, ord bigint, evidence_id string")
+    none = spark.createDataFrame([], "case_key string, evidence_id string")
+    issue = verification.check_refs(refs, none).first().ref_issue
+    assert issue.count("ghost-") == 1500 and issue.index("ghost-00000") < issue.index("ghost-01499")
