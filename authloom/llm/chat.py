@@ -5,7 +5,7 @@ a conversation gets a rolling fingerprint; a conversation whose whole fingerprin
 of another one is a snapshot and goes (anti-join), and of identical conversations the smallest id
 stays. What is left is rendered.
 
-The fingerprint of a prefix is a pair of 64-bit sums of position-salted turn hashes. Sums can be
+The fingerprint of a prefix is three sums over 32-bit parts of position-salted turn hashes. Sums can be
 built from blocks of turns, so neither ranking nor hashing needs all turns of a conversation in one
 task, and a conversation that holds a third of all rows is spread over its blocks.
 """
@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from authloom.llm.store import Store
 
 BLOCK = 256
+PARTS = 3  # 32-bit parts of a fingerprint
+HASH = [f"h{k}" for k in range(PARTS)]
 START, END = "<|im_start|>", "<|im_end|>"
 
 
 def numbered_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                    text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """``conv, pos, role, text, h1, h2``: turns ranked from 1, with prefix fingerprints.
+    """``conv, pos, role, text`` and ``HASH``: turns ranked from 1, with prefix fingerprints.
 
     Repeated rows count once. Turns order by number, role and text (ties keep both turns); a turn
     without number comes first. Null role and text count as empty. Rows without conversation id are
@@ -32,7 +34,11 @@ def numbered_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     rows = turns.where(F.col(conv_col).isNotNull()).select(
         F.col(conv_col).alias("conv"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)).alias("turn"),
         F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    ).distinct().withColumn("block", F.expr(f"turn div {block}"))
+    ).distinct()
+    # blocks are as wide as it takes for ``block`` turns each, were the numbers spread evenly
+    width = F.expr(f"cast(ceil((max(turn) - min(turn) + 1) / ceil(count(1) / {block})) as bigint)")
+    span = rows.groupBy("conv").agg(F.min("turn").alias("least"), width.alias("width"))
+    rows = rows.join(span, "conv").withColumn("block", F.expr("(turn - least) div width")).drop("least", "width")
     inside = Window.partitionBy("conv", "block").orderBy("turn", "role", "text")
     rows = rows.withColumn("at", F.row_number().over(inside))
     before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -40,18 +46,17 @@ def numbered_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
         "skip", F.coalesce(F.sum("n").over(before), F.lit(0))).select("conv", "block", "skip")
     placed = rows.join(blocks, ["conv", "block"]).select(
         "conv", "block", (F.col("skip") + F.col("at")).cast("long").alias("pos"), "role", "text")
-    # 32-bit parts keep the sums exact; both engines can add them without overflow
+    # sums of 32-bit parts stay exact for two billion turns
     digest = F.md5(F.concat_ws("\u0001", "pos", "role", "text"))
-    part = lambda k: F.conv(F.substring(digest, 1 + 12 * k, 12), 16, 10).cast("long")
-    placed = placed.withColumn("d1", part(0)).withColumn("d2", part(1))
+    part = lambda k: F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long")
+    placed = placed.withColumns({f"d{k}": part(k) for k in range(PARTS)})
     running = Window.partitionBy("conv", "block").orderBy("pos")
-    totals = placed.groupBy("conv", "block").agg(F.sum("d1").alias("s1"), F.sum("d2").alias("s2"))
+    totals = placed.groupBy("conv", "block").agg(*[F.sum(f"d{k}").alias(f"s{k}") for k in range(PARTS)])
     totals = totals.select("conv", "block", *[
-        F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"b{s}") for s in ("s1", "s2")])
-    return (placed.withColumn("r1", F.sum("d1").over(running)).withColumn("r2", F.sum("d2").over(running))
+        F.coalesce(F.sum(f"s{k}").over(before), F.lit(0)).alias(f"b{k}") for k in range(PARTS)])
+    return (placed.withColumns({f"r{k}": F.sum(f"d{k}").over(running) for k in range(PARTS)})
             .join(totals, ["conv", "block"])
-            .select("conv", "pos", "role", "text",
-                    (F.col("bs1") + F.col("r1")).alias("h1"), (F.col("bs2") + F.col("r2")).alias("h2")))
+            .select("conv", "pos", "role", "text", *[(F.col(f"b{k}") + F.col(f"r{k}")).alias(f"h{k}") for k in range(PARTS)]))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
@@ -61,11 +66,11 @@ def maximal(turns: DataFrame) -> DataFrame:
     """
     ends = turns.groupBy("conv").agg(F.max("pos").alias("n_turns"))
     whole = (turns.withColumnRenamed("pos", "n_turns").join(ends, ["conv", "n_turns"])
-             .groupBy("n_turns", "h1", "h2").agg(F.min("conv").alias("conv"), F.count(F.lit(1)).alias("n_same")))
+             .groupBy("n_turns", *HASH).agg(F.min("conv").alias("conv"), F.count(F.lit(1)).alias("n_same")))
     # a fingerprint that occurs at a position before the end of its conversation
     inner = (turns.join(ends, "conv").where("pos < n_turns")
-             .select(F.col("pos").alias("n_turns"), "h1", "h2").distinct())
-    return whole.join(inner, ["n_turns", "h1", "h2"], "left_anti").select("conv", "n_turns", "n_same")
+             .select(F.col("pos").alias("n_turns"), *HASH).distinct())
+    return whole.join(inner, ["n_turns", *HASH], "left_anti").select("conv", "n_turns", "n_same")
 
 
 def render(turns: DataFrame, chosen: DataFrame, part_turns: int = BLOCK) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from authloom.llm.components import components
-from authloom.llm.store import Store, bounded_batches
+from authloom.llm.store import Store, bounded_batches, small_batches
 
 AXES = 6        # leading axes of the grid
 BLOCK = 4096    # vectors of a block
@@ -245,6 +245,7 @@ def _join(axes, cosine: float, eps: float, leaf: int):
     return run
 
 
+@small_batches(1000)
 def near_embeddings(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding",
                     block: int = BLOCK, leaf: int = LEAF, partners: int = PARTNERS) -> DataFrame:
     """One row per row of ``vectors``: its id, ``n_links, component_id, kept``.
@@ -265,7 +266,6 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     axes = spark.sparkContext.broadcast(principal_axes(classes))
 
     grid = ["dim", *[f"c{k}" for k in range(AXES)]]
-    bounded_batches(spark)
     celled = classes.mapInArrow(_cells(axes, eps), "id long, w long, x array<double>, "
                                 + ", ".join(f"{c} int" for c in grid))
     blocks = store.save(celled.repartitionByRange(*grid, "id").sortWithinPartitions(*grid, "id")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from authloom.llm.components import components
-from authloom.llm.store import Store, bounded_batches
+from authloom.llm.store import Store, small_batches
 from authloom.llm.words import mix, shingle_sets
 
 VALUES = 128   # signature length
@@ -318,6 +318,7 @@ def _confirm(percent: int):
     return run
 
 
+@small_batches(256)
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
                     block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_shingles, component_id, kept``.
@@ -328,7 +329,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ignored, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 256)
     store = Store(spark, "minhash")
     least, strong = least_matches(percent / 100), int(np.ceil(VALUES * percent / 100))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from authloom.llm.store import Store, bounded_batches
+from authloom.llm.store import Store, bounded_batches, small_batches
 from authloom.llm.words import mix, slices, text_bytes, word_hashes
 
 BITS = 18
@@ -179,6 +179,7 @@ def held_out(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
+@small_batches(1000)
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality") -> Model:
     """Fit on labelled rows outside the held-out fold.
@@ -186,7 +187,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Rows with a null label, and ids with both labels, are not learned from.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("x"), F.max(label_col).alias("y"))
              .where("x = y").select("id", F.col("y").cast("int").alias("y"), F.xxhash64("id").alias("h")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from authloom.sources.scratch import shared_dir
@@ -32,9 +34,33 @@ class Store:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Limit the rows of one Arrow batch, so that a Python task holds little text at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
+    """Limit the rows of one Arrow batch, so that a Python task holds little text at a time.
+
+    For results that run later: the limit stays with the session.
+    """
+    now = int(spark.conf.get(_BATCH))
     if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+        spark.conf.set(_BATCH, str(rows))
+
+
+def small_batches(rows: int):
+    """The same limit for a function that runs all its Python stages before it returns."""
+
+    def wrap(function):
+        @functools.wraps(function)
+        def run(df: DataFrame, *args, **named):
+            spark = df.sparkSession
+            now = spark.conf.get(_BATCH)
+            bounded_batches(spark, rows)
+            try:
+                return function(df, *args, **named)
+            finally:
+                spark.conf.set(_BATCH, now)
+
+        return run
+
+    return wrap

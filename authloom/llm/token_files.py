@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from authloom.llm import bpe, pieces
-from authloom.llm.store import Store, bounded_batches
+from authloom.llm.store import Store, bounded_batches, small_batches
 
 LENGTH = 1024    # ids of a sequence
 SEQUENCES = 256  # sequences of a batch
@@ -219,6 +219,7 @@ def read_files(files: DataFrame, base: str) -> DataFrame:
         run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+@small_batches(1000)
 def round_trip(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents and read them back: ``doc_id, start, n_tokens, ids_crc32``."""
     store = Store(docs.sparkSession, "tokens")

@@ -61,4 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = store.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            store.drop(f"stage-{k - 1}")  # written anew, and read by nothing else
     return docs

@@ -87,6 +87,9 @@ def test_snapshots_collapse(spark):
              (71, 1, "a", "tie", "", "", ""), (71, 1, "b", "tie", "", "", ""), (None, 0, "user", "lost", "", "", ""),
              (72, 0, "user", "x" * 100_000, "", "", "")]
     rows += [(80, k, "user", f"t{k}", "", "", "") for k in range(700)] + [(81, k, "user", f"t{k}", "", "", "") for k in range(600)]
+    # turn numbers far apart
+    rows += [(90, k * 10**12, "user", f"far {k}", "", "", "") for k in range(600)]
+    rows += [(91, k * 10**12, "user", f"far {k}", "", "", "") for k in range(599)]
     rng.shuffle(rows)
     got = chat.format_chats(spark.createDataFrame(rows, CONVERSATIONS)).collect()
     texts, facts = {}, {}
@@ -95,7 +98,7 @@ def test_snapshots_collapse(spark):
         facts[r["conv_id"]] = (r["n_turns"], r["n_same"])
     want = expected_chats(rows)
     assert {c: (*facts[c], texts[c]) for c in texts} == want
-    assert sorted(r["part"] for r in got if r["conv_id"] == 80) == [0, 1, 2] and 81 not in texts
+    assert sorted(r["part"] for r in got if r["conv_id"] == 80) == [0, 1, 2] and 81 not in texts and 91 not in texts
     assert chat.format_chats(spark.createDataFrame(rows, CONVERSATIONS).limit(0)).count() == 0
 
 
