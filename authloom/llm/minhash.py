@@ -1,8 +1,8 @@
 """MinHash near-duplicate detection with an LSH forest.
 
-1. Every document gets a signature of 128 minima over its five-word shingles. Documents with equal
+1. Every document gets a signature of 256 minima over its five-word shingles. Documents with equal
    sets collapse into one representative.
-2. The forest is 24 orders of the signatures: tree t sorts them from value 5t on, cyclically. A region
+2. The forest is 24 orders of the signatures: tree t sorts them from value 10t on, cyclically. A region
    of a tree is the set of representatives that agree in the first four values there; regions of one
    are dropped after a count of small rows. Two sets of similarity 0.85 share a region of some tree
    but for a chance of 2e-8.
@@ -30,13 +30,14 @@ from authloom.llm.components import components
 from authloom.llm.store import Store, small_batches
 from authloom.llm.words import mix, shingle_sets
 
-VALUES = 128   # signature length
+VALUES = 256   # signature length
 TREES = 24
-STRIDE = 5     # tree t begins at value 5t
+STRIDE = 10    # tree t begins at value 10t
 DEPTH = 4      # values that a region shares
 BLOCK = 512    # documents compared with each other at most
 FILTER_BITS = 1 << 23
 SLACK = 4.5    # standard deviations below the threshold at which a candidate is still confirmed
+CLOSE = 2.5    # the same for pairs of dense blocks that are no neighbours there
 
 _FACTORS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ORDER = np.array([(STRIDE * t + np.arange(VALUES)) % VALUES for t in range(TREES)])
@@ -50,16 +51,27 @@ def signature(values: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def region_keys(sig: np.ndarray) -> np.ndarray:
+    """Key of the region of each tree."""
+    value = np.arange(1, TREES + 1, dtype=np.uint64)
+    for k in range(DEPTH):
+        value = mix(value * np.uint64(0x9E3779B97F4A7C15) + sig[_ORDER[:, k]].astype(np.uint64))
+    return value
+
+
 def _sign(batches):
+    """Set size and digest, and of non-empty sets the region keys and the low bytes of the signature."""
     for batch in batches:
-        sizes, digests, signatures = [], [], []
+        sizes, digests, keys, sketches = [], [], [], []
         for values in shingle_sets(batch.column(1)):
             sizes.append(len(values))
             digests.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
-            signatures.append(signature(values).tobytes() if len(values) else None)
+            sig = signature(values) if len(values) else None
+            keys.append(None if sig is None else region_keys(sig).tobytes())
+            sketches.append(None if sig is None else sig.astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-             pa.array(signatures, pa.binary())], ["id", "n_shingles", "digest", "signature"])
+            [batch.column(0), pa.array(sizes, pa.int64()), *[pa.array(c, pa.binary()) for c in (digests, keys, sketches)]],
+            ["id", "n_shingles", "digest", "keys", "sketch"])
 
 
 def _matrix(column: pa.Array, width: int, dtype) -> np.ndarray:
@@ -69,33 +81,25 @@ def _matrix(column: pa.Array, width: int, dtype) -> np.ndarray:
 def _regions(batches):
     """Region key of every representative in every tree."""
     for batch in batches:
-        sig = _matrix(batch.column(1), VALUES, np.uint32).astype(np.uint64)
-        n = len(sig)
-        key = np.empty((n, TREES), dtype=np.uint64)
-        for t in range(TREES):
-            value = np.full(n, t + 1, dtype=np.uint64)
-            for p in _ORDER[t, :DEPTH]:
-                value = mix(value * np.uint64(0x9E3779B97F4A7C15) + sig[:, p])
-            key[:, t] = value
+        key = _matrix(batch.column(1), TREES, np.int64)
         ids = np.repeat(np.asarray(batch.column(0)), TREES)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64).ravel()), pa.array(ids, pa.int64()),
-             pa.array(np.tile(np.arange(TREES, dtype=np.int32), n))], ["key", "id", "tree"])
+            [pa.array(key.ravel()), pa.array(ids, pa.int64()),
+             pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(key)))], ["key", "id", "tree"])
 
 
 def _sketch(batches):
-    """Rows of regions with the low bytes of their signature, in the order of their tree."""
+    """Rows of regions with the low bytes of their signature in the order of their tree."""
     for batch in batches:
-        key, node, tree, n, sig = (batch.column(k) for k in range(5))
-        low = _matrix(sig, VALUES, np.uint32).astype(np.uint8)
-        low = np.take_along_axis(low, _ORDER[np.asarray(tree)], axis=1)
+        key, node, tree, n, sketch = (batch.column(k) for k in range(5))
+        low = np.take_along_axis(_matrix(sketch, VALUES, np.uint8), _ORDER[np.asarray(tree)], axis=1)
         yield pa.RecordBatch.from_arrays(
             [key, node, n, pa.array([r.tobytes() for r in low], pa.binary())], ["key", "id", "n", "sketch"])
 
 
-def least_matches(threshold: float) -> int:
-    """Equal values of a signature below which a pair of the threshold's similarity is out of the question."""
-    return int(np.floor(VALUES * threshold - SLACK * np.sqrt(VALUES * threshold * (1 - threshold))))
+def least_matches(threshold: float, slack: float = SLACK) -> int:
+    """Equal values of a signature that a pair of the threshold's similarity has but for ``slack`` deviations."""
+    return int(np.floor(VALUES * threshold - slack * np.sqrt(VALUES * threshold * (1 - threshold))))
 
 
 def _hub(rows: np.ndarray) -> tuple[int, int]:
@@ -239,8 +243,8 @@ def _with_hubs(least: int):
 def _across(least: int, strong: int, most: int):
     """Pairs of one block that belong to different components.
 
-    Of a document all pairs that agree as much as the threshold expects, and the best of the others:
-    what two documents of a dense block have in common with everything there is no sign of a link.
+    Of a document all pairs that agree about as much as the threshold expects, and the best of the
+    others: what two documents of a dense block share with everything there is no sign of a link.
     """
 
     def run(batches):
@@ -330,17 +334,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     store = Store(spark, "minhash")
-    least, strong = least_matches(percent / 100), int(np.ceil(VALUES * percent / 100))
+    least, strong = least_matches(percent / 100), least_matches(percent / 100, CLOSE)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = store.save(texts.mapInArrow(_sign, "id long, n_shingles long, digest binary, signature binary"), "signed")
+    signed = store.save(texts.mapInArrow(_sign, "id long, n_shingles long, digest binary, keys binary, sketch binary"), "signed")
 
     some = signed.where("n_shingles > 0 AND id IS NOT NULL")
     first = some.groupBy("digest").agg(F.min("id").alias("id"))
-    reps = store.save(some.join(first, ["digest", "id"], "left_semi").select("id", "signature"), "reps")
+    reps = store.save(some.join(first, ["digest", "id"], "left_semi").select("id", "keys", "sketch"), "reps")
 
-    keys = reps.mapInArrow(_regions, "key long, id long, tree int")
+    keys = reps.select("id", "keys").mapInArrow(_regions, "key long, id long, tree int")
     crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = keys.join(crowded, "key").join(reps, "id").select("key", "id", "tree", "n", "signature")
+    rows = keys.join(crowded, "key").join(reps.select("id", "sketch"), "id").select("key", "id", "tree", "n", "sketch")
     forest = store.save(rows.mapInArrow(_sketch, "key long, id long, n long, sketch binary"), "forest")
 
     # a small region stays whole; a larger one is dealt out along its order
