@@ -4,9 +4,13 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from authloom import schemas
 from authloom.operators import evidence, requests
 
+SIGNAL = (
+    "signal_id string, node_id string, detection_rule_id string, rule_id string, rule_level int, "
+    "rule_desc string, severity string, category string, src_ip string, event_time string, "
+    "suggested_logs array<string>, raw_ref string, matched_count bigint")
+
 T0 = datetime(2024, 5, 1)
 EVENT = ("node_id string, id bigint, timestamp timestamp_ntz, hostname string, process string, pid int, "
          "message string, src_ip string, src_port int, dst_user string, log_type string, raw_line string")
@@ -16,8 +20,8 @@ def signals(spark, rows):
     base = dict(signal_id="s", node_id="n", detection_rule_id="", rule_id="", rule_level=5, rule_desc="",
                 severity="", category="", src_ip="0.0.0.0", event_time=None, suggested_logs=["auth_log"],
                 raw_ref="", matched_count=1)
-    names = [c.split()[0] for c in schemas.SIGNAL.split(", ")]
-    return spark.createDataFrame([tuple({**base, **r}[n] for n in names) for r in rows], schemas.SIGNAL)
+    names = [c.split()[0] for c in SIGNAL.split(", ")]
+    return spark.createDataFrame([tuple({**base, **r}[n] for n in names) for r in rows], SIGNAL)
 
 
 def test_request_goldens(spark):
