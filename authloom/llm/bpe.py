@@ -25,7 +25,7 @@ from authloom.llm import pieces
 from authloom.llm.store import bounded_batches
 
 BLOCK_BYTES = 12 << 20
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -172,16 +172,15 @@ class PieceCoder:
             starts, ends = self.split(cp, rows)
             value, where, inverse = np.unique(
                 pieces.piece_hashes(cp, starts, ends), return_index=True, return_inverse=True)
-            known = np.zeros(len(value), dtype=np.int64)
-            for k, h in enumerate(value.tolist()):
-                at = self.table.index.get(h)
+            known = self.table.find(value)
+            for k in np.flatnonzero(known < 0).tolist():
+                h = int(value[k])
+                at = numbers.get(h)
                 if at is None:
-                    at = numbers.get(h)
-                    if at is None:
-                        at = numbers[h] = len(self.table.index) + len(fresh)
-                        fresh.append(joined[starts[where[k]]:ends[where[k]]])
+                    at = numbers[h] = len(self.table) + len(fresh)
+                    fresh.append(joined[starts[where[k]]:ends[where[k]]])
                 known[k] = at
-            words.append(known[inverse].astype(np.int32))
+            words.append(known[inverse])
             counts.append(np.diff(np.searchsorted(starts, rows)))
             lo = hi
         # 2. merge the new ones together

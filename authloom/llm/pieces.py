@@ -157,29 +157,46 @@ def piece_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 class PieceTable:
-    """Ids of the pieces seen so far, by hash; reset beyond ``most`` pieces, so its memory is bounded."""
+    """Ids of the pieces seen so far, by hash; reset beyond ``most`` pieces, so its memory is bounded.
+
+    Sorted arrays: some 40 bytes a piece, and whole slices are looked up at once.
+    """
 
     def __init__(self, most: int = 800_000) -> None:
         self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.hashes = np.zeros(0, dtype=np.uint64)   # sorted
+        self.numbers = np.zeros(0, dtype=np.int32)   # of the pieces with these hashes
         self.starts = np.zeros(0, dtype=np.int64)
-        self.lengths = np.zeros(0, dtype=np.int64)
+        self.lengths = np.zeros(0, dtype=np.int32)
         self.flat = np.zeros(0, dtype=np.int32)
 
+    def __len__(self) -> int:
+        return len(self.hashes)
+
     def trim(self) -> None:
-        if len(self.index) > self.most:
+        if len(self) > self.most:
             self.clear()
 
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each piece, -1 where it isn't known."""
+        if not len(self):
+            return np.full(len(hashes), -1, dtype=np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+        return np.where(self.hashes[at] == hashes, self.numbers[at], np.int32(-1))
+
     def add(self, hashes: list[int], lengths: np.ndarray, flat: np.ndarray) -> None:
-        n = len(self.index)
-        self.index.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+        """New pieces, numbered on from the last one."""
+        numbers = np.arange(len(self), len(self) + len(hashes), dtype=np.int32)
         ends = np.cumsum(lengths)
         self.starts = np.concatenate((self.starts, len(self.flat) + ends - lengths))
-        self.lengths = np.concatenate((self.lengths, lengths))
+        self.lengths = np.concatenate((self.lengths, lengths.astype(np.int32)))
         self.flat = np.concatenate((self.flat, flat))
+        joined = np.concatenate((self.hashes, np.array(hashes, dtype=np.uint64)))
+        order = np.argsort(joined, kind="stable")
+        self.hashes, self.numbers = joined[order], np.concatenate((self.numbers, numbers))[order]
 
     def ids(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the numbered pieces one after the other, and how many each has."""
