@@ -33,12 +33,14 @@ def test_any_text(coders, texts):
 
 
 def test_every_character(coders):
-    """Beside letters, blanks and signs, where the classes of characters show."""
-    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    """Beside letters, blanks and signs, where the classes of characters show (planes 4 to 13 and 15 on hold none)."""
+    every = [chr(c) for c in [*range(0x40000), *range(0xE0000, 0xE1000), 0x50000, 0xF0000, 0x10FFFF] if not 0xD800 <= c < 0xE000]
     for own, library in coders:
-        for lo in range(0, len(every), 256):
-            text = " ".join(f"a{c}a !{c} {c}" for c in every[lo:lo + 256])
-            assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids, hex(ord(every[lo]))
+        for lo in range(0, len(every), 100_000):
+            texts = [f"a{c}a !{c} {c}" for c in every[lo:lo + 100_000]]
+            want = library.encode_batch_fast(texts, add_special_tokens=False)
+            wrong = [t for t, x, y in zip(texts, own.encode(texts), want, strict=True) if x.tolist() != y.ids]
+            assert not wrong, wrong[:5]
 
 
 def test_a_small_piece_table_changes_nothing(coders):
