@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from authloom.llm import pieces
 from authloom.llm.store import bounded_batches
 
-BLOCK_BYTES = 12 << 20
-SLICE_CHARS = 1 << 20
+BLOCK_BYTES = 6 << 20
+SLICE_CHARS = 1 << 19
 
 
 def byte_symbols() -> list[str]:

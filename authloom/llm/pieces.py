@@ -144,7 +144,7 @@ def piece_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return np.zeros(0, dtype=np.uint64)
     if len(_POWERS.get("up", ())) < size:
         for name, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(max(size, 1 << 20), base, dtype=np.uint64)
+            p = np.full(max(size, 1 << 19), base, dtype=np.uint64)
             p[0] = 1
             _POWERS[name] = np.multiply.accumulate(p)
     total = np.zeros(size + 1, dtype=np.uint64)

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 SHINGLE = 5
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
