@@ -967,10 +967,10 @@ def stream_inventory(spark, sf):
 
 
 _HALF = "2024-01-16 00:00:00"
-_LATE = "5 days"
+_LATE = "10 days"
 
 
-def _land_in_pieces(spark, sf, path, since=None, until=None, days=3):
+def _land_in_pieces(spark, sf, path, since=None, until=None, days=8):
     """Land events a few days at a time, as a log arrives."""
     events = t.auth_events(spark, sf)
     first = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 00:00:00' AS x").first().x
@@ -998,7 +998,6 @@ def stream_detect(spark, sf):
     run()
     # once more the first day, weeks behind the watermark
     detect.land_events(t.auth_events(spark, sf).where(F.col("timestamp") < t.naive("2024-01-02 00:00:00")), f"{out}/events")
-    run()
     detect.land_end(spark, f"{out}/events")
     run()
     return _fires_of(spark, out)
