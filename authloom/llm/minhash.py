@@ -15,6 +15,9 @@
 4. Candidates are confirmed on the full shingle sets, in three rounds: the best candidate of each
    document; other candidates between what is still apart; and pairs of one block between what is
    apart even then. Pairs inside one component need no look, which keeps the work of large groups linear.
+5. What is still apart in a region of several blocks is compared in full: its members are dealt into
+   parts, every two parts are a task of their own, and a task compares the shingle sets themselves and
+   returns links that join components, never candidates.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ BLOCK = 512    # documents compared with each other at most
 FILTER_BITS = 1 << 23
 SLACK = 4.5    # standard deviations below the threshold at which a candidate is still confirmed
 CLOSE = 2.5    # the same for pairs of dense blocks that are no neighbours there
+WEIGHT = 1 << 18  # shingles of a part of a wide region
 
 _FACTORS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ORDER = np.array([(STRIDE * t + np.arange(VALUES)) % VALUES for t in range(TREES)])
@@ -271,6 +275,131 @@ def _across(least: int, strong: int, most: int):
     return run
 
 
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Size of the intersection of every set of ``x`` with every set of ``y``."""
+    columns = []
+    for sets in (x, y):
+        rows = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        columns.append((values[order], rows[order]))
+    (u, i), (v, j) = columns
+    shared = np.intersect1d(u, v)
+    if x is y:  # what one set alone has meets nothing
+        shared = np.unique(u[1:][u[1:] == u[:-1]])
+    out = np.zeros((len(x), len(y)))
+    for lo in range(0, len(shared), width):
+        some = shared[lo:lo + width]
+        dense = []
+        for values, rows, n in ((u, i, len(x)), (v, j, len(y))):
+            a, b = np.searchsorted(values, some[0]), np.searchsorted(values, some[-1], side="right")
+            at = np.searchsorted(some, values[a:b])
+            hit = some[at] == values[a:b]
+            m = np.zeros((n, len(some)), dtype=np.float32)
+            m[rows[a:b][hit], at[hit]] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _joining(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Places of links between components ``x, y`` that are enough to join all of them."""
+    _, first = np.unique(np.stack((x, y), axis=1), axis=0, return_index=True)
+    up, keep = {}, []
+
+    def root(c):
+        while up.setdefault(c, c) != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    for k in first.tolist():
+        r, t = root(int(x[k])), root(int(y[k]))
+        if r != t:
+            up[r] = t
+            keep.append(k)
+    return keep
+
+
+def _tiles(percent: int):
+    """Links between the components of two parts of a wide region (sides 0 and 1) or inside one (side 2)."""
+
+    def links(side, ids, comp, sets):
+        side, ids, comp = (np.array(c) for c in (side, ids, comp))
+        p, q = (np.flatnonzero(side == k) for k in ((2, 2) if side[0] == 2 else (0, 1)))
+        if not len(p) or not len(q) or (comp == comp[0]).all():
+            return [], []
+        x = [sets[k] for k in p]
+        y = x if side[0] == 2 else [sets[k] for k in q]
+        common = _overlaps(x, y)
+        size = lambda s: np.array([len(v) for v in s])
+        i, j = np.nonzero((100 * common >= percent * (size(x)[:, None] + size(y) - common)) & (comp[p][:, None] != comp[q]))
+        if not len(i):
+            return [], []
+        keep = _joining(comp[p[i]], comp[q[j]])
+        return ids[p[i[keep]]], ids[q[j[keep]]]
+
+    def run(batches):
+        held, last = [], None
+
+        def done():
+            a, b = links(*map(list, zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            tile, side, ids, comp = (c.to_pylist() for c in batch.columns[:4])
+            for k in range(batch.num_rows):
+                if tile[k] != last and held:
+                    yield done()
+                    held = []
+                last = tile[k]
+                held.append((side[k], ids[k], comp[k], np.frombuffer(batch.column(4)[k].as_buffer(), dtype=np.uint64)))
+        if held:
+            yield done()
+
+    return run
+
+
+def _wide_tiles(members: DataFrame, store: Store, block: int) -> DataFrame:
+    """``tile, side, id, comp``: members of wide regions, such that all pairs of a region that are of
+    different components meet in some tile.
+
+    ``members`` has ``key, id, n_shingles, comp``. Regions of different trees that share documents are
+    taken together where that is less work than each by itself. A component of more than a block has
+    parts of its own, which are not compared with each other.
+    """
+    regions = members.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n"))
+    linked = members.join(regions, "key").select(F.col("id").alias("a"), "b")
+    cluster = components(linked, store, "clusters").withColumnRenamed("component", "cluster")
+    together = members.join(cluster, "id").select("cluster", "id", "n_shingles", "comp").distinct()
+    single = regions.join(cluster, F.col("b") == F.col("id")).groupBy("cluster").agg(
+        F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
+    whole = store.save(
+        together.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("n")).join(single, "cluster")
+        .select("cluster", (F.col("n") * F.col("n") <= F.col("work")).alias("whole")), "whole")
+    spread = store.save(
+        together.join(whole.where("whole"), "cluster").select("whole", F.col("cluster").alias("key"), "id", "n_shingles", "comp")
+        .unionByName(members.join(cluster, "id").join(whole.where("NOT whole"), "cluster")
+                     .select("whole", "key", "id", "n_shingles", "comp")), "spread")
+    space = ["whole", "key", "own", "part"]
+    counts = spread.groupBy("whole", "key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    counts = counts.withColumn("own", F.col("n") > block).withColumn("part", F.when(F.col("own"), F.col("comp")).otherwise(0))
+    parts = counts.groupBy(*space).agg(F.sum("n").alias("n"), F.sum("w").alias("w")).select(
+        *space, F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("w") / WEIGHT), F.lit(1)).cast("long").alias("pieces"))
+    placed = (spread.join(counts.select("whole", "key", "comp", "own", "part"), ["whole", "key", "comp"]).join(parts, space)
+              .select(*space, F.expr("pmod(xxhash64(id), pieces)").alias("no"), "id", "comp"))
+    one = store.save(parts.select(*space, F.explode(F.expr("sequence(0L, pieces - 1)")).alias("no")), "pieces")
+    x = one.select("whole", "key", F.struct("own", "part", "no").alias("x"))
+    y = one.select("whole", "key", F.struct("own", "part", "no").alias("y"))
+    tiles = x.join(y, ["whole", "key"]).where("x <= y AND NOT (x.own AND y.own AND x.part = y.part)")
+    tiles = tiles.withColumn("tile", F.xxhash64("whole", "key", "x", "y"))
+    sides = tiles.select("whole", "key", "tile", F.explode(F.expr(
+        "CASE WHEN x = y THEN array(named_struct('side', 2, 'at', x)) "
+        "ELSE array(named_struct('side', 0, 'at', x), named_struct('side', 1, 'at', y)) END")).alias("s"))
+    sides = sides.select("whole", "key", "s.at.own", "s.at.part", "s.at.no", "tile", "s.side")
+    return placed.join(sides, [*space, "no"]).select("tile", "side", "id", "comp")
+
+
 def _bits(nodes: DataFrame) -> bytes:
     """A bitmap of fixed size of the ids (modulo its bits): tells most rows that are not asked for."""
     bit = nodes.select(F.pmod("id", F.lit(FILTER_BITS)).alias("h"))
@@ -364,11 +493,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pair(found.where("kind = 0").select("a", "b", "matches").unionByName(best_hub))
         .groupBy("a", "b").agg(F.max("matches").alias("matches")), "candidates")
 
+    def sets_of(nodes: DataFrame, name: str) -> DataFrame:
+        """Shingle sets of the nodes (and of a few more)."""
+        bits = spark.sparkContext.broadcast(_bits(nodes))
+        return store.save(texts.where("id IS NOT NULL").mapInArrow(_sets(bits), "id long, items binary"), f"{name}-sets")
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that hold on the full sets."""
         nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-        bits = spark.sparkContext.broadcast(_bits(nodes))
-        sets = store.save(texts.where("id IS NOT NULL").mapInArrow(_sets(bits), "id long, items binary"), f"{name}-sets")
+        sets = sets_of(nodes, name)
         x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
         y = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
         out = store.save(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
@@ -399,7 +532,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                       F.count(F.lit(1)).alias("m")).where("x <> y AND m > 3").select("key")
     across = pair(ordered(spread.join(mixed, "key")).mapInArrow(_across(least, strong, block), EDGES)).select("a", "b").distinct()
     rest = store.save(across.join(best.unionByName(apart), ["a", "b"], "left_anti"), "rest")
-    final = store.save(components(links.unionByName(confirmed(rest, "three")), store, "third"), "final")
+    links = store.save(links.unionByName(confirmed(rest, "three")), "links-3")
+    final = store.save(components(links, store, "third"), "final")
+
+    # all pairs of a region of several blocks between what is apart even now
+    size = some.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
+    members = forest.where(F.col("n") > block).select("key", "id").distinct().join(final, "id", "left").select(
+        "key", "id", F.coalesce("component", "id").alias("comp"))
+    apart_in = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    members = store.save(members.join(apart_in, "key").join(size, "id").select("key", "id", "n_shingles", "comp"), "members")
+    if not members.isEmpty():
+        sets = sets_of(members.select("id").distinct(), "four")
+        tiles = _wide_tiles(members, store, block).join(sets, "id").select("tile", "side", "id", "comp", "items")
+        joined = store.save(tiles.repartition("tile").sortWithinPartitions("tile", "side")
+                            .mapInArrow(_tiles(percent), "a long, b long"), "four-links")
+        store.drop("four-sets")
+        final = store.save(components(links.unionByName(joined), store, "fourth"), "final-4")
     store.drop("forest", "found", "candidates", "reps")
 
     nodes = some.select("digest", "id").join(first.select("digest", F.col("id").alias("node")), "digest")

@@ -50,6 +50,32 @@ def test_a_region_of_many_blocks(spark):
     check(spark, list(enumerate(texts)), block=16)
 
 
+def test_linked_pairs_on_one_template(spark):
+    """Documents of one template that are just not alike, and pairs among them that just are."""
+    rng = random.Random(11)
+    template, texts = words(rng, 300), []
+    for _ in range(150):
+        own = words(rng, 8)
+        for tail in (words(rng, 22), words(rng, 22)):
+            texts.append(" ".join(template + own + tail))
+    rng.shuffle(texts)
+    texts = list(enumerate(texts))
+    groups = near_groups(texts, 85)
+    assert len(set(groups.values())) == 150
+    check(spark, texts, block=16)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(4)
+    x, y = ([np.unique(rng.integers(0, 300, rng.integers(1, 90))).astype(np.uint64) for _ in range(n)] for n in (9, 7))
+    for p, q in ((x, y), (x, x)):
+        got = minhash._overlaps(p, q, 16)
+        for i, u in enumerate(p):
+            for j, v in enumerate(q):
+                if p is not q or i != j:
+                    assert got[i, j] == len(np.intersect1d(u, v))
+
+
 def test_odd_rows(spark):
     long = " ".join(words(random.Random(3), 30_000))
     texts = [(5, "A b C d e f"), (3, "a B c d e f"), (9, None), (8, ""), (7, " \t\r\n"), (6, "one two"), (4, "One  TWO"),
