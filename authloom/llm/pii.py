@@ -1,12 +1,14 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Base expressions find e-mail addresses, IP addresses, card and phone numbers. They are the seeds: the
-word before a seed is a lexical pattern of its kind. Patterns and instances form a graph whose scores
+word before a seed is a lexical pattern of its kind: the token before it, or the start of its own token
+if the seed is glued to a label ('tel:' in 'tel:+1...'). Patterns and instances form a graph whose scores
 are computed in rounds. A pattern's score is the share of its occurrences in the corpus (of all
-occurrences of the word, wherever it stands) that precede an instance, weighed by the instances'
-scores, and counts only if enough different instances back it. An instance that the base expressions
-left (a number that fails its check, an address that is written out) gets the score of its pattern.
-Instances of high score become seeds of the next round. Base spans always stay.
+occurrences of the word, wherever it stands: as a token, as the start of one up to a sign, or up to a
+span) that precede an instance, weighed by the instances' scores, and counts only if enough different
+instances back it. An instance that the base expressions left (a number that fails its check, an
+address that is written out) gets the score of its pattern. Instances of high score become seeds of
+the next round. Base spans always stay.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ AT, DOT = r"\x20?(?:\(at\)|\[at\])\x20?", r"\x20?(?:\(dot\)|\[dot\]|\.)\x20?"
 WRITTEN_EMAIL = rf"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++{AT}[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)++"
 LOCAL_PHONE = r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 
-WINDOW = 64       # characters before a span in which its word is looked for
+WINDOW = 64       # last characters of a token that make a word
 SUPPORT = 3       # different instances that a pattern needs
 CONFIDENCE = 0.5  # least score of a pattern whose instances are taken
 ROUNDS = 3
 
+_BLANK = r"' \t\n\u000B\f\r'"  # what \s matches
+_PLAIN, _SIGN = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
 _SPAN = "struct<start:bigint,end:bigint,value:string>"
 
 
@@ -41,6 +45,11 @@ def _literal(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\'") + "'"
 
 
+def _unit(text: str) -> str:
+    """SQL: a word as patterns have it."""
+    return f"lower(regexp_replace({text}, '[0-9]', '0'))"
+
+
 def _spans(pattern: str, guard: str) -> str:
     """SQL: start, end and text of every match, in characters; ``guard`` is a cheap necessary condition."""
     p = _literal(pattern)
@@ -88,20 +97,34 @@ def find_spans(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     # a candidate that touches a base span is a part of it
     rows = rows.withColumn("loose", F.expr(
         "filter(loose, c -> NOT exists(base, b -> b.start < c.end AND c.start < b.end))"))
-    before = (f"nullif(lower(regexp_replace(element_at(split(rtrim(substring(t, cast(greatest(m.start - {WINDOW} + 1, 1) AS int), "
-              f"cast(least(m.start, {WINDOW}) AS int))), r'\\s+'), -1), '[0-9]', '0')), '')")
+    trimmed = lambda x: f"trim(TRAILING {_BLANK} FROM {x})"
+    near = trimmed(f"substring(t, cast(greatest(m.start - {WINDOW} + 1, 1) AS int), cast(least(m.start, {WINDOW}) AS int))")
+    # more than the window is looked at only where blanks push the word out of it
+    head = (f"CASE WHEN m.start > {WINDOW} AND char_length({near}) < {WINDOW} AND NOT {near} RLIKE r'\\s' "
+            f"THEN {trimmed('substring(t, 1, cast(m.start AS int))')} ELSE {near} END")
+    last = f"element_at(split(right({head}, {WINDOW}), r'\\s+'), -1)"
+    before = f"nullif({_unit(last)}, '')"
+    glued = f"substring(t, cast(m.start AS int), 1) RLIKE {_literal(_PLAIN)} AND m.start > 0"
     for c in ("base", "loose"):
         rows = rows.withColumn(c, F.expr(
             f"transform({c}, m -> named_struct('kind', m.kind, 'start', m.start, 'end', m.end, "
-            f"'value', lower(m.value), 'word', {before}))"))
+            f"'value', lower(m.value), 'word', {before}, 'glued', {glued}))"))
     return rows.select("id", F.md5("t").alias("text_key"), "base", "loose")
 
 
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """How often each pattern word occurs in all texts, wherever."""
-    words = F.split(F.lower(F.regexp_replace(F.col(text_col), "[0-9]", "0")), r"\s+")
-    return docs.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(
-        F.count(F.lit(1)).alias("times"))
+def word_counts(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
+    """How often each pattern word occurs in all texts, wherever: as a token, as a token's start up to
+    each of its signs, and as a token's start that ends inside letters where a span begins."""
+    tokens = (docs.select(F.explode(F.split(F.col(text_col).cast("string"), r"\s+")).alias("token")).where("token <> ''")
+              .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    # a piece has one character at least, so that the last pieces cover the last characters
+    pieces = F.expr(f"filter(split(token, {_literal(f'(?<={_SIGN})')}), p -> p <> '')")
+    starts = F.expr(f"transform(p, (x, k) -> right(array_join(slice(p, greatest(k + 2 - {WINDOW}, 1), least(k + 1, {WINDOW})), ''), {WINDOW}))")
+    words = tokens.select("n", pieces.alias("p")).select("n", F.explode(starts).alias("word")).select(
+        F.expr(_unit("word")).alias("word"), "n")
+    inside = found.select(F.explode(F.expr(
+        "array_distinct(transform(filter(concat(base, loose), m -> m.glued), m -> named_struct('word', m.word, 'start', m.start)))")).alias("m"))
+    return words.unionByName(inside.select("m.word", F.lit(1).cast("long").alias("n"))).groupBy("word").agg(F.sum("n").alias("times"))
 
 
 def discover(found: DataFrame, docs: DataFrame, text_col: str, store: Store) -> DataFrame:
@@ -113,7 +136,7 @@ def discover(found: DataFrame, docs: DataFrame, text_col: str, store: Store) ->
     # words that precede fewer different instances than a pattern needs can be left out of the count
     able = seen.select("kind", "word", "value").distinct().groupBy("kind", "word").agg(
         F.count(F.lit(1)).alias("n")).where(f"n >= {SUPPORT}").select("kind", "word")
-    able = store.save(able.join(word_counts(docs, text_col), "word"), "able")
+    able = store.save(able.join(word_counts(docs, found, text_col), "word"), "able")
     # edges of the graph: a pattern, an instance, how often they met (copies of one text count each)
     edges = store.save(seen.join(able, ["kind", "word"]).groupBy("kind", "word", "value", "times").agg(
         F.count(F.lit(1)).alias("met"), F.max(F.col("seed").cast("double")).alias("score")), "edges")
@@ -122,7 +145,7 @@ def discover(found: DataFrame, docs: DataFrame, text_col: str, store: Store) ->
         patterns = (edges.join(scores, ["kind", "value"]).groupBy("kind", "word")
                     .agg((F.sum(F.col("met") * F.col("s")) / F.max("times")).alias("p"),
                          F.count(F.when(F.col("s") >= CONFIDENCE, 1)).alias("backing")))
-        patterns = patterns.withColumn("p", F.when(F.col("backing") >= SUPPORT, F.least("p", F.lit(1.0))).otherwise(0.0))
+        patterns = patterns.withColumn("p", F.when(F.col("backing") >= SUPPORT, F.col("p")).otherwise(0.0))
         patterns = store.save(patterns.select("kind", "word", "p"), f"patterns-{k}")
         scores = store.save(edges.join(patterns, ["kind", "word"]).groupBy("kind", "value").agg(
             F.greatest(F.max("score"), F.max("p")).alias("s")), f"scores-{k}")

@@ -64,6 +64,38 @@ def test_contexts_find_unseen_identifiers(spark):
     assert few[100] == ""
 
 
+def test_contexts_of_any_white_space_and_glued_labels(spark):
+    seeds = [(i, f"see tel:+1({200 + i})555-{1000 + i} or\nPhone:\t+1 ({200 + i}) 555-{2000 + i} {' ' * 80}Call:\r\n{' ' * 62}+1 ({200 + i}) 555-{3000 + i}")
+             for i in range(8)]
+    hidden = [(100, "so tel:(321) 555-7654 then"), (101, "Phone:\n(321) 555-7654"), (102, f"{'x' * 70} Call: {' ' * 60}(321) 555-7654"),
+              (103, "xx:(321) 555-7654 then"), (104, "xx: stands alone"), (105, "\n\t(321) 555-7654")]
+    rows = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(documents(spark, seeds + hidden)).collect()}
+    assert [rows[k] for k, _ in hidden] == ["phone:7:21", "phone:7:21", "phone:137:151", "", "", ""]
+
+
+def test_a_label_is_counted_wherever_it_stands(spark):
+    # the label stands before something else more often than before a number, once alone or not at all
+    seeds = [(i, f"note id:+1({200 + i})555-{1000 + i}") for i in range(8)]
+    other = [(20 + i, f"id:w{'abcdefghijklmnop'[i]}") for i in range(16)] + [(50, "id: alone")]
+    rows = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(documents(spark, [*seeds, *other, (100, "id:(321) 555-7654")])).collect()}
+    assert rows[100] == ""
+
+
+def test_words_occur_at_least_as_often_as_they_precede_spans(spark):
+    texts = [(1, "tel321-555-7654 a:b+1(200)555-1000 \u00e9joe@h.org 'x@y.org' " + "q/" * 50 + "(321) 555-7654"), (2, None), (3, ""),
+             (4, "tel321-555-7654\ttel " + "z" * 80 + " 1.2.3.4"), (5, '"phone":"+1(200)555-1000","phone":"none"')]
+    docs = documents(spark, texts)
+    found = pii.find_spans(docs, "text", "doc_id").cache()
+    times = {r["word"]: r["times"] for r in pii.word_counts(docs, found, "text").collect()}
+    met = {}
+    for r in found.collect():
+        for m in [*r["base"], *r["loose"]]:
+            if m["word"] is not None:
+                met.setdefault((m["kind"], m["word"]), []).append(m["start"])
+    assert met and all(times[w] >= len(v) for (_, w), v in met.items())
+    assert times["tel"] == 3 and times['"phone":"'] == 1
+
+
 def expected_chats(rows):
     convs = {}
     for c, turn, role, text in {(c, -1 if t is None else t, r or "", x or "") for c, t, r, x, *_ in rows if c is not None}:
