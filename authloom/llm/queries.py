@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from authloom.llm import bpe, chat, exact_dedup, grid_join, minhash, mixing, pii, quality, token_counts, token_files
+from authloom.llm import (
+    bpe, chat, divergence, exact_dedup, grid_join, minhash, mixing, pii, quality, token_counts, token_files,
+)
 from authloom.llm.store import Store
 
 SEED = 17
@@ -85,6 +87,10 @@ def op10_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", "shuffle_key", F.md5("text").alias("text_md5"))
 
 
+def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_token_files": op9_token_files,
     "op10_source_mixing": op10_source_mixing,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -142,4 +149,33 @@ n AS (SELECT doc_id, source, text, key, u, count(*) AS copies
       FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.src AND c.step <= u.u GROUP BY ALL),
 e AS (SELECT *, unnest(range(1, copies + 1)) AS copy FROM n)
 SELECT doc_id, source, copy, md5(key || ':' || copy::VARCHAR || ':{SEED}') AS shuffle_key, md5(text) AS text_md5 FROM e""",
+    "op12_source_divergence": rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.UPPER.lower()}'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 3),
+here AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM d)
+         JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(v, 0) AS v,
+             coalesce((SELECT sum(n) FROM here h WHERE h.lang = s.lang AND h.source = s.source), 0)::BIGINT AS total,
+             coalesce((SELECT sum(n) FROM here h WHERE h.lang = s.lang), 0)::BIGINT AS lang_total
+      FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN v USING (lang)),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n,
+             1 + (1000000000 * (coalesce(n, 0) + 1)) // (total + v) AS p,
+             1 + (1000000000 * (coalesce(sum(n) OVER (PARTITION BY g.lang, kept.term), 0)::BIGINT + 1)) // (lang_total + v) AS q
+      FROM g JOIN kept USING (lang) LEFT JOIN here USING (lang, source, term)),
+pairs AS (SELECT x.lang, x.source, y.source AS item,
+                 coalesce(sum(((a.p - b.p) * (a.p - b.p)) // b.p), 0)::BIGINT AS value
+          FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+          LEFT JOIN p a ON a.lang = x.lang AND a.source = x.source
+          LEFT JOIN p b ON b.lang = y.lang AND b.source = y.source AND b.term = a.term
+          WHERE a.term IS NULL OR b.term IS NOT NULL GROUP BY ALL),
+terms AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value,
+                  row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pairs
+           UNION ALL
+           SELECT lang, source, 'term', item, value,
+                  row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER FROM terms)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200""",
 }
