@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from authloom.llm import (
     bpe, chat, divergence, exact_dedup, grid_join, minhash, mixing, pii, quality, token_counts, token_files,
+    variants,
 )
 from authloom.llm.store import Store
 
@@ -87,6 +88,10 @@ def op10_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", "shuffle_key", F.md5("text").alias("text_md5"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.variant_forms(_table(spark, sf, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.audit(_table(spark, sf, "documents"))
 
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_token_files": op9_token_files,
     "op10_source_mixing": op10_source_mixing,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_source_divergence": op12_source_divergence,
 }
 

@@ -19,7 +19,7 @@ def test_twin(spark, name):
     assert ok is True and got > 0, diff
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op11_spelling_variants"}))
 def test_runs(spark, name):
     df = QUERIES[name](spark, SF)
     table = "embeddings" if name.startswith("op2") else "documents"
