@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authloom.llm import (
-    bpe, chat, divergence, exact_dedup, grid_join, minhash, mixing, pii, quality, token_counts, token_files,
+    bpe, chat, divergence, exact_dedup, grid_join, hmm, minhash, mixing, pii, quality, token_counts, token_files,
     variants,
 )
 from authloom.llm.store import Store
@@ -96,6 +96,10 @@ def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.audit(_table(spark, sf, "documents"))
 
 
+def op13_hidden_markov(spark: SparkSession, sf: str) -> DataFrame:
+    return hmm.score_documents(_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": op10_source_mixing,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_source_divergence": op12_source_divergence,
+    "op13_hidden_markov": op13_hidden_markov,
 }
 
 ORACLES: dict[str, str] = {

@@ -16,10 +16,12 @@ class Store:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}"
 
-    def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    def save(self, df: DataFrame, name: str, partition_by: str | None = None, compression: str | None = None) -> DataFrame:
         """Write ``df`` once and read it back with the schema it was written with."""
         path = f"{self.path}/{name}"
         writer = df.write.mode("overwrite")
+        if compression:
+            writer = writer.option("compression", compression)
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         return self.load(name, df)
 
