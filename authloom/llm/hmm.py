@@ -34,7 +34,7 @@ from authloom.llm.store import Store, small_batches
 from authloom.llm.words import mix, slices, text_bytes
 
 STATES = 8
-ROUNDS = 6
+ROUNDS = 5
 OWN_SHARE = 2e-6   # of all training tokens: words with a class of their own
 OWN_LEAST = 20     # and at least so many occurrences
 SUFFIXES = 4096    # hashed word endings that other words share
