@@ -158,7 +158,8 @@ class PieceCoder:
         """Ids of every text."""
         self.table.trim()
         segs, owner = self.segments(texts)
-        words, numbers, counts, fresh = [], {}, [], []
+        words, numbers, counts, fresh = [], {}, [], []  # numbers: second hash and place in fresh, by first hash
+        strays, odd = {}, []  # pieces whose first hash another one has: place in odd, by text
         # 1. find the pieces of bounded slices, and the ones not seen before
         lo = 0
         while lo < len(segs):
@@ -170,22 +171,31 @@ class PieceCoder:
             joined = "".join(segs[lo:hi])
             cp = pieces.code_points(joined)
             starts, ends = self.split(cp, rows)
-            value, where, inverse = np.unique(
-                pieces.piece_hashes(cp, starts, ends), return_index=True, return_inverse=True)
-            known = self.table.find(value)
-            for k in np.flatnonzero(known < 0).tolist():
-                h = int(value[k])
-                at = numbers.get(h)
-                if at is None:
-                    at = numbers[h] = len(self.table) + len(fresh)
+            first, second = pieces.piece_hashes(cp, starts, ends)
+            value, where, inverse = np.unique(first, return_index=True, return_inverse=True)
+            known = self.table.find(value, second[where]).astype(np.int64)
+            for k in np.flatnonzero(known == -1).tolist():
+                h, check = int(value[k]), int(second[where[k]])
+                mine = numbers.setdefault(h, (check, len(fresh)))
+                if mine[1] == len(fresh):
                     fresh.append(joined[starts[where[k]]:ends[where[k]]])
-                known[k] = at
-            words.append(known[inverse])
+                known[k] = len(self.table) + mine[1] if mine[0] == check else -2
+            found = known[inverse]
+            found[second != second[where][inverse]] = -2
+            for k in np.flatnonzero(found == -2).tolist():
+                text = joined[starts[k]:ends[k]]
+                if strays.setdefault(text, len(odd)) == len(odd):
+                    odd.append(text)
+                found[k] = -3 - strays[text]
+            words.append(found)
             counts.append(np.diff(np.searchsorted(starts, rows)))
             lo = hi
         # 2. merge the new ones together
-        if fresh:
-            self.table.add(list(numbers), *self.merge(fresh))
+        first_odd = len(self.table) + len(fresh)
+        if fresh or odd:
+            self.table.add([(h, check) for h, (check, _) in numbers.items()], *self.merge(fresh + odd))
+        for found in words if odd else []:
+            found[found < -2] = first_odd - 3 - found[found < -2]
         # 3. look all up
         out: list[list[np.ndarray]] = [[] for _ in texts]
         seg = 0

@@ -1,39 +1,83 @@
-"""Connected components of a link table, by alternating star contraction in DataFrames."""
+"""Connected components of a link table, by randomised contraction in DataFrames."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from authloom.llm.store import Store
 
+TAIL = 1 << 17  # links (two longs each) that one task finishes
 
-def components(links: DataFrame, store: Store, name: str) -> DataFrame:
+
+def _finish(batches):
+    """``id, root`` of all ends of at most ``TAIL`` links."""
+    parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    root = np.arange(len(ids))
+    while True:  # every end takes the least root across its links, then roots are followed to their end
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root[x] == root[y]).all():
+            break
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["id", "root"])
+
+
+def components(links: DataFrame, store: Store, name: str, tail: int = TAIL) -> DataFrame:
     """``id, component``: every id that occurs in ``links`` (``a, b``) with the smallest id it reaches.
 
-    Each round links all larger neighbours of a node to the smallest neighbour, then all smaller ones;
-    the number of rounds grows with the logarithm of the longest path. Minima are combined before the
-    shuffle, so a hub with very many links costs a few partial rows. Each round is a written table.
+    Loops are no links. In each round every id goes to the id of least hash among itself and its
+    neighbours, and links are renamed, which takes a quarter of the ids off at least (on the average, and
+    nearly all in dense groups), so the number of rounds grows with the logarithm of the links. Minima are
+    combined before the shuffle, so a hub with very many links costs a few partial rows. Once no more than
+    ``tail`` links are left, one task finishes them. Each round is a written table.
     """
-    pairs = store.save(
-        links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(),
-        f"{name}-0")
-    mark, step, kept = None, 0, []
-    while True:
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = (both.join(lowest, "a").where("b > a")
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-                 .unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        step += 1
-        pairs = store.save(small, f"{name}-{step}")
-        kept.append(f"{name}-{step - 1}")
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    store.drop(*kept[:-1])
-    roots = pairs.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+    pair = lambda a, b: [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+    links = store.save(links.select(*pair("a", "b")).where("a <> b").distinct(), f"{name}-links-0")
+    layers, done = [], []
+    while links.count() > tail:
+        step = len(layers)
+        rank = lambda c: F.struct(F.xxhash64(F.lit(step), F.col(c)).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = both.groupBy("a").agg(F.min(rank("b")).alias("near"))
+        layers.append(store.save(hook.select(F.col("a").alias("id"), F.least("near", rank("a"))["to"].alias("to")), f"{name}-to-{step}"))
+        to = lambda c: layers[step].select(F.col("id").alias(c), F.col("to").alias(f"{c}2"))  # noqa: B023, E731
+        links = store.save(links.join(to("a"), "a").join(to("b"), "b").where("a2 <> b2").select(*pair("a2", "b2")).distinct(),
+                           f"{name}-links-{step + 1}")
+        done.append(f"{name}-links-{step}")
+    out = store.save(links.coalesce(1).mapInArrow(_finish, "id long, root long"), f"{name}-roots")
+    store.drop(*done)
+    for layer in reversed(layers):
+        ends = out.select(F.col("id").alias("to"), "root")
+        out = layer.join(ends, "to", "left").select("id", F.coalesce("root", "to").alias("root"))
+    if not layers:  # then roots are the smallest ids already
+        return out.select("id", F.col("root").alias("component"))
+    out = store.save(out, f"{name}-all")
+    least = out.groupBy("root").agg(F.min("id").alias("component"))
+    return out.join(least, "root").select("id", "component")
+
+
+def joined(known: DataFrame, links: DataFrame, store: Store, name: str) -> DataFrame:
+    """Components (``id, component``) of what ``known`` was found from and further ``links`` together.
+
+    Only links between different components are contracted; without any, ``known`` is the result.
+    """
+    end = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}c"))
+    across = store.save(
+        links.select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left")
+        .select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b")).where("a <> b").distinct(), f"{name}-across")
+    if across.isEmpty():
+        return known
+    more = store.save(components(across, store, name), f"{name}-more")
+    moved = more.select(F.col("id").alias("component"), F.col("component").alias("new"))
+    renamed = known.join(moved, "component", "left").select("id", F.coalesce("new", "component").alias("component"))
+    return renamed.unionByName(more.join(known.select("id"), "id", "left_anti").select("id", "component"))

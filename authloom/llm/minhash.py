@@ -12,12 +12,15 @@
    in the order (longest common prefix) and the block's hub: the member next to the block's most
    frequent values. In a region of several blocks every member is also compared with the hubs of all
    blocks, which finds the centre of a large group of near copies.
-4. Candidates are confirmed on the full shingle sets, in three rounds: the best candidate of each
-   document; other candidates between what is still apart; and pairs of one block between what is
-   apart even then. Pairs inside one component need no look, which keeps the work of large groups linear.
-5. What is still apart in a region of several blocks is compared in full: its members are dealt into
-   parts, every two parts are a task of their own, and a task compares the shingle sets themselves and
-   returns links that join components, never candidates.
+4. Candidates are confirmed on the full shingle sets, in two rounds: the best candidate of each
+   document, then other candidates between what is still apart. Pairs inside one component need no look,
+   which keeps the work of large groups linear.
+5. Regions that hold several components even then are searched exactly, whatever their width. Shingles are
+   put in an order with rare ones first. Two sets that reach the threshold share one of the first
+   n - ceil(tn) + 1 shingles of the larger and n - ceil(2tn / (1 + t)) + 1 of the smaller set, so documents
+   meet under these shingles only, and what documents of one template have in common stands at the end
+   of the order. A shingle that many documents have is split in tiles. What the places of the shared
+   shingle and the sizes allow is confirmed on the full sets like the other candidates.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from authloom.llm.components import components
+from authloom.llm.components import components, joined
 from authloom.llm.store import Store, small_batches
 from authloom.llm.words import mix, shingle_sets
 
@@ -37,11 +40,13 @@ VALUES = 256   # signature length
 TREES = 24
 STRIDE = 10    # tree t begins at value 10t
 DEPTH = 4      # values that a region shares
-BLOCK = 512    # documents compared with each other at most
-FILTER_BITS = 1 << 23
+BLOCK = 512    # documents of a block
 SLACK = 4.5    # standard deviations below the threshold at which a candidate is still confirmed
-CLOSE = 2.5    # the same for pairs of dense blocks that are no neighbours there
-WEIGHT = 1 << 18  # shingles of a part of a wide region
+PART = 4096    # members of a wide region that are compared with its hubs at a time
+HUBS = 1024    # hubs of a region that are held at a time
+TILE = 1024    # documents of one side of a tile under one shingle
+MEET = 1 << 21  # comparisons under shingles that are made at once
+BUCKETS = 1 << 20  # of the counts that put shingles in order
 
 _FACTORS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ORDER = np.array([(STRIDE * t + np.arange(VALUES)) % VALUES for t in range(TREES)])
@@ -220,23 +225,34 @@ def _neighbours(least: int, most: int):
 
 
 def _with_hubs(least: int):
-    """Members of large regions against the hubs of all blocks: each one's best hub."""
+    """Members of large regions against their hubs: each one's best hub of the part and group it stands in.
+
+    Rows arrive sorted by key, part and group, hubs (kind 0) before members.
+    """
 
     def run(batches):
+        last, hubs, rows = None, [], None
         for batch in batches:
-            key, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            low = _matrix(batch.column(2), VALUES, np.uint8)
-            a, b, m, last = [], [], [], None
-            for k in range(len(ids)):
-                if key[k] != last:
-                    last, hubs = key[k], np.array(batch.column(3)[k].as_py())
-                    rows = np.frombuffer(b"".join(batch.column(4)[k].as_py()), dtype=np.uint8).reshape(-1, VALUES)
+            where = list(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True))
+            kind, ids = np.asarray(batch.column(3)), np.asarray(batch.column(4))
+            low = _matrix(batch.column(5), VALUES, np.uint8)
+            a, b, m = [], [], []
+            for k, at in enumerate(where):
+                if at != last:
+                    last, hubs, rows = at, [], None
+                if kind[k] == 0:
+                    hubs.append((ids[k], low[k]))
+                    continue
+                if not hubs:
+                    continue
+                if rows is None:
+                    names, rows = np.array([h for h, _ in hubs]), np.array([r for _, r in hubs])
                 same = (rows == low[k]).sum(axis=1)
-                same[hubs == ids[k]] = -1
+                same[names == ids[k]] = -1
                 best = int(same.argmax())
                 if same[best] >= least:
                     a.append(ids[k])
-                    b.append(hubs[best])
+                    b.append(names[best])
                     m.append(int(same[best]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.int32())],
                                              ["a", "b", "matches"])
@@ -244,180 +260,167 @@ def _with_hubs(least: int):
     return run
 
 
-def _across(least: int, strong: int, most: int):
-    """Pairs of one block that belong to different components.
+def _wide(forest: DataFrame, hubs: DataFrame, block: int, part: int = PART, group: int = HUBS) -> DataFrame:
+    """``key, part, group, kind, id, sketch``: members of wide regions dealt into parts, hubs into groups."""
+    size = hubs.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("groups"))
+    parts = F.ceil(F.col("n") / part).cast("int")
+    members = forest.where(F.col("n") > block).withColumn("parts", parts)
+    each = members.groupBy("key").agg(F.max("parts").alias("parts")).join(size, "key")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = members.select("key", "id", "sketch").join(each, "key").select(
+        "key", deal("parts").alias("part"), every("groups").alias("group"), F.lit(1).alias("kind"), "id", "sketch")
+    other = hubs.join(each, "key").select(
+        "key", every("parts").alias("part"), deal("groups").alias("group"), F.lit(0).alias("kind"), "id", "sketch")
+    place = ["key", "part", "group"]
+    return own.unionByName(other).repartition(*place).sortWithinPartitions(*place, "kind")
+
+
+def _weigh(batches):
+    """How many sets have the shingles of each bucket."""
+    count = np.zeros(BUCKETS, dtype=np.int64)
+    for batch in batches:
+        for item in batch.column(0):
+            np.add.at(count, (np.frombuffer(item.as_buffer(), dtype=np.uint64) % np.uint64(BUCKETS)).astype(np.int64), 1)
+    met = np.flatnonzero(count)
+    yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(count[met])], ["bucket", "n"])
 
-    Of a document all pairs that agree about as much as the threshold expects, and the best of the
-    others: what two documents of a dense block share with everything there is no sign of a link.
-    """
+
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """How many first shingles of a set of ``n`` meet every partner's, as the larger and as the smaller set."""
+    return n + percent * n // -100 + 1, n + 2 * percent * n // -(100 + percent) + 1
+
+
+def _prefixes(weights, percent: int):
+    """The first shingles of every set in the order of their buckets' counts, with their places."""
 
     def run(batches):
-        out = _Edges()
-        for key, ids, _, comp, rows in _runs(batches, most):
-            lo = 0
-            for hi in _cuts(rows, most):
-                block, own, part = rows[lo:hi], ids[lo:hi], comp[lo:hi]
-                lo = hi
-                if len(own) < 4 or (part == part[0]).all():
-                    continue
-                for k in range(len(own)):
-                    other = np.flatnonzero(part != part[k])
-                    if not len(other):
-                        continue
-                    same = (block[other] == block[k]).sum(axis=1)
-                    hit = same >= strong
-                    hit[same.argmax()] |= same.max() >= least
-                    out.add(0, int(key[0]), own[other[hit]], np.full(int(hit.sum()), own[k]), same[hit])
-            if out.size >= 20_000:
-                yield out.batch()
-        yield out.batch()
+        weight = weights.value
+        for batch in batches:
+            out = [[], [], [], []]
+            for item in batch.column(2):
+                values = np.frombuffer(item.as_buffer(), dtype=np.uint64)
+                probe, index = prefix_lengths(len(values), percent)
+                order = np.lexsort((values, weight[(values % np.uint64(BUCKETS)).astype(np.int64)]))[:probe]
+                place = np.arange(len(order))
+                for column, x in zip(out, (values[order], place, place < index, np.full(len(order), len(values))), strict=True):
+                    column.append(x)
+            times = [len(x) for x in out[0]]
+            h, place, index, n = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in out)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h.astype(np.uint64).view(np.int64)), pa.array(np.repeat(np.asarray(batch.column(0)), times)),
+                 pa.array(np.repeat(np.asarray(batch.column(1)), times)), pa.array(n.astype(np.int32)),
+                 pa.array(place.astype(np.int32)), pa.array(index.astype(bool))],
+                ["h", "id", "comp", "n", "place", "index"])
 
     return run
 
 
-def _overlaps(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Size of the intersection of every set of ``x`` with every set of ``y``."""
-    columns = []
-    for sets in (x, y):
-        rows = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
-        values = np.concatenate(sets)
-        order = np.argsort(values, kind="stable")
-        columns.append((values[order], rows[order]))
-    (u, i), (v, j) = columns
-    shared = np.intersect1d(u, v)
-    if x is y:  # what one set alone has meets nothing
-        shared = np.unique(u[1:][u[1:] == u[:-1]])
-    out = np.zeros((len(x), len(y)))
-    for lo in range(0, len(shared), width):
-        some = shared[lo:lo + width]
-        dense = []
-        for values, rows, n in ((u, i, len(x)), (v, j, len(y))):
-            a, b = np.searchsorted(values, some[0]), np.searchsorted(values, some[-1], side="right")
-            at = np.searchsorted(some, values[a:b])
-            hit = some[at] == values[a:b]
-            m = np.zeros((n, len(some)), dtype=np.float32)
-            m[rows[a:b][hit], at[hit]] = 1
-            dense.append(m)
-        out += dense[0] @ dense[1].T
-    return out
-
-
-def _joining(x: np.ndarray, y: np.ndarray) -> list[int]:
-    """Places of links between components ``x, y`` that are enough to join all of them."""
-    _, first = np.unique(np.stack((x, y), axis=1), axis=0, return_index=True)
-    up, keep = {}, []
-
-    def root(c):
-        while up.setdefault(c, c) != c:
-            up[c] = up[up[c]]
-            c = up[c]
-        return c
-
-    for k in first.tolist():
-        r, t = root(int(x[k])), root(int(y[k]))
-        if r != t:
-            up[r] = t
-            keep.append(k)
-    return keep
-
-
-def _tiles(percent: int):
-    """Links between the components of two parts of a wide region (sides 0 and 1) or inside one (side 2)."""
-
-    def links(side, ids, comp, sets):
-        side, ids, comp = (np.array(c) for c in (side, ids, comp))
-        p, q = (np.flatnonzero(side == k) for k in ((2, 2) if side[0] == 2 else (0, 1)))
-        if not len(p) or not len(q) or (comp == comp[0]).all():
-            return [], []
-        x = [sets[k] for k in p]
-        y = x if side[0] == 2 else [sets[k] for k in q]
-        common = _overlaps(x, y)
-        size = lambda s: np.array([len(v) for v in s])
-        i, j = np.nonzero((100 * common >= percent * (size(x)[:, None] + size(y) - common)) & (comp[p][:, None] != comp[q]))
-        if not len(i):
-            return [], []
-        keep = _joining(comp[p[i]], comp[q[j]])
-        return ids[p[i[keep]]], ids[q[j[keep]]]
+def _tiled(prefixes: DataFrame, tile: int = TILE) -> DataFrame:
+    """``h, i, j, probe, id, comp, n, place``: under each shingle of several components every smaller set meets
+    every larger one in one tile."""
+    size = prefixes.groupBy("h").agg(
+        F.ceil(F.count_if("index") / tile).cast("int").alias("ni"), F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("nj"),
+        F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("ni > 0 AND lo <> hi").drop("lo", "hi")
+    rows = prefixes.join(size, "h")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["h", "i", "j", "probe", "id", "comp", "n", "place"]
+    index = rows.where("index").withColumn("i", deal("ni")).withColumn("j", every("nj")).withColumn("probe", F.lit(False))
+    probe = rows.withColumn("j", deal("nj")).withColumn("i", every("ni")).withColumn("probe", F.lit(True))
+    return (index.select(*columns).unionByName(probe.select(*columns))
+            .repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "probe"))
+
+
+def _meet(percent: int):
+    """Pairs of different components that sizes and places under a shared shingle allow."""
+
+    def pairs(h, i, j, probe, ids, comp, n, place):
+        if not len(h):
+            return
+        cut = np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(h)]))
+        larger = np.add.reduceat(probe.astype(np.int64), begin)  # they stand at the end of the tile
+        left = np.flatnonzero(~probe)
+        tile = np.searchsorted(begin, left, side="right") - 1
+        times = larger[tile]
+        ends = np.cumsum(times)
+        lo = 0
+        while lo < len(left):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + MEET, side="right")))
+            t = times[lo:hi]
+            x = np.repeat(left[lo:hi], t)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(t) - t, t) + np.repeat((end - larger)[tile[lo:hi]], t)
+            lo = hi
+            ok = comp[x] != comp[y]
+            x, y = x[ok], y[ok]
+            ok = ((n[x] < n[y]) | ((n[x] == n[y]) & (ids[x] < ids[y]))) & (100 * n[x] >= percent * n[y])
+            x, y = x[ok], y[ok]
+            least = -(percent * (n[x] + n[y]) // -(100 + percent))  # of common shingles
+            ok = np.minimum(n[x] - place[x], n[y] - place[y]) >= least
+            x, y = ids[x[ok]], ids[y[ok]]
+            yield np.unique(np.stack((np.maximum(x, y), np.minimum(x, y)), axis=1), axis=0)
 
     def run(batches):
-        held, last = [], None
-
-        def done():
-            a, b = links(*map(list, zip(*held, strict=True)))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
+        held = None
         for batch in batches:
-            tile, side, ids, comp = (c.to_pylist() for c in batch.columns[:4])
-            for k in range(batch.num_rows):
-                if tile[k] != last and held:
-                    yield done()
-                    held = []
-                last = tile[k]
-                held.append((side[k], ids[k], comp[k], np.frombuffer(batch.column(4)[k].as_buffer(), dtype=np.uint64)))
-        if held:
-            yield done()
+            if not batch.num_rows:
+                continue
+            rows = [np.asarray(c).astype(np.int64) if k != 3 else np.asarray(c.to_numpy(zero_copy_only=False))
+                    for k, c in enumerate(batch.columns)]
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]) & (rows[2] == rows[2][-1])
+            last = int(same.argmax())  # rows are sorted: the last tile may go on
+            for out in pairs(*[x[:last] for x in rows]):
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+            held = [x[last:] for x in rows]
+        if held is not None:
+            for out in pairs(*held):
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
     return run
 
 
-def _wide_tiles(members: DataFrame, store: Store, block: int) -> DataFrame:
-    """``tile, side, id, comp``: members of wide regions, such that all pairs of a region that are of
-    different components meet in some tile.
+def allowed_pairs(sets: DataFrame, percent: int, store: Store, tile: int = TILE) -> DataFrame:
+    """``a, b``: pairs of sets (``id, comp, items``) of different components that may reach the threshold.
 
-    ``members`` has ``key, id, n_shingles, comp``. Regions of different trees that share documents are
-    taken together where that is less work than each by itself. A component of more than a block has
-    parts of its own, which are not compared with each other.
+    Every pair that reaches it is among them: what is left out shares no shingle of the two prefixes, or
+    differs too much in size, or has too few shingles after the shared one.
     """
-    regions = members.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n"))
-    linked = members.join(regions, "key").select(F.col("id").alias("a"), "b")
-    cluster = components(linked, store, "clusters").withColumnRenamed("component", "cluster")
-    together = members.join(cluster, "id").select("cluster", "id", "n_shingles", "comp").distinct()
-    single = regions.join(cluster, F.col("b") == F.col("id")).groupBy("cluster").agg(
-        F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
-    whole = store.save(
-        together.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("n")).join(single, "cluster")
-        .select("cluster", (F.col("n") * F.col("n") <= F.col("work")).alias("whole")), "whole")
-    spread = store.save(
-        together.join(whole.where("whole"), "cluster").select("whole", F.col("cluster").alias("key"), "id", "n_shingles", "comp")
-        .unionByName(members.join(cluster, "id").join(whole.where("NOT whole"), "cluster")
-                     .select("whole", "key", "id", "n_shingles", "comp")), "spread")
-    space = ["whole", "key", "own", "part"]
-    counts = spread.groupBy("whole", "key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
-    counts = counts.withColumn("own", F.col("n") > block).withColumn("part", F.when(F.col("own"), F.col("comp")).otherwise(0))
-    parts = counts.groupBy(*space).agg(F.sum("n").alias("n"), F.sum("w").alias("w")).select(
-        *space, F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("w") / WEIGHT), F.lit(1)).cast("long").alias("pieces"))
-    placed = (spread.join(counts.select("whole", "key", "comp", "own", "part"), ["whole", "key", "comp"]).join(parts, space)
-              .select(*space, F.expr("pmod(xxhash64(id), pieces)").alias("no"), "id", "comp"))
-    one = store.save(parts.select(*space, F.explode(F.expr("sequence(0L, pieces - 1)")).alias("no")), "pieces")
-    x = one.select("whole", "key", F.struct("own", "part", "no").alias("x"))
-    y = one.select("whole", "key", F.struct("own", "part", "no").alias("y"))
-    tiles = x.join(y, ["whole", "key"]).where("x <= y AND NOT (x.own AND y.own AND x.part = y.part)")
-    tiles = tiles.withColumn("tile", F.xxhash64("whole", "key", "x", "y"))
-    sides = tiles.select("whole", "key", "tile", F.explode(F.expr(
-        "CASE WHEN x = y THEN array(named_struct('side', 2, 'at', x)) "
-        "ELSE array(named_struct('side', 0, 'at', x), named_struct('side', 1, 'at', y)) END")).alias("s"))
-    sides = sides.select("whole", "key", "s.at.own", "s.at.part", "s.at.no", "tile", "s.side")
-    return placed.join(sides, [*space, "no"]).select("tile", "side", "id", "comp")
+    spark = sets.sparkSession
+    counts = (sets.select("items").mapInArrow(_weigh, "bucket int, n long")
+              .groupBy("bucket").agg(F.sum("n").alias("n"))).toArrow()  # at most BUCKETS rows
+    weight = np.zeros(BUCKETS, dtype=np.int64)
+    weight[np.asarray(counts.column("bucket").combine_chunks())] = np.asarray(counts.column("n").combine_chunks())
+    weights = spark.sparkContext.broadcast(np.minimum(weight, 0xFFFFFFFF).astype(np.uint32))
+    prefixes = store.save(sets.select("id", "comp", "items").mapInArrow(
+        _prefixes(weights, percent), "h long, id long, comp long, n int, place int, index boolean"), "prefixes")
+    weights.unpersist()
+    return _tiled(prefixes, tile).mapInArrow(_meet(percent), "a long, b long").distinct()
 
 
 def _bits(nodes: DataFrame) -> bytes:
-    """A bitmap of fixed size of the ids (modulo its bits): tells most rows that are not asked for."""
-    bit = nodes.select(F.pmod("id", F.lit(FILTER_BITS)).alias("h"))
+    """A bitmap of the ids (modulo its bits): tells most rows that are not asked for.
+
+    Some sixteen bits an id, from 2**20 to 2**28 bits (32 MB) in all.
+    """
+    size = 1 << min(28, max(20, int(16 * nodes.count()).bit_length()))
+    bit = nodes.select(F.pmod("id", F.lit(size)).alias("h"))
     parts = bit.groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
-    out = np.zeros((FILTER_BITS // 32768 + 2, 4096), dtype=np.uint8)
-    for row in parts:  # at most FILTER_BITS / 32768 of 4 kB each
+    out = np.zeros((size // 32768 + 2, 4096), dtype=np.uint8)
+    for row in parts:  # at most size / 32768 of 4 kB each
         out[row["bucket"]] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
-    return out.tobytes()
+    return size.to_bytes(8, "little") + out.tobytes()
 
 
 def _sets(bits):
     """Shingle sets of the documents whose bit is set."""
 
     def run(batches):
-        table = np.frombuffer(bits.value, dtype=np.uint8)
+        size, table = int.from_bytes(bits.value[:8], "little"), np.frombuffer(bits.value, dtype=np.uint8, offset=8)
         for batch in batches:
-            at = np.mod(np.asarray(batch.column(0)), FILTER_BITS)
+            at = np.mod(np.asarray(batch.column(0)), size)
             # buckets count from 1, bit 0 of the first bucket being value 1
             bucket, position = np.where(at > 0, 1 + (at - 1) // 32768, 0), np.where(at > 0, (at - 1) % 32768, 0)
             asked = table[bucket * 4096 + position // 8] >> (position % 8).astype(np.uint8) & 1
@@ -453,7 +456,7 @@ def _confirm(percent: int):
 
 @small_batches(256)
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
-                    block: int = BLOCK) -> DataFrame:
+                    block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_shingles, component_id, kept``.
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their shingle sets.
@@ -463,7 +466,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     store = Store(spark, "minhash")
-    least, strong = least_matches(percent / 100), least_matches(percent / 100, CLOSE)
+    least = least_matches(percent / 100)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = store.save(texts.mapInArrow(_sign, "id long, n_shingles long, digest binary, keys binary, sketch binary"), "signed")
 
@@ -483,11 +486,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return df.withColumn("along", wide).repartitionByRange("key", "along").sortWithinPartitions("key", "sketch", "id").drop("along")
 
     found = store.save(ordered(forest).mapInArrow(_neighbours(least, block), EDGES), "found")
-    hubs = (found.where("kind = 1").select("key", "a", "sketch").distinct().groupBy("key")
-            .agg(F.sort_array(F.collect_list(F.struct("a", "sketch"))).alias("h"))
-            .select("key", F.col("h.a").alias("hub_ids"), F.col("h.sketch").alias("hub_rows")))
-    best_hub = (forest.where(F.col("n") > block).join(hubs, "key").select("key", "id", "sketch", "hub_ids", "hub_rows")
-                .mapInArrow(_with_hubs(least), "a long, b long, matches int"))
+    hubs = found.where("kind = 1").select("key", F.col("a").alias("id"), "sketch").distinct()
+    best_hub = _wide(forest, hubs, block).select("key", "part", "group", "kind", "id", "sketch").mapInArrow(
+        _with_hubs(least), "a long, b long, matches int")
     pair = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "matches")
     candidates = store.save(
         pair(found.where("kind = 0").select("a", "b", "matches").unionByName(best_hub))
@@ -496,58 +497,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def sets_of(nodes: DataFrame, name: str) -> DataFrame:
         """Shingle sets of the nodes (and of a few more)."""
         bits = spark.sparkContext.broadcast(_bits(nodes))
-        return store.save(texts.where("id IS NOT NULL").mapInArrow(_sets(bits), "id long, items binary"), f"{name}-sets")
+        out = store.save(texts.where("id IS NOT NULL").mapInArrow(_sets(bits), "id long, items binary"), name)
+        bits.unpersist()
+        return out
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+    def confirmed(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """The pairs that hold on the full sets."""
-        nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-        sets = sets_of(nodes, name)
         x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
         y = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-        out = store.save(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
-                         .mapInArrow(_confirm(percent), "a long, b long"), f"{name}-links")
-        store.drop(f"{name}-sets")
-        return out
+        return store.save(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
+                          .mapInArrow(_confirm(percent), "a long, b long"), name)
 
     either = candidates.select(F.col("a").alias("id"), "a", "b", "matches").unionByName(
         candidates.select(F.col("b").alias("id"), "a", "b", "matches"))
-    best = (either.groupBy("id").agg(F.max(F.struct("matches", "a", "b")).alias("e"))
-            .select("e.a", "e.b").distinct())
-    best = store.save(best, "best")
-    links = confirmed(best, "one")
-    parts = store.save(components(links, store, "first"), "parts-1")
+    best = store.save(either.groupBy("id").agg(F.max(F.struct("matches", "a", "b")).alias("e"))
+                      .select("e.a", "e.b").distinct(), "best")
+    sets = sets_of(either.select("id").distinct(), "candidate-sets")
+    parts = store.save(components(confirmed(best, sets, "links-1"), store, "first"), "parts-1")
 
     # other candidates between what the first round left apart
     ends = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"{c}c"))
     apart = store.save(
-        candidates.select("a", "b").join(best, ["a", "b"], "left_anti")
-        .join(ends("a"), "a", "left").join(ends("b"), "b", "left")
-        .where("coalesce(ac, a) <> coalesce(bc, b)").select("a", "b"), "apart")
-    links = store.save(links.unionByName(confirmed(apart, "two")), "links")
-    parts = store.save(components(links, store, "second"), "parts-2")
-
-    # all pairs of a block between what is still apart
-    spread = forest.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"), "sketch")
-    mixed = spread.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"),
-                                      F.count(F.lit(1)).alias("m")).where("x <> y AND m > 3").select("key")
-    across = pair(ordered(spread.join(mixed, "key")).mapInArrow(_across(least, strong, block), EDGES)).select("a", "b").distinct()
-    rest = store.save(across.join(best.unionByName(apart), ["a", "b"], "left_anti"), "rest")
-    links = store.save(links.unionByName(confirmed(rest, "three")), "links-3")
-    final = store.save(components(links, store, "third"), "final")
-
-    # all pairs of a region of several blocks between what is apart even now
-    size = some.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
-    members = forest.where(F.col("n") > block).select("key", "id").distinct().join(final, "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("comp"))
-    apart_in = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    members = store.save(members.join(apart_in, "key").join(size, "id").select("key", "id", "n_shingles", "comp"), "members")
+        candidates.select("a", "b").join(ends("a"), "a", "left").join(ends("b"), "b", "left")
+        .where("coalesce(ac, a) <> coalesce(bc, b)").select("a", "b").join(best, ["a", "b"], "left_anti"), "apart")
+    final = parts
+    if not apart.isEmpty():
+        final = store.save(joined(parts, confirmed(apart, sets, "links-2"), store, "second"), "parts-2")
+    store.drop("candidate-sets")
+
+    # all that share a region with another component, compared exactly
+    placed = forest.select("key", "id").join(final, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    members = store.save(placed.join(mixed, "key").select("id", "comp").distinct(), "members")
     if not members.isEmpty():
-        sets = sets_of(members.select("id").distinct(), "four")
-        tiles = _wide_tiles(members, store, block).join(sets, "id").select("tile", "side", "id", "comp", "items")
-        joined = store.save(tiles.repartition("tile").sortWithinPartitions("tile", "side")
-                            .mapInArrow(_tiles(percent), "a long, b long"), "four-links")
-        store.drop("four-sets")
-        final = store.save(components(links.unionByName(joined), store, "fourth"), "final-4")
+        sets = store.save(sets_of(members.select("id"), "cut").join(members, "id"), "member-sets")
+        met = store.save(allowed_pairs(sets, percent, store, tile), "met")
+        final = store.save(joined(final, confirmed(met, sets, "links-3"), store, "third"), "parts-3")
+        store.drop("cut", "member-sets", "prefixes")
     store.drop("forest", "found", "candidates", "reps")
 
     nodes = some.select("digest", "id").join(first.select("digest", F.col("id").alias("node")), "digest")

@@ -13,6 +13,8 @@ from functools import cache
 
 import numpy as np
 
+from authloom.llm.words import span_hashes
+
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 # Characters with the Unicode property White_Space.
@@ -32,9 +34,6 @@ NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7
 # Endings that are pieces of their own after an apostrophe.
 SHORT_ENDINGS, LONG_ENDINGS = "stmd", ("re", "ve", "ll")
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
 
 @cache
 def classes() -> np.ndarray:
@@ -134,32 +133,16 @@ def split_plain(cp: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[keep], ends[keep]
 
 
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def piece_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every piece."""
-    size = len(cp)
-    if not size or not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    if len(_POWERS.get("up", ())) < size:
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(max(size, 1 << 19), base, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    total = np.zeros(size + 1, dtype=np.uint64)
-    np.cumsum((cp + np.uint64(1)) * _POWERS["up"][:size], out=total[1:])
-    value = (total[ends] - total[starts]) * _POWERS["down"][starts]
-    value += (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-    value ^= value >> np.uint64(31)
-    value *= np.uint64(0xBF58476D1CE4E5B9)
-    return value ^ (value >> np.uint64(29))
+def piece_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of every piece: pieces are the same if both and so 128 bits agree."""
+    return span_hashes(cp, starts, ends), span_hashes(cp, starts, ends, salt=1)
 
 
 class PieceTable:
     """Ids of the pieces seen so far, by hash; reset beyond ``most`` pieces, so its memory is bounded.
 
-    Sorted arrays: some 40 bytes a piece, and whole slices are looked up at once.
+    Sorted arrays: some 50 bytes a piece, and whole slices are looked up at once. A piece whose first
+    hash another piece has is told by the second one and is not remembered.
     """
 
     def __init__(self, most: int = 800_000) -> None:
@@ -168,35 +151,39 @@ class PieceTable:
 
     def clear(self) -> None:
         self.hashes = np.zeros(0, dtype=np.uint64)   # sorted
+        self.checks = np.zeros(0, dtype=np.uint64)   # second hashes of these
         self.numbers = np.zeros(0, dtype=np.int32)   # of the pieces with these hashes
         self.starts = np.zeros(0, dtype=np.int64)
         self.lengths = np.zeros(0, dtype=np.int32)
         self.flat = np.zeros(0, dtype=np.int32)
 
     def __len__(self) -> int:
-        return len(self.hashes)
+        return len(self.lengths)
 
     def trim(self) -> None:
         if len(self) > self.most:
             self.clear()
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each piece, -1 where it isn't known."""
-        if not len(self):
+    def find(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Number of each piece, -1 where it isn't known, -2 where another piece has its first hash."""
+        if not len(self.hashes):
             return np.full(len(hashes), -1, dtype=np.int32)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
-        return np.where(self.hashes[at] == hashes, self.numbers[at], np.int32(-1))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = np.where(self.checks[at] == checks, self.numbers[at], np.int32(-2))
+        return np.where(self.hashes[at] == hashes, found, np.int32(-1))
 
-    def add(self, hashes: list[int], lengths: np.ndarray, flat: np.ndarray) -> None:
-        """New pieces, numbered on from the last one."""
+    def add(self, hashes: list[tuple[int, int]], lengths: np.ndarray, flat: np.ndarray) -> None:
+        """New pieces, numbered on from the last one; those beyond ``hashes`` go without."""
         numbers = np.arange(len(self), len(self) + len(hashes), dtype=np.int32)
         ends = np.cumsum(lengths)
         self.starts = np.concatenate((self.starts, len(self.flat) + ends - lengths))
         self.lengths = np.concatenate((self.lengths, lengths.astype(np.int32)))
         self.flat = np.concatenate((self.flat, flat))
-        joined = np.concatenate((self.hashes, np.array(hashes, dtype=np.uint64)))
+        both = np.array(hashes, dtype=np.uint64).reshape(-1, 2)
+        joined = np.concatenate((self.hashes, both[:, 0]))
         order = np.argsort(joined, kind="stable")
-        self.hashes, self.numbers = joined[order], np.concatenate((self.numbers, numbers))[order]
+        self.hashes, self.checks = joined[order], np.concatenate((self.checks, both[:, 1]))[order]
+        self.numbers = np.concatenate((self.numbers, numbers))[order]
 
     def ids(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the numbered pieces one after the other, and how many each has."""

@@ -14,26 +14,11 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 19
 SHINGLE = 5
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LOWER += 1  # so that a zero byte counts, too
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = np.array([pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(1, SHINGLE + 1)], dtype=np.uint64)
-_POWERS = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least ``n`` of each."""
-    if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, SLICE_BYTES)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"], _POWERS["down"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,6 +30,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of every span (none empty) of an array of bytes or code points.
+
+    Eight bytes at a time are spread twice, once with their place, and summed up with the length; no sum
+    of powers is involved, under which words that differ in a regular way would be alike.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    width = symbols.itemsize
+    per = 8 // width
+    padded = np.zeros(len(symbols) + per, dtype=symbols.dtype)
+    padded[:-per] = symbols
+    lanes = np.ndarray(len(symbols), dtype=np.uint64, buffer=padded, strides=(width,))
+    length = ends - starts
+    count = -(-length // per)
+    begin = np.cumsum(count) - count
+    place = np.arange(int(count.sum())) - np.repeat(begin, count)
+    left = np.minimum(np.repeat(length, count) - per * place, per)
+    mask = np.array([(1 << (8 * width * k)) - 1 for k in range(per + 1)], dtype=np.uint64)
+    lane = lanes[np.repeat(starts, count) + per * place] & mask[left]
+    first = np.uint64((0x9E3779B97F4A7C15 + salt * 0xC2B2AE3D27D4EB4F) % (1 << 64))
+    lane = mix(mix(lane + first) + (place + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(np.add.reduceat(lane, begin) + length.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets of its rows; null counts as empty."""
     column = column.cast(pa.large_string())
@@ -86,12 +96,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:size]
     first, last = np.flatnonzero(starts), np.flatnonzero(ends)
-    up, down = _powers(size)
-    total = np.cumsum(_LOWER[data] * up[:size], dtype=np.uint64)
-    value = total[last] - total[first]
-    value += _LOWER[data[first]] * up[first]
-    value *= down[first]
-    value = mix(value + (last - first + 1).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    value = span_hashes(_LOWER[data], first, last + 1)
     return value, first, last + 1, np.searchsorted(first, offsets)
 
 

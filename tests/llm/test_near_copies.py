@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from authloom.llm import grid_join, minhash
-from authloom.llm.components import components
+from authloom.llm.components import components, joined
 from authloom.llm.store import Store
 from authloom.llm.words import shingle_sets, word_hashes
 from tests.llm.helpers import WORD, documents, near_groups, shingles, words
@@ -65,15 +65,48 @@ def test_linked_pairs_on_one_template(spark):
     check(spark, texts, block=16)
 
 
-def test_overlaps():
-    rng = np.random.default_rng(4)
-    x, y = ([np.unique(rng.integers(0, 300, rng.integers(1, 90))).astype(np.uint64) for _ in range(n)] for n in (9, 7))
-    for p, q in ((x, y), (x, x)):
-        got = minhash._overlaps(p, q, 16)
-        for i, u in enumerate(p):
-            for j, v in enumerate(q):
-                if p is not q or i != j:
-                    assert got[i, j] == len(np.intersect1d(u, v))
+def morse(n, swap=False):
+    """The Thue-Morse word of n letters, or its complement."""
+    return "".join("ab"[(k.bit_count() + swap) % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_regular_words_are_told_apart(spark, n):
+    """Words whose sums of powers are equal for every base."""
+    common = [f"w{k}" for k in range(4)]
+    texts = [(1, " ".join([*common, morse(n)])), (2, " ".join([*common, morse(n, True)])), (3, morse(n)), (4, morse(n, True))]
+    check(spark, texts)
+
+
+@pytest.mark.parametrize(("percent", "tile"), [(80, 3), (85, 1000), (50, 7)])
+def test_allowed_pairs_hold_all_links(spark, percent, tile):
+    """No pair at the threshold is missing, and few others are there."""
+    rng = random.Random(percent)
+    base, sets = [rng.getrandbits(63) for _ in range(120)], []
+    for _ in range(90):
+        n = rng.randint(1, 120)
+        sets.append(np.unique(np.array(rng.sample(base, n) + [rng.getrandbits(63) for _ in range(rng.randint(0, n // 4))], dtype=np.uint64)))
+    for _ in range(60):
+        own = base[:100] + [rng.getrandbits(63) for _ in range(rng.randint(0, 22))]
+        sets.append(np.unique(np.array(own[rng.randint(0, 12):], dtype=np.uint64)))
+    df = spark.createDataFrame([(k, k // 2, bytearray(v.tobytes())) for k, v in enumerate(sets)], "id long, comp long, items binary")
+    got = {tuple(r) for r in minhash.allowed_pairs(df, percent, Store(spark, "allowed"), tile).collect()}
+    want = set()
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            common = len(np.intersect1d(x, y))
+            if a // 2 != b // 2 and 100 * common >= percent * (len(x) + len(y) - common):
+                want.add((a, b))
+    assert want and want <= got and len(got) < len(sets) ** 2 / 3
+
+
+def test_a_large_template_without_links(spark):
+    """Documents of one template with more own text than the threshold allows do not meet at all."""
+    rng = np.random.default_rng(8)
+    common = rng.integers(0, 2**63, 300).astype(np.uint64)
+    rows = [(k, k, bytearray(np.unique(np.concatenate((common, rng.integers(0, 2**63, 45).astype(np.uint64)))).tobytes())) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, comp long, items binary")
+    assert minhash.allowed_pairs(df, 85, Store(spark, "template")).count() == 0
 
 
 def test_odd_rows(spark):
@@ -111,19 +144,30 @@ def test_words_and_shingles_of_any_text(texts):
     assert np.diff(rows).tolist() == [len(WORD.findall(t)) for t in texts]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components(spark, seed):
+@pytest.mark.parametrize(("seed", "tail"), [(1, 1 << 17), (2, 0), (3, 20)])
+def test_components(spark, seed, tail):
     rng = random.Random(seed)
-    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(k, k + 1) for k in range(300, 380)]
+    links = pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(k, k + 1) for k in range(300, 380)]
     from tests.llm.helpers import Groups
 
     groups = Groups({x for p in links for x in p})
     for a, b in links:
         groups.link(a, b)
-    got = components(spark.createDataFrame(links, "a long, b long"), Store(spark, "t"), "c").collect()
+    store = Store(spark, "t")
+    links = spark.createDataFrame(links, "a long, b long")
+    got = components(links, store, "c", tail).collect()
+    assert len(got) == len({r["id"] for r in got})
     got = {r["id"]: r["component"] for r in got}
-    loops = {x for x in groups.up if all(p == (x, x) for p in links if x in p)}
-    assert got == {x: groups.root(x) for x in groups.up if x not in loops}
+    loops = {x for x in groups.up if all(p == (x, x) for p in pairs if x in p)}
+    want = {x: groups.root(x) for x in groups.up if x not in loops}
+    assert got == want
+
+    # the same from a part of the links, with the others joined afterwards
+    some = links.where("pmod(xxhash64(a, b), 2) = 0")
+    known = store.save(components(some, store, "some", tail), "known")
+    both = joined(known, links, store, "both").collect()
+    assert {r["id"]: r["component"] for r in both} == want and len(both) == len(want)
+    assert joined(known, some, store, "none") is known
 
 
 def vectors(spark, rows):
