@@ -41,8 +41,9 @@ SUFFIXES = 4096    # hashed word endings that other words share
 SUFFIX_BYTES = 3
 CHUNK = 512        # tokens of a chunk
 GROUP = 1 << 18    # tokens that are run at once
-HELD = 300_000     # words that a task adds up before it emits them
+HELD = 500_000     # words that a task adds up before it emits them
 STAY = 0.9         # first chance to stay in a state
+RESCALE = 4        # steps after which vectors are scaled to one; lifts stay far from what floats hold till then
 PRIOR = 10.0       # tokens of a class that are taken to be spread like all tokens
 FLOOR = 0.01       # share of the mixture that every state emits alike
 END = b""          # the end of a text; no word is empty
@@ -60,10 +61,6 @@ class Classes:
     words: int
     open: int                 # classes that hold an unknown word
 
-    def of(self, word: bytes) -> int:
-        at = self.own.get(word)
-        return int(self.suffix[crc32(word[-SUFFIX_BYTES:]) % SUFFIXES]) if at is None else at
-
 
 @dataclass
 class Model:
@@ -80,7 +77,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 def _count(batches):
     """Words of texts and the ends of texts, added up in the task."""
-    held: dict[bytes, int] = {}
+    held: Counter[bytes] = Counter()
 
     def batch():
         return pa.RecordBatch.from_arrays(
@@ -89,12 +86,10 @@ def _count(batches):
 
     for rows in batches:
         data, offsets = text_bytes(rows.column(0))
-        held[END] = held.get(END, 0) + rows.num_rows
+        held[END] += rows.num_rows
         for lo, hi in slices(offsets):
-            get = held.get
-            for word, n in Counter(words_of(data[offsets[lo]:offsets[hi]].tobytes()) if hi == lo + 1 else [
-                    w for k in range(lo, hi) for w in words_of(data[offsets[k]:offsets[k + 1]].tobytes())]).items():
-                held[word] = get(word, 0) + n
+            # a blank between texts: no word runs over
+            held.update(words_of(b" ".join([data[offsets[k]:offsets[k + 1]].tobytes() for k in range(lo, hi)])))
             if len(held) > HELD:
                 yield batch()
                 held.clear()
@@ -127,7 +122,7 @@ def _coded(classes):
         from pyspark import TaskContext
 
         known: Classes = classes.value
-        get, of = known.own.get, known.of
+        get, suffix = known.own.get, known.suffix.tolist()
         log = np.log10(known.own_count + 1.0)
         row = TaskContext.get().partitionId() << 33
         for rows in batches:
@@ -140,7 +135,7 @@ def _coded(classes):
                 other = np.flatnonzero(code < 0)
                 frequent = code[code >= 0]
                 some = [words[i] for i in other.tolist()]
-                code[other] = [of(w) for w in some]
+                code[other] = [suffix[crc32(w[-SUFFIX_BYTES:]) % SUFFIXES] for w in some]
                 n.append(len(words))
                 own.append(len(frequent))
                 own_log.append(float(log[frequent].sum()))
@@ -217,23 +212,26 @@ class Recursion:
         product = np.zeros((len(begin) if len(which) == len(begin) else len(which), k, k), dtype=np.float32)
         place = np.zeros(len(begin), dtype=np.int64)
         place[which] = np.arange(len(which))
-        for part in _groups(length, which, max(1, self.group // k)):
+        for part in _groups(length, which, self.group):
             active, off, where = _steps(begin[part], length[part])
             emit = self.lift[codes[where]]
             x = np.where(first[part][:, None, None], self.first, self.move) * emit[:active[0], None, :]
             for t in range(1, len(active)):
                 m = active[t]
-                y = (x[:m].reshape(-1, k) @ self.move).reshape(m, k, k) * emit[off[t]:off[t + 1], None, :]
-                x[:m] = y / y.max(axis=(1, 2), keepdims=True)
+                y = (x[:m].reshape(-1, k) @ self.move).reshape(m, k, k)
+                y *= emit[off[t]:off[t + 1], None, :]
+                if t % RESCALE == 0:
+                    y /= (y.reshape(m, k * k) @ np.ones(k * k, dtype=np.float32))[:, None, None]
+                x[:m] = y
             product[place[part]] = x
         for d in several:
             lo, hi = int(at[d]), int(at[d + 1])
             for c in range(lo, hi - 1):
-                v = before[c] @ product[place[c]]
+                v = before[c].astype(float) @ product[place[c]]
                 before[c + 1] = v / v.sum()
             if backward:
                 for c in range(hi - 1, lo, -1):
-                    v = product[place[c]] @ after[c]
+                    v = product[place[c]] @ after[c].astype(float)
                     after[c - 1] = v / v.sum()
         return before, after
 
@@ -247,52 +245,65 @@ class Recursion:
         first[at[:-1]] = True
         before, after = self._carry(codes, begin, length, at, counts is not None)
         score = np.zeros(len(begin))
+        ones = np.ones(self.states, dtype=np.float32)
         for part in _groups(length, np.arange(len(begin)), self.group):
             active, off, where = _steps(begin[part], length[part])
             some = codes[where]
             emit = self.lift[some]
             ahead = np.empty_like(emit)
-            scale = np.empty(len(emit), dtype=np.float32)
-            x = np.where(first[part][:, None], self.first, before[part] @ self.move)
-            for t in range(len(active)):
-                here = slice(off[t], off[t + 1])
-                x = (x if t == 0 else x[:active[t]] @ self.move) * emit[here]
-                s = x.sum(axis=1)
-                x /= s[:, None]
-                ahead[here], scale[here] = x, s
-            rank = np.arange(off[-1]) - np.repeat(off[:-1], active)
-            score[part] = np.bincount(rank, weights=np.log10(scale.astype(np.float64)), minlength=len(part))
+            scale = np.ones(len(emit), dtype=np.float32)
+            bounds = off.tolist()
+            for t, m in enumerate(active.tolist()):
+                here = ahead[bounds[t]:bounds[t + 1]]
+                if t:
+                    np.matmul(x[:m], self.move, out=here)
+                else:
+                    here[:] = np.where(first[part][:, None], self.first, before[part] @ self.move)
+                here *= emit[bounds[t]:bounds[t + 1]]
+                if t % RESCALE == 0:
+                    s = here @ ones
+                    here /= s[:, None]
+                    scale[bounds[t]:bounds[t + 1]] = s
+                x = here
+            rank = np.arange(bounds[-1]) - np.repeat(off[:-1], active)
+            last = ahead[off[length[part] - 1] + np.arange(len(part))] @ ones
+            score[part] = np.bincount(rank, weights=np.log10(scale, dtype=np.float64), minlength=len(part)) + np.log10(last, dtype=np.float64)
             if counts is not None:
-                self._expect(counts, part, first, before, after, active, off, some, emit, ahead, scale)
+                self._expect(counts, first[part], before[part], after[part], off, rank, some, emit, ahead, scale)
         return np.add.reduceat(score, at[:-1]) if len(lengths) else score
 
-    def _expect(self, counts, part, first, before, after, active, off, some, emit, ahead, scale):
+    def _expect(self, counts, first, before, after, off, rank, some, emit, ahead, scale):
         """Backward recursion over one group, with expected counts."""
         firsts, moved, emitted = counts
-        back = after[part]
-        moves = np.zeros((self.states, self.states))
-        for t in range(len(active) - 1, -1, -1):
-            here = slice(off[t], off[t + 1])
-            b = back[:active[t]]
-            x = ahead[here]
-            both = x * b
-            total = both.sum(axis=1, keepdims=True)
-            late = emit[here] * b
-            weight = 1 / (scale[here][:, None] * total)
-            both /= total
+        ones, turned = np.ones(self.states, dtype=np.float32), np.ascontiguousarray(self.move.T)
+        back, late = np.empty_like(ahead), np.empty_like(ahead)
+        bounds = off.tolist()
+        now = after.copy()  # backward vectors of the chunks at work; a chunk's first is what comes after it
+        for t in range(len(bounds) - 2, -1, -1):
+            lo, hi = bounds[t], bounds[t + 1]
+            back[lo:hi] = now[:hi - lo]
+            np.multiply(emit[lo:hi], now[:hi - lo], out=late[lo:hi])
             if t:
-                prior = ahead[off[t - 1]:off[t - 1] + active[t]]
-                moves += (prior * weight).T @ late
-                v = late @ self.move.T
-                back[:active[t]] = v / v.sum(axis=1, keepdims=True)
-            else:
-                new = first[part]
-                firsts += both[new].sum(axis=0)
-                moves += (before[part][~new] * weight[~new]).T @ late[~new]
-            ahead[here] = both
+                v = late[lo:hi] @ turned
+                if t % RESCALE == 0:
+                    v /= (v @ ones)[:, None]
+                now[:hi - lo] = v
+        back *= ahead
+        total = back @ ones
+        back /= total[:, None]  # chances of the states of every token
+        late /= (scale * total)[:, None]
+        if len(bounds) > 2:
+            width = np.diff(off)
+            before_it = np.arange(bounds[1], bounds[-1]) - np.repeat(width[:-1], width[1:])
+            moves = ahead[before_it].T @ late[bounds[1]:]
+        else:
+            moves = np.zeros((self.states, self.states))
+        some_before = ~first
+        moves = moves + before[some_before].T @ late[:bounds[1]][some_before]
         moved += moves * self.move
+        firsts += back[:bounds[1]][first].sum(axis=0)
         for k in range(self.states):
-            emitted[:, k] += np.bincount(some, weights=ahead[:, k], minlength=len(emitted))
+            emitted[:, k] += np.bincount(some, weights=back[:, k], minlength=len(emitted))
 
 
 def _texts(batches, at: int, most: int = 4 * GROUP):

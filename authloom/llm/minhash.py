@@ -381,8 +381,9 @@ def _meet(percent: int):
     return run
 
 
-def allowed_pairs(sets: DataFrame, percent: int, store: Store, tile: int = TILE) -> DataFrame:
-    """``a, b``: pairs of sets (``id, comp, items``) of different components that may reach the threshold.
+def allowed_pairs(sets: DataFrame, members: DataFrame, percent: int, store: Store, tile: int = TILE) -> DataFrame:
+    """``a, b``: pairs of members (``id, comp``) of different components whose sets (``id, items``) may reach the
+    threshold.
 
     Every pair that reaches it is among them: what is left out shares no shingle of the two prefixes, or
     differs too much in size, or has too few shingles after the shared one.
@@ -393,7 +394,7 @@ def allowed_pairs(sets: DataFrame, percent: int, store: Store, tile: int = TILE)
     weight = np.zeros(BUCKETS, dtype=np.int64)
     weight[np.asarray(counts.column("bucket").combine_chunks())] = np.asarray(counts.column("n").combine_chunks())
     weights = spark.sparkContext.broadcast(np.minimum(weight, 0xFFFFFFFF).astype(np.uint32))
-    prefixes = store.save(sets.select("id", "comp", "items").mapInArrow(
+    prefixes = store.save(sets.join(members, "id").select("id", "comp", "items").mapInArrow(
         _prefixes(weights, percent), "h long, id long, comp long, n int, place int, index boolean"), "prefixes")
     weights.unpersist()
     return _tiled(prefixes, tile).mapInArrow(_meet(percent), "a long, b long").distinct()
@@ -502,27 +503,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return out
 
     def confirmed(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-        """The pairs that hold on the full sets."""
+        """The pairs that hold on the full sets, as a written table."""
         x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
         y = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
         return store.save(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
                           .mapInArrow(_confirm(percent), "a long, b long"), name)
 
+    n_candidates = candidates.count()
     either = candidates.select(F.col("a").alias("id"), "a", "b", "matches").unionByName(
         candidates.select(F.col("b").alias("id"), "a", "b", "matches"))
     best = store.save(either.groupBy("id").agg(F.max(F.struct("matches", "a", "b")).alias("e"))
-                      .select("e.a", "e.b").distinct(), "best")
+                      .select("e.a", "e.b").distinct(), "best", rows=n_candidates)
     sets = sets_of(either.select("id").distinct(), "candidate-sets")
-    parts = store.save(components(confirmed(best, sets, "links-1"), store, "first"), "parts-1")
+    parts = components(confirmed(best, sets, "links-1"), store, "first", rows=n_candidates)
 
     # other candidates between what the first round left apart
     ends = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"{c}c"))
     apart = store.save(
         candidates.select("a", "b").join(ends("a"), "a", "left").join(ends("b"), "b", "left")
-        .where("coalesce(ac, a) <> coalesce(bc, b)").select("a", "b").join(best, ["a", "b"], "left_anti"), "apart")
+        .where("coalesce(ac, a) <> coalesce(bc, b)").select("a", "b").join(best, ["a", "b"], "left_anti"), "apart", rows=n_candidates)
     final = parts
     if not apart.isEmpty():
-        final = store.save(joined(parts, confirmed(apart, sets, "links-2"), store, "second"), "parts-2")
+        final = joined(parts, confirmed(apart, sets, "links-2"), store, "second")
     store.drop("candidate-sets")
 
     # all that share a region with another component, compared exactly
@@ -530,10 +532,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     members = store.save(placed.join(mixed, "key").select("id", "comp").distinct(), "members")
     if not members.isEmpty():
-        sets = store.save(sets_of(members.select("id"), "cut").join(members, "id"), "member-sets")
-        met = store.save(allowed_pairs(sets, percent, store, tile), "met")
-        final = store.save(joined(final, confirmed(met, sets, "links-3"), store, "third"), "parts-3")
-        store.drop("cut", "member-sets", "prefixes")
+        sets = sets_of(members.select("id"), "member-sets")
+        met = store.save(allowed_pairs(sets, members, percent, store, tile), "met")
+        final = joined(final, confirmed(met, sets, "links-3"), store, "third")
+        store.drop("member-sets", "prefixes")
     store.drop("forest", "found", "candidates", "reps")
 
     nodes = some.select("digest", "id").join(first.select("digest", F.col("id").alias("node")), "digest")

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from authloom.sources.scratch import shared_dir
 
 
+ROWS = 250_000  # small rows of one file
+
+
 class Store:
     """One folder of intermediate tables below the cluster's shared folder."""
 
@@ -16,9 +19,15 @@ class Store:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}"
 
-    def save(self, df: DataFrame, name: str, partition_by: str | None = None, compression: str | None = None) -> DataFrame:
-        """Write ``df`` once and read it back with the schema it was written with."""
+    def save(self, df: DataFrame, name: str, partition_by: str | None = None, compression: str | None = None,
+             rows: int | None = None) -> DataFrame:
+        """Write ``df`` once and read it back with the schema it was written with.
+
+        ``rows`` is a bound on its rows, where one is known: then no more tasks write than it takes files.
+        """
         path = f"{self.path}/{name}"
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // ROWS)))
         writer = df.write.mode("overwrite")
         if compression:
             writer = writer.option("compression", compression)

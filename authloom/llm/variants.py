@@ -278,7 +278,7 @@ def keyed(words: DataFrame, store: Store, most: int = MOST) -> DataFrame:
     out, step = None, 0
     while True:
         large = store.save(rows.where("hi - lo > 1").groupBy(*KEY).agg(F.count(F.lit(1)).alias("size"))
-                           .where(F.col("size") > most).drop("size"), f"large-{step}")
+                           .where(F.col("size") > most).drop("size"), f"large-{step}", rows=rows.count() // most)
         whole = rows.join(large, KEY, "left_anti")
         out = whole if out is None else out.unionByName(whole)
         if large.isEmpty():
@@ -304,13 +304,15 @@ def near_pairs(words: DataFrame, most: int = MOST) -> DataFrame:
 
 def roots(forms: DataFrame, store: Store) -> DataFrame:
     """``word, root``: the end of the chain ``word -> form`` of every word, its path doubled in each round."""
-    now = store.save(forms.select("word", F.col("form").alias("root")), "roots-0")
+    n = forms.count()
+    now = store.save(forms.select("word", F.col("form").alias("root")), "roots-0", rows=n)
     step = 0
     while True:
         onward = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
         step += 1
         now = store.save(now.join(onward, "root", "left").select(
-            "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), f"roots-{step}")
+            "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), f"roots-{step}",
+            rows=n)
         if now.where("moved").isEmpty():
             return now.select("word", "root")
         now = now.select("word", "root")

@@ -90,7 +90,7 @@ def test_allowed_pairs_hold_all_links(spark, percent, tile):
         own = base[:100] + [rng.getrandbits(63) for _ in range(rng.randint(0, 22))]
         sets.append(np.unique(np.array(own[rng.randint(0, 12):], dtype=np.uint64)))
     df = spark.createDataFrame([(k, k // 2, bytearray(v.tobytes())) for k, v in enumerate(sets)], "id long, comp long, items binary")
-    got = {tuple(r) for r in minhash.allowed_pairs(df, percent, Store(spark, "allowed"), tile).collect()}
+    got = {tuple(r) for r in minhash.allowed_pairs(df.drop("comp"), df.drop("items"), percent, Store(spark, "allowed"), tile).collect()}
     want = set()
     for a, x in enumerate(sets):
         for b, y in enumerate(sets[:a]):
@@ -106,7 +106,7 @@ def test_a_large_template_without_links(spark):
     common = rng.integers(0, 2**63, 300).astype(np.uint64)
     rows = [(k, k, bytearray(np.unique(np.concatenate((common, rng.integers(0, 2**63, 45).astype(np.uint64)))).tobytes())) for k in range(3000)]
     df = spark.createDataFrame(rows, "id long, comp long, items binary")
-    assert minhash.allowed_pairs(df, 85, Store(spark, "template")).count() == 0
+    assert minhash.allowed_pairs(df.drop("comp"), df.drop("items"), 85, Store(spark, "template")).count() == 0
 
 
 def test_odd_rows(spark):
@@ -164,8 +164,8 @@ def test_components(spark, seed, tail):
 
     # the same from a part of the links, with the others joined afterwards
     some = links.where("pmod(xxhash64(a, b), 2) = 0")
-    known = store.save(components(some, store, "some", tail), "known")
-    both = joined(known, links, store, "both").collect()
+    known = components(some, store, "some", tail)
+    both = joined(known, store.save(links, "links"), store, "both").collect()
     assert {r["id"]: r["component"] for r in both} == want and len(both) == len(want)
     assert joined(known, some, store, "none") is known
 
