@@ -20,7 +20,7 @@ from pyspark.sql.types import (
 
 from authloom.operators.detection import _accepted
 from authloom.operators.rules import match_rules
-from authloom.streaming.ingest import to_table
+from authloom.streaming.ingest import column_families, to_table
 
 _SECOND = 1_000_000
 
@@ -174,15 +174,23 @@ def run_detection(spark: SparkSession, source: str, rules: list[dict], path: str
                   delay: str = "1 minute", rules_version: int = 0, max_files: int = 1000) -> StreamingQuery:
     """Work off what has landed since the checkpoint; returns the finished query.
 
-    ``delay`` is how late an event may arrive; a fire is reported that long after its event. The
-    session needs the RocksDB state store (``authloom.session``).
+    ``delay`` is how late an event may arrive; a fire is reported that long after its event.
     """
     found = detect_stream(_landed(spark, source, max_files), rules, delay, rules_version)
-    query = to_table(found, path, checkpoint)
+    with column_families(spark):
+        query = to_table(found, path, checkpoint)
     query.awaitTermination()
     return query
 
 
+def keys_in_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """``node_id, rule_id, group_key, rules_version, flush, last``: what a finished run still remembers, read from
+    its checkpoint."""
+    with column_families(spark):
+        rows = spark.read.format("statestore").option("stateVarName", "rule").load(checkpoint)
+        return rows.select("key.*", "value.last")
+
+
 def windowed_thresholds(events: DataFrame, rules: list[dict], width: str, delay: str,
                         slide: str | None = None) -> DataFrame:
     """Tumbling or sliding window counts per rule and group, where they reach the threshold.

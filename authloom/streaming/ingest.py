@@ -6,6 +6,9 @@ where the last batch ended.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -41,6 +44,24 @@ def _folders(nodes: dict[str, str]) -> list[str]:
     return [f"{p}/*" if len(nodes) > 1 else next(iter(nodes)) for p in sorted(parents)]
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def column_families(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed state with several variables needs, for what starts inside.
+
+    A started query has its own copy of the settings, so the session's is put back at once.
+    """
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+
+
 def to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Start an available-now run that appends to a parquet table."""
     return (df.writeStream.outputMode(mode).format("parquet").option("path", path)

@@ -529,7 +529,7 @@ add("verify_lineage", f"{REFS},{_CHECKS}", """SELECT case_key, coalesce(evidence
  arg_max(CASE WHEN lineage_id IS NULL THEN 'missing' WHEN NOT contains(lineage_id, ':') THEN 'invalid_format' ELSE 'valid' END, ord) AS status
  FROM ce LEFT JOIN xl USING (case_key) WHERE bad_ord IS NULL OR ord <= bad_ord GROUP BY 1, 2""")
 _CUT = READY[len(CASES) + 1:]
-REVIEW = f"""{MERGED},{_CUT},{REFS[len(CASES) + 1:]},{_CHECKS},
+_VERDICT = f"""
 vc AS (SELECT va.*, rd.n AS evidence_count, valid_count, score, level, rd.issues AS readiness_issues,
  concat_ws('; ', {_WORDS}, CASE WHEN rd.n < 3 AND length(conclusion) > 10 THEN '证据仅 ' || rd.n || ' 条，但结论过于详细，置信度存疑' END,
  CASE WHEN score < 60 AND rd.n >= 3 THEN '数据就绪度 ' || score || ' 分低于 60，结论需谨慎' END) AS con_issue
@@ -539,6 +539,7 @@ vo AS (SELECT vc.*, ref_issue, raw_issue, query_issue, lineage_issue,
  FROM vc LEFT JOIN xr USING (case_key) LEFT JOIN xw USING (case_key) LEFT JOIN xq USING (case_key) LEFT JOIN xl USING (case_key)),
 vf AS (SELECT *, issues = '' AS verified, CASE WHEN issues <> '' THEN '低' WHEN evidence_count >= 5 THEN '高' ELSE '中' END AS final_confidence,
  CASE WHEN issues = '' THEN conclusion ELSE {q(fixed.UNVERIFIED_CONCLUSION)} END AS final_conclusion FROM vo)"""
+REVIEW = f"""{MERGED},{_CUT},{REFS[len(CASES) + 1:]},{_CHECKS},{_VERDICT}"""
 add("verify_conclusion", REVIEW, "SELECT case_key, con_issue AS issues FROM vc")
 
 
@@ -560,7 +561,11 @@ _ENTRY = """'
 '"""
 NUMBERED = "nb AS (SELECT *, row_number() OVER (PARTITION BY case_key ORDER BY ord) AS position FROM ce)"
 add("case_report_sections", f"{CASES},{NUMBERED}", f"SELECT case_key, position, {_ENTRY} AS entry FROM nb")
-add("case_report", f"{REVIEW},{NUMBERED}", f"""SELECT case_key, 0::BIGINT AS part, '
+
+
+def _report(block: int) -> str:
+    """The parts of every case's report."""
+    return f"""SELECT case_key, 0::BIGINT AS part, '
 # 安全研判报告
 报告时间：20240201_000000
 
@@ -571,8 +576,8 @@ add("case_report", f"{REVIEW},{NUMBERED}", f"""SELECT case_key, 0::BIGINT AS par
 
 ## 2. 安全证据（标准化）
 ' AS text FROM vf
-UNION ALL SELECT case_key, (position - 1) // 1000 + 1 AS part, string_agg({_ENTRY}, '' ORDER BY position) FROM nb GROUP BY 1, 2
-UNION ALL SELECT case_key, CAST(ceil(evidence_count / 1000.0) + 1 AS BIGINT), '
+UNION ALL SELECT case_key, (position - 1) // {block} + 1 AS part, string_agg({_ENTRY}, '' ORDER BY position) FROM nb GROUP BY 1, 2
+UNION ALL SELECT case_key, CAST(ceil(evidence_count / {block}.0) + 1 AS BIGINT), '
 ## 3. AI 研判结果
 - 研判结论：' || conclusion || '
 - 置信度：' || confidence || '
@@ -589,7 +594,10 @@ UNION ALL SELECT case_key, CAST(ceil(evidence_count / 1000.0) + 1 AS BIGINT), '
 
 ## 6. 总结
 本报告基于数据编织架构，通过边缘按需取证、标准化映射、AI研判与复核验证，形成完整可信的安全事件分析结果。
-' FROM vf""")
+' FROM vf"""
+
+
+add("case_report", f"{REVIEW},{NUMBERED}", _report(1000))
 
 # --- monitoring ------------------------------------------------------------------------------
 MONITOR = f"""{SUMMARY},
@@ -643,30 +651,38 @@ sc AS (SELECT *, 100 - CASE WHEN n < 2 THEN 10 ELSE 0 END - CASE WHEN n >= 2 AND
 add("signal_case_review", _SCR, """SELECT case_key, score, 'unknown' AS event_type, CASE WHEN n >= 5 THEN 'medium' ELSE 'low' END AS priority,
  n >= 3 AS verified, CASE WHEN n >= 5 THEN '高' WHEN n >= 3 THEN '中' ELSE '低' END AS final_confidence, n AS evidence_count FROM sc""")
 
-# hunt_report: the head and the evidence entries; the tail repeats the review
-add("hunt_report", f"{_SCR},{NORM}," + """
-nb AS (SELECT na.*, evd.rank AS position, query_id AS case_key FROM na JOIN evd USING (evidence_id, query_id))""",
-    f"""SELECT case_key, 0::BIGINT AS part, '
-# 安全研判报告
-报告时间：20240201_000000
-
-## 1. 数据就绪度评估
-- 就绪度评分：' || score || ' 分
-- 评估等级：' || CASE WHEN score >= 80 THEN '完整可用' WHEN score >= 60 THEN '基本可用' ELSE '数据不足' END || '
-- 有效证据数：' || n || '
-
-## 2. 安全证据（标准化）
-' AS text FROM sc
-UNION ALL SELECT case_key, (position - 1) // 7 + 1, string_agg({_ENTRY}, '' ORDER BY position) FROM nb GROUP BY ALL
-UNION ALL SELECT case_key, (n + 6) // 7 + 1, NULL FROM sc""")
-add("result_tables", f"{_SCR},{NORM}," + """
-ct AS (SELECT query_id AS case_key, max(substr(timestamp, 1, 10)) AS dt FROM na GROUP BY 1),
-tb(name, per_case) AS (VALUES ('readiness', 1), ('analysis', 1), ('verification', 1), ('reports', 3))""",
-    """SELECT 'signals' AS name, substr(event_time, 1, 10) AS dt, count(*) AS n, count(DISTINCT signal_id) AS keys FROM sig GROUP BY ALL
-UNION ALL SELECT 'evidence', substr(timestamp, 1, 10), count(*), count(DISTINCT evidence_id) FROM na GROUP BY ALL
-UNION ALL SELECT name, dt, CAST(sum(per_case) AS BIGINT), count(*) FROM ct CROSS JOIN tb GROUP BY ALL""")
+# hunt_report: the whole review of the cases that answered signals make
+HUNT = f"""{EVIDENCE},{NORM},
+ce AS (SELECT na.*, evd.rank AS ord, na.query_id AS case_key, epoch_us(CAST(evd.timestamp AS TIMESTAMP)) AS us
+ FROM na JOIN evd USING (evidence_id, query_id)),
+allc AS (SELECT DISTINCT case_key FROM ce),{_CUT},{TRIAGE},
+va AS (SELECT case_key, event_type, priority, confidence, summary, conclusion, actions, ref_count FROM an),
+dang AS (SELECT case_key, evidence_id, ord FROM ce WHERE false),{_CHECKS},{_VERDICT},{NUMBERED}"""
+add("hunt_report", HUNT, _report(7))
+
+
+def _content(name: str, rows: str, columns: str, day: str) -> str:
+    """Rows of a stored table per day, with the sum of a hash of their columns."""
+    text = ", ".join(f"coalesce(CAST({c.strip()} AS VARCHAR), '~')" for c in columns.split(","))
+    return f"""SELECT {q(name)} AS name, {day} AS dt, count(*) AS n,
+ CAST(sum(('0x' || substr(md5(concat_ws('|', {text})), 1, 8))::BIGINT) AS BIGINT) AS content FROM {rows} GROUP BY ALL"""
+
+
+add("result_tables", f"""{HUNT},
+ct AS (SELECT case_key, max(substr(timestamp, 1, 10)) AS dt FROM ce GROUP BY 1), rt AS ({_report(1000)})""", " UNION ALL ".join([
+    _content("signals", "sig", "signal_id, node_id, rule_id, rule_level, rule_desc, severity, category, src_ip, event_time, raw_ref, matched_count",
+             "substr(event_time, 1, 10)"),
+    _content("evidence", "ce", "evidence_id, case_key, query_id, timestamp, rule_id, severity, description, hostname, src_ip", "substr(timestamp, 1, 10)"),
+    _content("readiness", "vf JOIN ct USING (case_key)", "case_key, score, level", "dt"),
+    _content("analysis", "vf JOIN ct USING (case_key)", "case_key, event_type, priority, conclusion", "dt"),
+    _content("verification", "vf JOIN ct USING (case_key)", "case_key, verified, final_confidence", "dt"),
+    _content("reports", "rt JOIN ct USING (case_key)", "case_key, part, text", "dt")]))
 _WINDOW = "timestamp BETWEEN '2024-01-05T00:00:00.000000+00:00' AND '2024-01-20T00:00:00.000000+00:00'"
-add("gateway_query", ALERTS, f"""(SELECT 'qry-1' AS query_id, timestamp, agent_name, full_log FROM al
- WHERE node_id = 'node-1' AND rule_id = '5710' AND {_WINDOW} ORDER BY timestamp, id LIMIT 30)
-UNION ALL (SELECT 'qry-2', timestamp, agent_name, full_log FROM al
+add("gateway_query", f"""{ALERTS},
+gq AS (SELECT *, 'qry-1' AS query_id, {_AHASH} AS hash FROM al
+ WHERE node_id = 'node-1' AND rule_id = '5710' AND {_WINDOW} ORDER BY timestamp, id LIMIT 30)""",
+    f"""SELECT 'ev-' || {h16('query_id', 'node_id', 'id')} AS evidence_id, query_id, node_id || '/wazuh_alerts#' || timestamp AS raw_ref,
+ query_id || ':' || hash AS lineage_id, hash, timestamp, 'wazuh_alerts' AS source, rule_id, rule_text AS description,
+ coalesce(agent_ip, '0.0.0.0') AS src_ip, agent_name AS hostname, rule_level AS severity, full_log AS raw_log FROM gq
+UNION ALL (SELECT NULL, 'qry-2', NULL, NULL, NULL, timestamp, NULL, NULL, NULL, NULL, agent_name, NULL, full_log FROM al
  WHERE node_id = 'node-2' AND rule_id = '5503' AND {_WINDOW} ORDER BY timestamp, id LIMIT 25)""")

@@ -844,15 +844,12 @@ def hunt_report(spark, sf):
     _, _, found = hunt.evidence_for(hunt.signals(events, t.rules()), events, t.CASE_ID)
     rows = materialize(hunt.case_rows_of(found, _now_text()), f"{out}/rows")
     reviewed = materialize(case_plan.review(rows, rows.select("case_key").distinct()), f"{out}/reviews")
-    parts = reporting.report_parts(reviewed, rows, F.lit("20240201_000000"), block=7)
-    last = parts.groupBy("case_key").agg(F.max("part").alias("last"))
-    return parts.join(last, "case_key").select(
-        "case_key", "part", F.when(F.col("part") < F.col("last"), F.col("text")).alias("text"))
+    return reporting.report_parts(reviewed, rows, F.lit("20240201_000000"), block=7)
 
 
 @query
 def result_tables(spark, sf):
-    """All six result tables appended, read back and compared by rows and content per day."""
+    """All six result tables written, read back and compared by a hash of every row's columns, per day."""
     base, (rows, reviewed) = shared_dir(spark), _signal_cases(spark, sf)
     at_of = rows.groupBy("case_key").agg(F.max(F.col("timestamp").cast("timestamp")).alias("at"))
     reviewed = reviewed.join(at_of, "case_key")
@@ -866,13 +863,29 @@ def result_tables(spark, sf):
     }, base)
     out = None
     for name in sinks.TABLES:
-        key = {"signals": "signal_id", "evidence": "evidence_id"}.get(name, "case_key")
-        part = sinks.read_table(spark, base, name).groupBy(F.lit(name).alias("name"), F.col("dt").cast("string").alias("dt")).agg(
-            F.count("*").alias("n"), F.count_distinct(key).alias("keys"))
+        back = sinks.read_table(spark, base, name).select(
+            F.col("dt").cast("string").alias("dt"), F.md5(F.concat_ws("|", *[text_of(F.col(c)) for c in _COMPARED[name]])).alias("row"))
+        part = back.groupBy("dt").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring("row", 1, 8), 16, 10).cast("long")).alias("content"))
+        part = part.select(F.lit(name).alias("name"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+_COMPARED = {
+    "signals": ["signal_id", "node_id", "rule_id", "rule_level", "rule_desc", "severity", "category", "src_ip", "event_time",
+                "raw_ref", "matched_count"],
+    "evidence": ["evidence_id", "case_key", "query_id", "timestamp", "rule_id", "severity", "description", "hostname", "src_ip"],
+    "readiness": ["case_key", "score", "level"],
+    "analysis": ["case_key", "event_type", "priority", "conclusion"],
+    "verification": ["case_key", "verified", "final_confidence"],
+    "reports": ["case_key", "part", "text"],
+}
+
+
+def text_of(c):
+    return F.coalesce(c.cast("string"), F.lit("~"))
+
+
 @query
 def gateway_query(spark, sf):
     """Ad-hoc alert queries against written registry sources, whole items and chosen fields."""
@@ -885,8 +898,9 @@ def gateway_query(spark, sf):
     items = gateway.answer(spark, entries, "qry-1", "node-1", "wazuh-alerts", window, {"rule.id": "5710"}, 30, base=out)
     fields = gateway.answer(spark, entries, "qry-2", "node-2", time_window=window, filters={"rule_id": "5503"}, limit=25,
                             fields=["timestamp", "agent.name", "full_log"], base=out)
-    return items.select("query_id", "timestamp", F.col("hostname").alias("agent_name"), F.col("raw_log").alias("full_log")).unionByName(
-        fields.select(F.lit("qry-2").alias("query_id"), "timestamp", "agent_name", "full_log"))
+    return items.unionByName(fields.select(
+        F.lit("qry-2").alias("query_id"), "timestamp", F.col("agent_name").alias("hostname"), F.col("full_log").alias("raw_log")),
+        allowMissingColumns=True)
 
 
 # --- monitoring ------------------------------------------------------------------------------
@@ -973,9 +987,9 @@ _LATE = "10 days"
 def _land_in_pieces(spark, sf, path, since=None, until=None, days=8):
     """Land events a few days at a time, as a log arrives."""
     events = t.auth_events(spark, sf)
-    first = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 00:00:00' AS x").first().x
-    for k in range(0, 31, days):
-        lo, hi = (str(first + datetime.timedelta(days=d)) for d in (k, k + days))
+    first, last = events.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()
+    for k in range(0, (last - first).days + 1 if first else 0, days):
+        lo, hi = (f"{first + datetime.timedelta(days=d)} 00:00:00" for d in (k, k + days))
         if (since is None or hi > since) and (until is None or lo < until):
             detect.land_events(events.where((F.col("timestamp") >= t.naive(max(lo, since or lo)))
                                             & (F.col("timestamp") < t.naive(min(hi, until or hi)))), path)
@@ -1023,6 +1037,7 @@ def state_cleanup(spark, sf):
     detect.land_end(spark, f"{out}/events")
     done = detect.run_detection(spark, f"{out}/events", t.rules(), f"{out}/fires", f"{out}/ck", delay=_LATE)
     left = sum(int(o["numRowsTotal"]) for o in done.lastProgress["stateOperators"])
+    left += detect.keys_in_state(spark, f"{out}/ck").count()
     return spark.read.parquet(f"{out}/fires").groupBy("rule_id").agg(
         F.count("*").alias("fires"), F.lit(left).cast("long").alias("state_rows"))
 

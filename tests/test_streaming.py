@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 from authloom.functions import fixed
 from authloom.operators import detection
 from authloom.streaming import detect, ingest
+from tests.conftest import ROOT
 from tests.test_detection import MESSAGES, T0, brute_fires, events
 
 
@@ -47,3 +50,24 @@ def test_decode_batches_route_by_attempts(spark, tmp_path):
     q = ingest.decode_batches(stream, "a int", *[str(tmp_path / n) for n in ("good", "retry", "dead", "ck")])
     q.awaitTermination()
     assert [spark.read.parquet(str(tmp_path / n)).select("seq").collect()[0][0] for n in ("good", "retry", "dead")] == [1, 2, 3]
+
+
+def test_state_queries_need_no_settings(tmp_path):
+    """A session without any setting of this library: keyed state works, and is gone in the end."""
+    code = f"""
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate())
+from authloom.functions import fixed
+from authloom.streaming import detect
+from tests.conftest import ROOT
+from tests.test_detection import events
+detect.land_events(events(spark, [(k, "LOCAL_SSH_ACCEPTED", "a", "u") for k in range(50)]), {str(tmp_path / "in")!r})
+detect.land_end(spark, {str(tmp_path / "in")!r})
+detect.run_detection(spark, {str(tmp_path / "in")!r}, fixed.DEFAULT_RULES, {str(tmp_path / "out")!r}, {str(tmp_path / "ck")!r})
+assert spark.read.parquet({str(tmp_path / "out")!r}).count() > 0
+assert detect.keys_in_state(spark, {str(tmp_path / "ck")!r}).count() == 0
+assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
