@@ -14,15 +14,15 @@ from authloom.functions.fields import severity_level
 from authloom.functions.numbers import block_of
 from authloom.functions.text import lookup, short_hash
 from authloom.functions.times import iso_z, micros
-from authloom.operators.rules import match_rules, normalise
+from authloom.operators.rules import matches, normalise
 
 KEY = ["node_id", "rule_id", "group_key"]
 _SECOND = 1_000_000
 
 
-def threshold_snapshot(events: DataFrame, rules: list[dict], now: Column) -> DataFrame:
+def threshold_snapshot(events: DataFrame, rules: list[dict] | DataFrame, now: Column) -> DataFrame:
     """Groups over their threshold as seen at ``now`` (the window has no upper bound)."""
-    m = match_rules(events, rules).where(
+    m = matches(events, rules).where(
         F.col("timestamp") >= now - F.make_dt_interval(secs=F.col("window_seconds")))
     return (
         m.groupBy(*KEY, "need")
@@ -32,9 +32,9 @@ def threshold_snapshot(events: DataFrame, rules: list[dict], now: Column) -> Dat
     )
 
 
-def group_stats(events: DataFrame, rules: list[dict]) -> DataFrame:
+def group_stats(events: DataFrame, rules: list[dict] | DataFrame) -> DataFrame:
     """Matched count with first and last time per rule and group."""
-    return match_rules(events, rules).groupBy(*KEY).agg(
+    return matches(events, rules).groupBy(*KEY).agg(
         F.count("*").alias("matched_count"),
         F.min("timestamp").alias("first_time"),
         F.max("timestamp").alias("last_time"),
@@ -52,35 +52,39 @@ def instant_counts(matched: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("n"))
 
 
-def sliding_counts(matched: DataFrame, windows: list[int]) -> DataFrame:
+# Of two instants just one window apart, the earlier one counts. In windows of time their distance is 1, but for
+# the rounding of two divisions; the next instant that doesn't count is 1 + 1 / window microseconds away, which
+# is more than this for windows up to thirty years.
+_ONE_WINDOW = "1.0000000000000004D"
+
+
+def sliding_counts(matched: DataFrame) -> DataFrame:
     """Per instant, the matches of its group in [instant - window, instant].
 
     A group is cut into time buckets of one window length and every row also visits the next
     bucket, so a bucket holds all its look-back. Partitions are thereby at most two windows long
-    and a hot group spreads over many tasks. Rules with different windows share the shuffle: each
-    distinct length adds one frame to the same sorted partition.
+    and a hot group spreads over many tasks. Inside a bucket, time counts in windows, so one frame serves
+    rules of any number of window lengths.
     """
-    bucket = block_of("us", f"(greatest(CAST(window_seconds AS BIGINT), 1L) * {_SECOND})")
+    window = f"(greatest(CAST(window_seconds AS BIGINT), 0L) * {_SECOND})"
+    length = f"greatest({window}, 1L)"
+    bucket = block_of("us", length)
     visits = instant_counts(matched).withColumn("_own", bucket).select(
         "*", F.explode(F.array(F.col("_own"), F.col("_own") + 1)).alias("_bucket"))
-    base = Window.partitionBy(*KEY, "window_seconds", "_bucket").orderBy("us")
-    total = None
-    for w in windows:
-        framed = F.sum("n").over(base.rangeBetween(-w * _SECOND, 0))
-        cond = F.col("window_seconds") == w
-        total = F.when(cond, framed) if total is None else total.when(cond, framed)
+    # an empty window holds its own instant only: times are whole, so half a step is less than any distance
+    place = F.expr(f"(us - (_bucket - 1) * {length}) / CAST({length} AS DOUBLE) * if({window} > 0, 1D, 2D)")
+    count = F.expr(f"""sum(n) OVER (PARTITION BY {", ".join(KEY)}, window_seconds, _bucket ORDER BY _place
+                       RANGE BETWEEN {_ONE_WINDOW} PRECEDING AND CURRENT ROW)""")
     return (
-        visits.withColumn("window_count", total)
+        visits.withColumn("_place", place).withColumn("window_count", count)
         .where(F.col("_own") == F.col("_bucket"))
         .select(*KEY, "need", "window_seconds", "cooldown_seconds", "us", "n", "window_count")
     )
 
 
-def threshold_hits(events: DataFrame, rules: list[dict]) -> DataFrame:
+def threshold_hits(events: DataFrame, rules: list[dict] | DataFrame) -> DataFrame:
     """Instants at which a group reaches its threshold, over the whole history."""
-    windows = sorted({r.window_seconds for r in normalise(rules)[0]}) or [1]
-    return sliding_counts(match_rules(events, rules), windows).where(
-        F.col("window_count") >= F.col("need"))
+    return sliding_counts(matches(events, rules)).where(F.col("window_count") >= F.col("need"))
 
 
 _FIRE_SCHEMA = (
@@ -100,54 +104,149 @@ def _accepted(us: np.ndarray, cooldown: int, last: int | None) -> tuple[np.ndarr
     return fired, last
 
 
-def _fold_cooldown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk time-ordered hits; the only state carried is the last accepted instant of one key."""
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Sorted rows in frames that hold whole groups of ``keys``."""
+    held = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        same = np.ones(len(pdf), dtype=bool)
+        for c in keys:
+            v = pdf[c].to_numpy()
+            same &= v == v[-1]
+        last = len(pdf) - int(np.argmin(same[::-1])) if not same.all() else 0
+        first = pdf.iloc[0]
+        if held and any(held[-1][c].iat[-1] != first[c] for c in keys):
+            yield pd.concat(held)
+            held = []
+        if last:
+            yield pd.concat([*held, pdf.iloc[:last]])
+            held = []
+        held.append(pdf.iloc[last:])
+    if held:
+        yield pd.concat(held)
+
+
+_BLOCK = [*KEY, "block"]
+_EXITS = "node_id string, rule_id string, group_key string, block bigint, cooldown_seconds int, entry bigint, exit bigint"
+
+
+def _exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What each block of a key makes of a cool-down that runs into it: ``entry, exit``.
+
+    The hit at which a block is entered is the first one that the last fire before it doesn't suppress.
+    From there every fire has one successor, the first hit a cool-down later; ``exit`` is the last fire
+    in the block. Only hits within a cool-down of the block's begin, and the next one, can be entered at;
+    of those that lead to the same exit the latest is enough.
+    """
+    for pdf in _runs(batches, _BLOCK):
+        us = pdf["us"].to_numpy()
+        wait = pdf["cooldown_seconds"].to_numpy().astype(np.int64) * _SECOND
+        begin = pdf["begin"].to_numpy()
+        change = np.zeros(len(pdf), dtype=bool)
+        for c in _BLOCK:
+            v = pdf[c].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        group = np.cumsum(change)
+        # one ascending axis for all groups, on which no cool-down reaches the next group
+        place = us - begin
+        line = place + group * (int(place.max()) + int(wait.max()) + 1)
+        after = np.searchsorted(line, line + wait)
+        here = np.arange(len(us))
+        ends = (after == len(us)) | (group[np.minimum(after, len(us) - 1)] != group)
+        to = np.where(ends, here, after)
+        while True:  # successors of successors
+            onward = to[to]
+            if (onward == to).all():
+                break
+            to = onward
+        leaves = us[to]
+        late = place >= wait
+        earlier = np.concatenate(([False], late[:-1] & ~change[1:]))
+        some = np.flatnonzero(~late | ~earlier)  # the first late hit of a block, and all that are not late
+        merged = np.concatenate((leaves[some][1:] == leaves[some][:-1], [False])) & np.concatenate(
+            (group[some][1:] == group[some][:-1], [False]))
+        keep = some[~merged]
+        yield pd.DataFrame({**{c: pdf[c].to_numpy()[keep] for c in [*_BLOCK, "cooldown_seconds"]},
+                            "entry": us[keep], "exit": leaves[keep]})
+
+
+_BEFORE = "node_id string, rule_id string, group_key string, block bigint, us bigint"
+
+
+def _befores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The last fire before every block of a key but the first, by one step per block."""
+    key, last, block, done, leave = None, None, None, False, None
+    for pdf in batches:
+        out = []
+        columns = [pdf[c].tolist() for c in [*_BLOCK, "cooldown_seconds", "entry", "exit"]]
+        for *k, b, cooldown, entry, exit in zip(*columns):
+            if k != key:
+                key, last, block = k, None, None
+            if b != block:
+                last = last if block is None else leave
+                block, done, leave = b, False, last
+                if last is not None:
+                    out.append((*k, b, last))
+            if not done and (last is None or entry >= last + cooldown * _SECOND):
+                done, leave = True, exit
+        yield pd.DataFrame(out, columns=[*_BLOCK, "us"])
+
+
+def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk a block's hits in order; a row without count says when the key fired last before it."""
     current, last = None, None
     for pdf in batches:
         if not len(pdf):
             continue
         change = np.zeros(len(pdf), dtype=bool)
-        for c in KEY:
+        for c in _BLOCK:
             v = pdf[c].to_numpy()
             change[1:] |= v[1:] != v[:-1]
-        us, cooldown = pdf["us"].to_numpy(), pdf["cooldown_seconds"].to_numpy().astype(np.int64) * _SECOND
-        bounds, fired = [0, *np.flatnonzero(change).tolist(), len(pdf)], []
+        us, hit = pdf["us"].to_numpy(), pdf["hit"].to_numpy().astype(bool)
+        cooldown = pdf["cooldown_seconds"].fillna(0).to_numpy().astype(np.int64) * _SECOND
+        fired = np.zeros(len(pdf), dtype=bool)
+        bounds = [0, *np.flatnonzero(change).tolist(), len(pdf)]
         for lo, hi in zip(bounds, bounds[1:]):
-            key = tuple(pdf[c].iat[lo] for c in KEY)
-            if key != current:
-                current, last = key, None
-            mine, last = _accepted(us[lo:hi], int(cooldown[lo]), last)
-            fired.append(mine)
-        pdf["fired"] = np.concatenate(fired)
-        yield pdf[[*KEY, "us", "window_count", "fired"]]
-
-
-def judge_hits(hits: DataFrame) -> DataFrame:
+            block = tuple(pdf[c].iat[lo] for c in _BLOCK)
+            if block != current:
+                current, last = block, None
+            if not hit[lo]:
+                last, lo = int(us[lo]), lo + 1
+            if lo < hi:
+                fired[lo:hi], last = _accepted(us[lo:hi], int(cooldown[lo]), last)
+        pdf["fired"] = fired
+        yield pdf.loc[hit, [*KEY, "us", "window_count", "fired"]]
+
+
+def judge_hits(hits: DataFrame, block_seconds: int = 86_400) -> DataFrame:
     """Mark each hit as fired or suppressed by the cool-down of its rule and group.
 
-    The cool-down is an ordered fold, which no window function expresses. Hits are sorted within
-    partitions and streamed through in Arrow batches with constant state, so a group of any length
-    never has to fit in memory; inside a batch the steps are as many as the fires.
+    The cool-down is an ordered fold, which no window function expresses, but folds of blocks compose. A key's
+    time is cut into blocks of several cool-downs. Each block tells for every hit it can be entered at
+    which fire is its last; one pass over these few rows finds the last fire before each block; then every
+    block is judged by itself. So a key of any length spreads over as many tasks as it has blocks, and what
+    a task holds at a time is a block.
     """
-    cols = ["node_id", "rule_id", "group_key", "us", "window_count", "cooldown_seconds"]
-    # With no cool-down every hit stands alone, so its instant may take part in the distribution.
-    spread = F.when(F.col("cooldown_seconds") == 0, F.col("us"))
-    return (
-        hits.select(*cols)
-        .repartition(*[F.col(c) for c in KEY], spread)
-        .sortWithinPartitions(*KEY, "us")
-        .mapInPandas(_fold_cooldown, _FIRE_SCHEMA)
-        .withColumn("timestamp", F.timestamp_micros("us").cast("timestamp_ntz"))
-        .drop("us")
-    )
-
-
-def fires(events: DataFrame, rules: list[dict]) -> DataFrame:
+    columns = ["node_id", "rule_id", "group_key", "us", "window_count"]
+    free = hits.where("cooldown_seconds <= 0").select(*columns, F.lit(True).alias("fired"))
+    span = f"greatest(4L * cooldown_seconds, {int(block_seconds)}L) * {_SECOND}"
+    held = hits.where("cooldown_seconds > 0").select(
+        *columns, "cooldown_seconds", block_of("us", f"({span})").alias("block"))
+    entered = (held.select(*_BLOCK, "us", "cooldown_seconds", F.expr(f"block * {span}").alias("begin"))
+               .repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "us").mapInPandas(_exits, _EXITS))
+    before = entered.repartition(*KEY).sortWithinPartitions(*_BLOCK, "entry").mapInPandas(_befores, _BEFORE)
+    rows = held.withColumn("hit", F.lit(True)).unionByName(before.withColumn("hit", F.lit(False)), allowMissingColumns=True)
+    judged = rows.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "hit", "us").mapInPandas(_judge, _FIRE_SCHEMA)
+    return free.unionByName(judged).withColumn("timestamp", F.timestamp_micros("us").cast("timestamp_ntz")).drop("us")
+
+
+def fires(events: DataFrame, rules: list[dict] | DataFrame) -> DataFrame:
     """Accepted detections in event time."""
     return judge_hits(threshold_hits(events, rules)).where("fired").drop("fired")
 
 
-def detect_stats(events: DataFrame, rules: list[dict]) -> DataFrame:
+def detect_stats(events: DataFrame, rules: list[dict] | DataFrame) -> DataFrame:
     """Fired and suppressed hits per rule."""
     return judge_hits(threshold_hits(events, rules)).groupBy("rule_id").agg(
         F.count_if("fired").alias("signals_fired"),

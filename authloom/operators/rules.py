@@ -145,4 +145,57 @@ def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
     )
 
 
+GRAM = 4  # characters of a literal piece by which a pattern is found
+
+
+def _grams(text: str) -> str:
+    """SQL for all pieces of ``GRAM`` characters of a text, and the empty one."""
+    return (f"array_union(array(''), if(length({text}) < {GRAM}, array(), transform(sequence(1, length({text}) - {GRAM - 1}), "
+            f"i -> substring({text}, i, {GRAM}))))")
+
+
+def pattern_index(catalog: DataFrame) -> DataFrame:
+    """``process, gram`` and the rule with ``pattern`` and its number: every pattern of a catalog under one piece.
+
+    A pattern stands under the piece of its literal parts that the fewest patterns of its process have; one
+    without a literal part of ``GRAM`` characters stands under the empty piece, which every message has.
+    """
+    each = catalog.select("*", F.posexplode("patterns").alias("no", "pattern")).where("pattern IS NOT NULL")
+    pieces = each.select("rule_id", "process", "no", F.explode(F.expr(
+        f"array_distinct(flatten(transform(split(pattern, '[%_]'), f -> {_grams('f')})))")).alias("gram"))
+    shared = pieces.groupBy("process", "gram").agg(F.count(F.lit(1)).alias("n"))
+    # the empty piece only where there is no other
+    rank = F.struct(F.col("gram") == "", F.col("n"), F.col("gram"))
+    chosen = pieces.join(shared, ["process", "gram"]).groupBy("rule_id", "process", "no").agg(F.min_by("gram", rank).alias("gram"))
+    return each.join(chosen, ["rule_id", "process", "no"])
+
+
+def match_catalog(events: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``match_rules`` for a catalog that is data (columns of ``parse_catalog``), however many rules it has.
+
+    Rules are found by an index of literal pieces of their patterns: messages are cut into pieces, pieces are
+    joined with the index, LIKE confirms, and a rule counts once for an event, by the first of its patterns
+    that matches. The plan does not depend on the catalog. Rule ids have to be distinct. A rule that groups by
+    a column which events do not have raises an error when it matches.
+    """
+    held = pattern_index(catalog).select(
+        F.col("process").alias("_process"), F.col("gram").alias("_gram"), F.col("no").alias("_no"),
+        F.col("patterns").alias("_patterns"), "rule_id", F.col("count").cast("int").alias("need"),
+        F.col("window_seconds").cast("int").alias("window_seconds"),
+        F.col("cooldown_seconds").cast("int").alias("cooldown_seconds"), F.col("group_by").alias("_by"))
+    hit = "message LIKE concat('%', replace(p, '\\\\', '\\\\\\\\'), '%')"
+    value = "CASE " + " ".join(f"WHEN _by = '{c}' THEN CAST(`{c}` AS STRING)" for c in events.columns)
+    value += " WHEN _by IS NOT NULL THEN raise_error(concat('rule ', rule_id, ' groups by ', _by, ', which events do not have')) END"
+    pieces = events.withColumn("_piece", F.explode(F.expr(_grams("message"))))
+    found = pieces.join(held, [F.col("process") == F.col("_process"), F.col("_piece") == F.col("_gram")])
+    first = F.expr(f"array_position(transform(_patterns, p -> coalesce({hit}, false)), true) = _no + 1")
+    return found.where(first).withColumn("group_key", F.coalesce(F.expr(value), F.lit(fixed.GLOBAL_GROUP))).select(
+        *events.columns, "rule_id", "need", "window_seconds", "cooldown_seconds", "group_key")
+
+
+def matches(events: DataFrame, rules: list[dict] | DataFrame) -> DataFrame:
+    """Matches of a configured list of rules, or of a catalog table."""
+    return match_catalog(events, rules) if isinstance(rules, DataFrame) else match_rules(events, rules)
+
+
 _NEVER = {"id": "-", "match": {"process": "-", "patterns": ["-"]}}

@@ -1,5 +1,6 @@
+import json
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +129,80 @@ def test_one_key_with_most_hits(spark):
         (k, "LOCAL_SSH_BRUTE_FORCE", f"ip{k % 7}", "u") for k in range(300)]
     got = {(r.rule_id, r.group_key, int((r.timestamp - T0).total_seconds()), r.window_count) for r in fired(spark, items).collect()}
     assert got == brute_fires(items, fixed.DEFAULT_RULES)
+
+
+def catalog_of(spark, rules):
+    return rule_ops.parse_catalog(spark.createDataFrame([(json.dumps(r),) for r in rules], "doc string"))
+
+
+def test_catalog_as_data_equals_constant_rules(spark):
+    """Wildcards, short and empty patterns, shared pieces, several patterns of a rule, defaults."""
+    messages = ["error: PAM: Authentication failure", "a_c 100% \\d", "Failed password for root from 10.0.0.1", "abc", "", None,
+                "Failed none for root", "aaaaaaaa", "日本語のログ"]
+    ev = spark.createDataFrame([("n", 10 * i + k, T0, p, m, "1", "u") for k, p in enumerate(["sshd", "su"])
+                                for i, m in enumerate(messages)], SCHEMA)
+    mk = lambda rid, *p, **more: {"id": rid, "match": {"process": "sshd", "patterns": list(p)}, **more}
+    rules = [mk("r1", "authentication failure"), mk("r2", "a_c"), mk("r3", "a%\\d"), mk("r4", "Failed password", "Failed", "for root"),
+             mk("r5", "%"), mk("r6", ""), mk("r7", "Failed%root%10"), mk("r8", "aaaa", "aaa"), mk("r9", "のログ"), mk("r10", "本語の"),
+             mk("r11", "F_iled password", threshold={"count": 3, "window_seconds": 7, "group_by": "src_ip"}, cooldown_seconds=9),
+             {"id": "r12", "match": {"process": "su", "patterns": ["Failed"]}, "threshold": {"group_by": "dst_user"}}]
+    columns = ["id", "rule_id", "need", "window_seconds", "cooldown_seconds", "group_key"]
+    want = sorted(map(tuple, rule_ops.match_rules(ev, rules).select(*columns).collect()))
+    assert sorted(map(tuple, rule_ops.match_catalog(ev, catalog_of(spark, rules)).select(*columns).collect())) == want and len(want) > 20
+    assert rule_ops.match_catalog(ev, catalog_of(spark, rules).limit(0)).count() == 0
+    assert rule_ops.match_catalog(ev.limit(0), catalog_of(spark, rules)).count() == 0
+    odd = catalog_of(spark, [mk("x", "Failed", threshold={"group_by": "nothing"})])
+    with pytest.raises(Exception, match="groups by nothing"):
+        rule_ops.match_catalog(ev, odd).collect()
+
+
+def test_twenty_thousand_rules(spark):
+    """Found by their pieces; the plan is that of a catalog of one rule."""
+    rnd = random.Random(3)
+    names = sorted({"".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(20_000)})
+    rules = [{"id": n, "match": {"process": "sshd", "patterns": [f"user {n} from", f"no {n}"]}} for n in names]
+    rows = [("n", i, T0, "sshd", f"login of user {rnd.choice(names)} from here, no {rnd.choice(names)[:6]}", "1", "u") for i in range(500)]
+    ev = spark.createDataFrame(rows, SCHEMA)
+    catalog = catalog_of(spark, rules)
+    got = {(r.id, r.rule_id) for r in rule_ops.match_catalog(ev, catalog).collect()}
+    known = set(names)
+    want = {(r[1], w) for r in rows for w in [r[4].split("user ")[1][:7]] if w in known}
+    assert got == want and len(got) == 500
+    size = lambda c: len(rule_ops.match_catalog(ev, c)._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(catalog) - size(catalog_of(spark, rules[:1]))) < 200  # but for numbers of columns
+
+
+def test_three_hundred_windows(spark):
+    """As many window lengths as rules, one frame."""
+    rules = [{"id": f"w{k}", "match": {"process": "sshd", "patterns": ["Accepted"]}, "cooldown_seconds": 0,
+              "threshold": {"count": 3, "window_seconds": k}} for k in range(300)]
+    secs = sorted(random.Random(7).sample(range(2000), 150))
+    ev = events(spark, [(s, "LOCAL_SSH_ACCEPTED", "1", "u") for s in secs])
+    hits = detection.threshold_hits(ev, catalog_of(spark, rules))
+    got = {(r.rule_id, (r.us - int(T0.replace(tzinfo=timezone.utc).timestamp()) * 10**6) // 10**6, r.window_count) for r in hits.collect()}
+    want = {(f"w{k}", t, c) for k in range(300) for t in secs if (c := sum(t - k <= s <= t for s in secs)) >= 3}
+    assert got == want
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("windowspecdefinition") == 1
+
+
+@pytest.mark.parametrize("block", [1, 600, 86_400])
+def test_cooldown_of_one_key_spreads(spark, block):
+    """95 % of the hits in one key: judged in many tasks, equal to one ordered fold."""
+    rnd = random.Random(block)
+    hits = [("n", "r", "hot", us * 10**6 + rnd.randrange(3), 5, 37) for us in rnd.sample(range(40_000), 9500)]
+    hits += [("n", "r", f"g{k % 50}", rnd.randrange(40_000) * 10**6, 5, 37) for k in range(400)] + [("n", "f", "free", k, 1, 0) for k in range(100)]
+    hits = list(set(hits))
+    df = spark.createDataFrame(hits, "node_id string, rule_id string, group_key string, us bigint, window_count bigint, cooldown_seconds int")
+    judged = detection.judge_hits(df, block_seconds=block)
+    got = {(r.rule_id, r.group_key, r.us) for r in judged.where("fired").withColumn("us", F.unix_micros(F.col("timestamp").cast("timestamp"))).collect()}
+    want, last = set(), {}
+    for _, rule, group, us, _, wait in sorted(hits):
+        if last.get((rule, group)) is None or us >= last[rule, group] + wait * 10**6:
+            last[rule, group] = us
+            want.add((rule, group, us))
+    assert got == want and judged.count() == len(hits)
+    if block < 86_400:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+        tasks = judged.where("group_key = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert tasks > 2
