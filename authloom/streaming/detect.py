@@ -19,7 +19,7 @@ from pyspark.sql.types import (
 )
 
 from authloom.operators.detection import _accepted
-from authloom.operators.rules import match_rules
+from authloom.operators.rules import matches
 from authloom.streaming.ingest import column_families, to_table
 
 _SECOND = 1_000_000
@@ -117,15 +117,20 @@ class ThresholdProcessor(StatefulProcessor):
         pass
 
 
-def detect_stream(events: DataFrame, rules: list[dict], delay: str,
+def detect_stream(events: DataFrame, rules: list[dict] | DataFrame, delay: str,
                   rules_version: int = 0) -> DataFrame:
     """Fires of an event stream. A new ``rules_version`` starts from empty cool-downs and counts,
     as a rule reload does."""
+    return judge_stream(_with_flush(events, rules).withColumn("rules_version", F.lit(rules_version)), delay)
+
+
+def judge_stream(matched: DataFrame, delay: str) -> DataFrame:
+    """Fires of a stream of matches, each with the version of the rules it was found by."""
     matched = (
-        _with_flush(events, rules)
+        matched
         .withColumn("timestamp", F.col("timestamp").cast("timestamp"))
         .withWatermark("timestamp", delay)
-        .select("node_id", "rule_id", "group_key", F.lit(rules_version).alias("rules_version"), "flush",
+        .select("node_id", "rule_id", "group_key", "rules_version", "flush",
                 F.unix_micros("timestamp").alias("us"), "need", "window_seconds",
                 "cooldown_seconds", "timestamp")
     )
@@ -137,12 +142,12 @@ def detect_stream(events: DataFrame, rules: list[dict], delay: str,
         "node_id", "rule_id", "group_key", F.timestamp_micros("us").alias("timestamp"), "window_count")
 
 
-def _with_flush(events: DataFrame, rules: list[dict]) -> DataFrame:
+def _with_flush(events: DataFrame, rules: list[dict] | DataFrame) -> DataFrame:
     """Matches, and rows with the ``flush`` flag as they are, so that they move the watermark."""
     flush = events.where("flush").select(
         "*", F.lit("").alias("rule_id"), F.lit(2**31 - 1).alias("need"),
         F.lit(1).alias("window_seconds"), F.lit(0).alias("cooldown_seconds"), F.lit("").alias("group_key"))
-    return match_rules(events.where("NOT flush"), rules).unionByName(flush, allowMissingColumns=True)
+    return matches(events.where("NOT flush"), rules).unionByName(flush, allowMissingColumns=True)
 
 
 LANDED = ["node_id", "id", "timestamp", "process", "message", "src_ip", "dst_user", "hostname", "log_type"]
@@ -183,6 +188,45 @@ def run_detection(spark: SparkSession, source: str, rules: list[dict], path: str
     return query
 
 
+def publish_rules(catalog: DataFrame, path: str, version: int) -> None:
+    """Write a version of the rules (columns of ``parse_catalog``); a version written again is replaced."""
+    catalog.write.mode("overwrite").parquet(f"{path}/version={int(version)}")
+
+
+def newest_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The rules of the highest version published, with ``version``."""
+    every = spark.read.parquet(path)
+    return every.where(F.col("version") == every.select(F.max("version")).scalar())
+
+
+def match_live(spark: SparkSession, source: str, rules: str, path: str, checkpoint: str,
+               max_files: int = 1000) -> StreamingQuery:
+    """A running query that matches landed events by the newest published rules.
+
+    Every micro-batch reads the rules anew, so a version counts from the next trigger on, without a
+    restart. A batch that runs again replaces its own matches.
+    """
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        catalog = newest_rules(spark, rules)
+        version = catalog.select(F.max("version")).first()[0]
+        found = _with_flush(batch, catalog.drop("version")).select(
+            "node_id", "rule_id", "group_key", "flush", "timestamp", "need", "window_seconds", "cooldown_seconds",
+            F.lit(version).cast("int").alias("rules_version"))
+        found.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (_landed(spark, source, max_files).writeStream.foreachBatch(sink)
+            .option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start())
+
+
+def run_judging(spark: SparkSession, source: str, path: str, checkpoint: str, delay: str = "1 minute",
+                max_files: int = 1000) -> StreamingQuery:
+    """Work off the matches that ``match_live`` has written since the checkpoint."""
+    with column_families(spark):
+        query = to_table(judge_stream(_landed(spark, source, max_files), delay), path, checkpoint)
+    query.awaitTermination()
+    return query
+
+
 def keys_in_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """``node_id, rule_id, group_key, rules_version, flush, last``: what a finished run still remembers, read from
     its checkpoint."""

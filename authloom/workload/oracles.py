@@ -361,6 +361,22 @@ RELOADED = FIRES.replace("SELECT ev.*, rl.rule_id, need",
                          "SELECT ev.*, rl.rule_id || CASE WHEN sec < TIMESTAMP '2024-01-16' THEN '@0' ELSE '@1' END AS rule_id, need")
 add("rule_reload", RELOADED, f"""SELECT node_id, split_part(rule_id, '@', 1) AS rule_id, group_key,
  strftime(t, {SECOND}) AS t, window_count FROM fire""")
+add("rule_reload_live", RELOADED, f"""SELECT node_id, split_part(rule_id, '@', 1) AS rule_id, group_key,
+ strftime(t, {SECOND}) AS t, window_count FROM fire""")
+CATALOG = f"""{PARSED},
+cm AS (SELECT ev.*, 'P' || p_partkey AS rule_id, CAST(1 + p_partkey % 4 AS INTEGER) AS need,
+  CAST(7200 * (1 + p_partkey % 300) AS INTEGER) AS win,
+  CASE WHEN p_partkey % 2 = 0 THEN coalesce(src_ip, 'global') ELSE 'global' END AS group_key
+ FROM ev JOIN part ON ev.process = CASE p_partkey % 3 WHEN 0 THEN 'sudo' ELSE 'sshd' END
+  AND (ev.message LIKE '%user' || p_partkey % 89 || ' from%' OR ev.message LIKE '%user=user' || p_partkey || '%'
+   OR ev.message LIKE '%port ' || p_partkey || '%ssh2%'))"""
+add("catalog_matches", CATALOG, "SELECT node_id, id, rule_id, group_key, need, win AS window_seconds FROM cm")
+add("catalog_windows", f"""{CATALOG},
+ci AS (SELECT node_id, rule_id, group_key, need, win, sec AS t, count(*) AS n FROM cm GROUP BY ALL),
+cs AS (SELECT a.node_id, a.rule_id, a.group_key, a.need, a.t, CAST(sum(b.n) AS BIGINT) AS window_count
+  FROM ci a JOIN ci b ON a.node_id = b.node_id AND a.rule_id = b.rule_id AND a.group_key = b.group_key
+   AND b.t <= a.t AND b.t >= a.t - to_seconds(a.win) GROUP BY ALL)""",
+    f"SELECT node_id, rule_id, group_key, strftime(t, {SECOND}) AS t, window_count FROM cs WHERE window_count >= need")
 add("state_cleanup", FIRES, "SELECT rule_id, count(*) AS fires, CAST(0 AS BIGINT) AS state_rows FROM fire GROUP BY rule_id")
 add("detect_stats", FIRES, """SELECT h.rule_id, f.n AS signals_fired, h.n - f.n AS signals_suppressed
  FROM (SELECT rule_id, count(*) AS n FROM hit GROUP BY 1) h JOIN (SELECT rule_id, count(*) AS n FROM fire GROUP BY 1) f USING (rule_id)""")

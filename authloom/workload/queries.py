@@ -413,6 +413,20 @@ def rule_matches_large_catalog(spark, sf):
         "node_id", "id", "rule_id", "group_key")
 
 
+@query
+def catalog_matches(spark, sf):
+    """A catalog table of one rule per part, found by pieces of their patterns."""
+    return rules.match_catalog(t.auth_events(spark, sf), t.part_catalog(spark, sf)).select(
+        "node_id", "id", "rule_id", "group_key", "need", "window_seconds")
+
+
+@query
+def catalog_windows(spark, sf):
+    """Sliding counts of that catalog: three hundred window lengths in one frame."""
+    return detection.threshold_hits(t.auth_events(spark, sf), t.part_catalog(spark, sf)).select(
+        "node_id", "rule_id", "group_key", F.timestamp_micros("us").alias("t"), "window_count").withColumn("t", second("t"))
+
+
 @query
 def rule_group_columns(spark, sf):
     """Rules that group by columns other than address and user."""
@@ -1029,6 +1043,26 @@ def rule_reload(spark, sf):
     return _fires_of(spark, out)
 
 
+@query
+def rule_reload_live(spark, sf):
+    """A version of the rules that lands between two triggers of one running query."""
+    out = shared_dir(spark)
+    detect.publish_rules(t.shipped_catalog(spark), f"{out}/rules", 0)
+    _land_in_pieces(spark, sf, f"{out}/events", until=_HALF, days=31)
+    live = detect.match_live(spark, f"{out}/events", f"{out}/rules", f"{out}/matches", f"{out}/ck-live")
+    try:
+        live.processAllAvailable()
+        detect.publish_rules(t.shipped_catalog(spark), f"{out}/rules", 1)
+        _land_in_pieces(spark, sf, f"{out}/events", since=_HALF, days=31)
+        live.processAllAvailable()
+        detect.land_end(spark, f"{out}/events")
+        live.processAllAvailable()
+    finally:
+        live.stop()
+    detect.run_judging(spark, f"{out}/matches", f"{out}/fires", f"{out}/ck", delay=_LATE)
+    return _fires_of(spark, out)
+
+
 @query
 def state_cleanup(spark, sf):
     """Fires per rule, with the state that is left once all keys have gone quiet."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from copy import deepcopy
 
@@ -9,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authloom.functions import fixed
+from authloom.functions.sizes import literal_rows
 from authloom.operators import parsing
 from authloom.operators.evidence import auth_evidence, retrieve_evidence
 from authloom.operators.requests import query_requests
-from authloom.operators.rules import match_rules
+from authloom.operators.rules import match_rules, parse_catalog
 from authloom.plans import hunt
 from authloom.sources.scratch import shared_dir
 from authloom.workload import texts
@@ -258,6 +260,17 @@ def rule_docs(spark: SparkSession, sf: str) -> DataFrame:
         f"{texts.RULE_DOC} AS doc")
 
 
+def part_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule per part: two patterns each, windows of three hundred lengths."""
+    docs = table(spark, sf, "part").selectExpr(f"{texts.PART_RULE} AS doc")
+    return parse_catalog(docs)
+
+
+def shipped_catalog(spark: SparkSession) -> DataFrame:
+    """The rules of ``rules`` as a table."""
+    return parse_catalog(literal_rows(spark, [{"doc": json.dumps(r)} for r in rules()], "doc string"))
+
+
 def bus_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Message table: three streams, some broken payloads, delivery attempts."""
     return table(spark, sf, "events").selectExpr(

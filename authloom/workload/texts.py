@@ -101,3 +101,9 @@ RULE_DOC = """
  || CASE WHEN pk % 3 = 0 THEN '' ELSE ', "threshold": {"count": ' || psize || ', "window_seconds": 60, "group_by": "src_ip"}' END
  || CASE WHEN pk % 2 = 0 THEN '' ELSE ', "cooldown_seconds": 0, "signal": {"priority": 1, "event_type": "x", "suggested_logs": ["a", "b"]}' END
  || '}'"""
+
+# a rule per part, for catalogs of many rules
+PART_RULE = """'{"id":"P' || p_partkey || '","match":{"process":"' || CASE p_partkey % 3 WHEN 0 THEN 'sudo' ELSE 'sshd' END ||
+ '","patterns":["user' || p_partkey % 89 || ' from","user=user' || p_partkey || '","port ' || p_partkey || '%ssh2"]},"threshold":{"count":' ||
+ (1 + p_partkey % 4) || ',"window_seconds":' || 7200 * (1 + p_partkey % 300) || CASE WHEN p_partkey % 2 = 0 THEN ',"group_by":"src_ip"' ELSE '' END ||
+ '},"cooldown_seconds":0}'"""
