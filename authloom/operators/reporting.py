@@ -26,19 +26,24 @@ def _text(col: Column, absent: str = ABSENT) -> Column:
     return F.coalesce(col.cast("string"), F.lit(absent))
 
 
-def numbered_evidence(evidence: DataFrame, run: int = 100_000) -> DataFrame:
-    """Evidence with its position in the case, numbered inside arrival runs plus an offset."""
-    runs = evidence.withColumn("_run", block_of("ord", run))
+def numbered(rows: DataFrame, run: int, order: list[str]) -> DataFrame:
+    """Rows with their position in the case, numbered inside runs of the first ``order`` column plus an offset."""
+    runs = rows.withColumn("_run", block_of(order[0], run))
     sizes = runs.groupBy("case_key", "_run").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("case_key").orderBy("_run").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = sizes.select("case_key", "_run",
                            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
-    inside = F.row_number().over(Window.partitionBy("case_key", "_run").orderBy("ord"))
+    inside = F.row_number().over(Window.partitionBy("case_key", "_run").orderBy(*order))
     return runs.withColumn("_rn", inside).join(offsets, ["case_key", "_run"]).withColumn(
         "position", F.col("_off") + F.col("_rn")).drop("_run", "_rn", "_off")
 
 
+def numbered_evidence(evidence: DataFrame, run: int = 100_000) -> DataFrame:
+    """Evidence with its position in the case."""
+    return numbered(evidence, run, ["ord"])
+
+
 def evidence_block(position: Column) -> Column:
     """Text of one numbered evidence entry."""
     return F.concat(

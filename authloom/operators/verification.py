@@ -1,32 +1,60 @@
 """Checks of an analysis against its evidence, per case.
 
-Lists that could grow with a case are kept as rows (dangling references, lineage status). An issue
-text names every value it is about.
+Lists that could grow with a case are kept as rows (dangling references, lineage status) and as numbered
+parts of a fixed number of values. An issue text names the values of the first part; if there are more,
+it says how many values and parts there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from authloom.functions import fixed
 from authloom.functions.text import compact, non_empty
 from authloom.operators.readiness import evidence_ids
+from authloom.operators.reporting import numbered
 
 def _blank(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) == ""
 
 
-def _listing(df: DataFrame, value: str, order: str) -> DataFrame:
-    """case_key -> python-style list text of all its values in order.
+LISTED = 1000  # values of one part
 
-    ``array_join`` over the sorted values of a case: the text itself is as long as that.
+
+def _quoted(items: Column) -> Column:
+    return F.concat(F.lit("'"), F.array_join(F.transform(items, lambda x: x["_v"]), "', '"), F.lit("'"))
+
+
+def _listing(df: DataFrame, value: str, order: list[str], most: int) -> DataFrame:
+    """``case_key, n, listed``: how many values a case has, and the first ``most`` of them in order.
+
+    Only these go to one task; values beyond them are counted where they are.
+    """
+    rank = F.row_number().over(Window.partitionBy("case_key").orderBy(*order))
+    items = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
+    first = df.withColumn("_rank", rank).where(F.col("_rank") <= most).groupBy("case_key").agg(items.alias("_i"))
+    counts = df.groupBy("case_key").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(first.select("case_key", _quoted(F.col("_i")).alias("listed")), "case_key")
+
+
+def _beyond(most: int) -> Column:
+    """What follows a listing that is not the whole."""
+    return F.when(F.col("n") > most, F.concat(
+        F.lit("（第 1 部分，共 "), F.expr(f"(n + {most - 1}) div {most}").cast("string"), F.lit(" 部分，"),
+        F.col("n").cast("string"), F.lit(" 项）"))).otherwise("")
+
+
+def _parts(df: DataFrame, value: str, order: list[str], most: int, run: int) -> DataFrame:
+    """``case_key, part, n, listed``: all values of a case in numbered parts of ``most``.
+
+    Positions are counted inside runs of the first order column and shifted by run totals, so a part is
+    all that one task has to hold.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(value).alias("_v"))))
-    return df.groupBy("case_key").agg(items.alias("_i")).select(
-        "case_key", F.concat(
-            F.lit("'"), F.array_join(F.transform("_i", lambda x: x["_v"]), "', '"), F.lit("'"),
-        ).alias("listed"))
+    placed = numbered(df, run, order).withColumn("part", F.expr(f"cast((position - 1) div {most} + 1 as bigint)"))
+    items = F.array_sort(F.collect_list(F.struct("position", F.col(value).alias("_v"))))
+    return placed.groupBy("case_key", "part").agg(F.count(F.lit(1)).alias("n"), items.alias("_i")).select(
+        "case_key", "part", "n", _quoted(F.col("_i")).alias("listed"))
 
 
 def dangling_refs(refs: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -38,11 +66,16 @@ def dangling_refs(refs: DataFrame, evidence: DataFrame) -> DataFrame:
         "case_key", "ord", "evidence_id")
 
 
-def check_refs(refs: DataFrame, evidence: DataFrame) -> DataFrame:
+def check_refs(refs: DataFrame, evidence: DataFrame, most: int = LISTED) -> DataFrame:
     """Issue per case that cites unknown ids."""
-    return _listing(dangling_refs(refs, evidence), "evidence_id", "ord").select(
-        "case_key",
-        F.concat(F.lit("研判引用了不存在的 evidence_id: ["), "listed", F.lit("]")).alias("ref_issue"))
+    found = _listing(dangling_refs(refs, evidence), "evidence_id", ["ord", "evidence_id"], most)
+    return found.select("case_key", F.concat(
+        F.lit("研判引用了不存在的 evidence_id: ["), "listed", F.lit("]"), _beyond(most)).alias("ref_issue"))
+
+
+def dangling_parts(refs: DataFrame, evidence: DataFrame, most: int = LISTED, run: int = 100_000) -> DataFrame:
+    """All unknown ids a case cites, in numbered parts: ``case_key, part, n, listed``."""
+    return _parts(dangling_refs(refs, evidence), "evidence_id", ["ord", "evidence_id"], most, run)
 
 
 def _named() -> Column:
@@ -61,7 +94,7 @@ def _lineage_issue() -> Column:
         F.concat(_named(), F.lit(" 的 lineage_id 格式无效: "), F.col("lineage_id")))
 
 
-def trace_checks(evidence: DataFrame) -> DataFrame:
+def trace_checks(evidence: DataFrame, most: int = LISTED) -> DataFrame:
     """Per case with a defect: ``raw_issue`` and ``lineage_issue`` of the first row whose raw
     reference or lineage id is missing or malformed, and ``query_issue`` if its evidence stems from
     more than one query.
@@ -75,11 +108,15 @@ def trace_checks(evidence: DataFrame) -> DataFrame:
 
     per_query = evidence.groupBy("case_key", non_empty(F.col("query_id")).alias("query_id")).agg(
         first(raw).alias("raw"), first(lineage).alias("lineage"))
-    ids = F.array_sort(F.collect_list("query_id"))
-    named = F.concat(F.lit("证据来自多个查询: {'"), F.array_join(F.col("ids"), "', '"), F.lit("'}"))
-    return per_query.groupBy("case_key").agg(
-        F.min("raw")["issue"].alias("raw_issue"), F.min("lineage")["issue"].alias("lineage_issue"), ids.alias("ids"),
-    ).select("case_key", "raw_issue", "lineage_issue", F.when(F.size("ids") > 1, named).alias("query_issue")).where(
+    # in one pass, so that the evidence is scanned once: a task streams the sorted queries of a case and
+    # holds the first ones
+    rank = F.row_number().over(Window.partitionBy("case_key").orderBy(F.col("query_id").asc_nulls_last()))
+    ids = F.array_sort(F.collect_list(F.when(F.col("_rank") <= most, F.struct(F.col("query_id").alias("_v")))))
+    named = F.concat(F.lit("证据来自多个查询: {"), _quoted(F.col("_i")), F.lit("}"), _beyond(most))
+    return per_query.withColumn("_rank", rank).groupBy("case_key").agg(
+        F.min("raw")["issue"].alias("raw_issue"), F.min("lineage")["issue"].alias("lineage_issue"),
+        F.filter(ids, lambda x: x["_v"].isNotNull()).alias("_i"), F.count("query_id").alias("n"),
+    ).select("case_key", "raw_issue", "lineage_issue", F.when(F.col("n") > 1, named).alias("query_issue")).where(
         "raw_issue IS NOT NULL OR lineage_issue IS NOT NULL OR query_issue IS NOT NULL")
 
 

@@ -340,6 +340,10 @@ rf AS (SELECT 'case-' || cno AS case_key, event_id AS ord, CASE WHEN event_id %
 dang AS (SELECT * FROM rf WHERE evidence_id <> '' AND NOT EXISTS
  (SELECT 1 FROM ce WHERE ce.case_key = rf.case_key AND ce.evidence_id = rf.evidence_id))"""
 add("dangling_refs", REFS, "SELECT case_key, evidence_id FROM dang")
+add("verify_ref_parts", f"""{REFS},
+dn AS (SELECT *, row_number() OVER (PARTITION BY case_key ORDER BY ord, evidence_id) AS position FROM dang)""",
+    """SELECT case_key, (position - 1) // 3 + 1 AS part, count(*) AS n,
+ '''' || string_agg(evidence_id, ''', ''' ORDER BY position) || '''' AS listed FROM dn GROUP BY ALL""")
 add("lineage_chain", EVIDENCE, """SELECT s.signal_id, s.raw_ref AS signal_ref, r.query_id, e.evidence_id, e.lineage_id, e.raw_ref
  FROM sig s LEFT JOIN req r USING (signal_id) LEFT JOIN evd e ON e.query_id = r.query_id""")
 _KIND = case_of("rule_id", fixed.TRIAGE_EVENT_TYPE, "'unknown'")

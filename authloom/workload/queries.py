@@ -771,6 +771,12 @@ def verify_evidence_ref(spark, sf):
     return verification.check_refs(t.cited_refs(spark, sf), t.case_evidence(spark, sf))
 
 
+@query
+def verify_ref_parts(spark, sf):
+    """All unknown ids of a case in parts of three."""
+    return verification.dangling_parts(t.cited_refs(spark, sf), t.case_evidence(spark, sf), most=3, run=500)
+
+
 @query
 def verify_raw_ref(spark, sf):
     return verification.check_raw_ref(t.case_evidence(spark, sf))

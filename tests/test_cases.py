@@ -194,10 +194,28 @@ def test_evidence_is_scanned_few_times(spark, tmp_path):
     assert len(re.findall(r"Scan parquet", plan)) <= 4
 
 
-def test_an_issue_names_every_value(spark):
+def test_parts_name_every_value(spark):
+    """A case with a hundred thousand unknown ids: parts of a thousand, no longer cell, and none left out."""
     from authloom.operators import verification
 
-    refs = spark.createDataFrame([("c", i, f"ghost-{i:05d}") for i in range(1500)], "case_key string, ord bigint, evidence_id string")
+    refs = spark.range(100_000).selectExpr("'c' AS case_key", "id AS ord", "'ghost-' || lpad(id, 6, '0') AS evidence_id").unionByName(
+        spark.createDataFrame([("d", 1, "x"), ("d", 1, "x"), ("d", 0, "y"), ("d", 2, ""), ("d", 3, None)], "case_key string, ord bigint, evidence_id string"))
     none = spark.createDataFrame([], "case_key string, evidence_id string")
-    issue = verification.check_refs(refs, none).first().ref_issue
-    assert issue.count("ghost-") == 1500 and issue.index("ghost-00000") < issue.index("ghost-01499")
+    issues = {r.case_key: r.ref_issue for r in verification.check_refs(refs, none).collect()}
+    assert issues["d"] == "研判引用了不存在的 evidence_id: ['y', 'x', 'x']"
+    assert issues["c"].count("ghost-") == verification.LISTED and issues["c"].endswith("（第 1 部分，共 100 部分，100000 项）")
+    parts = verification.dangling_parts(refs, none, run=3000).collect()
+    assert sum(r.n for r in parts) == 100_003 and max(r.n for r in parts) == verification.LISTED
+    every = ", ".join(r.listed for r in sorted(parts, key=lambda r: r.part) if r.case_key == "c")
+    assert every == ", ".join(f"'ghost-{k:06d}'" for k in range(100_000))
+    assert max(len(r.listed) for r in parts) < 20_000
+
+
+def test_many_queries_of_a_case(spark):
+    from authloom.operators import verification
+
+    rows = spark.range(5000).selectExpr("'c' AS case_key", "id AS ord", "'e' || id AS evidence_id", "'n/a#1' AS raw_ref", "'q:1' AS lineage_id",
+                                        "'q' || lpad(id % 2500, 4, '0') AS query_id")
+    row = verification.trace_checks(rows).first()
+    assert row.query_issue.startswith("证据来自多个查询: {'q0000', 'q0001'") and row.query_issue.endswith("（第 1 部分，共 3 部分，2500 项）")
+    assert row.query_issue.count("'q") == verification.LISTED
