@@ -7,7 +7,8 @@ stays. What is left is rendered.
 
 The fingerprint of a prefix is three sums over 32-bit parts of position-salted turn hashes. Sums can be
 built from blocks of turns, so neither ranking nor hashing needs all turns of a conversation in one
-task, and a conversation that holds a third of all rows is spread over its blocks.
+task, and a conversation that holds a third of all rows is spread over its blocks, which are sampled
+ranges of the turns.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ HASH = [f"h{k}" for k in range(PARTS)]
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-def numbered_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-                   text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def numbered_turns(turns: DataFrame, store: Store, conv_col: str = "conv_id", turn_col: str = "turn",
+                   role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``conv, pos, role, text`` and ``HASH``: turns ranked from 1, with prefix fingerprints.
 
     Repeated rows count once. Turns order by number, role and text (ties keep both turns); a turn
@@ -35,19 +36,19 @@ def numbered_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
         F.col(conv_col).alias("conv"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)).alias("turn"),
         F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ).distinct()
-    # blocks are as wide as it takes for ``block`` turns each, were the numbers spread evenly
-    width = F.expr(f"cast(ceil((max(turn) - min(turn) + 1) / ceil(count(1) / {block})) as bigint)")
-    span = rows.groupBy("conv").agg(F.min("turn").alias("least"), width.alias("width"))
-    rows = rows.join(span, "conv").withColumn("block", F.expr("(turn - least) div width")).drop("least", "width")
-    inside = Window.partitionBy("conv", "block").orderBy("turn", "role", "text")
-    rows = rows.withColumn("at", F.row_number().over(inside))
+    # blocks are sampled ranges of all turns in order, so one block holds no more of a conversation than a
+    # task holds of the table, however its numbers lie; rows are counted on in the order they are written in
+    order = ["conv", "turn", "role", "text"]
+    rows = store.save(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "*", F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("no")), "ranges")
     before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "skip", F.coalesce(F.sum("n").over(before), F.lit(0))).select("conv", "block", "skip")
+    blocks = rows.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n"), F.min("no").alias("first")).withColumn(
+        "skip", F.coalesce(F.sum("n").over(before), F.lit(0))).select("conv", "block", "first", "skip")
     placed = rows.join(blocks, ["conv", "block"]).select(
-        "conv", "block", (F.col("skip") + F.col("at")).cast("long").alias("pos"), "role", "text")
+        "conv", "block", (F.col("skip") + F.col("no") - F.col("first") + 1).cast("long").alias("pos"), "role", "text")
     # sums of 32-bit parts stay exact for two billion turns
-    digest = F.md5(F.concat_ws("\u0001", "pos", "role", "text"))
+    # the role's length says where the text begins
+    digest = F.md5(F.concat_ws(":", "pos", F.char_length("role"), F.concat("role", "text")))
     part = lambda k: F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long")
     placed = placed.withColumns({f"d{k}": part(k) for k in range(PARTS)})
     running = Window.partitionBy("conv", "block").orderBy("pos")
@@ -89,6 +90,6 @@ def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
 
     Extra columns are ignored; an empty table gives an empty result.
     """
-    turns = Store(conversations.sparkSession, "chat").save(
-        numbered_turns(conversations, conv_col, turn_col, role_col, text_col), "turns")
+    store = Store(conversations.sparkSession, "chat")
+    turns = store.save(numbered_turns(conversations, store, conv_col, turn_col, role_col, text_col), "turns")
     return render(turns, maximal(turns)).withColumnRenamed("conv", "conv_id")
