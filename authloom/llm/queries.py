@@ -123,7 +123,7 @@ WITH t AS (
   FROM conversations WHERE conv_id IS NOT NULL),
 p AS (
   SELECT *, row_number() OVER w AS pos,
-         string_agg(role || chr(2) || text, chr(1)) OVER (w ROWS UNBOUNDED PRECEDING) AS prefix
+         string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER (w ROWS UNBOUNDED PRECEDING) AS prefix
   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 n AS (SELECT conv_id, max(pos) AS n_turns FROM p GROUP BY ALL),
 whole AS (
@@ -141,7 +141,7 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM d WINDOW same AS (PARTITION BY t)""",
     "op6_token_counts": f"""
 WITH d AS (SELECT *, regexp_replace(coalesce(text, ''), '{NOISE}', '', 'g') AS clean FROM documents
-           WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
+           WHERE NOT EXISTS (SELECT 1 FROM labels WHERE toxic = 1 AND labels.doc_id = documents.doc_id))
 SELECT source, lang, v.name AS tokenizer, count(*) AS docs,
        CAST(sum(CASE v.name WHEN 'word-1' THEN len(regexp_extract_all(clean, '{WORD}'))
                 ELSE len(regexp_extract_all(clean, '{WORD_OR_SIGN}')) END) AS BIGINT) AS tokens

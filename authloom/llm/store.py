@@ -37,6 +37,10 @@ class Store:
     def load(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(f"{self.path}/{name}")
 
+    def exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def drop(self, *names: str) -> None:
         """Remove tables that nothing reads any more."""
         jvm = self.spark._jvm
