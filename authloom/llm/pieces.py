@@ -135,7 +135,8 @@ def split_plain(cp: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def piece_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of every piece: pieces are the same if both and so 128 bits agree."""
-    return span_hashes(cp, starts, ends), span_hashes(cp, starts, ends, salt=1)
+    first, second = span_hashes(cp, starts, ends, (0, 1))
+    return first, second
 
 
 class PieceTable:

@@ -30,29 +30,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of every span (none empty) of an array of bytes or code points.
+def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, salts: tuple[int, ...] = (0,)) -> list[np.ndarray]:
+    """For each salt, a 64-bit hash of every span (none empty) of an array of bytes or code points.
 
     Eight bytes at a time are spread twice, once with their place, and summed up with the length; no sum
     of powers is involved, under which words that differ in a regular way would be alike.
     """
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
+        return [np.zeros(0, dtype=np.uint64) for _ in salts]
     width = symbols.itemsize
     per = 8 // width
     padded = np.zeros(len(symbols) + per, dtype=symbols.dtype)
     padded[:-per] = symbols
     lanes = np.ndarray(len(symbols), dtype=np.uint64, buffer=padded, strides=(width,))
     length = ends - starts
-    count = -(-length // per)
-    begin = np.cumsum(count) - count
-    place = np.arange(int(count.sum())) - np.repeat(begin, count)
-    left = np.minimum(np.repeat(length, count) - per * place, per)
     mask = np.array([(1 << (8 * width * k)) - 1 for k in range(per + 1)], dtype=np.uint64)
-    lane = lanes[np.repeat(starts, count) + per * place] & mask[left]
-    first = np.uint64((0x9E3779B97F4A7C15 + salt * 0xC2B2AE3D27D4EB4F) % (1 << 64))
-    lane = mix(mix(lane + first) + (place + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return mix(np.add.reduceat(lane, begin) + length.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    # first lanes of all spans, then the further ones of the longer spans
+    lane = lanes[starts] & mask[np.minimum(length, per)]
+    long = np.flatnonzero(length > per)
+    if len(long):
+        count = -(-length[long] // per) - 1
+        begin = np.cumsum(count) - count
+        place = np.arange(int(count.sum())) - np.repeat(begin, count) + 1
+        more = lanes[np.repeat(starts[long], count) + per * place] & mask[np.minimum(np.repeat(length[long], count) - per * place, per)]
+        shift = (place + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    out = []
+    for salt in salts:
+        first = np.uint64((0x9E3779B97F4A7C15 + salt * 0xC2B2AE3D27D4EB4F) % (1 << 64))
+        value = mix(mix(lane + first) + np.uint64(0xD6E8FEB86659FD93))
+        if len(long):
+            value[long] += np.add.reduceat(mix(mix(more + first) + shift), begin)
+        out.append(mix(value + length.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+    return out
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +105,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:size]
     first, last = np.flatnonzero(starts), np.flatnonzero(ends)
-    value = span_hashes(_LOWER[data], first, last + 1)
+    (value,) = span_hashes(_LOWER[data], first, last + 1)
     return value, first, last + 1, np.searchsorted(first, offsets)
 
 

@@ -4,8 +4,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from authloom.llm import chat, pii, quality, token_counts
+from authloom.llm.store import Store
 from tests.llm.helpers import documents, words
 
 CONVERSATIONS = "conv_id long, turn long, role string, text string, pos string, conv string, part string"
@@ -159,6 +161,46 @@ def test_rollups(spark):
     assert totals(roll)["a", "en", "v1"] == (1, 12)
 
 
+def test_changes_without_document_and_named_changes(spark):
+    """Changes without id are changes each; a named change counts once, however often it comes."""
+    roll = token_counts.Rollup(spark)
+    assert roll.totals().count() == 0 and roll.totals().columns == ["source", "lang", "tokenizer", "docs", "tokens"]
+    row = ("insert", None, "a", "en", "v", 3, None)
+    roll.commit(1, spark.createDataFrame([row, row, ("insert", 7, "a", "en", "v", 3, None)], CHANGES))
+    assert totals(roll) == {("a", "en", "v"): (3, 9)}
+    named = [(*row, 5), (*row, 5), (*row, 6), (*row, None), (*row, None)]
+    extra = spark.createDataFrame([(*r, 1, "x") for r in named], CHANGES + ", change long, docs long, batch string")
+    roll.commit(2, extra)
+    assert totals(roll) == {("a", "en", "v"): (7, 21)}
+    docs = documents(spark, [(None, "a b"), (None, "a b"), (1, "c"), (1, "c"), (2, None)], sources=["s"] * 5)
+    rows = token_counts.counted(docs, {"w": r"\w+"}, {"tokens": F.col("text")})
+    other = token_counts.Rollup(spark)
+    kept = Store(spark, "named").save(rows.withColumn("old_tokens", F.lit(None).cast("long")), "counts")
+    other.commit(1, kept.unionByName(kept).select(F.lit("insert").alias("op"), "*"))
+    assert totals(other) == {("s", "en", "w"): (5, 6)}
+
+
+def test_turns_that_a_separator_would_confuse(spark):
+    rows = [(1, 0, "a", "b\u0001c", "", "", ""), (2, 0, "a\u0001b", "c", "", "", ""), (3, 0, "a:1", "b", "", "", ""),
+            (4, 0, "a", ":1b", "", "", ""), (5, 0, "1", "2:x", "", "", ""), (6, 0, "12", ":x", "", "", "")]
+    got = chat.format_chats(spark.createDataFrame(rows, CONVERSATIONS)).collect()
+    assert sorted(r["conv_id"] for r in got) == [1, 2, 3, 4, 5, 6]
+
+
+def test_one_far_turn_among_dense_ones(spark):
+    """Blocks follow the turns, not their numbers: also with one far away, and with many that have none."""
+    rows = spark.range(20_000).selectExpr("1L AS conv_id", "if(id < 5000, NULL, id) AS turn", "'user' AS role", "'t' || id AS text")
+    rows = rows.unionByName(spark.createDataFrame([(1, 10**12, "user", "far"), (2, 1, "user", "x")], rows.schema))
+    store = Store(spark, "far")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    turns = chat.numbered_turns(rows, store).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(r["pos"] for r in turns if r["conv"] == 1) == list(range(1, 20_002))
+    assert [r["text"] for r in turns if r["conv"] == 1 and r["pos"] == 20_001] == ["far"]
+    sizes = [r["count"] for r in store.load("ranges", spark.read.parquet(f"{store.path}/ranges")).groupBy("conv", "block").count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 12_000
+
+
 def corpus(rng, n):
     out = []
     for i in range(n):

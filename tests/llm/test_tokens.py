@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from authloom.llm import bpe, token_files
+from authloom.llm import bpe, pieces, token_files
 from authloom.llm.store import Store
 from tests.llm.helpers import documents, words
 
@@ -43,6 +43,27 @@ def test_every_character(coders):
             assert not wrong, wrong[:5]
 
 
+def test_regular_words_are_told_apart(coders):
+    """Thue-Morse words, for which sums of powers are equal; and pieces whose first hashes are equal."""
+    letters = lambda n, swap: "".join("ab"[(k.bit_count() + swap) % 2] for k in range(n))
+    texts = [letters(n, swap) for n in (1024, 2048, 4096) for swap in (0, 1)]
+    for own, library in coders:
+        for ids, t in zip(own.encode(texts), texts, strict=True):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_pieces_with_equal_first_hashes(coders, monkeypatch):
+    """Whatever the first hash misses, the second one tells, within a slice and against the table."""
+    full = pieces.piece_hashes
+    monkeypatch.setattr(pieces, "piece_hashes", lambda *a: (full(*a)[0] % np.uint64(7), full(*a)[1]))
+    texts = [t or "" for t in TEXTS] + ["one two three four five six seven eight nine ten", "ten nine eight one"]
+    fresh = [type(own)(path) for (own, _), path in zip(coders, (WORD_FILE, BYTE_FILE), strict=True)]
+    for own, (_, library) in zip(fresh, coders, strict=True):
+        for part in (texts, texts[::-1]):
+            for ids, t in zip(own.encode(part), part, strict=True):
+                assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_a_small_piece_table_changes_nothing(coders):
     own, library = bpe.WordBpe(WORD_FILE), coders[0][1]
     own.table.most = 5
