@@ -42,11 +42,11 @@ STRIDE = 10    # tree t begins at value 10t
 DEPTH = 4      # values that a region shares
 BLOCK = 512    # documents of a block
 SLACK = 4.5    # standard deviations below the threshold at which a candidate is still confirmed
-PART = 4096    # members of a wide region that are compared with its hubs at a time
+PART = 1024    # members of a wide region that are compared with its hubs at a time
 HUBS = 1024    # hubs of a region that are held at a time
-TILE = 1024    # documents of one side of a tile under one shingle
+TILE = 512     # documents of one side of a tile under one shingle
 MEET = 1 << 21  # comparisons under shingles that are made at once
-BUCKETS = 1 << 20  # of the counts that put shingles in order
+BUCKETS = 1 << 18  # of the counts that put shingles in order
 
 _FACTORS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ORDER = np.array([(STRIDE * t + np.arange(VALUES)) % VALUES for t in range(TREES)])
