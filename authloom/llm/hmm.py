@@ -39,8 +39,8 @@ OWN_SHARE = 2e-6   # of all training tokens: words with a class of their own
 OWN_LEAST = 20     # and at least so many occurrences
 SUFFIXES = 4096    # hashed word endings that other words share
 SUFFIX_BYTES = 3
-CHUNK = 512        # tokens of a chunk
-GROUP = 1 << 18    # tokens that are run at once
+CHUNK = 2048       # tokens of a chunk
+GROUP = 1 << 19    # tokens that are run at once
 HELD = 500_000     # words that a task adds up before it emits them
 STAY = 0.9         # first chance to stay in a state
 RESCALE = 4        # steps after which vectors are scaled to one; lifts stay far from what floats hold till then
@@ -172,13 +172,13 @@ def chunks(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _groups(length: np.ndarray, which: np.ndarray, most: int):
-    """Parts of ``which`` with at most ``most`` tokens (or one chunk), longest chunks first in each."""
+    """Parts of ``which`` with at most ``most`` tokens (or one chunk), longest chunks first."""
+    which = which[np.argsort(-length[which], kind="stable")]
     ends = np.cumsum(length[which])
     lo = 0
     while lo < len(which):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
-        part = which[lo:hi]
-        yield part[np.argsort(-length[part], kind="stable")]
+        yield which[lo:hi]
         lo = hi
 
 
@@ -306,7 +306,7 @@ class Recursion:
             emitted[:, k] += np.bincount(some, weights=back[:, k], minlength=len(emitted))
 
 
-def _texts(batches, at: int, most: int = 4 * GROUP):
+def _texts(batches, at: int, most: int = 2 * GROUP):
     """Batches with their texts' class numbers, so many batches at a time as hold about ``most`` tokens."""
     held, size = [], 0
     for batch in batches:
