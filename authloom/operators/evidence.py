@@ -72,10 +72,14 @@ def _answers(wanted: DataFrame, rows: DataFrame, equal: list[Column], order: lis
         return df.withColumn("rank", F.when(ranked, rank)).where(~ranked | (F.col("rank") <= F.col("_most")))
 
     found = cut(cut(visits, "_key", "_way", "_salt"), "_key", "_way", F.when(~ranked, F.col("_salt")))
-    mine = wanted.withColumn("_way", F.when(F.col("_limit").isNull(), F.lit("all")).otherwise(F.lit("first")))
+    # what all rows of a key go to stands in every part of the key, so that its rows stay spread
+    found = found.withColumn("_salt", F.when(ranked, 0).otherwise(F.col("_salt")))
+    everywhere = F.col("_limit").isNull()
+    mine = wanted.withColumn("_way", F.when(everywhere, F.lit("all")).otherwise(F.lit("first"))).withColumn(
+        "_salt", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))))
     # a lower time bound only cuts the old end of newest-first rows, so ranks stay what they are
     late = F.col("_since").isNull() | (F.col("timestamp") >= F.col("_since"))
-    return mine.join(found.drop("_most", "_all", "_salt"), ["_key", "_way"]).where(
+    return mine.join(found.drop("_most", "_all").withColumn("_salt", F.col("_salt").cast("int")), ["_key", "_way", "_salt"]).where(
         (F.col("_limit").isNull() | (F.col("rank") <= F.col("_limit"))) & late).select("query_id", "rank", *rows.columns)
 
 
@@ -140,11 +144,11 @@ def _alert_hash() -> Column:
 def alert_evidence(retrieved: DataFrame) -> DataFrame:
     """Light evidence rows for alerts, with the number of rows their query returned.
 
-    The window is safe: a query holds at most its request limit of rows.
+    Rows are counted where they are, and the counts joined back: a query without limit may have any number.
     """
     digest = _alert_hash()
-    returned = F.count("*").over(Window.partitionBy("query_id"))
-    return retrieved.withColumn("rows_returned", returned).select(
+    returned = retrieved.groupBy("query_id").agg(F.count("*").alias("rows_returned"))
+    return retrieved.join(returned, "query_id").select(
         F.concat(F.lit("ev-"), short_hash(F.col("query_id"), F.col("node_id"), F.col("id")))
         .alias("evidence_id"),
         "query_id", "node_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from authloom.functions import fixed
@@ -188,6 +188,20 @@ def assign_ids(events: DataFrame, block: int = 1_000_000) -> DataFrame:
     )
 
 
+def load_lines(parsed: DataFrame, path: str) -> dict[str, int]:
+    """Write parsed lines, usable and rejected ones apart (``usable=true/false``).
+
+    ``lines_parsed, lines_inserted, errors`` are counted by the same pass over the lines. A load that runs
+    again replaces what it wrote.
+    """
+    seen, ok = Observation(), F.col("reject_reason").isNull()
+    (parsed.observe(
+        seen, F.count(F.lit(1)).alias("lines_parsed"), F.count_if(ok).alias("lines_inserted"),
+        F.count_if(F.col("reject_reason").isin("timestamp", "integer")).alias("errors"))
+     .withColumn("usable", ok).write.mode("overwrite").partitionBy("usable").parquet(path))
+    return {k: int(v) for k, v in seen.get.items()}
+
+
 def retain(events: DataFrame, now: Column,
            retention_seconds: int = fixed.RETENTION_SECONDS) -> DataFrame:
     """Events not older than the retention at ``now``."""

@@ -234,6 +234,18 @@ add("sink_roundtrip", f"{SIGNALS}, {CASES.strip()}", """SELECT 'signals' AS name
  UNION ALL SELECT 'evidence', CAST(CAST(coalesce(make_timestamp(us), TIMESTAMP '2024-01-01') AS DATE) AS VARCHAR), count(*) FROM ce GROUP BY ALL""")
 add("latest_run", "", """SELECT strftime(ts, '%Y%m%d_%H') AS run_id, event_id FROM events
  WHERE strftime(ts, '%Y%m%d_%H') = (SELECT max(strftime(ts, '%Y%m%d_%H')) FROM events)""")
+add("committed_runs", REQUESTS, """SELECT * FROM (SELECT 'run-1' AS run_id, 'signals' AS name, count(*) AS counted, count(*) AS n FROM sig
+ UNION ALL SELECT 'run-2', 'signals', count(*), count(*) FROM sig WHERE rule_level >= 5
+ UNION ALL SELECT r, 'evidence', count(*), count(*) FROM req, (VALUES ('run-1'), ('run-2')) AS v(r) GROUP BY r)""")
+add("latest_table", SIGNALS, "SELECT 'run-2' AS run_id, signal_id, rule_level FROM sig WHERE rule_level >= 5")
+add("load_counts", f"{PARSED}, {SINK.strip()}", """SELECT 'read' AS name, count(*) AS n FROM cf
+ UNION ALL SELECT 'stored', count(*) FILTER (problem IS NULL) FROM cf UNION ALL SELECT 'failed', count(*) FILTER (problem IS NOT NULL) FROM cf
+ UNION ALL SELECT 'read back true', count(*) FROM cf WHERE problem IS NULL UNION ALL SELECT 'read back false', count(*) FROM cf WHERE problem IS NOT NULL
+ UNION ALL SELECT 'lines_parsed', count(*) FROM pl UNION ALL SELECT 'lines_inserted', count(*) FROM ev
+ UNION ALL SELECT 'errors', count(*) FROM pl WHERE reject IN ('timestamp', 'integer')""")
+add("evidence_search_files", f"""{CASES}, nd(needle) AS (VALUES ('告警 12'), ('告警 77'), ('告警 5'), ('警'))""",
+    """SELECT needle, case_key, ord, evidence_id, description FROM ce JOIN nd ON contains(description, needle) WHERE rule_id = '5503'
+ QUALIFY row_number() OVER (PARTITION BY needle ORDER BY ord) <= 10""")
 add("evidence_search", CASES, """SELECT case_key, ord, evidence_id, description FROM ce
  WHERE rule_id = '5503' AND description LIKE '%告警 1%' ORDER BY ord LIMIT 10""")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from authloom import schemas
 from authloom.functions import fields, fixed
+from authloom.functions.sizes import literal_rows
 from authloom.functions.text import non_empty
 from authloom.functions.times import normalize_ts, parse_any_ts
 from authloom.operators import (
@@ -179,12 +180,12 @@ def bulk_split_counts(spark, sf):
 
 @query
 def sink_roundtrip(spark, sf):
-    """Signals and evidence appended to day-partitioned tables and read back per day."""
+    """Signals and evidence written to day-partitioned tables and read back per day."""
     base = shared_dir(spark)
     ev = t.case_evidence(spark, sf).withColumn(
         "at", F.coalesce(parse_any_ts(F.col("timestamp")), F.lit("2024-01-01").cast("timestamp")))
     sinks.write_tables({"signals": _signals(spark, sf).withColumn(
-        "at", F.col("event_time").cast("timestamp")), "evidence": ev}, base)
+        "at", F.col("event_time").cast("timestamp")), "evidence": ev}, base, "run-1")
     return sinks.read_table(spark, base, "signals").groupBy(F.lit("signals").alias("name"), "dt").agg(
         F.count("*").alias("n")).unionByName(
         sinks.read_table(spark, base, "evidence").groupBy(F.lit("evidence").alias("name"), "dt").agg(
@@ -198,6 +199,66 @@ def latest_run(spark, sf):
     return sinks.latest_run(runs).select("run_id", "event_id")
 
 
+def _write_runs(spark, sf):
+    """Three loads: a whole one, one that fails after its first table, and one that is repeated."""
+    base = shared_dir(spark)
+    sig = _signals(spark, sf).withColumn("at", F.col("event_time").cast("timestamp"))
+    asked = _chain(spark, sf)[1].join(sig.select("signal_id", "at"), "signal_id").select("query_id", "signal_id", "at")
+    late = sig.where("rule_level >= 5")
+    sinks.write_tables({"signals": sig, "evidence": asked}, base, "run-1")
+    try:
+        sinks.write_tables({"signals": sig, "none": asked}, base, "run-3")
+    except ValueError:
+        pass
+    for _ in range(2):
+        sinks.write_tables({"signals": late, "evidence": asked}, base, "run-2")
+    return base
+
+
+@query
+def committed_runs(spark, sf):
+    """Rows per run and table after a failed and a repeated load, as counted while writing and as read back."""
+    base = _write_runs(spark, sf)
+    told = sinks.runs(spark, base).select("run_id", F.explode("tables").alias("name", "counted"))
+    held = None
+    for name in ("signals", "evidence"):
+        one = sinks.read_table(spark, base, name).groupBy("run_id").agg(F.count("*").alias("n")).withColumn("name", F.lit(name))
+        held = one if held is None else held.unionByName(one)
+    return told.join(held, ["run_id", "name"], "full").select("run_id", "name", "counted", "n")
+
+
+@query
+def latest_table(spark, sf):
+    """The latest committed run of a table."""
+    return sinks.read_table(spark, _write_runs(spark, sf), "signals", latest=True).select("run_id", "signal_id", "rule_level")
+
+
+@query
+def load_counts(spark, sf):
+    """Counters of two loads, taken by the pass that writes: evidence that fits or not, lines parsed or not."""
+    out = shared_dir(spark)
+    stored = sinks.load_evidence(_sink_rows(spark, sf), f"{out}/evidence", "run-1")
+    lines = parsing.load_lines(t.parsed_lines(spark, sf), f"{out}/events")
+    back = spark.read.parquet(f"{out}/evidence").groupBy("fits").agg(F.count("*").alias("n"))
+    counted = {**stored, **lines}
+    return literal_rows(spark, [{"name": k, "n": v} for k, v in counted.items()], "name string, n bigint").unionByName(
+        back.select(F.concat(F.lit("read back "), F.col("fits").cast("string")).alias("name"), "n"))
+
+
+@query
+def evidence_search_files(spark, sf):
+    """Search over a table of many files, of which a text index leaves those that may hold the text."""
+    out = shared_dir(spark)
+    (t.case_evidence(spark, sf).repartitionByRange(12, "ord").write.parquet(f"{out}/evidence"))
+    sinks.write_text_index(spark, f"{out}/evidence", "description", f"{out}/index")
+    found = None
+    for needle in ("告警 12", "告警 77", "告警 5", "警"):
+        one = sinks.search_files(spark, f"{out}/evidence", f"{out}/index", "description", needle, {"rule_id": "5503"}, 10, ["ord"])
+        one = one.select(F.lit(needle).alias("needle"), "case_key", "ord", "evidence_id", "description")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 @query
 def evidence_search(spark, sf):
     return sinks.search(t.case_evidence(spark, sf), {"rule_id": "5503"}, ("description", "告警 1"),
@@ -880,7 +941,7 @@ def result_tables(spark, sf):
         "analysis": reviewed.select("case_key", "at", "event_type", "priority", "conclusion"),
         "verification": reviewed.select("case_key", "at", "verified", "final_confidence"),
         "reports": reporting.report_parts(reviewed, rows, F.lit("20240201_000000")).join(at_of, "case_key"),
-    }, base)
+    }, base, "run-1")
     out = None
     for name in sinks.TABLES:
         back = sinks.read_table(spark, base, name).select(

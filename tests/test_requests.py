@@ -121,3 +121,26 @@ def test_query_events(spark):
     assert got == want
     assert [r.id for r in requests.query_events(ev, {"process": "sshd"}, 3).collect()] == [
         e[1] for e in sorted(rows, key=lambda e: (e[2], e[1]), reverse=True) if e[4] == "sshd"][:3]
+
+
+def test_unlimited_requests_of_one_node_spread(spark):
+    """One node with a third of all events, asked for without limit by several requests: no task has much more than others."""
+    from authloom.operators import evidence
+
+    rows = spark.range(30_000).selectExpr(
+        "if(id % 3 = 0, 'hot', 'n' || id % 40) AS node_id", "id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS timestamp",
+        "'h' AS hostname", "'sshd' AS process", "1 AS pid", "'m' AS message", "'1.1.1.1' AS src_ip", "1 AS src_port", "'u' AS dst_user", "'t' AS log_type", "'r' AS raw_line")
+    asked = spark.createDataFrame(
+        [(f"q{k}", "auth_log", node, limit, {}) for k, (node, limit) in enumerate([("hot", 0)] * 4 + [("hot", 3)] + [(f"n{k}", 0) for k in range(40)])],
+        "query_id string, source string, node_id string, limit int, filters struct<src_ip:string,process:string,log_type:string,dst_user:string>")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = evidence.retrieve_evidence(asked, rows)
+        per_task = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        per_query = {r.query_id: r["count"] for r in found.groupBy("query_id").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [per_query[f"q{k}"] for k in range(5)] == [10_000] * 4 + [3] and sum(per_query.values()) == 60_003
+    assert max(per_task) < 3 * sorted(per_task)[len(per_task) // 2]

@@ -143,3 +143,67 @@ def test_messages(spark):
     again, dead = messages.retry_or_dead_letter(bad)
     assert sorted((r.seq, r.attempts) for r in again.collect()) == [(2, 3), (4, 2)]
     assert [r.seq for r in dead.collect()] == [3]
+
+
+def test_loads_are_repeatable_and_pruned(spark, tmp_path):
+    """A failed load counts for nothing, a repeated one once; the latest run is one partition by its plan."""
+    base = str(tmp_path / "tables")
+    rows = lambda n: spark.range(n).selectExpr("'s' || id AS signal_id", "timestamp'2024-01-01' + make_dt_interval(id % 3) AS at")
+    assert sinks.write_tables({"signals": rows(30), "evidence": rows(5)}, base, "run-1") == {"signals": 30, "evidence": 5}
+    with pytest.raises(ValueError, match="unknown table"):
+        sinks.write_tables({"signals": rows(7), "nothing": rows(1)}, base, "run-3")
+    for _ in range(2):
+        sinks.write_tables({"signals": rows(12), "evidence": rows(0)}, base, "run-2")
+    assert sinks.read_table(spark, base, "signals").count() == 42 and sinks.read_table(spark, base, "evidence").count() == 5
+    assert {(r.run_id, r.tables["signals"]) for r in sinks.runs(spark, base).collect()} == {("run-1", 30), ("run-2", 12)}
+    latest = sinks.read_table(spark, base, "signals", latest=True)
+    assert latest.count() == 12 and {r.run_id for r in latest.select("run_id").collect()} == {"run-2"}
+    executed = latest.select("signal_id")
+    executed.collect()
+    plan = executed._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    plan = plan.plan() if plan.getClass().getSimpleName() == "ResultQueryStageExec" else plan
+    leaves = plan.collectLeaves()
+    read = [leaves.apply(k).metrics().get("numPartitions") for k in range(leaves.size())]
+    assert [m.get().value() for m in read if m.isDefined()] == [3]  # the days of one run
+
+
+def test_counters_come_with_the_load(spark, tmp_path):
+    """One scan: counted while writing."""
+    from authloom.operators import parsing
+
+    bad = [("2024-01-01T00:00:00", "5", "1.1.1.1", "a"), ("never", "5", "1.1.1.1", "b"), ("2024-01-01T00:00:00", "x", "1.1.1.1", "c"), (None, None, None, "d")]
+    evidence = spark.createDataFrame(bad, "timestamp string, severity string, src_ip string, evidence_id string")
+    evidence.write.parquet(str(tmp_path / "in"))
+    reads = spark.sparkContext.accumulator(0)
+    counted = spark.read.parquet(str(tmp_path / "in")).mapInArrow(_tally(reads), evidence.schema)
+    for _ in range(2):
+        assert sinks.load_evidence(counted, str(tmp_path / "out"), "r") == {"read": 4, "stored": 2, "failed": 2}
+    assert reads.value == 8  # four rows in each of two loads
+    assert {(r.evidence_id, r.fits) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {
+        ("a", "true"), ("b", "false"), ("c", "false"), ("d", "true")}
+    lines = spark.createDataFrame([("Jan  1 00:00:01 h sshd[1]: Failed password for x from 1.1.1.1 port 1 ssh2", "n"), ("garbage", "n")], "value string, node_id string")
+    parsed = parsing.parse_lines(lines, 2024)
+    assert parsing.load_lines(parsed, str(tmp_path / "lines")) == {"lines_parsed": 2, "lines_inserted": 1, "errors": 0}
+
+
+def _tally(reads):
+    def run(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+    return run
+
+
+def test_search_reads_only_files_that_may_hold_the_text(spark, tmp_path):
+    path, index = str(tmp_path / "t"), str(tmp_path / "i")
+    for k in range(8):
+        spark.range(50).selectExpr(f"id + {50 * k} AS n", f"concat('common words, File{k} row ', id) AS text").coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([(999, None), (1000, ""), (1001, "ab")], "n bigint, text string").coalesce(1).write.mode("append").parquet(path)
+    sinks.write_text_index(spark, path, "text", index)
+    assert sinks.files_with(spark, index, "file3 ROW").count() == 1 and sinks.files_with(spark, index, "common").count() == 8
+    for needle in ("file3 row 1", "COMMON", "ab", "nowhere at all", "row 49"):
+        got = sinks.search_files(spark, path, index, "text", needle, None, 10_000, ["n"])
+        want = sinks.search(spark.read.parquet(path), None, ("text", needle), 10_000, ["n"])
+        assert got.collect() == want.collect()
+    assert len(sinks.search_files(spark, path, index, "text", "file3 row 1", None, 10, ["n"]).inputFiles()) == 1
