@@ -61,10 +61,14 @@ def _answers(wanted: DataFrame, rows: DataFrame, equal: list[Column], order: lis
         return out
 
     keys = F.array_compact(F.array(*[F.when(fits(m), key(m)) for m in range(1 << len(equal))]))
-    visits = rows.withColumn("_shapes", shapes).withColumn("_key", F.explode(keys)).drop("_shapes").join(questions, "_key")
+    # a question stands in every part of its key, so that a busy key is spread from the first join on
+    parts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    visits = (rows.withColumn("_shapes", shapes).withColumn("_key", F.explode(keys)).drop("_shapes")
+              .withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int"))
+              .join(questions.withColumn("_salt", parts), ["_key", "_salt"]))
     # a key may be asked for both ways
     ways = F.array_compact(F.array(F.when(F.col("_most").isNotNull(), F.lit("first")), F.when(F.col("_all"), F.lit("all"))))
-    visits = visits.withColumn("_way", F.explode(ways)).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)))
+    visits = visits.withColumn("_way", F.explode(ways))
     ranked = F.col("_way") == "first"
 
     def cut(df: DataFrame, *keys: Column | str) -> DataFrame:
@@ -79,7 +83,7 @@ def _answers(wanted: DataFrame, rows: DataFrame, equal: list[Column], order: lis
         "_salt", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))))
     # a lower time bound only cuts the old end of newest-first rows, so ranks stay what they are
     late = F.col("_since").isNull() | (F.col("timestamp") >= F.col("_since"))
-    return mine.join(found.drop("_most", "_all").withColumn("_salt", F.col("_salt").cast("int")), ["_key", "_way", "_salt"]).where(
+    return mine.join(found.drop("_most", "_all"), ["_key", "_way", "_salt"]).where(
         (F.col("_limit").isNull() | (F.col("rank") <= F.col("_limit"))) & late).select("query_id", "rank", *rows.columns)
 
 

@@ -133,14 +133,17 @@ def test_unlimited_requests_of_one_node_spread(spark):
     asked = spark.createDataFrame(
         [(f"q{k}", "auth_log", node, limit, {}) for k, (node, limit) in enumerate([("hot", 0)] * 4 + [("hot", 3)] + [(f"n{k}", 0) for k in range(40)])],
         "query_id string, source string, node_id string, limit int, filters struct<src_ip:string,process:string,log_type:string,dst_user:string>")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    small = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+             "spark.sql.autoBroadcastJoinThreshold": "-1"}  # as for a table that cannot be broadcast
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
     try:
         found = evidence.retrieve_evidence(asked, rows)
         per_task = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
         per_query = {r.query_id: r["count"] for r in found.groupBy("query_id").count().collect()}
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        for k, v in before.items():
+            spark.conf.set(k, v)
     assert [per_query[f"q{k}"] for k in range(5)] == [10_000] * 4 + [3] and sum(per_query.values()) == 60_003
     assert max(per_task) < 3 * sorted(per_task)[len(per_task) // 2]
