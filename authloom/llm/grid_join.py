@@ -2,8 +2,8 @@
 
 Two unit vectors of cosine c are sqrt(2 - 2c) apart. Vectors are rotated onto their principal axes and
 sorted by the grid cells (one epsilon wide) of the leading axes; the sorted sequence is cut into
-blocks. Blocks whose bounding boxes are further apart than epsilon in the leading axes are never
-paired. A pair of blocks is joined by recursion on intervals of the two sequences, again skipping
+blocks. Intervals of blocks are joined from the whole sequence down; intervals, and in the end blocks,
+whose bounding boxes are further apart than epsilon in the leading axes are skipped. A pair of blocks is joined by recursion on intervals of the two sequences, again skipping
 intervals whose boxes (in all axes) are too far apart; what is left is compared by the cosine of the
 vectors as they are, in double precision. Rotation and grid only decide what is skipped.
 
@@ -26,6 +26,7 @@ AXES = 6        # leading axes of the grid
 BLOCK = 4096    # vectors of a block
 LEAF = 256      # vectors of an interval that is compared as a whole
 PARTNERS = 32   # blocks that one group of a block's partners holds
+BITS = 4        # halvings of an interval of blocks from one level to the next
 SAFE = 1e-7     # added to epsilon against rounding of the rotation
 
 BLOCKS = "block long, dim int, ids binary, weights binary, vectors binary, low array<double>, high array<double>"
@@ -245,6 +246,39 @@ def _join(axes, cosine: float, eps: float, leaf: int):
     return run
 
 
+def _box(boxes: DataFrame, shift: int) -> DataFrame:
+    """Boxes of the intervals of blocks whose numbers agree but for the last ``shift`` bits."""
+    least = [F.min(F.col("low")[k]) for k in range(AXES)]
+    most = [F.max(F.col("high")[k]) for k in range(AXES)]
+    return boxes.groupBy("dim", F.shiftright("block", shift).alias("node")).agg(
+        F.array(*least).alias("low"), F.array(*most).alias("high"))
+
+
+def close_blocks(boxes: DataFrame, eps: float, bits: int = BITS) -> DataFrame:
+    """``block, other``: pairs of blocks (``block, dim, low, high``) whose boxes are within ``eps`` of each other, once.
+
+    The sequence of blocks is halved into intervals ``bits`` times a level. From the whole sequence down, only
+    intervals whose boxes are near are joined by their parts, so the work follows the number of near
+    intervals and not the square of the blocks, and no key holds more than an interval's parts.
+    """
+    part, number = boxes.agg(F.max(F.shiftright("block", 32)), F.max(F.col("block").bitwiseAND((1 << 32) - 1))).first()
+    if part is None:
+        return boxes.select("block", F.col("block").alias("other"))
+    # block numbers count up in the low half, partitions in the high one
+    shifts = [*range(0, int(number).bit_length(), bits), *range(32, 32 + int(part).bit_length(), bits), 62]
+    gap = F.aggregate(
+        F.zip_with(F.zip_with("low", "high2", lambda a, b: a - b), F.zip_with("low2", "high", lambda a, b: a - b),
+                   lambda a, b: F.greatest(a, b, F.lit(0.0))),
+        F.lit(0.0), lambda s, g: s + g * g)
+    near = _box(boxes, 62).select("dim", F.col("node").alias("up"), F.col("node").alias("up2"))
+    for above, shift in zip(shifts[:0:-1], shifts[-2::-1], strict=True):
+        kids = _box(boxes, shift).withColumn("up", F.shiftright("node", above - shift))
+        other = kids.select("dim", *[F.col(c).alias(f"{c}2") for c in ("up", "node", "low", "high")])
+        near = (near.join(kids, ["dim", "up"]).join(other, ["dim", "up2"]).where("node <= node2").where(gap <= eps * eps)
+                .select("dim", F.col("node").alias("up"), F.col("node2").alias("up2")))
+    return near.select(F.col("up").alias("block"), F.col("up2").alias("other"))
+
+
 @small_batches(1000)
 def near_embeddings(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding",
                     block: int = BLOCK, leaf: int = LEAF, partners: int = PARTNERS) -> DataFrame:
@@ -271,18 +305,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     blocks = store.save(celled.repartitionByRange(*grid, "id").sortWithinPartitions(*grid, "id")
                         .mapInArrow(_pack(axes, block), BLOCKS), "blocks")
 
-    # blocks whose boxes are within epsilon of each other; cells of the first axis are the join key
-    boxes = blocks.select("block", "dim", "low", "high").withColumns({
-        "first": F.floor(F.col("low")[0] / eps), "last": F.floor(F.col("high")[0] / eps)})
-    here = boxes.withColumn("cell", F.explode(F.sequence("first", "last")))
-    there = boxes.select(F.col("block").alias("other"), "dim", F.col("low").alias("low2"), F.col("high").alias("high2"),
-                         F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("cell"))
-    gaps = F.aggregate(
-        F.zip_with(F.zip_with("low", "high2", lambda a, b: a - b), F.zip_with("low2", "high", lambda a, b: a - b),
-                   lambda a, b: F.greatest(a, b, F.lit(0.0))),
-        F.lit(0.0), lambda s, g: s + g * g)
-    pairs = (here.join(there, ["dim", "cell"]).where(F.col("block") <= F.col("other")).where(gaps <= eps * eps)
-             .select("block", "other").distinct())
+    pairs = close_blocks(store.save(blocks.select("block", "dim", "low", "high"), "boxes"), eps)
     # every other pair the other way round, so that partners are spread evenly
     swap = F.pmod(F.xxhash64("block", "other"), F.lit(2)) == 1
     pairs = pairs.select(F.when(swap, F.col("other")).otherwise(F.col("block")).alias("block"),

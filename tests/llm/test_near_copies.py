@@ -202,6 +202,23 @@ def test_embeddings(spark):
     compare(spark, rows, block=64, leaf=16, partners=2)
 
 
+@pytest.mark.parametrize("bits", [1, 4])
+def test_near_blocks_of_one_leading_cell(spark, bits):
+    """Many blocks whose vectors share the cell of the first axis: pairs are about the near ones, not all."""
+    rng = np.random.default_rng(bits)
+    centre = np.concatenate((np.full((1500, 1), 0.1), np.sort(rng.random((1500, 1)), axis=0), rng.random((1500, 4))), axis=1)
+    low, high = centre - 0.002, centre + 0.002
+    number = [(k // 300 << 32) + k % 300 + 1 for k in range(1500)]
+    rows = [(n, 8, a.tolist(), b.tolist()) for n, a, b in zip(number, low, high, strict=True)]
+    df = spark.createDataFrame(rows, "block long, dim int, low array<double>, high array<double>")
+    got = [tuple(r) for r in grid_join.close_blocks(df, 0.1, bits).collect()]
+    gap = np.maximum(np.maximum(low[:, None] - high[None], low[None] - high[:, None]), 0)
+    x, y = np.nonzero((gap ** 2).sum(axis=2) <= 0.01)
+    assert sorted(got) == sorted((number[i], number[j]) for i, j in zip(x, y, strict=True) if i <= j)
+    assert len(got) < 10_000
+    assert grid_join.close_blocks(df.limit(0), 0.1).count() == 0
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     odd = [None, [], [0.0, 0.0], [1.0, None], [nan, 1.0], [inf, 1.0], [1.0, 0.0], [2.0, 0.0], [1.0], [1e-30, 0.0], [1.0, -0.0]]
