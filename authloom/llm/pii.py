@@ -1,14 +1,15 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Base expressions find e-mail addresses, IP addresses, card and phone numbers. They are the seeds: the
-word before a seed is a lexical pattern of its kind: the token before it, or the start of its own token
-if the seed is glued to a label ('tel:' in 'tel:+1...'). Patterns and instances form a graph whose scores
-are computed in rounds. A pattern's score is the share of its occurrences in the corpus (of all
-occurrences of the word, wherever it stands: as a token, as the start of one up to a sign, or up to a
-span) that precede an instance, weighed by the instances' scores, and counts only if enough different
-instances back it. An instance that the base expressions left (a number that fails its check, an
-address that is written out) gets the score of its pattern. Instances of high score become seeds of
-the next round. Base spans always stay.
+Base expressions find e-mail addresses, IP addresses, card and phone numbers. They are the seeds. A slot
+between two words makes two lexical patterns of its kind: the word before it, which is the token before
+or the start of its own token if it is glued to a label ('tel:' in 'tel:+1...'), and the word after it,
+the next whole token. Patterns and instances form a graph whose scores are computed in rounds, until they
+settle. A pattern's score is the share of its occurrences in the corpus (of all occurrences of the word,
+wherever it stands: as a token, as the start of one up to a sign, or up to a span) that stand beside an
+instance, weighed by the instances' scores, and counts only if enough different instances back it. An
+instance that the base expressions left (a number that fails its check, an address that is written out)
+gets the score of its best pattern. Instances of high score back further patterns in the next round. Base
+spans always stay.
 """
 
 from __future__ import annotations
@@ -34,9 +35,10 @@ LOCAL_PHONE = r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?
 WINDOW = 64       # last characters of a token that make a word
 SUPPORT = 3       # different instances that a pattern needs
 CONFIDENCE = 0.5  # least score of a pattern whose instances are taken
-ROUNDS = 3
+SETTLED = 1e-3    # change of a pattern's score that asks for another round
 
-_BLANK = r"' \t\n\u000B\f\r'"  # what \s matches
+_BLANK = _BLANK_SET = r"' \t\n\u000B\f\r'"  # what \s matches
+_WHITE = r"r'\s+'"
 _PLAIN, _SIGN = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
 _SPAN = "struct<start:bigint,end:bigint,value:string>"
 
@@ -105,10 +107,15 @@ def find_spans(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     last = f"element_at(split(right({head}, {WINDOW}), r'\\s+'), -1)"
     before = f"nullif({_unit(last)}, '')"
     glued = f"substring(t, cast(m.start AS int), 1) RLIKE {_literal(_PLAIN)} AND m.start > 0"
+    # the next whole token, if a blank ends the span; more than the window is looked at only where it is cut there
+    rest = lambda n: f"ltrim({_BLANK_SET}, substring(t, cast(m.end AS int) + 1, {n}))"
+    tail = f"CASE WHEN {rest(WINDOW)} RLIKE r'\\s' THEN {rest(WINDOW)} ELSE {rest('char_length(t)')} END"
+    after = f"nullif({_unit(f'left(element_at(split({tail}, {_WHITE}, 2), 1), {WINDOW})')}, '')"
+    after = f"CASE WHEN substring(t, cast(m.end AS int) + 1, 1) RLIKE r'\\s' THEN {after} END"
     for c in ("base", "loose"):
         rows = rows.withColumn(c, F.expr(
             f"transform({c}, m -> named_struct('kind', m.kind, 'start', m.start, 'end', m.end, "
-            f"'value', lower(m.value), 'word', {before}, 'glued', {glued}))"))
+            f"'value', lower(m.value), 'word', {before}, 'glued', {glued}, 'after', {after}))"))
     return rows.select("id", F.md5("t").alias("text_key"), "base", "loose")
 
 
@@ -128,29 +135,37 @@ def word_counts(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
 
 
 def discover(found: DataFrame, docs: DataFrame, text_col: str, store: Store) -> DataFrame:
-    """``text_key, extra``: the candidates that patterns of high score precede."""
-    seen = store.save(
-        found.select("text_key", F.explode("base").alias("m"), F.lit(True).alias("seed"))
-        .unionByName(found.select("text_key", F.explode("loose").alias("m"), F.lit(False).alias("seed")))
-        .select("text_key", "m.*", "seed").where("word IS NOT NULL"), "seen")
-    # words that precede fewer different instances than a pattern needs can be left out of the count
-    able = seen.select("kind", "word", "value").distinct().groupBy("kind", "word").agg(
-        F.count(F.lit(1)).alias("n")).where(f"n >= {SUPPORT}").select("kind", "word")
+    """``text_key, extra``: the candidates that stand beside patterns of high score."""
+    every = (found.select("text_key", F.explode("base").alias("m"), F.lit(True).alias("seed"))
+             .unionByName(found.select("text_key", F.explode("loose").alias("m"), F.lit(False).alias("seed"))))
+    sides = F.expr("array(named_struct('side', 'before', 'word', m.word), named_struct('side', 'after', 'word', m.after))")
+    seen = store.save(every.select("text_key", "m.kind", "m.start", "m.end", "m.value", "seed", F.inline(sides))
+                      .where("word IS NOT NULL"), "seen")
+    pattern = ["kind", "side", "word"]
+    # words beside fewer different instances than a pattern needs can be left out of the count
+    able = seen.select(*pattern, "value").distinct().groupBy(*pattern).agg(
+        F.count(F.lit(1)).alias("n")).where(f"n >= {SUPPORT}").select(*pattern)
     able = store.save(able.join(word_counts(docs, found, text_col), "word"), "able")
     # edges of the graph: a pattern, an instance, how often they met (copies of one text count each)
-    edges = store.save(seen.join(able, ["kind", "word"]).groupBy("kind", "word", "value", "times").agg(
+    edges = store.save(seen.join(able, pattern).groupBy(*pattern, "value", "times").agg(
         F.count(F.lit(1)).alias("met"), F.max(F.col("seed").cast("double")).alias("score")), "edges")
     scores = edges.groupBy("kind", "value").agg(F.max("score").alias("s"))
-    for k in range(ROUNDS):
-        patterns = (edges.join(scores, ["kind", "value"]).groupBy("kind", "word")
-                    .agg((F.sum(F.col("met") * F.col("s")) / F.max("times")).alias("p"),
-                         F.count(F.when(F.col("s") >= CONFIDENCE, 1)).alias("backing")))
-        patterns = patterns.withColumn("p", F.when(F.col("backing") >= SUPPORT, F.col("p")).otherwise(0.0))
-        patterns = store.save(patterns.select("kind", "word", "p"), f"patterns-{k}")
-        scores = store.save(edges.join(patterns, ["kind", "word"]).groupBy("kind", "value").agg(
+    patterns, k = None, 0
+    while True:
+        now = (edges.join(scores, ["kind", "value"]).groupBy(*pattern)
+               .agg((F.sum(F.col("met") * F.col("s")) / F.max("times")).alias("p"),
+                    F.count(F.when(F.col("s") >= CONFIDENCE, 1)).alias("backing")))
+        now = now.withColumn("p", F.when(F.col("backing") >= SUPPORT, F.least("p", F.lit(1.0))).otherwise(0.0))
+        now = store.save(now.select(*pattern, "p"), f"patterns-{k}")
+        # scores only rise, so they settle
+        moved = now if patterns is None else now.join(patterns.withColumnRenamed("p", "old"), pattern).where(F.col("p") > F.col("old") + SETTLED)
+        patterns, k = now, k + 1
+        if moved.isEmpty():
+            break
+        scores = store.save(edges.join(patterns, pattern).groupBy("kind", "value").agg(
             F.greatest(F.max("score"), F.max("p")).alias("s")), f"scores-{k}")
-    sure = patterns.where(F.col("p") >= CONFIDENCE).select("kind", "word")
-    return (seen.where("NOT seed").join(sure, ["kind", "word"]).select("text_key", "kind", "start", "end").distinct()
+    sure = patterns.where(F.col("p") >= CONFIDENCE).select(*pattern)
+    return (seen.where("NOT seed").join(sure, pattern).select("text_key", "kind", "start", "end").distinct()
             .groupBy("text_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("extra")))
 
 

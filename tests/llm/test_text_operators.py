@@ -75,6 +75,43 @@ def test_contexts_of_any_white_space_and_glued_labels(spark):
     assert [rows[k] for k, _ in hidden] == ["phone:7:21", "phone:7:21", "phone:137:151", "", "", ""]
 
 
+def test_later_rounds_find_what_the_first_cannot(spark):
+    """Seeds back the word after them, that finds numbers, these back the word before them, and that finds others."""
+    seeds = [(i, f"reach +1(20{i})555-1000 please") for i in range(4)]
+    second = [(10 + i, f"dial (32{i}) 555-7600\n please") for i in range(4)]
+    third = [(20 + i, f"dial (43{i}) 555-7700 tomorrow") for i in range(4)]
+    fourth = [(30, "ring (549) 555-7800 tomorrow"), (31, "ring (548) 555-7801 today")]
+    texts = seeds + second + third + fourth
+    rows = {r["doc_id"]: r for r in pii.find_personal_data(documents(spark, texts)).collect()}
+    assert all(rows[i]["n_phone"] == 1 for i, _ in seeds + second + third) and rows[30]["n_phone"] == 1
+    assert rows[31]["spans"] == ""  # only one number backs the word before it
+    # without the second step the chain ends
+    rows = {r["doc_id"]: r for r in pii.find_personal_data(documents(spark, seeds + third + fourth)).collect()}
+    assert not any(rows[i]["n_phone"] for i, _ in third + fourth)
+
+
+def test_precision_and_recall_on_labelled_contexts(spark):
+    """Numbers of people behind labels and before units, numbers of things behind other words."""
+    rng = random.Random(12)
+    number = lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    texts, want = [], set()
+    for i in range(400):
+        kind = i % 4
+        label = rng.choice(["phone:", "mobile", "call", "fax/"])
+        thing = rng.choice(["part", "order", "serial", "row"])
+        filler = " ".join(words(rng, rng.randint(2, 9)))
+        if kind == 0:
+            texts.append((i, f"{filler} {label} +1{number()} {filler}"))
+        elif kind == 1:
+            texts.append((i, f"{filler} {label} {number()} {filler}"))
+            want.add(i)
+        else:
+            texts.append((i, f"{filler} {thing} {number()} {filler} {thing} {filler}"))
+    rows = {r["doc_id"]: r["n_phone"] for r in pii.find_personal_data(documents(spark, texts)).collect()}
+    found = {i for i, _ in texts if i % 4 and rows[i]}
+    assert len(found & want) >= 0.95 * len(want) and len(found - want) <= 0.02 * len(texts)
+
+
 def test_a_label_is_counted_wherever_it_stands(spark):
     # the label stands before something else more often than before a number, once alone or not at all
     seeds = [(i, f"note id:+1({200 + i})555-{1000 + i}") for i in range(8)]
