@@ -16,7 +16,7 @@ SSH_ACCEPTED = r"Accepted (?:password|publickey) for (\S+) from (\S+) port (\d+)
 SSH_AUTH_FAILURE = r"(?:error: PAM: )?[Aa]uthentication failure"
 SSH_NO_IDENT = r"Did not receive identification string from (\S+) port (\d+)"
 SSH_CLOSED = r"Connection closed by (?:authenticating user (\S+) )?(\S+) port (\d+)"
-SSH_PREAUTH = r"Received disconnect from (\S+) port (\d+):.*\[preauth\]"
+SSH_PREAUTH = r"(?:error: )?Received disconnect from (\S+) port (\d+):.*\[preauth\]"
 SUDO_USER = r"user=(\S+)"
 SUDO_COMMAND = r"TTY=(\S+).*USER=(\S+).*COMMAND=(.*)"
 SU_FAILED = r"FAILED SU \(to (\S+)\)"
@@ -32,7 +32,6 @@ RETENTION_SECONDS = 3600
 MAX_DELIVERIES = 3
 STREAM_MAX_AGE_SECONDS = 24 * 3600
 STREAM_MAX_BYTES = 500 * 1024 * 1024
-CLEANUP_EVERY_TICKS = 30
 
 # --- fixed values: severity of rules and of parsed log types ---------------------------------
 SEVERITY_LEVEL = {"critical": 11, "high": 8, "medium": 5, "low": 2}
@@ -191,3 +190,24 @@ DEFAULT_RULES = [
         "signal": {"priority": 2, "event_type": "normal", "suggested_logs": ["auth_log"]},
     },
 ]
+
+# --- fixed values: wording of verification issues --------------------------------------------
+UNKNOWN_REFS = "研判引用了不存在的 evidence_id: ["
+SEVERAL_QUERIES = "证据来自多个查询: {"
+ONE_EVIDENCE = "证据 "
+RAW_REF_MISSING, RAW_REF_INVALID = " 缺少 raw_ref", " 的 raw_ref 格式无效: "
+LINEAGE_MISSING, LINEAGE_INVALID = " 缺少 lineage_id", " 的 lineage_id 格式无效: "
+FORBIDDEN_WORDING = "结论包含绝对化表述: 「{}」，风险过高，需要更多证据支撑"
+THIN_EVIDENCE = ("证据仅 ", " 条，但结论过于详细，置信度存疑")
+LOW_READINESS = ("数据就绪度 ", " 分低于 60，结论需谨慎")
+CONFIDENCE_HIGH, CONFIDENCE_MEDIUM, CONFIDENCE_LOW = "高", "中", "低"
+
+# --- fixed values: wording of triage ---------------------------------------------------------
+SUMMARY_TYPED = ("检测到 ", " 条告警，主要类型: ", "（规则ID: ", "）")
+SUMMARY_UNTYPED = ("检测到 ", " 条未分类告警")
+SUMMARY_EMPTY = "无证据，无法分诊"
+PHASE_DESCRIPTION = ("规则 ", " 触发的告警")
+PROGRESS = "攻击链进展: "
+REPLY_SUMMARY, REPLY_PROGRESS = "LLM 分析完成", "攻击链分析完成"
+NO_PROGRESS, STATUS = "无证据，无法分析攻击链", "攻击链状态: "
+FAILED_SUMMARY, FAILED_CONCLUSION, FAILED_ACTIONS = "研判异常", "自动研判失败，需人工介入", ["人工核查"]

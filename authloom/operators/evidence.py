@@ -87,13 +87,18 @@ def _answers(wanted: DataFrame, rows: DataFrame, equal: list[Column], order: lis
         (F.col("_limit").isNull() | (F.col("rank") <= F.col("_limit"))) & late).select("query_id", "rank", *rows.columns)
 
 
-def retrieve_evidence(requests: DataFrame, events: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def retrieve_evidence(requests: DataFrame, events: DataFrame, nodes: DataFrame | None = None,
+                      hashed: bool = False) -> DataFrame:
     """Newest events for each auth_log request: query_id, rank and the event's columns.
 
+    With ``hashed`` also their content ``hash``, found once for an event however many requests it answers.
+
     Every request has its own limit: absent means 20, zero or less means all (their rank is NULL).
     Filters that are absent or empty are ignored.
     """
     wanted = _wanted(requests.where(F.col("source") == "auth_log"), nodes, _OPTIONAL)
+    if hashed:
+        events = events.withColumn("hash", content_hash())
     return _answers(wanted, events, [F.col(c) for c in _OPTIONAL], [F.desc("timestamp"), F.desc("id")])
 
 
@@ -108,7 +113,7 @@ def auth_evidence(retrieved: DataFrame, minimize: bool = False) -> DataFrame:
     """
     ts = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")
     ip = F.coalesce("src_ip", F.lit(""))
-    digest = content_hash()
+    digest = F.col("hash") if "hash" in retrieved.columns else content_hash()
     out = retrieved.select(
         F.concat(F.lit("ev-"), short_hash(F.col("query_id"), F.col("node_id"), F.col("id")))
         .alias("evidence_id"),

@@ -54,10 +54,10 @@ def judge(best: DataFrame) -> DataFrame:
         .when(total >= 5, F.lit("medium")).otherwise(F.lit("low")),
         "confidence": F.when(known, _count_confidence(total)).otherwise(F.lit("low")),
         "summary": F.when(known, F.concat(
-            F.lit("检测到 "), n, F.lit(" 条告警，主要类型: "), F.col("event_type"),
-            F.lit("（规则ID: "), F.col("best_rule"), F.lit("）")))
-        .when(total > 0, F.concat(F.lit("检测到 "), n, F.lit(" 条未分类告警")))
-        .otherwise(F.lit("无证据，无法分诊")),
+            F.lit(fixed.SUMMARY_TYPED[0]), n, F.lit(fixed.SUMMARY_TYPED[1]), F.col("event_type"),
+            F.lit(fixed.SUMMARY_TYPED[2]), F.col("best_rule"), F.lit(fixed.SUMMARY_TYPED[3])))
+        .when(total > 0, F.concat(F.lit(fixed.SUMMARY_UNTYPED[0]), n, F.lit(fixed.SUMMARY_UNTYPED[1])))
+        .otherwise(F.lit(fixed.SUMMARY_EMPTY)),
     })
 
 
@@ -85,7 +85,7 @@ def phase_members(evidence: DataFrame) -> DataFrame:
         phase_of(severity, F.col("rule_id")).alias("kill_chain_phase"),
         F.coalesce(
             non_empty(F.col("description")),
-            F.concat(F.lit("规则 "), F.coalesce("rule_id", F.lit("")), F.lit(" 触发的告警")),
+            F.concat(F.lit(fixed.PHASE_DESCRIPTION[0]), F.coalesce("rule_id", F.lit("")), F.lit(fixed.PHASE_DESCRIPTION[1])),
         ).alias("description"),
     )
 
@@ -102,7 +102,7 @@ def kill_chain(evidence: DataFrame) -> DataFrame:
 def progress_text(phases: Column) -> Column:
     """Progress text from an array of (first_ord, kill_chain_phase) structs."""
     names = F.transform(F.array_sort(phases), lambda p: p["kill_chain_phase"])
-    return F.concat(F.lit("攻击链进展: "), F.array_join(names, ", "))
+    return F.concat(F.lit(fixed.PROGRESS), F.array_join(names, ", "))
 
 
 def chain_progress(chain: DataFrame) -> DataFrame:
@@ -145,8 +145,8 @@ def merge_replies(triaged: DataFrame, replies: DataFrame | None) -> DataFrame:
         "event_type": choose("event_type", "unknown"),
         "priority": choose("priority", "medium"),
         "confidence": choose("confidence", "medium"),
-        "summary": choose("summary", "LLM 分析完成"),
-        "reply_progress": F.when(has, F.coalesce(v["progress"], F.lit("攻击链分析完成"))),
+        "summary": choose("summary", fixed.REPLY_SUMMARY),
+        "reply_progress": F.when(has, F.coalesce(v["progress"], F.lit(fixed.REPLY_PROGRESS))),
     })
     return merged.withColumn(
         "actions",
@@ -157,9 +157,9 @@ def merge_replies(triaged: DataFrame, replies: DataFrame | None) -> DataFrame:
 
 def conclude(merged: DataFrame) -> DataFrame:
     """Add the conclusion to rows with summary, progress and reply_progress."""
-    status = F.coalesce("reply_progress", "progress", F.lit("无证据，无法分析攻击链"))
+    status = F.coalesce("reply_progress", "progress", F.lit(fixed.NO_PROGRESS))
     return merged.withColumns({
-        "conclusion": F.concat("summary", F.lit("攻击链状态: "), status),
+        "conclusion": F.concat("summary", F.lit(fixed.STATUS), status),
         "ref_count": F.coalesce("ref_count", F.lit(0)),
     })
 
@@ -177,10 +177,10 @@ def analysis(evidence: DataFrame, cases: DataFrame | None = None,
 
 
 FAILED_ANALYSIS = {
-    "summary": "研判异常",
-    "conclusion": "自动研判失败，需人工介入",
-    "confidence": "低",
-    "actions": ["人工核查"],
+    "summary": fixed.FAILED_SUMMARY,
+    "conclusion": fixed.FAILED_CONCLUSION,
+    "confidence": fixed.CONFIDENCE_LOW,
+    "actions": fixed.FAILED_ACTIONS,
     "event_type": "unknown",
     "priority": "medium",
 }

@@ -70,7 +70,7 @@ def check_refs(refs: DataFrame, evidence: DataFrame, most: int = LISTED) -> Data
     """Issue per case that cites unknown ids."""
     found = _listing(dangling_refs(refs, evidence), "evidence_id", ["ord", "evidence_id"], most)
     return found.select("case_key", F.concat(
-        F.lit("研判引用了不存在的 evidence_id: ["), "listed", F.lit("]"), _beyond(most)).alias("ref_issue"))
+        F.lit(fixed.UNKNOWN_REFS), "listed", F.lit("]"), _beyond(most)).alias("ref_issue"))
 
 
 def dangling_parts(refs: DataFrame, evidence: DataFrame, most: int = LISTED, run: int = 100_000) -> DataFrame:
@@ -79,19 +79,19 @@ def dangling_parts(refs: DataFrame, evidence: DataFrame, most: int = LISTED, run
 
 
 def _named() -> Column:
-    return F.concat(F.lit("证据 "), F.coalesce("evidence_id", F.lit("None")))
+    return F.concat(F.lit(fixed.ONE_EVIDENCE), F.coalesce("evidence_id", F.lit("None")))
 
 
 def _raw_issue() -> Column:
-    return F.when(_blank("raw_ref"), F.concat(_named(), F.lit(" 缺少 raw_ref"))).when(
+    return F.when(_blank("raw_ref"), F.concat(_named(), F.lit(fixed.RAW_REF_MISSING))).when(
         ~F.col("raw_ref").contains("#") & ~F.col("raw_ref").contains("/"),
-        F.concat(_named(), F.lit(" 的 raw_ref 格式无效: "), F.col("raw_ref")))
+        F.concat(_named(), F.lit(fixed.RAW_REF_INVALID), F.col("raw_ref")))
 
 
 def _lineage_issue() -> Column:
-    return F.when(_blank("lineage_id"), F.concat(_named(), F.lit(" 缺少 lineage_id"))).when(
+    return F.when(_blank("lineage_id"), F.concat(_named(), F.lit(fixed.LINEAGE_MISSING))).when(
         ~F.col("lineage_id").contains(":"),
-        F.concat(_named(), F.lit(" 的 lineage_id 格式无效: "), F.col("lineage_id")))
+        F.concat(_named(), F.lit(fixed.LINEAGE_INVALID), F.col("lineage_id")))
 
 
 def trace_checks(evidence: DataFrame, most: int = LISTED) -> DataFrame:
@@ -112,7 +112,7 @@ def trace_checks(evidence: DataFrame, most: int = LISTED) -> DataFrame:
     # holds the first ones
     rank = F.row_number().over(Window.partitionBy("case_key").orderBy(F.col("query_id").asc_nulls_last()))
     ids = F.array_sort(F.collect_list(F.when(F.col("_rank") <= most, F.struct(F.col("query_id").alias("_v")))))
-    named = F.concat(F.lit("证据来自多个查询: {"), _quoted(F.col("_i")), F.lit("}"), _beyond(most))
+    named = F.concat(F.lit(fixed.SEVERAL_QUERIES), _quoted(F.col("_i")), F.lit("}"), _beyond(most))
     return per_query.withColumn("_rank", rank).groupBy("case_key").agg(
         F.min("raw")["issue"].alias("raw_issue"), F.min("lineage")["issue"].alias("lineage_issue"),
         F.filter(ids, lambda x: x["_v"].isNotNull()).alias("_i"), F.count("query_id").alias("n"),
@@ -151,16 +151,16 @@ def conclusion_issues(conclusion: Column, evidence_count: Column, score: Column)
     """Array of issues: absolute wording, too much said on little evidence, low readiness."""
     text = F.coalesce(conclusion, F.lit(""))
     wording = [
-        F.when(text.contains(p), F.lit(f"结论包含绝对化表述: 「{p}」，风险过高，需要更多证据支撑"))
+        F.when(text.contains(p), F.lit(fixed.FORBIDDEN_WORDING.format(p)))
         for p in fixed.FORBIDDEN_PHRASES
     ]
     thin = F.when(
         (evidence_count < 3) & (F.char_length(text) > 10),
-        F.concat(F.lit("证据仅 "), evidence_count.cast("string"),
-                 F.lit(" 条，但结论过于详细，置信度存疑")))
+        F.concat(F.lit(fixed.THIN_EVIDENCE[0]), evidence_count.cast("string"),
+                 F.lit(fixed.THIN_EVIDENCE[1])))
     gated = F.when(
         (score < 60) & (evidence_count >= 3),
-        F.concat(F.lit("数据就绪度 "), score.cast("string"), F.lit(" 分低于 60，结论需谨慎")))
+        F.concat(F.lit(fixed.LOW_READINESS[0]), score.cast("string"), F.lit(fixed.LOW_READINESS[1])))
     return compact(*wording, thin, gated)
 
 
@@ -185,8 +185,8 @@ def verdict(rows: DataFrame) -> DataFrame:
             *[flag(F.col(c).isNotNull()).alias(n) for c, n in zip(found, names)],
             flag(F.size("_c") > 0).alias("conclusion"),
         ),
-        "final_confidence": F.when(ok & (F.col("evidence_count") >= 5), F.lit("高"))
-        .when(ok, F.lit("中")).otherwise(F.lit("低")),
+        "final_confidence": F.when(ok & (F.col("evidence_count") >= 5), F.lit(fixed.CONFIDENCE_HIGH))
+        .when(ok, F.lit(fixed.CONFIDENCE_MEDIUM)).otherwise(F.lit(fixed.CONFIDENCE_LOW)),
         "final_conclusion": F.when(ok, F.coalesce("conclusion", F.lit("")))
         .otherwise(F.lit(fixed.UNVERIFIED_CONCLUSION)),
     }).drop("_c")

@@ -16,7 +16,7 @@ def evidence_for(sig: DataFrame, events: DataFrame,
                  case_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signals, requests, auth evidence rows)."""
     asked = requests.query_requests(sig, case_id)
-    return sig, asked, evidence.auth_evidence(evidence.retrieve_evidence(asked, events))
+    return sig, asked, evidence.auth_evidence(evidence.retrieve_evidence(asked, events, hashed=True))
 
 
 def case_rows_of(auth_evidence: DataFrame, now: Column) -> DataFrame:

@@ -14,11 +14,12 @@ _FIELDS = ["source_name", "source_type", "local_path", "format", "query_engine",
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
     """Registry file (one object or a list, flat or with nested ``sources``), one row per source.
 
-    ``entry_no`` is an entry's place in the file.
+    Entries are in order of their files' names (``entry_file``) and of their places there (``entry_no``).
     """
     entries = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("entry_file"),
         F.posexplode(F.from_json("value", f"array<struct<{schemas.REGISTRY}>>")).alias("entry_no", "r"))
-    return flatten_registry(entries.select("entry_no", "r.*"))
+    return flatten_registry(entries.select("entry_file", "entry_no", "r.*"))
 
 
 def parse_registry(docs: DataFrame, column: str = "doc") -> DataFrame:
@@ -29,7 +30,7 @@ def parse_registry(docs: DataFrame, column: str = "doc") -> DataFrame:
 
 def flatten_registry(entries: DataFrame) -> DataFrame:
     """One row per (node, source). A flat entry describes itself; nested ones are unfolded."""
-    keep = [c for c in ("entry_no",) if c in entries.columns]
+    keep = [c for c in ("entry_file", "entry_no") if c in entries.columns]
     own = F.array(F.struct(*[F.col(f) for f in _FIELDS]))
     nested = F.transform(
         F.coalesce("sources", F.expr("array()").cast(entries.schema["sources"].dataType)),
@@ -41,7 +42,7 @@ def flatten_registry(entries: DataFrame) -> DataFrame:
 
 def first_entries(registry: DataFrame) -> DataFrame:
     """One row per (node, source): where a pair is listed twice, the first entry counts."""
-    order = F.struct("entry_no", "source_no")
+    order = F.struct(*[c for c in ("entry_file", "entry_no", "source_no") if c in registry.columns])
     return registry.groupBy("node_id", "source_name").agg(
         *[F.min_by(F.struct(f), order)[f].alias(f) for f in _FIELDS if f != "source_name"])
 

@@ -643,7 +643,7 @@ def signal_group_stats(spark, sf):
 @query
 def evidence_auth(spark, sf):
     asked = requests.query_requests(_signals(spark, sf), t.CASE_ID)
-    return evidence.auth_evidence(evidence.retrieve_evidence(asked, t.auth_events(spark, sf))).drop("rank")
+    return evidence.auth_evidence(evidence.retrieve_evidence(asked, t.auth_events(spark, sf), hashed=True)).drop("rank")
 
 
 def _alert_requests(spark, sf):

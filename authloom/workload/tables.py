@@ -67,6 +67,7 @@ def base_events(spark: SparkSession, sf: str) -> DataFrame:
         "* EXCEPT (w)", "w[0] AS month", "w[1] AS day1", "w[2] AS day2", "w[3] AS clock", "w[4] AS ymd")
 
 
+ROWS_PER_FILE = 10_000
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
@@ -80,7 +81,8 @@ def stored(spark: SparkSession, sf: str, name: str,
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _STORED:
         path = f"{shared_dir(spark)}/{name}"
-        build(session(spark), sf).write.parquet(path)
+        # in several files, as they would lie on a cluster, so that a small table is read by many tasks
+        build(session(spark), sf).write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
         _STORED[key] = path
     return session(spark).read.parquet(_STORED[key])
 
@@ -157,7 +159,7 @@ def chain(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
     sig = signals(spark, sf)
     asked = stored(spark, sf, "requests", lambda s, d: query_requests(sig, CASE_ID))
     ev = stored(spark, sf, "evidence", lambda s, d: auth_evidence(
-        retrieve_evidence(asked, auth_events(s, d))))
+        retrieve_evidence(asked, auth_events(s, d), hashed=True)))
     return sig, asked, ev
 
 
