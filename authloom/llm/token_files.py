@@ -29,6 +29,7 @@ from authloom.llm import bpe, pieces
 from authloom.llm.store import Store, bounded_batches, small_batches
 
 LENGTH = 1024    # ids of a sequence
+READ_TOKENS = 1 << 21  # ids that a task reads back at least
 SEQUENCES = 256  # sequences of a batch
 PIECES = 20_000  # pieces that the library gets at a time
 
@@ -215,7 +216,9 @@ def read_files(files: DataFrame, base: str) -> DataFrame:
                             [places.column(0), pa.array(starts), places.column(2), pa.array(sums, pa.int64())],
                             ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition(max(1, files.count())).mapInArrow(
+    # small files are read several to a task
+    count, tokens = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    return placed.repartition(max(1, min(count, -(-tokens // READ_TOKENS)))).mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
