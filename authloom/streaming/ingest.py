@@ -30,9 +30,10 @@ def stream_auth_lines(spark: SparkSession, nodes: dict[str, str], start: str = "
     out = None
     for folder in _folders(nodes):
         reader = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", max_files)
-        if start == "latest":
-            reader = reader.option("modifiedAfter", since)
-        one = reader.text(folder).select(_plain(_file_path()).alias("file"), "value")
+        one = reader.text(folder)
+        if start == "latest":  # a condition on files, by which older ones are not opened
+            one = one.where(F.col("_metadata.file_modification_time") >= F.lit(since).cast("timestamp"))
+        one = one.select(_plain(_file_path()).alias("file"), "value")
         out = one if out is None else out.union(one)
     return tag_node(out, F.col("file"), nodes).where(
         F.col("node_id").isNotNull() & (unicode_trim(F.col("value")) != ""))

@@ -142,6 +142,7 @@ RAW_VALUE = "CASE WHEN d = 19 THEN '  ' || raw_line || ' ' ELSE raw_line END"
 add("auth_lines", LINES, f"SELECT node_id, {RAW_VALUE} AS value FROM ln")
 add("auth_line_numbers", LINES, "SELECT node_id, CAST(count(*) AS BIGINT) AS lines, true AS dense FROM ln GROUP BY 1")
 add("stream_ingest", LINES, f"SELECT node_id, {RAW_VALUE} AS value FROM ln")
+add("stream_ingest_latest", LINES, f"SELECT node_id, {RAW_VALUE} AS value FROM ln WHERE event_id % 2 = 1")
 add("federated_scan", LINES, f"SELECT node_id, {RAW_VALUE} AS value FROM ln")
 
 ALERTS = f"""{LINES},
@@ -666,6 +667,8 @@ add("recent_cases", "", """SELECT 'case-' || o_orderkey AS case_key, 'node-1' AS
 # --- message tables and streams --------------------------------------------------------------
 add("dead_letter", BUS, """SELECT seq, stream, CASE WHEN attempts >= 3 THEN attempts ELSE attempts + 1 END AS attempts,
  CASE WHEN attempts >= 3 THEN 'dead' ELSE 'retry' END AS fate FROM bus WHERE broken""")
+add("stream_decode", BUS, """SELECT seq, stream, CAST(CASE WHEN broken AND attempts < 3 THEN attempts + 1 ELSE attempts END AS INTEGER) AS attempts,
+ CASE WHEN NOT broken THEN 'good' WHEN attempts >= 3 THEN 'dead' ELSE 'retry' END AS fate FROM bus""")
 add("stream_retention", f"""{BUS},
 yg AS (SELECT *, sum(strlen(payload)) OVER (PARTITION BY stream ORDER BY published_at DESC, seq DESC ROWS UNBOUNDED PRECEDING) AS run
  FROM bus WHERE published_at >= TIMESTAMP '2024-01-20' - to_days(15))""", "SELECT stream, seq FROM yg WHERE run <= 50000")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +90,21 @@ def auth_line_numbers(spark, sf):
         .alias("dense"))
 
 
+@query
+def stream_ingest_latest(spark, sf):
+    """A tail that starts at the end: what was there before its start is not read."""
+    out, lines = shared_dir(spark), t.auth_lines(spark, sf).select("node_id", "line_no", "value")
+    nodes = {f"{out}/logs/node_id=node-{i}": f"node-{i}" for i in range(3)}
+    lines.where("line_no % 2 = 0").drop("line_no").write.partitionBy("node_id").text(f"{out}/logs")
+    time.sleep(1.1)  # files carry the time they were written at, and the start is a whole second
+    since = spark.sql("SELECT date_format(now(), \"yyyy-MM-dd'T'HH:mm:ss\") AS s").first().s
+    time.sleep(1.1)
+    lines.where("line_no % 2 = 1").drop("line_no").write.mode("append").partitionBy("node_id").text(f"{out}/logs")
+    tail = ingest.stream_auth_lines(spark, nodes, start="latest", since=since)
+    ingest.to_table(tail, f"{out}/lines", f"{out}/ck").awaitTermination()
+    return spark.read.parquet(f"{out}/lines").select("node_id", "value")
+
+
 @query
 def stream_ingest(spark, sf):
     base, nodes = _written_logs(spark, sf)
@@ -1050,6 +1066,20 @@ def dead_letter(spark, sf):
         "seq", "stream", "attempts", "fate")
 
 
+@query
+def stream_decode(spark, sf):
+    """Messages decoded as they arrive: good ones, ones to deliver again, ones given up."""
+    out = shared_dir(spark)
+    t.bus_messages(spark, sf).write.parquet(f"{out}/bus")
+    places = {fate: f"{out}/{fate}" for fate in ("good", "retry", "dead")}
+    ingest.decode_batches(ingest._stream_parquet(spark, f"{out}/bus"), _MESSAGE, *places.values(), f"{out}/ck").awaitTermination()
+    found = None
+    for fate, path in places.items():
+        one = spark.read.parquet(path).select("seq", "stream", "attempts", F.lit(fate).alias("fate"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 @query
 def stream_retention(spark, sf):
     return messages.retain_stream(t.bus_messages(spark, sf), at("2024-01-20 00:00:00"), 15 * t.DAY, 50_000).select(

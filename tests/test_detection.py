@@ -206,3 +206,23 @@ def test_cooldown_of_one_key_spreads(spark, block):
         tasks = judged.where("group_key = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         assert tasks > 2
+
+
+@pytest.mark.parametrize("kind", ["json", "yaml"])
+def test_rules_of_a_catalog_file(spark, tmp_path, kind):
+    """A catalog file from reading to fires, with what makes no rule named."""
+    rules = [*fixed.DEFAULT_RULES, {"id": "broken"}]
+    path = tmp_path / f"rules.{kind}"
+    if kind == "yaml":
+        yaml = pytest.importorskip("yaml")
+        path.write_text(yaml.safe_dump({"rules": rules}), encoding="utf-8")
+    else:
+        path.write_text(json.dumps({"rules": rules}), encoding="utf-8")
+    loaded = rule_ops.load_rules(str(path))
+    usable, problems = rule_ops.normalise(loaded)
+    assert len(usable) == len(fixed.DEFAULT_RULES) and problems == [f"rule {len(usable)}: has no process or no patterns"]
+    items = [(k, "LOCAL_SSH_BRUTE_FORCE", "hot", "u") for k in range(0, 900, 3)]
+    got = {(r.rule_id, r.group_key, int((r.timestamp - T0).total_seconds()), r.window_count) for r in fired(spark, items, loaded).collect()}
+    assert got == brute_fires(items, fixed.DEFAULT_RULES) and got
+    (tmp_path / "empty.json").write_text("null")
+    assert rule_ops.load_rules(str(tmp_path / "empty.json")) == []
