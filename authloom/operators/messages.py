@@ -27,6 +27,17 @@ def decode(messages: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     return good, tried.where(F.col("body").isNull()).drop("body")
 
 
+def typed_fields(messages: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Messages with typed fields of their payloads (``fields``: name to type), whatever else these hold.
+
+    Each payload is parsed once into a variant. A field that is absent or of another type is NULL, and so
+    are all fields of a payload that is no JSON.
+    """
+    parsed = computed_once(messages.withColumn("_body", F.try_parse_json("payload")), messages.columns)
+    return parsed.select(*messages.columns, *[
+        F.try_variant_get("_body", f"$['{name}']", kind).alias(name) for name, kind in fields.items()])
+
+
 def retry_or_dead_letter(failed: DataFrame,
                          max_deliveries: int = fixed.MAX_DELIVERIES) -> tuple[DataFrame, DataFrame]:
     """Failed messages to deliver again (attempt counted up) and those given up.

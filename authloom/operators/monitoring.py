@@ -126,3 +126,15 @@ def recent_cases(analysed: DataFrame, n: int = 10, node: str | None = None,
         out = out.where(F.col("event_type") == event_type)
     return out.orderBy(F.desc("at"), F.desc("case_key")).limit(n).select(
         "case_key", "node_id", "event_type", "at")
+
+
+def payload_figures(events: DataFrame) -> DataFrame:
+    """Per side and type: events, the evidence rows that their payloads tell of, and payloads that name a signal.
+
+    Payloads of different types have different fields; each is read as a variant.
+    """
+    body = F.try_parse_json("payload")
+    got = events.withColumn("_rows", F.try_variant_get(body, "$.evidence_count", "bigint")).withColumn(
+        "_signal", F.try_variant_get(body, "$.signal_id", "string"))
+    return got.groupBy("source", "event_type").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("_rows").alias("evidence_rows"), F.count("_signal").alias("with_signal"))

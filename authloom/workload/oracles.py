@@ -667,6 +667,12 @@ add("recent_cases", "", """SELECT 'case-' || o_orderkey AS case_key, 'node-1' AS
 # --- message tables and streams --------------------------------------------------------------
 add("dead_letter", BUS, """SELECT seq, stream, CASE WHEN attempts >= 3 THEN attempts ELSE attempts + 1 END AS attempts,
  CASE WHEN attempts >= 3 THEN 'dead' ELSE 'retry' END AS fate FROM bus WHERE broken""")
+add("message_fields", BUS, """SELECT seq, stream, attempts, CASE WHEN NOT broken THEN 'sig-' || seq END AS signal_id,
+ CASE WHEN NOT broken THEN CAST(user_id AS BIGINT) END AS matched_count, CASE WHEN NOT broken THEN true END AS extra,
+ CAST(NULL AS INTEGER) AS rule_id FROM bus""")
+add("monitor_payloads", MONITOR, """SELECT source, event_type, count(*) AS events,
+ CAST(sum(CAST(nullif(regexp_extract(payload, '"evidence_count":([0-9]+)', 1), '') AS BIGINT)) AS BIGINT) AS evidence_rows,
+ count(*) FILTER (contains(payload, '"signal_id":')) AS with_signal FROM me GROUP BY ALL""")
 add("stream_decode", BUS, """SELECT seq, stream, CAST(CASE WHEN broken AND attempts < 3 THEN attempts + 1 ELSE attempts END AS INTEGER) AS attempts,
  CASE WHEN NOT broken THEN 'good' WHEN attempts >= 3 THEN 'dead' ELSE 'retry' END AS fate FROM bus""")
 add("stream_retention", f"""{BUS},

@@ -1066,6 +1066,18 @@ def dead_letter(spark, sf):
         "seq", "stream", "attempts", "fate")
 
 
+@query
+def message_fields(spark, sf):
+    """Typed fields of all payloads, broken ones included."""
+    return messages.typed_fields(t.bus_messages(spark, sf), {"signal_id": "string", "matched_count": "bigint", "extra": "boolean", "rule_id": "int"}).drop(
+        "payload", "published_at")
+
+
+@query
+def monitor_payloads(spark, sf):
+    return monitoring.payload_figures(monitor_events(spark, sf))
+
+
 @query
 def stream_decode(spark, sf):
     """Messages decoded as they arrive: good ones, ones to deliver again, ones given up."""
