@@ -357,8 +357,10 @@ add("verify_ref_parts", f"""{REFS},
 dn AS (SELECT *, row_number() OVER (PARTITION BY case_key ORDER BY ord, evidence_id) AS position FROM dang)""",
     """SELECT case_key, (position - 1) // 3 + 1 AS part, count(*) AS n,
  '''' || string_agg(evidence_id, ''', ''' ORDER BY position) || '''' AS listed FROM dn GROUP BY ALL""")
-add("lineage_chain", EVIDENCE, """SELECT s.signal_id, s.raw_ref AS signal_ref, r.query_id, e.evidence_id, e.lineage_id, e.raw_ref
- FROM sig s LEFT JOIN req r USING (signal_id) LEFT JOIN evd e ON e.query_id = r.query_id""")
+_CHAIN = """SELECT s.signal_id, s.raw_ref AS signal_ref, r.query_id, e.evidence_id, e.lineage_id, e.raw_ref
+ FROM sig s LEFT JOIN req r USING (signal_id) LEFT JOIN evd e ON e.query_id = r.query_id"""
+add("lineage_chain", EVIDENCE, _CHAIN)
+add("lineage_live", EVIDENCE, _CHAIN)
 _KIND = case_of("rule_id", fixed.TRIAGE_EVENT_TYPE, "'unknown'")
 _ADVICE = {k: "; ".join(v) for k, v in fixed.ACTIONS.items()}
 add("lookup_enrich", CASES, f"""SELECT ord, {_KIND} AS event_type, {case_of('rule_id', fixed.TRIAGE_PRIORITY)} AS priority,

@@ -22,7 +22,7 @@ from authloom.plans import cases as case_plan
 from authloom.plans import gateway, hunt
 from authloom.sources import files, registry, sinks
 from authloom.sources.scratch import materialize, shared_dir
-from authloom.streaming import detect, ingest
+from authloom.streaming import detect, ingest, lineage
 from authloom.workload import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1172,6 +1172,24 @@ def rule_reload_live(spark, sf):
     return _fires_of(spark, out)
 
 
+@query
+def lineage_live(spark, sf):
+    """Lineage by stream-stream joins, landed in two pieces with a restart between them."""
+    out = shared_dir(spark)
+    sig, asked, found = _chain(spark, sf)
+    sig = sig.withColumn("at", F.col("event_time").cast("timestamp"))
+    asked = asked.select("query_id", "signal_id").join(sig.select("signal_id", "at"), "signal_id")
+    found = found.select("evidence_id", "query_id", "lineage_id", "raw_ref").join(asked.select("query_id", "at"), "query_id")
+    half = F.lit(_HALF).cast("timestamp")
+    for piece in (F.col("at") < half, F.col("at") >= half):
+        for name, rows in (("signals", sig.select("signal_id", "raw_ref", "at")), ("requests", asked), ("evidence", found)):
+            lineage.land(rows.where(piece), f"{out}/{name}")
+        lineage.run_lineage(spark, out, f"{out}/chains", f"{out}/ck", delay=_LATE)
+    lineage.land_ends(spark, out)
+    lineage.run_lineage(spark, out, f"{out}/chains", f"{out}/ck", delay=_LATE)
+    return lineage.read_lineage(spark, f"{out}/chains")
+
+
 @query
 def state_cleanup(spark, sf):
     """Fires per rule, with the state that is left once all keys have gone quiet."""

@@ -71,3 +71,24 @@ assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerC
 """
     done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_live_lineage(spark, tmp_path):
+    """Signals without request and requests without evidence are reported in the end; what comes late is not joined."""
+    from authloom.streaming import lineage
+
+    minute = lambda m: f"timestamp'2024-01-01' + make_dt_interval(0, 0, cast({m} as int))"
+    rows = {"signals": spark.range(20).selectExpr("'s' || id AS signal_id", "'ref' || id AS raw_ref", f"{minute('id * 7')} AS at"),
+            "requests": spark.range(0, 20, 2).selectExpr("'q' || id AS query_id", "'s' || id AS signal_id", f"{minute('id * 7 + 1')} AS at"),
+            "evidence": spark.range(0, 20, 4).selectExpr(
+                "'e' || id AS evidence_id", "'q' || id AS query_id", "'q:' || id AS lineage_id", "'r' || id AS raw_ref",
+                f"{minute('id * 7 + if(id = 8, 30, 2)')} AS at")}
+    base, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    for lo, hi in ((0, 60), (60, 500)):
+        for name, df in rows.items():
+            lineage.land(df.where(f"at >= {minute(lo)} AND at < {minute(hi)}"), f"{base}/{name}")
+        lineage.run_lineage(spark, base, out, ck)
+    lineage.land_ends(spark, base)
+    lineage.run_lineage(spark, base, out, ck)
+    got = {r.signal_id: (r.query_id, r.evidence_id) for r in lineage.read_lineage(spark, out).collect()}
+    assert got == {f"s{k}": (f"q{k}" if k % 2 == 0 else None, f"e{k}" if k % 4 == 0 and k != 8 else None) for k in range(20)}
