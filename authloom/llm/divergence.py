@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from authloom.llm.store import Store, small_batches
-from authloom.llm.words import slices, text_bytes
+from authloom.llm.words import parts, slices, text_bytes
 
 SCALE = 1_000_000_000
 LEAST_DOCS = 3
@@ -57,7 +57,10 @@ def _counted(batches):
             for k in range(lo, hi):
                 terms = held[lang[k], source[k]]
                 get, before = terms.get, len(terms)
-                for term, n in Counter(data[offsets[k]:offsets[k + 1]].tobytes().translate(_LOWER).split()).items():
+                counter: Counter[bytes] = Counter()
+                for part in parts(data[offsets[k]:offsets[k + 1]].tobytes().translate(_LOWER)):
+                    counter.update(part.split())
+                for term, n in counter.items():
                     terms[term] = get(term, 0) + n + _DOC
                 size += len(terms) - before
             if size > HELD:

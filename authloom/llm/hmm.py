@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from authloom.llm.store import Store, small_batches
-from authloom.llm.words import mix, slices, text_bytes
+from authloom.llm.words import mix, parts, slices, text_bytes
 
 STATES = 8
 ROUNDS = 5
@@ -89,7 +89,8 @@ def _count(batches):
         held[END] += rows.num_rows
         for lo, hi in slices(offsets):
             # a blank between texts: no word runs over
-            held.update(words_of(b" ".join([data[offsets[k]:offsets[k + 1]].tobytes() for k in range(lo, hi)])))
+            for part in parts(b" ".join([data[offsets[k]:offsets[k + 1]].tobytes() for k in range(lo, hi)])):
+                held.update(words_of(part))
             if len(held) > HELD:
                 yield batch()
                 held.clear()
@@ -129,18 +130,24 @@ def _coded(classes):
             data, offsets = text_bytes(rows.column(2))
             n, own, own_log, codes, rare = [], [], [], [], []
             for k in range(rows.num_rows):
-                words = words_of(data[offsets[k]:offsets[k + 1]].tobytes())
-                words.append(END)
-                code = np.array([get(w, -1) for w in words], dtype=np.int32)
-                other = np.flatnonzero(code < 0)
-                frequent = code[code >= 0]
-                some = [words[i] for i in other.tolist()]
-                code[other] = [suffix[crc32(w[-SUFFIX_BYTES:]) % SUFFIXES] for w in some]
-                n.append(len(words))
-                own.append(len(frequent))
-                own_log.append(float(log[frequent].sum()))
+                coded, others, seen, seen_log = [], [], 0, 0.0
+                for part in (*parts(data[offsets[k]:offsets[k + 1]].tobytes()), None):
+                    words = [END] if part is None else words_of(part)
+                    code = np.array([get(w, -1) for w in words], dtype=np.int32)
+                    other = np.flatnonzero(code < 0)
+                    frequent = code[code >= 0]
+                    some = [words[i] for i in other.tolist()]
+                    code[other] = [suffix[crc32(w[-SUFFIX_BYTES:]) % SUFFIXES] for w in some]
+                    seen += len(frequent)
+                    seen_log += float(log[frequent].sum())
+                    coded.append(code)
+                    others += some
+                code = np.concatenate(coded)
+                n.append(len(code))
+                own.append(seen)
+                own_log.append(seen_log)
                 codes.append(code.astype("<u4").tobytes())
-                rare.append(some)
+                rare.append(others)
             ids = np.arange(row, row + rows.num_rows)
             row += rows.num_rows
             yield pa.RecordBatch.from_arrays(

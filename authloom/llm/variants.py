@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from authloom.llm.store import Store, small_batches
+from authloom.llm.words import parts
 
 RUN_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0xC0 else 32 for b in range(256))
 HELD = 200_000   # words that a task adds up before it emits them
@@ -58,7 +59,10 @@ def _words(least_length: int, drop_every: int):
                 if not text:
                     continue
                 start, get = crc32(((doc.as_py() or "") + ":").encode()), held.get
-                for word, n in Counter(text.encode("latin-1", "replace").translate(RUN_LETTERS).split()).items():
+                counter: Counter[bytes] = Counter()
+                for part in parts(text.encode("latin-1", "replace").translate(RUN_LETTERS)):
+                    counter.update(part.split())
+                for word, n in counter.items():
                     if len(word) < least_length:
                         continue
                     h = crc32(word if word.isascii() else word.decode("latin-1").encode(), start)

@@ -88,6 +88,25 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+PART_BYTES = 1 << 22
+BLANKS = [bytes([b]) for b in (0x20, *range(0x09, 0x0E))]
+
+
+def parts(text: bytes, most: int = PART_BYTES) -> Iterator[bytes]:
+    """A text in parts of about ``most`` bytes that end before a blank, so that no list of words grows with it.
+
+    A word longer than that stays whole.
+    """
+    lo = 0
+    while len(text) - lo > most:
+        hi = max(text.rfind(b, lo + 1, lo + most) for b in BLANKS)
+        if hi < 0:
+            hi = min((k for k in (text.find(b, lo + most) for b in BLANKS) if k >= 0), default=len(text))
+        yield text[lo:hi]
+        lo = hi
+    yield text[lo:]
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end of every word, and the n + 1 word offsets of the rows.
 

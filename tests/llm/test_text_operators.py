@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from authloom.llm import chat, pii, quality, token_counts
 from authloom.llm.store import Store
+from authloom.llm.words import parts
 from tests.llm.helpers import documents, words
 
 CONVERSATIONS = "conv_id long, turn long, role string, text string, pos string, conv string, part string"
@@ -322,3 +323,14 @@ def test_descent_equals_a_plain_solver(monkeypatch, epochs, near):
     own[85] = bias
     assert loss(best) <= 1.0001 * loss(own) and loss(own) <= near * loss(best)
     assert np.corrcoef(x @ own, x @ best)[0, 1] > 0.995
+
+
+def test_parts_of_a_long_text():
+    """Cut before blanks only, whatever their kind; nothing is lost."""
+    rng = random.Random(8)
+    for most in (5, 12, 40):
+        text = b"".join(rng.choice([b" ", b"\n", b"\x0b", b"a", b"bc", b"def" * 9]) for _ in range(400))
+        got = list(parts(text, most))
+        assert b"".join(got) == text and [w for p in got for w in p.split()] == text.split()
+        assert max(map(len, got)) <= max(most, 27 * 8)
+    assert list(parts(b"", 3)) == [b""] and list(parts(b"x" * 10, 3)) == [b"x" * 10, b""]
