@@ -69,7 +69,7 @@ def test_equals_plain_program(spark, most):
     texts = corpus(most, 120) + EDGES
     want = plain(texts)
     assert got(variants.variant_forms(documents(spark, texts, extra=True), most=most)) == want
-    assert max(k[4] for k in want) >= 3
+    assert sum(k[4] for k in want) > 5 and any(k[1] for k in want)
 
 
 def test_chains_lead_to_their_end(spark):
