@@ -16,6 +16,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,11 +121,11 @@ def _tile(table: pa.Table) -> pa.Table:
     Rows without term name the sources of both sides with their share of what they don't have.
     """
     lang, i, j = (table.column(c)[0].as_py() for c in ("lang", "i", "j"))
-    heads = table.filter(pa.compute.is_null(table.column("term")))
+    heads = table.filter(pc.is_null(table.column("term")))
     names, base = heads.column("source").combine_chunks(), np.asarray(heads.column("p"))
     block = np.asarray(heads.column("block"))
-    rows = table.filter(pa.compute.is_valid(table.column("term")))
-    at = np.asarray(pa.compute.index_in(rows.column("source"), names)).astype(np.int64)
+    rows = table.filter(pc.is_valid(table.column("term")))
+    at = np.asarray(pc.index_in(rows.column("source"), names)).astype(np.int64)
     term = rows.column("term").combine_chunks().dictionary_encode()
     if isinstance(term, pa.ChunkedArray):
         term = term.combine_chunks()
