@@ -147,3 +147,18 @@ def test_unlimited_requests_of_one_node_spread(spark):
             spark.conf.set(k, v)
     assert [per_query[f"q{k}"] for k in range(5)] == [10_000] * 4 + [3] and sum(per_query.values()) == 60_003
     assert max(per_task) < 3 * sorted(per_task)[len(per_task) // 2]
+
+
+def test_many_questions_are_not_broadcast(spark, tmp_path):
+    """A question stands in many parts; what is small as a file is not small then."""
+    spark.range(20_000).selectExpr(
+        "'q' || id AS query_id", "'n' AS node_id", "'auth_log' AS source", "named_struct('src_ip', 'ip' || id) AS filters",
+        "CASE id % 2 WHEN 0 THEN 0 ELSE 5 END AS limit").write.parquet(str(tmp_path / "asked"))
+    cols = ", ".join(f"CAST(NULL AS STRING) AS {c}" for c in ("process", "log_type", "dst_user"))
+    spark.range(400_000).selectExpr(
+        "id", "'n' AS node_id", "'ip' || id AS src_ip", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS timestamp", "sha2(CAST(id AS STRING), 256) AS raw",
+        *cols.split(", ")).write.parquet(str(tmp_path / "rows"))
+    found = evidence.retrieve_evidence(spark.read.parquet(str(tmp_path / "asked")), spark.read.parquet(str(tmp_path / "rows")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "[_key" in plan and "BroadcastHashJoin [_key" not in plan
+    assert found.count() == 20_000
