@@ -145,27 +145,43 @@ def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
     )
 
 
-GRAM = 4  # characters of a literal piece by which a pattern is found
+GRAMS = (4, 8)  # characters of the literal pieces by which a pattern is found
+WORDS = 1 << 19  # of 64 bits, that tell which pieces an index may have (4 MB)
 
 
 def _grams(text: str) -> str:
-    """SQL for all pieces of ``GRAM`` characters of a text, and the empty one."""
-    return (f"array_union(array(''), if(length({text}) < {GRAM}, array(), transform(sequence(1, length({text}) - {GRAM - 1}), "
-            f"i -> substring({text}, i, {GRAM}))))")
+    """SQL for all pieces of ``GRAMS`` characters of a text, and the empty one."""
+    pieces = "".join(f", if(length({text}) < {n}, array(), transform(sequence(1, length({text}) - {n - 1}), i -> substring({text}, i, {n})))"
+                     for n in GRAMS)
+    return f"array_distinct(concat(array(''){pieces}))"
+
+
+def _bit(process: str, gram: str) -> Column:
+    return F.pmod(F.xxhash64(process, gram), F.lit(64 * WORDS))
+
+
+def _piece_bits(index: DataFrame) -> Column:
+    """The pieces of an index as hashed bits of ``WORDS`` numbers, whatever the size of the index."""
+    bit = _bit("process", "gram")
+    some = index.select(F.shiftright(bit, 6).alias("id"), F.expr("1L").alias("one"), (bit % 64).cast("int").alias("at"))
+    words = some.groupBy("id").agg(F.expr("bit_or(shiftleft(one, at))").alias("word"))
+    every = index.sparkSession.range(WORDS).join(words, "id", "left")
+    return every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0)).alias("word")))).alias("w")).select(
+        F.col("w.word")).scalar()
 
 
 def pattern_index(catalog: DataFrame) -> DataFrame:
     """``process, gram`` and the rule with ``pattern`` and its number: every pattern of a catalog under one piece.
 
     A pattern stands under the piece of its literal parts that the fewest patterns of its process have; one
-    without a literal part of ``GRAM`` characters stands under the empty piece, which every message has.
+    without a literal part of as many characters as the shortest of ``GRAMS`` stands under the empty piece, which every message has.
     """
     each = catalog.select("*", F.posexplode("patterns").alias("no", "pattern")).where("pattern IS NOT NULL")
     pieces = each.select("rule_id", "process", "no", F.explode(F.expr(
         f"array_distinct(flatten(transform(split(pattern, '[%_]'), f -> {_grams('f')})))")).alias("gram"))
     shared = pieces.groupBy("process", "gram").agg(F.count(F.lit(1)).alias("n"))
     # the empty piece only where there is no other
-    rank = F.struct(F.col("gram") == "", F.col("n"), F.col("gram"))
+    rank = F.struct(F.col("gram") == "", F.col("n"), -F.length("gram"), F.col("gram"))
     chosen = pieces.join(shared, ["process", "gram"]).groupBy("rule_id", "process", "no").agg(F.min_by("gram", rank).alias("gram"))
     return each.join(chosen, ["rule_id", "process", "no"])
 
@@ -173,23 +189,31 @@ def pattern_index(catalog: DataFrame) -> DataFrame:
 def match_catalog(events: DataFrame, catalog: DataFrame) -> DataFrame:
     """``match_rules`` for a catalog that is data (columns of ``parse_catalog``), however many rules it has.
 
-    Rules are found by an index of literal pieces of their patterns: messages are cut into pieces, pieces are
-    joined with the index, LIKE confirms, and a rule counts once for an event, by the first of its patterns
-    that matches. The plan does not depend on the catalog. Rule ids have to be distinct. A rule that groups by
+    Rules are found by an index of literal pieces of their patterns: distinct messages are cut into pieces, those
+    that the index may have are joined with it, LIKE confirms, and a rule counts once for a message, by the first
+    of its patterns that matches; events get the rules of their message. The plan does not depend on the catalog.
+    All joins are by shuffle: the planner takes messages cut into pieces to be as small as their files. Rule ids have to be distinct. A rule that groups by
     a column which events do not have raises an error when it matches.
     """
-    held = pattern_index(catalog).select(
+    index = pattern_index(catalog)
+    held = index.select(
         F.col("process").alias("_process"), F.col("gram").alias("_gram"), F.col("no").alias("_no"),
         F.col("patterns").alias("_patterns"), "rule_id", F.col("count").cast("int").alias("need"),
         F.col("window_seconds").cast("int").alias("window_seconds"),
         F.col("cooldown_seconds").cast("int").alias("cooldown_seconds"), F.col("group_by").alias("_by"))
-    hit = "message LIKE concat('%', replace(p, '\\\\', '\\\\\\\\'), '%')"
+    hit = "_message LIKE concat('%', replace(p, '\\\\', '\\\\\\\\'), '%')"
     value = "CASE " + " ".join(f"WHEN _by = '{c}' THEN CAST(`{c}` AS STRING)" for c in events.columns)
     value += " WHEN _by IS NOT NULL THEN raise_error(concat('rule ', rule_id, ' groups by ', _by, ', which events do not have')) END"
-    pieces = events.withColumn("_piece", F.explode(F.expr(_grams("message"))))
-    found = pieces.join(held, [F.col("process") == F.col("_process"), F.col("_piece") == F.col("_gram")])
+    texts = events.select(F.col("process").alias("_of"), F.col("message").alias("_message")).distinct()
+    bit = _bit("_of", "_piece")
+    may = F.get(_piece_bits(index), F.shiftright(bit, 6).cast("int"))
+    pieces = texts.withColumn("_piece", F.explode(F.expr(_grams("_message")))).where(
+        F.getbit(may, (bit % 64).cast("int")) == 1)
+    found = pieces.join(held.hint("merge"), [F.col("_of") == F.col("_process"), F.col("_piece") == F.col("_gram")])
     first = F.expr(f"array_position(transform(_patterns, p -> coalesce({hit}, false)), true) = _no + 1")
-    return found.where(first).withColumn("group_key", F.coalesce(F.expr(value), F.lit(fixed.GLOBAL_GROUP))).select(
+    found = found.where(first).drop("_process", "_piece", "_gram", "_no", "_patterns")
+    each = events.join(found.hint("merge"), [F.col("process") == F.col("_of"), F.col("message") == F.col("_message")])
+    return each.withColumn("group_key", F.coalesce(F.expr(value), F.lit(fixed.GLOBAL_GROUP))).select(
         *events.columns, "rule_id", "need", "window_seconds", "cooldown_seconds", "group_key")
 
 

@@ -226,3 +226,21 @@ def test_rules_of_a_catalog_file(spark, tmp_path, kind):
     assert got == brute_fires(items, fixed.DEFAULT_RULES) and got
     (tmp_path / "empty.json").write_text("null")
     assert rule_ops.load_rules(str(tmp_path / "empty.json")) == []
+
+
+def test_messages_cut_into_pieces_stay_off_the_driver(spark, tmp_path):
+    """Pieces of messages are many rows of a small file: they are shuffled, and only those that rules may have."""
+    spark.range(2000).selectExpr("id", "'n' AS node_id", "'sshd' AS process", "'Failed password for user' || id || ' from 10.0.0.1' AS message",
+                                 "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS timestamp").write.parquet(str(tmp_path / "ev"))
+    rules = [{"id": f"R{i}", "match": {"process": "sshd", "patterns": [f"user{i} from", "no such"]}} for i in (7, 1234, 99999)]
+    found = rule_ops.match_catalog(spark.read.parquet(str(tmp_path / "ev")), catalog_of(spark, rules))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [process" not in plan and "BroadcastHashJoin [_of" not in plan
+    assert sorted((r.id, r.rule_id) for r in found.collect()) == [(7, "R7"), (1234, "R1234")]
+
+
+def test_a_pattern_stands_under_its_most_telling_piece(spark):
+    """Numbered patterns share pieces of four characters with many others, but not their longer ones."""
+    rules = [{"id": f"R{i}", "match": {"process": "sshd", "patterns": [f"port {i}%ssh2"]}} for i in range(100000, 103000)]
+    most = rule_ops.pattern_index(catalog_of(spark, rules)).groupBy("gram").count().agg({"count": "max"}).first()[0]
+    assert most == 1
