@@ -142,10 +142,11 @@ def _gram_bits(text: Column) -> Column:
 def write_text_index(spark: SparkSession, path: str, column: str, index: str) -> None:
     """``file, bucket, bits``: which pieces of text each file of a table has in a column, as hashed bitmaps.
 
-    At most ``BITS / 8`` bytes (32 kB) a file, whatever its size.
+    At most ``BITS / 8`` bytes (32 kB) a file, whatever its size; a task holds the distinct bits of its files, for
+    the rows of every piece would have to be sorted before they become bitmaps.
     """
     rows = spark.read.parquet(path).select(
-        F.col("_metadata.file_path").alias("file"), F.explode(_gram_bits(F.col(column))).alias("bit"))
+        F.col("_metadata.file_path").alias("file"), F.explode(_gram_bits(F.col(column))).alias("bit")).distinct()
     (rows.groupBy("file", F.bitmap_bucket_number("bit").alias("bucket"))
      .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).write.mode("overwrite").parquet(index))
 

@@ -207,3 +207,15 @@ def test_search_reads_only_files_that_may_hold_the_text(spark, tmp_path):
         want = sinks.search(spark.read.parquet(path), None, ("text", needle), 10_000, ["n"])
         assert got.collect() == want.collect()
     assert len(sinks.search_files(spark, path, index, "text", "file3 row 1", None, 10, ["n"]).inputFiles()) == 1
+
+
+def test_text_index_sorts_distinct_bits_only(spark, tmp_path, monkeypatch):
+    spark.range(5000).selectExpr("'the same text' AS text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    sinks.write_text_index(spark, str(tmp_path / "t"), "text", str(tmp_path / "i"))
+    bits = F.sum(F.bitmap_count("bits"))
+    assert spark.read.parquet(str(tmp_path / "i")).agg(bits).first()[0] == len({"the same text"[k:k + 3] for k in range(11)})
+    seen, kind = [], type(spark.range(1))
+    group = kind.groupBy
+    monkeypatch.setattr(kind, "groupBy", lambda df, *c: seen.append(df) or group(df, *c))
+    sinks.write_text_index(spark, str(tmp_path / "t"), "text", str(tmp_path / "j"))
+    assert [df.count() for df in seen] == [11]
