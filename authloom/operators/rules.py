@@ -180,10 +180,10 @@ def pattern_index(catalog: DataFrame) -> DataFrame:
     pieces = each.select("rule_id", "process", "no", F.explode(F.expr(
         f"array_distinct(flatten(transform(split(pattern, '[%_]'), f -> {_grams('f')})))")).alias("gram"))
     shared = pieces.groupBy("process", "gram").agg(F.count(F.lit(1)).alias("n"))
-    # the empty piece only where there is no other
+    # the empty piece only where there is no other; exploded tables pass for small ones, so joins are told to shuffle
     rank = F.struct(F.col("gram") == "", F.col("n"), -F.length("gram"), F.col("gram"))
-    chosen = pieces.join(shared, ["process", "gram"]).groupBy("rule_id", "process", "no").agg(F.min_by("gram", rank).alias("gram"))
-    return each.join(chosen, ["rule_id", "process", "no"])
+    chosen = pieces.join(shared.hint("merge"), ["process", "gram"]).groupBy("rule_id", "process", "no").agg(F.min_by("gram", rank).alias("gram"))
+    return each.join(chosen.hint("merge"), ["rule_id", "process", "no"])
 
 
 def match_catalog(events: DataFrame, catalog: DataFrame) -> DataFrame:
