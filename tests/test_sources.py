@@ -219,3 +219,17 @@ def test_text_index_sorts_distinct_bits_only(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(kind, "groupBy", lambda df, *c: seen.append(df) or group(df, *c))
     sinks.write_text_index(spark, str(tmp_path / "t"), "text", str(tmp_path / "j"))
     assert [df.count() for df in seen] == [11]
+
+
+def test_runs_of_signals_retrieve_no_evidence(spark, tmp_path):
+    """Loads of signals and requests don't build the stage table of evidence, which nothing of theirs reads."""
+    from authloom.workload import tables
+    from authloom.workload.queries import QUERIES
+
+    spark.range(300).selectExpr(
+        "id AS event_id", "timestamp'2024-01-01' + make_dt_interval(0, 0, cast(id as int)) AS ts", "id % 7 AS user_id",
+        "element_at(array('error', 'click', 'view', 'signup', 'purchase'), cast(id % 5 as int) + 1) AS event_type",
+        "1D AS value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["committed_runs"](spark, str(tmp_path)).count() > 0
+    built = {name for _, sf, name in tables._STORED if sf == str(tmp_path)}
+    assert "requests" in built and "evidence" not in built
