@@ -2,7 +2,8 @@
 
 The result depends on event times only, not on arrival: a match waits in state until the watermark
 has passed it, then instants are judged in order. Keys are (node, rule, group), so the state of a
-key is at most one rule window plus what is still in flight.
+key is at most one rule window plus what is still in flight. Keys are judged in a fixed number of
+shards: a call and its state operations cost more than the few instants of a key.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
-from pyspark.sql.types import (
-    BooleanType, IntegerType, LongType, StringType, StructField, StructType,
-)
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from authloom.operators.detection import _accepted
 from authloom.operators.rules import matches
@@ -31,90 +32,118 @@ _OUT = StructType([
 ])
 
 
-class ThresholdProcessor(StatefulProcessor):
-    """Sliding threshold with cool-down for one (node, rule, group, rules version, flush flag).
-
-    Rows with the flag only move the watermark; they leave no state.
+SHARDS = 1024  # groups of keys that are judged together; the state of one is about that part of the whole
+_KEYED = ["node_id", "rule_id", "group_key", "rules_version"]
+_RULE = ["need", "window_seconds", "cooldown_seconds"]
+# the keys of a shard with their rules (an Arrow stream), and rows of (number of the key, instant, matches, kind)
+_STATE = StructType([StructField(c, BinaryType()) for c in ("keys", "code", "us", "n", "kind")])
+_WAITING, _JUDGED, _FIRED = 0, 1, 2  # kinds: judged rows stay for one window, a key has one row for its last fire
+
+
+def _packed(keys: pd.DataFrame, rows: pd.DataFrame) -> tuple:
+    table = pa.Table.from_pandas(keys, preserve_index=False)
+    with (out := pa.BufferOutputStream()), pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return (out.getvalue().to_pybytes(), *(rows[c].to_numpy(t).tobytes() for c, t in _ROWS.items()))
+
+
+_ROWS = {"code": np.int32, "us": np.int64, "n": np.int64, "kind": np.int8}
+
+
+def _unpacked(state: tuple) -> tuple[pd.DataFrame, pd.DataFrame]:
+    keys = pa.ipc.open_stream(bytes(state[0])).read_all().to_pandas()
+    return keys, pd.DataFrame({c: np.frombuffer(bytes(b), dtype=t) for (c, t), b in zip(_ROWS.items(), state[1:])})
+
+
+def _with_fresh(keys: pd.DataFrame, rows: pd.DataFrame, fresh: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Keys and rows with new matches; the rule that a key was first seen with stays its own."""
+    every = pd.concat([keys, fresh[[*_KEYED, *_RULE]]], ignore_index=True) if len(keys) else fresh[[*_KEYED, *_RULE]]
+    number = every.groupby(_KEYED, dropna=False, sort=False).ngroup().to_numpy()
+    _, first = np.unique(number, return_index=True)  # keys are distinct and come first, so they keep their numbers
+    new = pd.DataFrame({"code": number[len(keys):], "us": fresh["us"].to_numpy(), "n": 1, "kind": _WAITING})
+    return every.iloc[first].reset_index(drop=True), pd.concat([rows, new], ignore_index=True)
+
+
+def _judged(keys: pd.DataFrame, rows: pd.DataFrame, mark: int) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame, int | None]:
+    """Fires of all instants before the watermark ``mark``, then the keys and rows that may still count, and the
+    next instant something is due at."""
+    need, window, cooldown = (keys[c].to_numpy().astype(np.int64) for c in _RULE)
+    window, cooldown = window * _SECOND, cooldown * _SECOND
+    fired_rows = rows[rows["kind"] == _FIRED]
+    last = np.full(len(keys), _NEVER, dtype=np.int64)
+    last[fired_rows["code"].to_numpy()] = fired_rows["us"].to_numpy()
+    counts = rows[rows["kind"] != _FIRED].groupby(["code", "us"], sort=True).agg(n=("n", "sum"), kind=("kind", "max")).reset_index()
+    code, us, n, judged = (counts[c].to_numpy() for c in ("code", "us", "n", "kind"))
+    count = _trailing(code, us, n, window)
+    hit = np.flatnonzero((judged == _WAITING) & (us < mark) & (count >= need[code]))
+    fires = []
+    for at in np.split(hit, np.flatnonzero(np.diff(code[hit])) + 1) if len(hit) else []:
+        k = code[at[0]]
+        accepted, last[k] = _accepted(us[at], int(cooldown[k]), None if last[k] == _NEVER else int(last[k]))
+        fires.append(at[accepted])
+    found = np.concatenate(fires) if fires else hit
+    out = keys.iloc[code[found]][_KEYED[:3]].assign(us=us[found], window_count=count[found])
+    # an instant more than one window behind all that is to come counts for nothing any more
+    left = us >= mark - window[code]
+    code, us, n = code[left], us[left], n[left]
+    # a key is forgotten when nothing can count or be suppressed any more
+    held = np.zeros(len(keys), dtype=bool)
+    held[code] = True
+    held |= (last != _NEVER) & (last + cooldown >= mark)
+    kept = pd.concat([
+        pd.DataFrame({"code": code, "us": us, "n": n, "kind": np.where(us < mark, _JUDGED, _WAITING)}),
+        pd.DataFrame({"code": (lasts := np.flatnonzero(held & (last != _NEVER))), "us": last[lasts], "n": 0, "kind": _FIRED})])
+    # wake when the earliest waiting instant is complete, or a key has gone quiet for good
+    quiet = np.where(held & (last != _NEVER), last + cooldown, _NEVER)
+    np.maximum.at(quiet, code, us + window[code])
+    waits = np.zeros(len(keys), dtype=bool)
+    waits[code[us >= mark]] = True
+    due = np.concatenate((us[us >= mark] // 1000 + 1, quiet[held & ~waits] // 1000 + 2))
+    kept["code"] = (np.cumsum(held) - 1)[kept["code"].to_numpy()]
+    return out, keys[held].reset_index(drop=True), kept, int(due.min()) if len(due) else None
+
+
+_NEVER = -(2**62)
+
+
+def _trailing(code: np.ndarray, us: np.ndarray, n: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Per instant, the matches of its key in [instant - window, instant]; rows are sorted by key and instant."""
+    out = np.zeros(len(us), dtype=np.int64)
+    if not len(us):
+        return out
+    # one ascending axis for as many keys as fit on it, on which no window reaches the key before
+    begin, span = int(us.min()), int(us.max()) - int(us.min()) + int(np.abs(window).max()) + 1
+    step = max(1, 2**62 // span)
+    for k in range(0, int(code[-1]) + 1, step):
+        lo, hi = np.searchsorted(code, (k, k + step))
+        line = us[lo:hi] - begin + (code[lo:hi].astype(np.int64) - k) * span
+        total = np.concatenate(([0], np.cumsum(n[lo:hi])))
+        out[lo:hi] = total[1:] - total[np.searchsorted(line, line - window[code[lo:hi]])]
+    return out
+
+
+def _threshold(shard: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Sliding thresholds with cool-down for the keys (node, rule, group, rules version) of a shard.
+
+    Keys share their calls and their state, so that a trigger costs by the rows it judges and not by the keys.
+    Rows with the flush flag only move the watermark; they leave no state.
     """
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        # (instant, matches, judged): judged ones stay for one window, others wait for the watermark
-        self.counts = handle.getListState("counts", StructType([
-            StructField("us", LongType()), StructField("n", LongType()),
-            StructField("judged", BooleanType())]))
-        self.rule = handle.getValueState("rule", StructType([
-            StructField("need", IntegerType()), StructField("window", LongType()),
-            StructField("cooldown", LongType()), StructField("last", LongType()),
-            StructField("timer", LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        """Append the new instants; each call costs a handful of state operations, whatever its size."""
-        if key[4]:
-            return iter([])
-        rule, fresh = self.rule.get(), []
-        for pdf in rows:
-            if rule is None:
-                rule = (int(pdf["need"].iat[0]), int(pdf["window_seconds"].iat[0]) * _SECOND,
-                        int(pdf["cooldown_seconds"].iat[0]) * _SECOND, None, None)
-            instants, n = np.unique(pdf["us"].to_numpy(), return_counts=True)
-            fresh += [(int(u), int(c), False) for u, c in zip(instants, n)]
-        if fresh:
-            self.counts.appendList(fresh)
-            self.rule.update(self._arm(rule, min(f[0] for f in fresh)))
-        return iter([])
-
-    def _arm(self, rule: tuple, us: int) -> tuple:
-        """Keep one timer, just after the earliest waiting instant."""
-        need, window, cooldown, last, timer = rule
-        due = us // 1000 + 1
-        if timer is None or due < timer:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(due)
-            timer = due
-        return need, window, cooldown, last, timer
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        need, window, cooldown, last, _ = self.rule.get()
-        stored = list(self.counts.get())
-        every = np.array([r[0] for r in stored], dtype=np.int64)
-        us, at = np.unique(every, return_inverse=True)
-        n, judged = np.zeros(len(us), dtype=np.int64), np.zeros(len(us), dtype=bool)
-        np.add.at(n, at, [r[1] for r in stored])
-        np.logical_or.at(judged, at, [r[2] for r in stored])
-        due = int(np.searchsorted(us, mark))  # instants before the watermark are complete
-        waiting = int(us[due]) if due < len(us) else None
-        total = np.concatenate(([0], np.cumsum(n)))
-        count = total[1:] - total[np.searchsorted(us, us - window)]
-        hits = np.flatnonzero(~judged[:due] & (count[:due] >= need))
-        out = []
-        if len(hits):
-            fired, last = _accepted(us[hits], cooldown, last)
-            out = [(*key[:3], int(us[h]), int(count[h])) for h in hits[fired]]
-        # an instant more than one window behind all that is to come counts for nothing any more
-        keep = (mark if waiting is None else min(mark, waiting)) - window
-        left = [(int(u), int(c), bool(u < mark)) for u, c in zip(us, n) if u >= keep]
-        if waiting is not None:
-            self.counts.put(left)
-            self.rule.update(self._arm((need, window, cooldown, last, None), waiting))
-        elif not left and (last is None or last + cooldown < mark):
-            # nothing can count or be suppressed any more: forget the key
-            self.counts.clear()
-            self.rule.clear()
-        else:
-            # wake once more when the key has gone quiet for good
-            end = max([us + window for us, _, _ in left] + [(last or 0) + cooldown]) // 1000 + 2
-            end = max(end, mark // 1000 + 1)
-            self.counts.put(left) if left else self.counts.clear()
-            self.handle.registerTimer(end)
-            self.rule.update((need, window, cooldown, last, end))
-        if out:
-            yield pd.DataFrame(out, columns=[f.name for f in _OUT])
-
-    def close(self) -> None:
-        pass
+    keys, rows = _unpacked(state.get) if state.exists else (pd.DataFrame(columns=[*_KEYED, *_RULE]), pd.DataFrame(
+        {c: np.array([], dtype=t) for c, t in _ROWS.items()}))
+    fresh = [f for f in (pdf[~pdf["flush"].astype(bool)] for pdf in frames) if len(f)] if not state.hasTimedOut else []
+    if fresh:
+        keys, rows = _with_fresh(keys, rows, pd.concat(fresh, ignore_index=True))
+    if not len(keys):
+        return
+    ms = state.getCurrentWatermarkMs()
+    out, keys, rows, due = _judged(keys, rows, ms * 1000)
+    if len(keys):
+        state.update(_packed(keys, rows))
+        state.setTimeoutTimestamp(max(due, ms + 1))
+    else:
+        state.remove()
+    if len(out):
+        yield out
 
 
 def detect_stream(events: DataFrame, rules: list[dict] | DataFrame, delay: str,
@@ -132,12 +161,11 @@ def judge_stream(matched: DataFrame, delay: str) -> DataFrame:
         .withWatermark("timestamp", delay)
         .select("node_id", "rule_id", "group_key", "rules_version", "flush",
                 F.unix_micros("timestamp").alias("us"), "need", "window_seconds",
-                "cooldown_seconds", "timestamp")
+                "cooldown_seconds", "timestamp",
+                F.pmod(F.xxhash64(*_KEYED), F.lit(SHARDS)).alias("shard"))
     )
-    found = matched.groupBy(
-        "node_id", "rule_id", "group_key", "rules_version", "flush").transformWithStateInPandas(
-        statefulProcessor=ThresholdProcessor(), outputStructType=_OUT, outputMode="Append",
-        timeMode="EventTime")
+    found = matched.groupBy("shard").applyInPandasWithState(
+        _threshold, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return found.select(
         "node_id", "rule_id", "group_key", F.timestamp_micros("us").alias("timestamp"), "window_count")
 
@@ -231,8 +259,18 @@ def keys_in_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """``node_id, rule_id, group_key, rules_version, flush, last``: what a finished run still remembers, read from
     its checkpoint."""
     with column_families(spark):
-        rows = spark.read.format("statestore").option("stateVarName", "rule").load(checkpoint)
-        return rows.select("key.*", "value.last")
+        rows = spark.read.format("statestore").load(checkpoint).select("value.groupState.*")
+
+        def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for state in pdf.itertuples(index=False, name=None):
+                    known, held = _unpacked(state)
+                    fired = held[held["kind"] == _FIRED]
+                    last = pd.Series(fired["us"].to_numpy(), index=fired["code"].to_numpy()).reindex(range(len(known)))
+                    yield known[_KEYED].assign(flush=False, last=last.astype("Int64"))
+
+        return rows.mapInPandas(
+            keys, "node_id string, rule_id string, group_key string, rules_version int, flush boolean, last bigint")
 
 
 def windowed_thresholds(events: DataFrame, rules: list[dict], width: str, delay: str,

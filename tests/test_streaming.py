@@ -3,6 +3,7 @@ import subprocess
 import sys
 from datetime import timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from authloom.functions import fixed
@@ -92,3 +93,33 @@ def test_live_lineage(spark, tmp_path):
     lineage.run_lineage(spark, base, out, ck)
     got = {r.signal_id: (r.query_id, r.evidence_id) for r in lineage.read_lineage(spark, out).collect()}
     assert got == {f"s{k}": (f"q{k}" if k % 2 == 0 else None, f"e{k}" if k % 4 == 0 and k != 8 else None) for k in range(20)}
+
+
+def test_keys_share_state_and_are_judged_apart(spark, tmp_path, monkeypatch):
+    """Many keys in few shards: as many state rows as shards, and the fires of every key by itself."""
+    monkeypatch.setattr(detect, "SHARDS", 4)
+    rnd = random.Random(7)
+    groups = [f"10.0.0.{i}" for i in range(60)]
+    items = [(rnd.randrange(3000), rnd.choice(list(MESSAGES)), rnd.choice(groups), rnd.choice("uv")) for _ in range(1500)]
+    source, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    run = lambda: detect.run_detection(spark, source, fixed.DEFAULT_RULES, out, ck, delay="10 minutes")
+    detect.land_events(events(spark, items), source)
+    first = run()
+    held = detect.keys_in_state(spark, ck)
+    keys = held.select("node_id", "rule_id", "group_key", "rules_version")
+    assert 4 < keys.count() == keys.distinct().count()
+    assert held.where("last IS NOT NULL").count() > 0
+    assert first.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+    detect.land_end(spark, source)
+    run()
+    assert detect.keys_in_state(spark, ck).count() == 0
+    got = {(r.rule_id, r.group_key, int((r.timestamp - T0).total_seconds()), r.window_count)
+           for r in spark.read.parquet(out).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).collect()}
+    assert got == brute_fires(items, fixed.DEFAULT_RULES)
+
+
+def test_instants_of_keys_on_several_axes():
+    """Spans so long that only few keys fit on one axis of 64-bit instants."""
+    code, us = np.repeat(np.arange(40), 3), np.tile([-10**17, 10**17 - 5, 10**17], 40)
+    count = detect._trailing(code, us, np.ones(120, dtype=np.int64), np.full(40, 5))
+    assert count.tolist() == [1, 1, 2] * 40
