@@ -123,3 +123,35 @@ def test_instants_of_keys_on_several_axes():
     code, us = np.repeat(np.arange(40), 3), np.tile([-10**17, 10**17 - 5, 10**17], 40)
     count = detect._trailing(code, us, np.ones(120, dtype=np.int64), np.full(40, 5))
     assert count.tolist() == [1, 1, 2] * 40
+
+
+def test_live_lineage_keeps_bundles(spark, tmp_path):
+    """Evidence of a request is one row of state, and a trigger commits no more stores than tasks of two rounds."""
+    from authloom.streaming import lineage
+
+    minute = lambda m: f"timestamp'2024-01-01' + make_dt_interval(0, 0, cast({m} as int))"
+    ids = spark.range(30)
+    each = ids.selectExpr("id", "explode(sequence(0, 19)) AS k").coalesce(1)
+    base, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    lineage.land(ids.selectExpr("'s' || id AS signal_id", "'ref' || id AS raw_ref", f"{minute('id')} AS at"), f"{base}/signals")
+    lineage.land(ids.selectExpr("'q' || id AS query_id", "'s' || id AS signal_id", f"{minute('id')} AS at"), f"{base}/requests")
+    # one of two instants, one of them too late to be joined; equal rows, and rows without id or reference
+    lineage.land(each.selectExpr(
+        "if(k = 7, null, 'e' || id || '-' || k div 2) AS evidence_id", "'q' || id AS query_id", "'q:' || k div 2 AS lineage_id",
+        "if(k = 8, null, 'r' || k div 2) AS raw_ref", f"{minute('id + if(k >= 15, 30, 0)')} AS at"), f"{base}/evidence")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        first = lineage.run_lineage(spark, base, out, ck, delay="2 days")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    state = first.lastProgress["stateOperators"]
+    assert {o["numShufflePartitions"] for o in state} == {2 * spark.sparkContext.defaultParallelism}
+    assert max(int(o["numRowsTotal"]) for o in state) == 30 + 2 * 30
+    lineage.land_ends(spark, base)
+    lineage.run_lineage(spark, base, out, ck, delay="2 days")
+    got = sorted(map(tuple, lineage.read_lineage(spark, out).select("signal_id", "query_id", "evidence_id", "lineage_id", "raw_ref").collect()), key=repr)
+    want = [(f"s{i}", f"q{i}", None if k == 7 else f"e{i}-{k // 2}", f"q:{k // 2}", None if k == 8 else f"r{k // 2}")
+            for i in range(30) for k in range(15)]
+    assert got == sorted(want, key=repr)
+    assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
