@@ -675,9 +675,9 @@ def evidence_alerts(spark, sf):
     return evidence.alert_evidence(found)
 
 
-def _gateway(spark, sf):
+def _gateway(spark, sf, alerts=None):
     return evidence.gateway_evidence(
-        t.alerts(spark, sf), F.concat(F.lit("qry-"), F.col("node_id"), F.lit("-"), F.col("rule.id")))
+        alerts or t.alerts(spark, sf), F.concat(F.lit("qry-"), F.col("node_id"), F.lit("-"), F.col("rule.id")))
 
 
 @query
@@ -726,9 +726,11 @@ def normalize_alerts(spark, sf):
 
 @query
 def normalized_union(spark, sf):
+    # of both kinds of evidence it reads four columns
+    found, alerts = t.unless_stored(spark, sf, "evidence", t.answers), t.unless_stored(spark, sf, "alerts", t.made_alerts)
     both = normalize.union_evidence(
-        normalize.normalize_auth(_chain(spark, sf)[2], _now_text()),
-        normalize.normalize_alerts(normalize.alert_fields(_gateway(spark, sf)), _now_text()))
+        normalize.normalize_auth(found, _now_text()),
+        normalize.normalize_alerts(normalize.alert_fields(_gateway(spark, sf, alerts)), _now_text()))
     return both.groupBy("source", "rule_id", "severity", "src_ip").agg(F.count("*").alias("n"))
 
 
