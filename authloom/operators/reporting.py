@@ -26,22 +26,28 @@ def _text(col: Column, absent: str = ABSENT) -> Column:
     return F.coalesce(col.cast("string"), F.lit(absent))
 
 
-def numbered(rows: DataFrame, run: int, order: list[str]) -> DataFrame:
-    """Rows with their position in the case, numbered inside runs of the first ``order`` column plus an offset."""
+def numbered(rows: DataFrame, run: int, order: list[str], largest: dict[str, Column] | None = None) -> DataFrame:
+    """Rows with their position in the case, numbered inside runs of the first ``order`` column plus an offset.
+
+    ``largest`` are columns to add: the largest value of an expression in the whole case.
+    """
+    largest = largest or {}
     runs = rows.withColumn("_run", block_of(order[0], run))
-    sizes = runs.groupBy("case_key", "_run").agg(F.count("*").alias("_n"))
+    sizes = runs.groupBy("case_key", "_run").agg(F.count("*").alias("_n"), *[F.max(c).alias(n) for n, c in largest.items()])
+    case = Window.partitionBy("case_key")
     earlier = Window.partitionBy("case_key").orderBy("_run").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = sizes.select("case_key", "_run",
-                           F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+                           F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
+                           *[F.max(n).over(case).alias(n) for n in largest])
     inside = F.row_number().over(Window.partitionBy("case_key", "_run").orderBy(*order))
     return runs.withColumn("_rn", inside).join(offsets, ["case_key", "_run"]).withColumn(
         "position", F.col("_off") + F.col("_rn")).drop("_run", "_rn", "_off")
 
 
-def numbered_evidence(evidence: DataFrame, run: int = 100_000) -> DataFrame:
+def numbered_evidence(evidence: DataFrame, run: int = 100_000, largest: dict[str, Column] | None = None) -> DataFrame:
     """Evidence with its position in the case."""
-    return numbered(evidence, run, ["ord"])
+    return numbered(evidence, run, ["ord"], largest)
 
 
 def evidence_block(position: Column) -> Column:
@@ -64,8 +70,13 @@ def _python_list(items: Column) -> Column:
 
 
 def report_parts(reviewed: DataFrame, evidence: DataFrame, report_time: Column, block: int = 1000,
-                 title: str = TITLE) -> DataFrame:
-    """(case_key, part, text) for every reviewed case; the last part number is the tail's."""
+                 title: str = TITLE, largest: dict[str, Column] | None = None) -> DataFrame:
+    """(case_key, part, text) for every reviewed case; the last part number is the tail's.
+
+    ``largest`` are columns to add that ``reviewed`` has as well: the largest value of an expression over the
+    case's evidence. They come with the numbering, so the texts needn't be joined to get them.
+    """
+    largest = largest or {}
     steps = F.coalesce(F.col("actions"), F.array().cast("array<string>"))
     head = F.concat(
         F.lit(f"\n{title}\n报告时间："), report_time,
@@ -88,14 +99,14 @@ def report_parts(reviewed: DataFrame, evidence: DataFrame, report_time: Column,
         F.lit(f"\n\n## 6. 总结\n{CLOSING}\n"),
     )
     last = block_of("_padded", block) + 1
-    frame = reviewed.withColumn("_padded", F.col("evidence_count") + (block - 1)).select("case_key", F.explode(F.array(
+    frame = reviewed.withColumn("_padded", F.col("evidence_count") + (block - 1)).select("case_key", *largest, F.explode(F.array(
         F.struct(F.lit(0).cast("bigint").alias("part"), head.alias("text")),
         F.struct(last.alias("part"), tail.alias("text")),
-    )).alias("p")).select("case_key", "p.part", "p.text")
-    blocks = numbered_evidence(evidence).withColumn("_before", F.col("position") - 1).withColumn(
+    )).alias("p")).select("case_key", "p.part", "p.text", *largest)
+    blocks = numbered_evidence(evidence, largest=largest).withColumn("_before", F.col("position") - 1).withColumn(
         "part", block_of("_before", block) + 1)
     entries = F.array_sort(F.collect_list(F.struct(
         "position", evidence_block(F.col("position")).alias("entry"))))
     body = blocks.groupBy("case_key", "part").agg(
-        F.array_join(F.transform(entries, lambda e: e["entry"]), "").alias("text"))
+        F.array_join(F.transform(entries, lambda e: e["entry"]), "").alias("text"), *[F.max(n).alias(n) for n in largest])
     return frame.unionByName(body)

@@ -922,8 +922,8 @@ def case_review(spark, sf):
 
 
 def _signal_cases(spark, sf):
-    """Stored rows of the cases that answered signals make, and their reviews."""
-    rows = t.stored(spark, sf, "signal_case_rows", lambda s, d: hunt.case_rows_of(t.chain(s, d)[2], _now_text()))
+    """Rows of the cases that answered signals make, a projection of their stored evidence, and the stored reviews."""
+    rows = hunt.case_rows_of(t.chain(spark, sf)[2], _now_text())
     return rows, t.stored(spark, sf, "signal_reviews", lambda s, d: case_plan.review(
         rows, rows.select("case_key").distinct()))
 
@@ -951,7 +951,8 @@ def hunt_report(spark, sf):
 def result_tables(spark, sf):
     """All six result tables written, read back and compared by a hash of every row's columns, per day."""
     base, (rows, reviewed) = shared_dir(spark), _signal_cases(spark, sf)
-    at_of = rows.groupBy("case_key").agg(F.max(F.col("timestamp").cast("timestamp")).alias("at"))
+    latest = {"at": F.col("timestamp").cast("timestamp")}
+    at_of = rows.groupBy("case_key").agg(*[F.max(c).alias(n) for n, c in latest.items()])
     reviewed = reviewed.join(at_of, "case_key")
     sinks.write_tables({
         "signals": _signals(spark, sf).withColumn("at", F.col("event_time").cast("timestamp")),
@@ -959,7 +960,7 @@ def result_tables(spark, sf):
         "readiness": reviewed.select("case_key", "at", "score", "level"),
         "analysis": reviewed.select("case_key", "at", "event_type", "priority", "conclusion"),
         "verification": reviewed.select("case_key", "at", "verified", "final_confidence"),
-        "reports": reporting.report_parts(reviewed, rows, F.lit("20240201_000000")).join(at_of, "case_key"),
+        "reports": reporting.report_parts(reviewed, rows, F.lit("20240201_000000"), largest=latest),
     }, base, "run-1")
     out = None
     for name in sinks.TABLES:

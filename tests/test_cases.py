@@ -219,3 +219,17 @@ def test_many_queries_of_a_case(spark):
     row = verification.trace_checks(rows).first()
     assert row.query_issue.startswith("证据来自多个查询: {'q0000', 'q0001'") and row.query_issue.endswith("（第 1 部分，共 3 部分，2500 项）")
     assert row.query_issue.count("'q") == verification.LISTED
+
+
+def test_report_parts_carry_what_is_largest_in_their_case(spark):
+    """Every part has the case's last time, also where a case has many runs, without a join of the texts."""
+    ev = frame(spark, [row(i * 60_000, case_key=k, timestamp=f"2026-05-{14 + (i + n) % 5:02d}T10:00:00Z")
+                       for n, k in enumerate("ab") for i in range(5 - 3 * n)])
+    last = {"at": F.col("timestamp").cast("timestamp")}
+    at_of = ev.groupBy("case_key").agg(F.max(last["at"]).alias("at"))
+    rev = plan.review(ev, ev.select("case_key").distinct()).join(at_of, "case_key")
+    plain = reporting.report_parts(rev, ev, F.lit("20260514_203349"), block=2).join(at_of, "case_key")
+    got = reporting.report_parts(rev, ev, F.lit("20260514_203349"), block=2, largest=last)
+    rows = lambda df: sorted(map(tuple, df.select("case_key", "part", "text", "at").collect()))
+    assert rows(got) == rows(plain) and len(rows(got)) == 5 + 3
+    assert {r.at.day for r in got.collect()} == {18, 16}
