@@ -162,3 +162,37 @@ def test_many_questions_are_not_broadcast(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "[_key" in plan and "BroadcastHashJoin [_key" not in plan
     assert found.count() == 20_000
+
+
+def test_keys_that_nobody_asks_for_are_not_shuffled(spark):
+    """Three shapes make three keys of every event; 2,002 of these 60,000 rows are asked for."""
+    rows = spark.range(20_000).selectExpr(
+        "'n' AS node_id", "id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS timestamp", "'ip' || id AS src_ip",
+        "'p' || id AS process", "if(id % 10 = 0, 'root', 'u' || id) AS dst_user", "CAST(NULL AS STRING) AS log_type")
+    asked = spark.createDataFrame(
+        [("q0", "auth_log", "n", 0, ("ip7", None, None)), ("q1", "auth_log", "n", 5, (None, "p9", None)),
+         ("q2", "auth_log", "n", 0, (None, None, "root")), ("q3", "auth_log", "n", 0, (None, None, "nobody"))],
+        "query_id string, source string, node_id string, limit int, filters struct<src_ip:string,process:string,dst_user:string>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for requests that cannot be broadcast
+    try:
+        found = evidence.retrieve_evidence(asked, rows)
+        got = [(r.query_id, r.id) for r in found.collect()]
+        plan = found._jdf.queryExecution().executedPlan()
+        plan.execute().count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(got) == sorted([("q0", 7), ("q1", 9)] + [("q2", k) for k in range(0, 20_000, 10)])
+
+
+    def most_written(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return most_written(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return most_written(node.plan())
+        own = node.metrics().get("shuffleRecordsWritten")
+        below = [most_written(node.children().apply(i)) for i in range(node.children().size())]
+        return max([own.get().value() if own.isDefined() else 0, *below])
+
+    assert 2_002 <= most_written(plan) < 4_000
