@@ -1,8 +1,8 @@
 """Checks of an analysis against its evidence, per case.
 
 Lists that could grow with a case are kept as rows (dangling references, lineage status) and as numbered
-parts of a fixed number of values. An issue text names the values of the first part; if there are more,
-it says how many values and parts there are.
+parts of a fixed number of values. An issue text of a review names every value; one that is asked for with
+``most`` names that many, and says how many values and parts there are.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from authloom.functions import fixed
+from authloom.functions.numbers import block_of
 from authloom.functions.text import compact, non_empty
 from authloom.operators.readiness import evidence_ids
 from authloom.operators.reporting import numbered
@@ -26,20 +27,30 @@ def _quoted(items: Column) -> Column:
     return F.concat(F.lit("'"), F.array_join(F.transform(items, lambda x: x["_v"]), "', '"), F.lit("'"))
 
 
-def _listing(df: DataFrame, value: str, order: list[str], most: int) -> DataFrame:
-    """``case_key, n, listed``: how many values a case has, and the first ``most`` of them in order.
+def _listing(df: DataFrame, value: str, order: list[str], most: int | None, run: int = 100_000) -> DataFrame:
+    """``case_key, n, listed``: how many values a case has, and all of them in order, or the first ``most``.
 
-    Only these go to one task; values beyond them are counted where they are.
+    All values are listed inside runs of the first order column, in as many tasks as there are runs; one task
+    puts the texts of a case together and holds no more than its text. Of the first ones only these go to one
+    task; values beyond them are counted where they are.
     """
-    rank = F.row_number().over(Window.partitionBy("case_key").orderBy(*order))
     items = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
+    if most is None:
+        runs = df.where(F.col("case_key").isNotNull()).withColumn("_run", block_of(order[0], run)).groupBy(
+            "case_key", "_run").agg(F.count(F.lit(1)).alias("n"), items.alias("_i"))
+        texts = F.array_sort(F.collect_list(F.struct("_run", _quoted(F.col("_i")).alias("_t"))))
+        return runs.groupBy("case_key").agg(F.sum("n").alias("n"), texts.alias("_i")).select(
+            "case_key", "n", F.array_join(F.transform("_i", lambda x: x["_t"]), ", ").alias("listed"))
+    rank = F.row_number().over(Window.partitionBy("case_key").orderBy(*order))
     first = df.withColumn("_rank", rank).where(F.col("_rank") <= most).groupBy("case_key").agg(items.alias("_i"))
     counts = df.groupBy("case_key").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(first.select("case_key", _quoted(F.col("_i")).alias("listed")), "case_key")
 
 
-def _beyond(most: int) -> Column:
+def _beyond(most: int | None) -> Column:
     """What follows a listing that is not the whole."""
+    if most is None:
+        return F.lit("")
     return F.when(F.col("n") > most, F.concat(
         F.lit("（第 1 部分，共 "), F.expr(f"(n + {most - 1}) div {most}").cast("string"), F.lit(" 部分，"),
         F.col("n").cast("string"), F.lit(" 项）"))).otherwise("")
@@ -66,8 +77,8 @@ def dangling_refs(refs: DataFrame, evidence: DataFrame) -> DataFrame:
         "case_key", "ord", "evidence_id")
 
 
-def check_refs(refs: DataFrame, evidence: DataFrame, most: int = LISTED) -> DataFrame:
-    """Issue per case that cites unknown ids."""
+def check_refs(refs: DataFrame, evidence: DataFrame, most: int | None = LISTED) -> DataFrame:
+    """Issue per case that cites unknown ids; without ``most`` it names all of them."""
     found = _listing(dangling_refs(refs, evidence), "evidence_id", ["ord", "evidence_id"], most)
     return found.select("case_key", F.concat(
         F.lit(fixed.UNKNOWN_REFS), "listed", F.lit("]"), _beyond(most)).alias("ref_issue"))
@@ -94,10 +105,10 @@ def _lineage_issue() -> Column:
         F.concat(_named(), F.lit(fixed.LINEAGE_INVALID), F.col("lineage_id")))
 
 
-def trace_checks(evidence: DataFrame, most: int = LISTED) -> DataFrame:
+def trace_checks(evidence: DataFrame, most: int | None = LISTED) -> DataFrame:
     """Per case with a defect: ``raw_issue`` and ``lineage_issue`` of the first row whose raw
     reference or lineage id is missing or malformed, and ``query_issue`` if its evidence stems from
-    more than one query.
+    more than one query, which names the first ``most`` of them, or all.
 
     One scan: rows are first combined per case and query, of which a case has few.
     """
@@ -109,11 +120,14 @@ def trace_checks(evidence: DataFrame, most: int = LISTED) -> DataFrame:
     per_query = evidence.groupBy("case_key", non_empty(F.col("query_id")).alias("query_id")).agg(
         first(raw).alias("raw"), first(lineage).alias("lineage"))
     # in one pass, so that the evidence is scanned once: a task streams the sorted queries of a case and
-    # holds the first ones
-    rank = F.row_number().over(Window.partitionBy("case_key").orderBy(F.col("query_id").asc_nulls_last()))
-    ids = F.array_sort(F.collect_list(F.when(F.col("_rank") <= most, F.struct(F.col("query_id").alias("_v")))))
+    # holds the first ones; the whole text holds all
+    listed = F.struct(F.col("query_id").alias("_v"))
+    if most is not None:
+        rank = F.row_number().over(Window.partitionBy("case_key").orderBy(F.col("query_id").asc_nulls_last()))
+        per_query, listed = per_query.withColumn("_rank", rank), F.when(F.col("_rank") <= most, listed)
+    ids = F.array_sort(F.collect_list(listed))
     named = F.concat(F.lit(fixed.SEVERAL_QUERIES), _quoted(F.col("_i")), F.lit("}"), _beyond(most))
-    return per_query.withColumn("_rank", rank).groupBy("case_key").agg(
+    return per_query.groupBy("case_key").agg(
         F.min("raw")["issue"].alias("raw_issue"), F.min("lineage")["issue"].alias("lineage_issue"),
         F.filter(ids, lambda x: x["_v"].isNotNull()).alias("_i"), F.count("query_id").alias("n"),
     ).select("case_key", "raw_issue", "lineage_issue", F.when(F.col("n") > 1, named).alias("query_issue")).where(
@@ -129,7 +143,7 @@ def check_lineage(evidence: DataFrame) -> DataFrame:
 
 
 def check_query_id(evidence: DataFrame) -> DataFrame:
-    return trace_checks(evidence).where("query_issue IS NOT NULL").select("case_key", "query_issue")
+    return trace_checks(evidence, most=None).where("query_issue IS NOT NULL").select("case_key", "query_issue")
 
 
 def _lineage_status() -> Column:
@@ -202,8 +216,8 @@ def verify(analysed: DataFrame, scored: DataFrame, evidence: DataFrame,
         analysed.select("case_key", "conclusion")
         .join(scored.select("case_key", "score", "evidence_count"), "case_key", "left")
         .na.fill(0, ["score", "evidence_count"])
-        .join(check_refs(refs, evidence), "case_key", "left")
-        .join(trace_checks(evidence), "case_key", "left")
+        .join(check_refs(refs, evidence, most=None), "case_key", "left")
+        .join(trace_checks(evidence, most=None), "case_key", "left")
     )
     return verdict(joined).select(
         "case_key", "verified", "issues", "checks", "evidence_count",

@@ -65,8 +65,8 @@ def review(evidence: DataFrame, cases: DataFrame, replies: DataFrame | None = No
     if refs is None:
         rows = rows.withColumn("ref_issue", F.lit(None).cast("string"))
     else:
-        rows = rows.join(verification.check_refs(refs, evidence), "case_key", "left")
-    rows = rows.join(verification.trace_checks(evidence), "case_key", "left")
+        rows = rows.join(verification.check_refs(refs, evidence, most=None), "case_key", "left")
+    rows = rows.join(verification.trace_checks(evidence, most=None), "case_key", "left")
     return verification.verdict(rows).select(
         "case_key", "evidence_count", "valid_count", "score", "level", "readiness_issues",
         "readiness_checks", "allowed_actions", "event_type", "priority", "confidence", "summary",

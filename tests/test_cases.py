@@ -233,3 +233,19 @@ def test_report_parts_carry_what_is_largest_in_their_case(spark):
     rows = lambda df: sorted(map(tuple, df.select("case_key", "part", "text", "at").collect()))
     assert rows(got) == rows(plain) and len(rows(got)) == 5 + 3
     assert {r.at.day for r in got.collect()} == {18, 16}
+
+
+def test_a_review_names_every_unknown_id_and_query(spark):
+    """More than a part of a listing: unknown ids over several runs of places, one without a place, and queries."""
+    ev = frame(spark, [row(i, query_id=f"q{i:04d}") for i in range(1200)])
+    refs = spark.range(2500).selectExpr("'c' AS case_key", "id * 1000 - 50000 AS ord", "'ghost-' || lpad(id, 4, '0') AS evidence_id").unionByName(
+        spark.createDataFrame([("c", None, "z"), ("c", 7, "x"), ("c", 7, "x"), ("c", 7, "ev-3"), ("c", 8, ""), (None, 1, "y")],
+                              "case_key string, ord bigint, evidence_id string"))
+    r = plan.review(ev, ev.select("case_key").distinct(), refs=refs).first()
+    ghosts = [f"ghost-{k:04d}" for k in range(2500)]
+    want = ["z", *ghosts[:51], "x", "x", *ghosts[51:]]
+    assert r.issues[:2] == [f"{fixed.UNKNOWN_REFS}{str(want)[1:-1]}]",
+                            f"{fixed.SEVERAL_QUERIES}{str([f'q{i:04d}' for i in range(1200)])[1:-1]}}}"]
+    assert [x.case_key for x in verification.check_refs(refs, ev, most=None).collect()] == ["c"]
+    base = spark.createDataFrame([("c", "text", 100, 1200)], "case_key string, conclusion string, score int, evidence_count bigint")
+    assert verification.verify(base, base, ev, refs).first().issues[:2] == r.issues[:2]
