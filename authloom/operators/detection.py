@@ -53,31 +53,37 @@ def instant_counts(matched: DataFrame) -> DataFrame:
 
 
 # Of two instants just one window apart, the earlier one counts. In windows of time their distance is 1, but for
-# the rounding of two divisions; the next instant that doesn't count is 1 + 1 / window microseconds away, which
-# is more than this for windows up to thirty years.
-_ONE_WINDOW = "1.0000000000000004D"
+# the rounding of two divisions and a difference; the next instant that doesn't count is 1 + 1 / window microseconds
+# away, which is more than this for windows up to twenty years.
+_ONE_WINDOW = "1.0000000000000009D"
+_WINDOWS = 4  # of a bucket
 
 
 def sliding_counts(matched: DataFrame) -> DataFrame:
     """Per instant, the matches of its group in [instant - window, instant].
 
-    A group is cut into time buckets of one window length and every row also visits the next
-    bucket, so a bucket holds all its look-back. Partitions are thereby at most two windows long
+    A group is cut into time buckets of ``_WINDOWS`` window lengths, and rows of the last window of a bucket also
+    visit the next one, so a bucket holds all its look-back. Partitions are thereby at most five windows long
     and a hot group spreads over many tasks. Inside a bucket, time counts in windows, so one frame serves
-    rules of any number of window lengths.
+    rules of any number of window lengths. What follows from other columns is derived after the shuffle.
     """
     window = f"(greatest(CAST(window_seconds AS BIGINT), 0L) * {_SECOND})"
     length = f"greatest({window}, 1L)"
-    bucket = block_of("us", length)
-    visits = instant_counts(matched).withColumn("_own", bucket).select(
-        "*", F.explode(F.array(F.col("_own"), F.col("_own") + 1)).alias("_bucket"))
-    # an empty window holds its own instant only: times are whole, so half a step is less than any distance
-    place = F.expr(f"(us - (_bucket - 1) * {length}) / CAST({length} AS DOUBLE) * if({window} > 0, 1D, 2D)")
-    count = F.expr(f"""sum(n) OVER (PARTITION BY {", ".join(KEY)}, window_seconds, _bucket ORDER BY _place
+
+    def begin(us: str) -> str:
+        return f"({us} - pmod({us}, {_WINDOWS} * {length}))"
+
+    parts = [*KEY, "window_seconds", "_bucket"]
+    visits = instant_counts(matched).withColumn("_bucket", F.explode(F.expr(
+        f"array_distinct(array({begin('us')}, {begin(f'(us + {length})')}))"))).repartition(*parts)
+    # numbers near 0, for they are exact there; an empty window holds its own instant only: times are whole, so half a
+    # step is less than any distance
+    place = F.expr(f"(us - _bucket - 2 * {length}) / CAST({length} AS DOUBLE) * if({window} > 0, 1D, 2D)")
+    count = F.expr(f"""sum(n) OVER (PARTITION BY {", ".join(parts)} ORDER BY _place
                        RANGE BETWEEN {_ONE_WINDOW} PRECEDING AND CURRENT ROW)""")
     return (
         visits.withColumn("_place", place).withColumn("window_count", count)
-        .where(F.col("_own") == F.col("_bucket"))
+        .where(F.expr(f"_bucket = {begin('us')}"))
         .select(*KEY, "need", "window_seconds", "cooldown_seconds", "us", "n", "window_count")
     )
 

@@ -146,7 +146,9 @@ def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
 
 
 GRAMS = (4, 8)  # characters of the literal pieces by which a pattern is found
-WORDS = 1 << 19  # of 64 bits, that tell which pieces an index may have (4 MB)
+WORDS = 1 << 21  # of 64 bits, that tell which pieces an index may have (16 MB)
+COUNTS = 1 << 20  # of eight sizes each, that tell how many patterns have a piece (8 MB)
+_CHUNK = 1024
 
 
 def _grams(text: str) -> str:
@@ -156,34 +158,52 @@ def _grams(text: str) -> str:
     return f"array_distinct(concat(array(''){pieces}))"
 
 
-def _bit(process: str, gram: str) -> Column:
-    return F.pmod(F.xxhash64(process, gram), F.lit(64 * WORDS))
+def _table(rows: DataFrame, size: int) -> Column:
+    """``id, word`` as one array of ``size`` numbers, 0 where there is no row; its size doesn't depend on the rows."""
+    every = rows.sparkSession.range(size).join(rows, "id", "left").withColumn("part", F.expr(f"id div {_CHUNK}"))
+    parts = every.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0)).alias("word")))).alias("w"))
+    whole = parts.agg(F.sort_array(F.collect_list(F.struct("part", F.col("w.word").alias("word")))).alias("w"))
+    return whole.select(F.flatten("w.word")).scalar()
+
+
+def _bits(hashed: str) -> str:
+    """SQL for four bits of a word, by parts of a hash that its place doesn't use."""
+    return "(" + " | ".join(f"shiftleft(1L, cast(shiftrightunsigned({hashed}, {k}) & 63 AS int))" for k in (40, 46, 52, 58)) + ")"
 
 
 def _piece_bits(index: DataFrame) -> Column:
-    """The pieces of an index as hashed bits of ``WORDS`` numbers, whatever the size of the index."""
-    bit = _bit("process", "gram")
-    some = index.select(F.shiftright(bit, 6).alias("id"), F.expr("1L").alias("one"), (bit % 64).cast("int").alias("at"))
-    words = some.groupBy("id").agg(F.expr("bit_or(shiftleft(one, at))").alias("word"))
-    every = index.sparkSession.range(WORDS).join(words, "id", "left")
-    return every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0)).alias("word")))).alias("w")).select(
-        F.col("w.word")).scalar()
+    """The pieces of an index as four bits each in one of ``WORDS`` numbers, whatever the size of the index."""
+    hashed = index.select(F.xxhash64("process", "gram").alias("h"))
+    return _table(hashed.groupBy((F.col("h").bitwiseAND(WORDS - 1)).alias("id")).agg(F.expr(f"bit_or({_bits('h')})").alias("word")), WORDS)
+
+
+def _piece_sizes(pieces: DataFrame) -> Column:
+    """How many rows each ``process, gram`` has: eight logarithms of hashed counts in each of ``COUNTS`` numbers.
+
+    A sum over what shares a place, so a piece may look more common than it is, never rarer.
+    """
+    place = F.xxhash64("process", "gram").bitwiseAND(8 * COUNTS - 1)
+    counts = pieces.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    words = counts.groupBy(F.shiftright("place", 3).alias("id")).agg(F.expr(
+        "bit_or(shiftleft(cast(least(floor(8 * log2(n)), 255) AS bigint), cast(place & 7 AS int) * 8))").alias("word"))
+    return _table(words, COUNTS)
 
 
 def pattern_index(catalog: DataFrame) -> DataFrame:
     """``process, gram`` and the rule with ``pattern`` and its number: every pattern of a catalog under one piece.
 
-    A pattern stands under the piece of its literal parts that the fewest patterns of its process have; one
-    without a literal part of as many characters as the shortest of ``GRAMS`` stands under the empty piece, which every message has.
+    A pattern stands under a piece of its literal parts that few patterns of its process have (as ``_piece_sizes``
+    tells, so that pieces themselves are never shuffled); one without a literal part of as many characters as the
+    shortest of ``GRAMS`` stands under the empty piece, which every message has.
     """
-    each = catalog.select("*", F.posexplode("patterns").alias("no", "pattern")).where("pattern IS NOT NULL")
-    pieces = each.select("rule_id", "process", "no", F.explode(F.expr(
-        f"array_distinct(flatten(transform(split(pattern, '[%_]'), f -> {_grams('f')})))")).alias("gram"))
-    shared = pieces.groupBy("process", "gram").agg(F.count(F.lit(1)).alias("n"))
-    # the empty piece only where there is no other; exploded tables pass for small ones, so joins are told to shuffle
-    rank = F.struct(F.col("gram") == "", F.col("n"), -F.length("gram"), F.col("gram"))
-    chosen = pieces.join(shared.hint("merge"), ["process", "gram"]).groupBy("rule_id", "process", "no").agg(F.min_by("gram", rank).alias("gram"))
-    return each.join(chosen.hint("merge"), ["rule_id", "process", "no"])
+    each = catalog.select("*", F.posexplode("patterns").alias("no", "pattern")).where("pattern IS NOT NULL").withColumn(
+        "_pieces", F.expr(f"array_distinct(flatten(transform(split(pattern, '[%_]'), f -> {_grams('f')})))"))
+    sizes = _piece_sizes(each.select("process", F.explode("_pieces").alias("gram")))
+    # the empty piece only where there is no other
+    rank = f"""transform(_pieces, g -> named_struct('none', g = '', 'size', shiftright(get(_sizes, cast(shiftright(
+        xxhash64(process, g) & {8 * COUNTS - 1}, 3) AS int)), cast(xxhash64(process, g) & 7 AS int) * 8) & 255,
+        'short', -length(g), 'gram', g))"""
+    return each.withColumn("_sizes", sizes).withColumn("gram", F.array_min(F.expr(rank))["gram"]).drop("_pieces", "_sizes")
 
 
 def match_catalog(events: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -192,8 +212,9 @@ def match_catalog(events: DataFrame, catalog: DataFrame) -> DataFrame:
     Rules are found by an index of literal pieces of their patterns: distinct messages are cut into pieces, those
     that the index may have are joined with it, LIKE confirms, and a rule counts once for a message, by the first
     of its patterns that matches; events get the rules of their message. The plan does not depend on the catalog.
-    All joins are by shuffle: the planner takes messages cut into pieces to be as small as their files. Rule ids have to be distinct. A rule that groups by
-    a column which events do not have raises an error when it matches.
+    All joins are by shuffle: the planner takes messages cut into pieces to be as small as their files. Of an event
+    only the columns that are asked for, and those that rules group by, go through the shuffle. Rule ids have to be
+    distinct. A rule that groups by a column which events do not have raises an error when it matches.
     """
     index = pattern_index(catalog)
     held = index.select(
@@ -202,17 +223,21 @@ def match_catalog(events: DataFrame, catalog: DataFrame) -> DataFrame:
         F.col("window_seconds").cast("int").alias("window_seconds"),
         F.col("cooldown_seconds").cast("int").alias("cooldown_seconds"), F.col("group_by").alias("_by"))
     hit = "_message LIKE concat('%', replace(p, '\\\\', '\\\\\\\\'), '%')"
-    value = "CASE " + " ".join(f"WHEN _by = '{c}' THEN CAST(`{c}` AS STRING)" for c in events.columns)
+    value = "CASE " + " ".join(f"WHEN _by = '{c}' THEN _value{i}" for i, c in enumerate(events.columns))
     value += " WHEN _by IS NOT NULL THEN raise_error(concat('rule ', rule_id, ' groups by ', _by, ', which events do not have')) END"
     texts = events.select(F.col("process").alias("_of"), F.col("message").alias("_message")).distinct()
-    bit = _bit("_of", "_piece")
-    may = F.get(_piece_bits(index), F.shiftright(bit, 6).cast("int"))
-    pieces = texts.withColumn("_piece", F.explode(F.expr(_grams("_message")))).where(
-        F.getbit(may, (bit % 64).cast("int")) == 1)
+    hashed = "xxhash64(_of, _piece)"
+    may = F.get(_piece_bits(index), F.expr(f"cast({hashed} & {WORDS - 1} AS int)"))
+    bits = F.expr(_bits(hashed))
+    pieces = texts.withColumn("_piece", F.explode(F.expr(_grams("_message")))).where(may.bitwiseAND(bits) == bits)
     found = pieces.join(held.hint("merge"), [F.col("_of") == F.col("_process"), F.col("_piece") == F.col("_gram")])
     first = F.expr(f"array_position(transform(_patterns, p -> coalesce({hit}, false)), true) = _no + 1")
     found = found.where(first).drop("_process", "_piece", "_gram", "_no", "_patterns")
-    each = events.join(found.hint("merge"), [F.col("process") == F.col("_of"), F.col("message") == F.col("_message")])
+    # not by a filter, which would move to where the catalog is read
+    grouping = catalog.agg(F.collect_set(F.when(F.col("group_by").isin(events.columns), F.col("group_by")))).scalar()
+    valued = events.withColumns({f"_value{i}": F.when(F.array_contains(grouping, c), F.col(c).cast("string"))
+                                 for i, c in enumerate(events.columns)})
+    each = valued.join(found.hint("merge"), [F.col("process") == F.col("_of"), F.col("message") == F.col("_message")])
     return each.withColumn("group_key", F.coalesce(F.expr(value), F.lit(fixed.GLOBAL_GROUP))).select(
         *events.columns, "rule_id", "need", "window_seconds", "cooldown_seconds", "group_key")
 

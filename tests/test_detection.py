@@ -244,3 +244,66 @@ def test_a_pattern_stands_under_its_most_telling_piece(spark):
     rules = [{"id": f"R{i}", "match": {"process": "sshd", "patterns": [f"port {i}%ssh2"]}} for i in range(100000, 103000)]
     most = rule_ops.pattern_index(catalog_of(spark, rules)).groupBy("gram").count().agg({"count": "max"}).first()[0]
     assert most == 1
+
+
+def most_written(node):
+    """The most rows that one shuffle of a plan has written."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return most_written(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return most_written(node.plan())
+    own = node.metrics().get("shuffleRecordsWritten")
+    below = [most_written(node.children().apply(i)) for i in range(node.children().size())]
+    return max([own.get().value() if own.isDefined() else 0, *below])
+
+
+def test_pieces_of_patterns_are_not_shuffled(spark):
+    """Three thousand patterns have some fifty thousand pieces, of which each pattern needs one."""
+    rules = [{"id": f"R{i}", "match": {"process": "sshd", "patterns": [f"port {i}%ssh2"]}, "threshold": {"group_by": "dst_user" if i % 2 else None}}
+             for i in range(100000, 103000)]
+    ev = spark.range(2000).selectExpr("'n' AS node_id", "id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS timestamp", "'sshd' AS process",
+                                      "'a port ' || (id + 100000) || ' ssh2' AS message", "'1' AS src_ip", "'u' || id AS dst_user", "repeat(id, 100) AS raw_line")
+    found = rule_ops.match_catalog(ev, catalog_of(spark, rules)).select("id", "rule_id", "group_key")
+    plan = found._jdf.queryExecution().executedPlan()
+    assert plan.execute().count() == 2000 and most_written(plan) <= 6000
+    assert {(r.id, r.rule_id, r.group_key) for r in found.collect()} == {
+        (k, f"R{k + 100000}", "global" if k % 2 == 0 else f"u{k}") for k in range(2000)}
+
+
+def test_few_pieces_of_messages_pass_for_pieces_of_a_large_index(spark):
+    """Of a million pieces that no rule has, at most one in a thousand looks like one of two million that rules have."""
+    index = spark.range(2_000_000).selectExpr("'sshd' AS process", "'piece' || id AS gram")
+    other = spark.range(1_000_000).selectExpr("'sshd' AS process", "'other' || id AS gram")
+    bits = F.expr(rule_ops._bits("h"))
+
+    def passes(rows):
+        word = F.get(rule_ops._piece_bits(index), F.expr(f"cast(h & {rule_ops.WORDS - 1} AS int)"))
+        return rows.withColumn("h", F.xxhash64("process", "gram")).where(word.bitwiseAND(bits) == bits).count()
+
+    assert passes(other) < 1000 and passes(index.where("gram LIKE 'piece77%'")) == 11_111
+
+
+def matched(spark, rows):
+    """Matches of one node: rule, window in seconds, microseconds since 1970."""
+    return spark.createDataFrame([("n", r, "g", 1, w, 0, us) for r, w, us in rows],
+                                 "node_id string, rule_id string, group_key string, need int, window_seconds int, cooldown_seconds int, us bigint").selectExpr(
+        "* EXCEPT (us)", "CAST(timestamp_micros(us) AS timestamp_ntz) AS timestamp")
+
+
+def test_windows_end_to_the_microsecond(spark):
+    """Instants one window apart count, one microsecond more doesn't; wherever a bucket ends, before 1970 as well."""
+    rnd, rows = random.Random(11), []
+    for k in range(600):
+        window = rnd.choice([1, 3, 7, 97, 7919, 86_399, 2_591_999, 31_536_001])
+        us = rnd.randrange(-10**15, 2 * 10**15)
+        rows += [(f"r{k}", window, us + d) for d in (0, window * 10**6, window * 10**6 + 1, 3 * window * 10**6)]
+    got = {(r.rule_id, r.us): r.window_count for r in detection.sliding_counts(matched(spark, rows)).collect()}
+    want = {(r, t): sum(t - w * 10**6 <= us <= t for q, _, us in rows[i // 4 * 4:i // 4 * 4 + 4]) for i, (r, w, t) in enumerate(rows)}
+    assert got == want and set(want.values()) == {1, 2}
+
+
+def test_rows_visit_few_buckets(spark):
+    """A group of many windows: an instant is shuffled once, and some a second time, for what comes after their bucket."""
+    plan = detection.sliding_counts(matched(spark, [("r", 10, 10**6 * k) for k in range(8000)]))._jdf.queryExecution().executedPlan()
+    assert plan.execute().count() == 8000 and most_written(plan) < 10_500
