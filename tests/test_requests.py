@@ -196,3 +196,22 @@ def test_keys_that_nobody_asks_for_are_not_shuffled(spark):
         return max([own.get().value() if own.isDefined() else 0, *below])
 
     assert 2_002 <= most_written(plan) < 4_000
+
+
+def test_a_row_stands_beside_itself_for_all_its_requests(spark, tmp_path):
+    """A result of requests times rows: the next row comes after all requests for the one before, so files stay small."""
+    rows = spark.range(1000).selectExpr(
+        "'n' AS node_id", "xxhash64(id) AS id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS timestamp", "'ip' AS src_ip",
+        "'p' AS process", "'u' AS dst_user", "CAST(NULL AS STRING) AS log_type")
+    asked = spark.range(300).selectExpr("'q' || id AS query_id", "'auth_log' AS source", "'n' AS node_id", "0 AS limit",
+                                        "named_struct('src_ip', CAST(NULL AS STRING)) AS filters")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for requests that cannot be broadcast
+    try:
+        found = evidence.retrieve_evidence(asked, rows).select("query_id", "rank", "id")
+        ids = [r.id for r in found.collect()]
+        found.write.parquet(str(tmp_path / "found"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(ids) == 300_000 and sum(a != b for a, b in zip(ids, ids[1:])) < 1010
+    assert sum(f.stat().st_size for f in (tmp_path / "found").glob("*.parquet")) < 300_000
