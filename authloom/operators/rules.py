@@ -147,7 +147,7 @@ def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
 
 GRAMS = (4, 8)  # characters of the literal pieces by which a pattern is found
 WORDS = 1 << 21  # of 64 bits, that tell which pieces an index may have (16 MB)
-COUNTS = 1 << 20  # of eight sizes each, that tell how many patterns have a piece (8 MB)
+COUNTS = 1 << 19  # of sixteen sizes each, that tell how many patterns have a piece (4 MB)
 _CHUNK = 1024
 
 
@@ -178,14 +178,15 @@ def _piece_bits(index: DataFrame) -> Column:
 
 
 def _piece_sizes(pieces: DataFrame) -> Column:
-    """How many rows each ``process, gram`` has: eight logarithms of hashed counts in each of ``COUNTS`` numbers.
+    """How many rows each ``process, gram`` has: sixteen logarithms of hashed counts in each of ``COUNTS`` numbers.
 
-    A sum over what shares a place, so a piece may look more common than it is, never rarer.
+    They tell a count from one three times as large. What shares a place is summed, so a piece may look more common
+    than it is, never rarer.
     """
-    place = F.xxhash64("process", "gram").bitwiseAND(8 * COUNTS - 1)
+    place = F.xxhash64("process", "gram").bitwiseAND(16 * COUNTS - 1)
     counts = pieces.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
-    words = counts.groupBy(F.shiftright("place", 3).alias("id")).agg(F.expr(
-        "bit_or(shiftleft(cast(least(floor(8 * log2(n)), 255) AS bigint), cast(place & 7 AS int) * 8))").alias("word"))
+    words = counts.groupBy(F.shiftright("place", 4).alias("id")).agg(F.expr(
+        "bit_or(shiftleft(cast(least(floor(0.625 * log2(n)), 15) AS bigint), cast(place & 15 AS int) * 4))").alias("word"))
     return _table(words, COUNTS)
 
 
@@ -201,7 +202,7 @@ def pattern_index(catalog: DataFrame) -> DataFrame:
     sizes = _piece_sizes(each.select("process", F.explode("_pieces").alias("gram")))
     # the empty piece only where there is no other
     rank = f"""transform(_pieces, g -> named_struct('none', g = '', 'size', shiftright(get(_sizes, cast(shiftright(
-        xxhash64(process, g) & {8 * COUNTS - 1}, 3) AS int)), cast(xxhash64(process, g) & 7 AS int) * 8) & 255,
+        xxhash64(process, g) & {16 * COUNTS - 1}, 4) AS int)), cast(xxhash64(process, g) & 15 AS int) * 4) & 15,
         'short', -length(g), 'gram', g))"""
     return each.withColumn("_sizes", sizes).withColumn("gram", F.array_min(F.expr(rank))["gram"]).drop("_pieces", "_sizes")
 
